@@ -3,9 +3,10 @@
 A text of up to ``chunk_chars`` characters is one chunk. A longer one is cut into chunks that
 overlap, each chunk is pre-tokenised on its own, in parallel, and neighbours are stitched at the
 first place inside their overlap where both begin a pre-token: from there on both see the same
-text and cut it alike. Each piece between two such places is then encoded, one pre-token at a
-time, by its chunk's task. Where an overlap holds no common boundary (one pre-token fills it),
-the document's chunks are put together again and pre-tokenised as a whole, which is exact.
+text and cut it alike. Only the places are compared across chunks, not texts. Each piece between
+two such places is then encoded, one pre-token at a time, by a task of its own chunk, and the
+pieces' ids are concatenated. Where an overlap holds no common boundary (one pre-token fills
+it), the document is pre-tokenised as a whole, which is exact.
 
 Ids are kept as little-endian unsigned 32-bit integers in one binary value per text;
 ``unpack_ids`` gives the array. Decoding concatenates the raw bytes of the ids.
@@ -19,15 +20,17 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import materialize
+
 CHUNK_CHARS, OVERLAP_CHARS = 16_384, 512
 #: A cut this close to a chunk's end may come out otherwise with more text: the longest
 #: contraction looks two characters ahead, white space one.
 _MARGIN = 4
 _LETTER, _NUMBER, _SPACE, _OTHER = 1, 2, 3, 4
-_MEMO_ENTRIES = 1 << 18
+_MEMO_ENTRIES = 1 << 17
 
 
 @cache
@@ -118,18 +121,18 @@ def _encode_whole(path):
 
 
 def _pretokenise(overlap):
-    """Adds the starts in a chunk's first and last overlap that may serve as seams, in characters of the document."""
+    """The starts in a chunk's first and last overlap that may serve as seams, in characters of the document."""
 
     def run(batches):
         for batch in batches:
-            head, tail, starts = [], [], []
-            for offset, last, text in zip(batch.column("offset").to_pylist(), batch.column("last").to_pylist(), batch.column("piece").to_pylist()):
+            head, tail = [], []
+            for offset, last, piece in zip(batch.column("offset").to_pylist(), batch.column("last").to_pylist(), batch.column("piece")):
+                text = piece.as_py()
                 s = pretoken_starts(text)
                 safe = s[s <= len(text) - _MARGIN]
                 head.append((s[s < overlap] + offset).tolist())
                 tail.append([] if last else (safe[safe >= len(text) - overlap] + offset).tolist())
-                starts.append(s.tolist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(head, pa.list_(pa.int64())), pa.array(tail, pa.list_(pa.int64())), pa.array(starts, pa.list_(pa.int32()))], names=[*batch.schema.names, "head", "tail", "starts"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "f", "k")), pa.array(head, pa.list_(pa.int64())), pa.array(tail, pa.list_(pa.int64()))], names=["doc_id", "f", "k", "head", "tail"])
 
     return run
 
@@ -139,8 +142,9 @@ def _encode_pieces(path):
         encoder = _encoder(path)
         for batch in batches:
             ids = []
-            for row in batch.select(["offset", "piece", "starts", "since", "until"]).to_pylist():
-                text, starts = row["piece"], np.array(row["starts"], np.int64)
+            for row in batch.select(["offset", "piece", "since", "until"]).to_pylist():
+                text = row["piece"]
+                starts = pretoken_starts(text)
                 a = (row["since"] or row["offset"]) - row["offset"]
                 b = len(text) if row["until"] is None else row["until"] - row["offset"]
                 ids.append(encoder.encode(text[a:b], starts[(starts >= a) & (starts < b)] - a))
@@ -161,29 +165,39 @@ def encode(docs: DataFrame, path: str, chunk_chars: int = CHUNK_CHARS, overlap_c
     is_long = F.char_length("text") > chunk_chars
     short = texts.where(~is_long).mapInArrow(_encode_whole(path), "doc_id long, n_tokens long, ids binary")
 
+    # a document's chunks go by its id and a hash of its text; rows that agree in both have the same seams
     step = chunk_chars - overlap_chars
     offsets = F.sequence(F.lit(0).cast("long"), F.char_length("text") - overlap_chars - 1, F.lit(step).cast("long"))
-    chunks = texts.where(is_long).withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text", F.posexplode(offsets).alias("k", "offset"))
-    chunks = chunks.select("row", "doc_id", "k", "offset", (F.col("offset") + chunk_chars >= F.char_length("text")).alias("last"), F.substring("text", F.col("offset").cast("int") + 1, F.lit(chunk_chars)).alias("piece"))
-    dealt = chunks.repartition("row", "k").mapInArrow(_pretokenise(overlap_chars), "row long, doc_id long, k int, offset long, last boolean, piece string, head array<long>, tail array<long>, starts array<int>")
+    longs = texts.where(is_long).withColumn("f", F.xxhash64("text"))
+    cut = [F.posexplode(offsets).alias("k", "offset")]
+    piece = F.substring("text", F.col("offset").cast("int") + 1, F.lit(chunk_chars)).alias("piece")
+    last = (F.col("offset") + chunk_chars >= F.char_length("text")).alias("last")
+
+    chunks = longs.select("doc_id", "f", "text", *cut).select("doc_id", "f", "k", "offset", last, piece)
+    marks = chunks.mapInArrow(_pretokenise(overlap_chars), "doc_id long, f long, k int, head array<long>, tail array<long>").dropDuplicates(["doc_id", "f", "k"])
+    order = Window.partitionBy("doc_id", "f").orderBy("k")
+    seam = lambda tail, head: F.array_min(F.array_intersect(tail, head))
+    seams = marks.withColumn("since", seam(F.lag("tail").over(order), F.col("head"))).withColumn("until", seam(F.col("tail"), F.lead("head").over(order)))
+    missed = F.max(((F.col("k") > 0) & F.col("since").isNull()).cast("int")).over(Window.partitionBy("doc_id", "f")) == 1
+    seams = materialize(seams.select("doc_id", "f", "k", "since", "until", missed.alias("missed")))
 
-    from pyspark.sql import Window
+    def same(left: DataFrame, right: DataFrame, *more: str) -> Column:
+        return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["f"] == right["f"]) & (left["k"] == right["k"] if more else F.lit(True))
 
-    order = Window.partitionBy("row").orderBy("k")
-    seam = lambda tail, head: F.array_min(F.array_intersect(tail, head))
-    dealt = dealt.withColumn("since", seam(F.lag("tail").over(order), F.col("head"))).withColumn("until", seam(F.col("tail"), F.lead("head").over(order)))
-    missed = F.max(((F.col("k") > 0) & F.col("since").isNull()).cast("int")).over(Window.partitionBy("row")) == 1
-    dealt = dealt.drop("head", "tail").withColumn("missed", missed)
-    pieces = dealt.where("not missed").mapInArrow(_encode_pieces(path), "row long, doc_id long, k int, ids binary")
+    chunks = longs.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "f", "text", *cut).select("row", "doc_id", "f", "k", "offset", piece)
+    good = seams.where("not missed")
+    pieces = chunks.join(good, same(chunks, good, "k")).select("row", chunks["doc_id"], chunks["k"], "offset", "piece", "since", "until")
+    pieces = pieces.mapInArrow(_encode_pieces(path), "row long, doc_id long, k int, ids binary")
     stitched = pieces.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("p"))
     ids = F.aggregate("p", F.lit(b""), lambda acc, x: F.concat(acc, x["ids"]))
     stitched = stitched.select("doc_id", ids.alias("ids")).select("doc_id", F.expr("cast(octet_length(ids) div 4 as long)").alias("n_tokens"), "ids")
+    encoded = short.unionByName(stitched)
 
-    own = F.when(F.col("last"), F.col("piece")).otherwise(F.substring("piece", 1, step))
-    again = dealt.where("missed").select("row", "doc_id", F.struct("k", own.alias("own")).alias("p"))
-    again = again.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["own"]), "").alias("text"))
-    again = again.select("doc_id", "text").mapInArrow(_encode_whole(path), "doc_id long, n_tokens long, ids binary")
-    return short.unionByName(stitched).unionByName(again)
+    bad = seams.where("missed").select("doc_id", "f").distinct()
+    if not bad.isEmpty():
+        again = longs.join(bad, same(longs, bad), "left_semi").select("doc_id", "text")
+        encoded = encoded.unionByName(again.mapInArrow(_encode_whole(path), "doc_id long, n_tokens long, ids binary"))
+    return encoded
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
