@@ -29,7 +29,7 @@ Verify = Callable[[DataFrame], DataFrame]
 def bucket_components(buckets: DataFrame, verify: Verify, fits: Callable[[Column, Column], Column]) -> DataFrame:
     """``buckets(key, id, n)`` (distinct) -> ``(id, component)`` of ids with at least one link.
 
-    ``verify`` keeps the rows of ``(a, b)`` that are links; ``fits(n, n)`` is a necessary
+    ``verify`` gets ``(a, b, n_a, n_b)`` and returns the ``(a, b)`` that are links; ``fits(n, n)`` is a necessary
     condition on two sizes. Memberships are shuffled once for the counts, which are combined
     before the shuffle, and once for the join with them, which adaptive execution splits where
     one key is hot. Only members of buckets with two ids or more live on.
@@ -39,7 +39,7 @@ def bucket_components(buckets: DataFrame, verify: Verify, fits: Callable[[Column
     tested = shared.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     sizes = shared.groupBy("id").agg(F.max("n").alias("n"))
     tested = tested.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("n_a")), "a").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("n_b")), "b")
-    tested = materialize(tested.where(fits(F.col("n_a"), F.col("n_b"))).select("a", "b"))
+    tested = materialize(tested.where(fits(F.col("n_a"), F.col("n_b"))))
     links = materialize(verify(tested))
     labels = materialize(connected_components(links))
 
@@ -48,8 +48,9 @@ def bucket_components(buckets: DataFrame, verify: Verify, fits: Callable[[Column
     named = materialize(named.join(unsettled, "key", "left_semi"))
     left, right = (named.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "component"))) for side in "ab")
     pairs = left.join(right, "key").where("component_a < component_b").where(fits(F.col("n_a"), F.col("n_b")))
-    pairs = pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
-    pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"))
+    pairs = pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "n_a", "n_b").distinct()
+    both_ways = tested.select("a", "b").unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    pairs = materialize(pairs.join(both_ways, ["a", "b"], "left_anti"))
     more = materialize(verify(pairs))
     if more.isEmpty():
         return labels
