@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard_join, line_dedup, lm_scoring, quality, substring_dedup, toxicity
+from . import bpe, jaccard_join, line_dedup, lm_scoring, quality, substring_dedup, suffix_dedup, toxicity
 from .storage import materialize
 
 #: Held-out folds of the contracts: crc32 of the id as text, modulo this.
@@ -61,6 +61,11 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
