@@ -72,15 +72,15 @@ def _profile(batches):
     counts = np.zeros(1 << SKETCH_BITS, np.uint32)
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("segment", pa.int32()), ("counts", pa.binary())])
     for batch in batches:
-        n, f1, f2 = [], [], []
+        n, f1, f2, cells = [], [], [], []
         for text in batch.column("text"):
             s = shingle_set(text.as_py())
-            counts += np.bincount((s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32) if len(s) > 100_000 else 0
-            if len(s) <= 100_000:
-                np.add.at(counts, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+            cells.append((s >> np.uint64(64 - SKETCH_BITS)).astype(np.int32))
             n.append(len(s))
             f1.append(int(s.sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
             f2.append(int(mix(s ^ np.uint64(0xA5A5)).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
+        if cells:
+            counts += np.bincount(np.concatenate(cells), minlength=1 << SKETCH_BITS).astype(np.uint32)
         k = len(n)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=schema)
     parts = [zlib.compress(x.tobytes(), 1) for x in counts.reshape(SEGMENTS, -1)]
@@ -126,15 +126,16 @@ def _postings(levels, boundary: int, percent: int):
                         out.append(mix(mix(chosen ^ salt).sum(axis=1, dtype=np.uint64) + salt))
                 if len(s) >= lists_from:
                     level = levels.value[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                    order = np.lexsort((s, level))
+                    order = np.argsort(level, kind="stable")  # by level, then by the hash: s is sorted
                     out.append(s[order[: prefix_length(len(s), percent)]])
                 if out:
-                    k = np.unique(np.concatenate(out))
-                    keys.append(k)
-                    ids.append(np.full(len(k), doc_id, np.int64))
-                    sizes.append(np.full(len(k), len(s), np.int32))
+                    keys.append(np.unique(np.concatenate(out)))
+                    ids.append(doc_id)
+                    sizes.append(len(s))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(sizes))], names=["key", "id", "n"])
+                offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
+                values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), values], names=["id", "n", "keys"])
 
     return run
 
@@ -170,7 +171,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
     shared = spark.sparkContext.broadcast(levels)
     copies = named.where("doc_id <> set_id").select("doc_id").distinct()
     originals = restrict(texts.where("text is not null"), copies, "doc_id", "left_anti")
-    buckets = originals.mapInArrow(_postings(shared, boundary, percent), "key long, id long, n int")
+    members = originals.mapInArrow(_postings(shared, boundary, percent), "id long, n long, keys array<long>")
 
     def verify(pairs: DataFrame) -> DataFrame:
         ids = materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
@@ -179,6 +180,13 @@ def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
         both = F.size(F.array_intersect("x", "y"))
         return x.where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
 
-    labels = bucket_components(buckets, verify, lambda n, m: (100 * F.least(n, m) >= percent * F.greatest(n, m)))
+    def enough(n, m, c):
+        # all that is shared up to where the first of the two posted parts ends is in both of them
+        rest = lambda s: F.ceil(percent * s / 100) - 1
+        need = F.ceil(percent * (n + m) / (100 + percent))
+        fits = 100 * F.least(n, m) >= percent * F.greatest(n, m)
+        return fits & ((F.greatest(n, m) <= boundary) | (c >= need - F.greatest(rest(n), rest(m))))
+
+    labels = bucket_components(members, verify, enough)
     out = named.join(labels.withColumnRenamed("id", "set_id"), "set_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "set_id").alias("component_id"), "set_id")

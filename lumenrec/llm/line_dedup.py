@@ -64,7 +64,9 @@ def _buckets(batches):
             keys = band_keys(mix(acc), starts, BANDS, ROWS, ends - SHINGLE_CHARS + 1)
             ids = pack(np.array(docs[at : at + 20_000], np.int64), np.array(numbers[at : at + 20_000], np.int64))
             exact = np.fromiter((xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in part), np.uint64, len(part))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(ids, BANDS)), pa.array(np.repeat(exact.view(np.int64), BANDS))], names=["key", "id", "n"])
+            offsets = np.arange(len(part) + 1, dtype=np.int32) * BANDS
+            values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(exact.view(np.int64)), values], names=["id", "n", "keys"])
 
 
 def _texts(batches):
@@ -92,7 +94,7 @@ def line_components(docs: DataFrame) -> DataFrame:
     number are one.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    buckets = texts.mapInArrow(_buckets, "key long, id long, n long")
+    members = texts.mapInArrow(_buckets, "id long, n long, keys array<long>")
 
     def verify(pairs: DataFrame) -> DataFrame:
         equal, other = pairs.where("n_a = n_b").select("a", "b"), pairs.where("n_a <> n_b").select("a", "b")
@@ -102,7 +104,7 @@ def line_components(docs: DataFrame) -> DataFrame:
         x = other.join(found.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(found.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
         return equal.unionByName(x.mapInArrow(_verify_pairs, "a long, b long"))
 
-    labels = bucket_components(buckets, verify, lambda n, m: F.lit(True))
+    labels = bucket_components(members, verify, lambda n, m, c: F.lit(True))
     return labels.select(
         doc_of(F.col("id")).alias("doc_id"), part_of(F.col("id")).alias("line_no"), doc_of(F.col("component")).alias("class_doc_id"),
         part_of(F.col("component")).alias("class_line_no"), (F.col("id") == F.col("component")).alias("kept"),

@@ -3,9 +3,9 @@
 Three operators find candidates by bucket (inverted lists, bands of signatures). A bucket may
 hold thousands of near copies, so pairs are made in two rounds:
 
-1. every member is paired with its bucket's smallest id, and the pairs are verified. Copies of
-   one text share their smallest id in nearly every bucket, so a group of k copies costs about
-   k pairs, not k * k;
+1. every member is paired with its bucket's smallest id, and the pairs that share enough
+   buckets are verified. Copies of one text share their smallest id in nearly every bucket, so a
+   group of k copies costs about k pairs, not k * k;
 2. buckets whose members still lie in several components get the remaining pairs across
    components, and these are verified too. Pairs within a component need no test: they cannot
    change the components.
@@ -24,34 +24,41 @@ from .components import connected_components
 from .storage import materialize
 
 Verify = Callable[[DataFrame], DataFrame]
+Enough = Callable[[Column, Column, Column], Column]
 
 
-def bucket_components(buckets: DataFrame, verify: Verify, fits: Callable[[Column, Column], Column]) -> DataFrame:
-    """``buckets(key, id, n)`` (distinct) -> ``(id, component)`` of ids with at least one link.
+def bucket_components(members: DataFrame, verify: Verify, enough: Enough) -> DataFrame:
+    """``members(id, n, keys array<long>)`` -> ``(id, component)`` of ids with at least one link.
 
-    ``verify`` gets ``(a, b, n_a, n_b)`` and returns the ``(a, b)`` that are links; ``fits(n, n)`` is a necessary
-    condition on two sizes. Memberships are shuffled once for the counts, which are combined
-    before the shuffle, and once for the join with them, which adaptive execution splits where
-    one key is hot. Only members of buckets with two ids or more live on.
+    ``keys`` are an id's distinct buckets. ``verify`` gets ``(a, b, n_a, n_b)`` and returns the
+    ``(a, b)`` that are links; ``enough(n_a, n_b, c)`` is a necessary condition on two sizes and
+    the number of buckets in common. Bucket counts are combined before their shuffle, and
+    adaptive execution splits the join with them where one key is hot. Only members of buckets
+    with two ids or more live on.
     """
+    members = materialize(members)
+    buckets = members.select(F.explode("keys").alias("key"), "id")
     shared = buckets.groupBy("key").agg(F.count("*").alias("members"), F.min("id").alias("pivot")).where("members > 1").drop("members")
     shared = materialize(buckets.join(shared, "key"))
-    tested = shared.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    sizes = shared.groupBy("id").agg(F.max("n").alias("n"))
-    tested = tested.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("n_a")), "a").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("n_b")), "b")
-    tested = materialize(tested.where(fits(F.col("n_a"), F.col("n_b"))))
-    links = materialize(verify(tested))
-    labels = materialize(connected_components(links))
+    sizes = members.select("id", "n").join(shared.select("id").distinct(), "id", "left_semi")
+    sizes = materialize(sizes.groupBy("id").agg(F.max("n").alias("n")))
+
+    def sized(pairs: DataFrame) -> DataFrame:
+        """Distinct pairs that may be links, with the number of rows of each as ``c`` for ``enough``."""
+        pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("c"))
+        pairs = pairs.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("n_a")), "a").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("n_b")), "b")
+        return pairs.where(enough(F.col("n_a"), F.col("n_b"), F.col("c"))).drop("c")
+
+    tested = materialize(sized(shared.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"))))
+    labels = materialize(connected_components(materialize(verify(tested))))
 
     named = shared.drop("pivot").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     unsettled = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     named = materialize(named.join(unsettled, "key", "left_semi"))
-    left, right = (named.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "component"))) for side in "ab")
-    pairs = left.join(right, "key").where("component_a < component_b").where(fits(F.col("n_a"), F.col("n_b")))
-    pairs = pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "n_a", "n_b").distinct()
+    left, right = (named.select("key", F.col("id").alias(f"id_{side}"), F.col("component").alias(f"component_{side}")) for side in "ab")
+    pairs = left.join(right, "key").where("id_a < id_b and component_a <> component_b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
     both_ways = tested.select("a", "b").unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    pairs = materialize(pairs.join(both_ways, ["a", "b"], "left_anti"))
-    more = materialize(verify(pairs))
+    more = materialize(verify(materialize(sized(pairs).join(both_ways, ["a", "b"], "left_anti"))))
     if more.isEmpty():
         return labels
     stars = labels.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))

@@ -83,7 +83,9 @@ def _buckets(batches):
             inside = place < np.repeat(np.concatenate([[0], ends - starts]), sizes)
             powers = np.cumprod(np.full(int(place.max()) + 1, _GOLDEN))
             exact = mix(np.add.reduceat(np.where(inside, h * powers[place], np.uint64(0)), starts) + (ends - starts).astype(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(ids, BANDS)), pa.array(np.repeat(exact.view(np.int64), BANDS))], names=["key", "id", "n"])
+            offsets = np.arange(len(ids) + 1, dtype=np.int32) * BANDS
+            values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(exact.view(np.int64)), values], names=["id", "n", "keys"])
 
 
 def _sets(batches):
@@ -112,7 +114,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     rows; other columns are ignored; rows that share a doc_id should have one text.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    buckets = texts.mapInArrow(_buckets, "key long, id long, n long")
+    members = texts.mapInArrow(_buckets, "id long, n long, keys array<long>")
 
     def verify(pairs: DataFrame) -> DataFrame:
         equal, other = pairs.where("n_a = n_b").select("a", "b"), pairs.where("n_a <> n_b").select("a", "b")
@@ -123,7 +125,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         both = F.size(F.array_intersect("x", "y"))
         return equal.unionByName(x.where(100 * both >= PERCENT * (F.size("x") + F.size("y") - both)).select("a", "b"))
 
-    labels = bucket_components(buckets, verify, lambda n, m: F.lit(True))
+    labels = bucket_components(members, verify, lambda n, m, c: F.lit(True))
     removed = materialize(labels.where("id <> component").select("id", doc_of(F.col("component")).alias("first_doc_id")))
     places = restrict(texts, removed.select(doc_of(F.col("id")).alias("doc_id")).distinct(), "doc_id").mapInArrow(_places, "id long, start_word long, n_words long")
     placed = places.join(removed, "id").withColumn("doc_id", doc_of(F.col("id")))
