@@ -39,7 +39,7 @@ class Settings:
     features: int = 1024
     sharpness: float = 30.0
     flatten: float = 0.7
-    steps: int = 25
+    steps: int = 12
     rate: float = 0.6
     stay: float = 0.05
 
