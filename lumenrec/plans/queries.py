@@ -298,9 +298,9 @@ def movie_lookup(spark: SparkSession, d: str) -> DataFrame:
     return C.lookup(ids, T.catalog(spark, d))
 
 
-@query(f"with {CATALOG} select item_id, title from catalog where contains(lower(title), 'steel') order by item_id limit 5")
+@query(f"with {CATALOG} select item_id, title from catalog where contains(lower(title), 'ring') order by item_id limit 5")
 def suggest(spark: SparkSession, d: str) -> DataFrame:
-    return C.suggest(T.catalog(spark, d), "Steel")
+    return C.suggest(T.catalog(spark, d), "Ring")
 
 
 @query(f"with {CATALOG} select media_type, original_language, count(*) n, cast(sum(case when \"year\" >= 1980 then 1 else 0 end) as bigint) recent from catalog group by all")
@@ -331,19 +331,19 @@ def _search_sql(q: str, expanded: list[str], language: str | None = None, genres
  select item_id, title, cast(score as bigint) score from s where score > 0 order by score desc, item_id limit {limit}"""
 
 
-@query(_search_sql("steel", ["steel"]))
+@query(_search_sql("ring", ["ring"]))
 def search_keyword(spark: SparkSession, d: str) -> DataFrame:
-    return S.search(T.catalog(spark, d), "steel")
+    return S.search(T.catalog(spark, d), "ring")
 
 
-@query(_search_sql("hindi steel", ["hindi", "steel"], "hi"))
+@query(_search_sql("hindi ring", ["hindi", "ring"], "hi"))
 def search_language(spark: SparkSession, d: str) -> DataFrame:
-    return S.search(T.catalog(spark, d), "Hindi steel")
+    return S.search(T.catalog(spark, d), "Hindi ring")
 
 
-@query(_search_sql("anodized brass", ["anodized", "brass", "brushed", "steel"], None, ("ECONOMY", "Brand#11"), (1960, 1979)))
+@query(_search_sql("tiny widget", ["gadget", "small", "tiny", "widget"], None, ("ECONOMY", "Brand#2"), (1960, 1979)))
 def search_intent(spark: SparkSession, d: str) -> DataFrame:
-    return S.search(T.catalog(spark, d), "anodized brass", intent={"genres": ["ECONOMY", "Brand#11"], "year_min": 1960, "year_max": 1979})
+    return S.search(T.catalog(spark, d), "tiny widget", intent={"genres": ["ECONOMY", "Brand#2"], "year_min": 1960, "year_max": 1979})
 
 
 @query(f"""with {CATALOG}, c as (select c.*, left(coalesce(d.text, ''), 200) overview, [s_name] "cast" from catalog c left join documents d on d.doc_id = c.item_id join supplier on s_suppkey = c.item_id % 10 + 1)
