@@ -2,11 +2,13 @@
 
 The documents that occur in the labelled table, with their source as domain, train a multinomial
 naive Bayes classifier on hashed words; it predicts every document's posteriors over the
-domains, tempered by the text's length so that they stay soft. Then nonnegative rates of all
+domains, tempered by the text's length so that they stay soft; a document of a domain without
+labelled rows, of which the classifier knows nothing, belongs to its own domain. Then nonnegative rates of all
 documents are fitted by projected gradient least squares, so that the expected tokens of each
 domain, sum of rate * tokens * posterior, match the target. The gradient needs one number for
-each domain, which an aggregation over all documents gives; the steps so far are replayed inside
-the next aggregation, so nothing but the posteriors is stored.
+each domain, which an aggregation over all documents gives, and is preconditioned by the
+domains' Gram matrix (one number for each two domains); the steps so far are replayed inside the
+next aggregation, so nothing but the posteriors is stored.
 
 Only DataFrame and spark.ml functions, no Python on the executors.
 """
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.classification import NaiveBayes
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
@@ -31,7 +34,8 @@ class Settings:
     """``max_rows`` bounds the labelled rows that the classifier is fitted on, ``max_domains`` the domains.
 
     ``flatten`` makes default targets: shares of tokens to this power, so that large domains
-    shrink and small ones grow.
+    shrink and small ones grow. At most ``steps`` gradient steps are made, fewer once every
+    domain's share of tokens is within ``tolerance`` of its target.
     """
 
     max_rows: int = 20_000
@@ -39,9 +43,8 @@ class Settings:
     features: int = 1024
     sharpness: float = 30.0
     flatten: float = 0.7
-    steps: int = 12
-    rate: float = 0.6
-    stay: float = 0.05
+    steps: int = 10
+    tolerance: float = 1e-4
 
 
 def _words():
@@ -58,23 +61,25 @@ def _posteriors(docs: DataFrame, labels: DataFrame, domain: str, s: Settings) ->
     names = [r["domain"] for r in base.select("domain").groupBy("domain").count().orderBy(F.desc("count"), "domain").limit(s.max_domains + 1).collect()]
     if len(names) > s.max_domains:
         raise ValueError(f"more than {s.max_domains} domains")
-    code = F.coalesce(*(F.when(F.col("domain") == name, F.lit(float(i))) for i, name in enumerate(names))) if names else F.lit(0.0)
+    code = lambda among: F.coalesce(*(F.when(F.col("domain") == name, F.lit(float(i))) for i, name in enumerate(among)))
 
     tf = HashingTF(inputCol="words", outputCol="features", numFeatures=s.features)
-    train = materialize(sample.where(F.size("words") > 0).withColumn("label", code.cast("double")).select("label", "words"))
+    train = materialize(sample.where(F.size("words") > 0).select("domain", "words"))
     counted = base.withColumn("n", F.size("words").cast("long"))
-    known = train.select("label").distinct().count()
-    if known < 2:
+    # the classifier numbers its classes by those that occur: a domain may have no labelled rows
+    seen = {r["domain"] for r in train.select("domain").distinct().collect()}
+    known = [name for name in names if name in seen]
+    own = [(F.col("domain") == name).cast("double") for name in names]
+    if len(known) < 2:
         # nothing to tell apart: every document belongs to its own source
-        p = [(F.coalesce(code, F.lit(0.0)) == i).cast("double") for i in range(len(names))]
-        return materialize(counted.select("doc_id", "n", "domain", *(x.alias(f"p_{i}") for i, x in enumerate(p)))), names
-    # a domain without labelled rows has probability 0 of its own: labels must go up to the largest
-    model = NaiveBayes(smoothing=1.0).fit(tf.transform(train))
+        return materialize(counted.select("doc_id", "n", "domain", *(x.alias(f"p_{i}") for i, x in enumerate(own)))), names
+    model = NaiveBayes(smoothing=1.0).fit(tf.transform(train.select(code(known).alias("label"), "words")))
     raw = model.transform(tf.transform(counted)).select("doc_id", "n", "domain", vector_to_array("rawPrediction").alias("raw"))
     top = F.array_max("raw")
     soft = F.transform("raw", lambda x: F.exp((x - top) * F.least(F.lit(1.0), s.sharpness / F.greatest(F.col("n"), F.lit(1)))))
     raw = raw.select("doc_id", "n", "domain", soft.alias("e")).withColumn("z", F.aggregate("e", F.lit(0.0), lambda a, x: a + x))
-    p = [F.coalesce(F.get("e", F.lit(i)) / F.col("z"), F.lit(0.0)).alias(f"p_{i}") for i in range(len(names))]
+    judged = [F.get("e", F.lit(known.index(name))) / F.col("z") if name in seen else F.lit(0.0) for name in names]
+    p = [F.when(F.col("domain").isin(known), x).otherwise(y).alias(f"p_{i}") for i, (x, y) in enumerate(zip(judged, own))]
     return materialize(raw.select("doc_id", "n", "domain", *p)), names
 
 
@@ -95,21 +100,23 @@ def fit_rates(docs: DataFrame, labels: DataFrame, domain: str = "source", target
         return p.select("doc_id", F.col("n").alias("n_tokens"), F.lit(1.0).alias("rate"), F.lit(1).cast("long").alias("copies"))
     share = {r["domain"]: r["n"] / tokens for r in p.groupBy("domain").agg(F.sum("n").alias("n")).collect()}
     weights = [max(0.0, targets.get(x, 0.0)) if targets else share.get(x, 0.0) ** settings.flatten for x in names]
-    goal = [w / (sum(weights) or 1.0) for w in weights]
-
-    # residuals are weighted by the domains' current shares; a step is preconditioned by the tokens
-    reached = [totals[f"t_{i}"] / tokens for i in range(k)]
-    scale = [max(g, r, 1e-6) for g, r in zip(goal, reached)]
+    goal = np.array(weights) / (sum(weights) or 1.0)
+
+    # the Gram matrix of the domains bounds the curvature, whichever rates are held at 0: a full step is safe
+    gram = np.zeros((k, k))
+    spread = p.where("n > 0").select("n", F.posexplode(F.array(*(f"p_{i}" for i in range(k)))).alias("i", "x"), *(f"p_{i}" for i in range(k))).where("x > 0")
+    for row in spread.groupBy("i").agg(*(F.sum(F.col("n") * F.col("x") * F.col(f"p_{j}")).alias(f"g_{j}") for j in range(k))).collect():
+        gram[row["i"]] = [row[f"g_{j}"] / tokens for j in range(k)]
+    inverse = np.linalg.pinv(gram, rcond=1e-6, hermitian=True)
+    reached = np.array([totals[f"t_{i}"] / tokens for i in range(k)])
     rate = F.lit(1.0)
-    keep = 1 - settings.rate * settings.stay
-    for step in range(settings.steps):
-        pull = sum((F.col(f"p_{i}") * F.lit((reached[i] - goal[i]) / scale[i]) for i in range(k)), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), rate * keep + settings.rate * settings.stay - settings.rate * pull)
+    for _ in range(settings.steps):
+        step = inverse @ (reached - goal)
+        rate = F.greatest(F.lit(0.0), rate - sum((F.col(f"p_{i}") * float(step[i]) for i in range(k)), F.lit(0.0)))
         sums = p.select("n", *(f"p_{i}" for i in range(k)), rate.alias("r")).agg(*(F.sum(F.col("n") * F.col("r") * F.col(f"p_{i}")).alias(f"t_{i}") for i in range(k))).first()
-        now = [sums[f"t_{i}"] / tokens for i in range(k)]
-        if max(abs(a - b) for a, b in zip(now, reached)) < 1e-7:
+        reached = np.array([sums[f"t_{i}"] / tokens for i in range(k)])
+        if np.abs(reached - goal).max() < settings.tolerance:
             break
-        reached = now
     fitted = F.when(F.col("n") > 0, rate).otherwise(F.lit(1.0))
     chance = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 20)) / float(1 << 20)
     out = p.select("doc_id", F.col("n").alias("n_tokens"), fitted.alias("rate"))
