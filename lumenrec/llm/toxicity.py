@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 #: Words averaged together.
 PASSAGE_WORDS = 5
+#: Share of a toxic document's passages that count as toxic before training.
+PASSAGE_SHARE = 0.2
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _BOUNDARY = np.uint32(1)
 
@@ -134,7 +136,8 @@ def fit(rows: list[tuple[str | None, int]], settings: Settings = Settings()) ->
             flat, sizes = subwords(text, settings)
             if len(sizes):
                 data.append((flat.astype(np.int32), sizes.astype(np.int32), int(label)))
-    share = np.clip(np.mean([d[2] for d in data]) if data else 0.5, 0.02, 0.98)
+    # the prior of a passage, not of a document: most passages of toxic documents are clean
+    share = np.clip(PASSAGE_SHARE * np.mean([d[2] for d in data]) if data else 0.5, 0.01, 0.98)
     bias[:] = np.log([1 - share, share])
     for epoch in range(settings.epochs if data else 0):
         rate = settings.rate * (1 - epoch / settings.epochs)
