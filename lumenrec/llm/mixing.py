@@ -3,7 +3,8 @@
 The documents that occur in the labelled table, with their source as domain, train a multinomial
 naive Bayes classifier on hashed words; it predicts every document's posteriors over the
 domains, tempered by the text's length so that they stay soft; a document of a domain without
-labelled rows, of which the classifier knows nothing, belongs to its own domain. Then nonnegative rates of all
+labelled rows, of which the classifier knows nothing, belongs to its own domain. The posteriors
+are calibrated so that their token totals are those of the domains themselves. Then nonnegative rates of all
 documents are fitted by projected gradient least squares, so that the expected tokens of each
 domain, sum of rate * tokens * posterior, match the target. The gradient needs one number for
 each domain, which an aggregation over all documents gives, and is preconditioned by the
@@ -21,7 +22,7 @@ import numpy as np
 from pyspark.ml.classification import NaiveBayes
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import materialize
@@ -35,7 +36,9 @@ class Settings:
 
     ``flatten`` makes default targets: shares of tokens to this power, so that large domains
     shrink and small ones grow. At most ``steps`` gradient steps are made, fewer once every
-    domain's share of tokens is within ``tolerance`` of its target.
+    domain's share of tokens is within ``tolerance`` of its target. ``calibrations`` is the
+    number of rounds that fit the posteriors' token totals to the domains' own. No rate falls
+    below ``floor``, which may be 0: a positive one keeps every document.
     """
 
     max_rows: int = 20_000
@@ -45,6 +48,8 @@ class Settings:
     flatten: float = 0.7
     steps: int = 10
     tolerance: float = 1e-4
+    calibrations: int = 8
+    floor: float = 0.1
 
 
 def _words():
@@ -83,6 +88,26 @@ def _posteriors(docs: DataFrame, labels: DataFrame, domain: str, s: Settings) ->
     return materialize(raw.select("doc_id", "n", "domain", *p)), names
 
 
+def _calibrated(p: DataFrame, names: list[str], rounds: int) -> DataFrame:
+    """Posteriors reweighted by domain until their token totals are those of the documents' own domains.
+
+    A classifier fitted on few rows favours the domains that it knows best, all the more in long
+    texts. Each round is one aggregation; the weights are one number for each domain.
+    """
+    k = len(names)
+    own = {r["domain"]: float(r["n"] or 0) for r in p.groupBy("domain").agg(F.sum("n").alias("n")).collect()}
+    weights = [1.0] * k
+
+    def reweighted() -> list[Column]:
+        total = sum((F.col(f"p_{i}") * weights[i] for i in range(k)), F.lit(0.0))
+        return [F.when(total > 0, F.col(f"p_{i}") * weights[i] / total).otherwise(F.col(f"p_{i}")).alias(f"p_{i}") for i in range(k)]
+
+    for _ in range(rounds if k > 1 else 0):
+        sums = p.select("n", *reweighted()).agg(*(F.sum(F.col("n") * F.col(f"p_{i}")).alias(f"t_{i}") for i in range(k))).first()
+        weights = [w * own.get(name, 0.0) / sums[f"t_{i}"] if sums[f"t_{i}"] and own.get(name) else w for i, (w, name) in enumerate(zip(weights, names))]
+    return materialize(p.select("doc_id", "n", "domain", *reweighted()))
+
+
 def fit_rates(docs: DataFrame, labels: DataFrame, domain: str = "source", targets: dict[str, float] | None = None, settings: Settings = Settings()) -> DataFrame:
     """``docs(doc_id, text, <domain>)`` -> ``doc_id, n_tokens, rate, copies``.
 
@@ -93,6 +118,7 @@ def fit_rates(docs: DataFrame, labels: DataFrame, domain: str = "source", target
     positive.
     """
     p, names = _posteriors(docs, labels, domain, settings)
+    p = _calibrated(p, names, settings.calibrations)
     k = len(names)
     totals = p.agg(*(F.coalesce(F.sum(F.col("n") * F.col(f"p_{i}")), F.lit(0.0)).alias(f"t_{i}") for i in range(k)), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     tokens = float(totals["n"])
@@ -112,7 +138,7 @@ def fit_rates(docs: DataFrame, labels: DataFrame, domain: str = "source", target
     rate = F.lit(1.0)
     for _ in range(settings.steps):
         step = inverse @ (reached - goal)
-        rate = F.greatest(F.lit(0.0), rate - sum((F.col(f"p_{i}") * float(step[i]) for i in range(k)), F.lit(0.0)))
+        rate = F.greatest(F.lit(settings.floor), rate - sum((F.col(f"p_{i}") * float(step[i]) for i in range(k)), F.lit(0.0)))
         sums = p.select("n", *(f"p_{i}" for i in range(k)), rate.alias("r")).agg(*(F.sum(F.col("n") * F.col("r") * F.col(f"p_{i}")).alias(f"t_{i}") for i in range(k))).first()
         reached = np.array([sums[f"t_{i}"] / tokens for i in range(k)])
         if np.abs(reached - goal).max() < settings.tolerance:
