@@ -3,10 +3,12 @@
 Unigrams and bigrams of the training texts are counted by a shuffle. A count c is kept as the
 level q = 1 + floor(log2 c): the keys (n-gram, 1) .. (n-gram, q) go into one Bloom filter, and a
 count is read back by probing level after level until one is missing, which can only
-overestimate, and rarely. The filter is broadcast: it never exceeds ``MAX_FILTER_BITS``, as
-n-grams below a count are left out where all would not fit (their probability then comes from
-the shorter context). It is built in segments, each by one task, from rows that are already
-partitioned by segment; a segment has a fixed size, so no task's memory grows with the corpus.
+overestimate, and rarely. The filter is broadcast: it never exceeds ``MAX_FILTER_BITS``. Where not
+all n-grams fit, it holds the frequent ones; the bigrams of a document that it lacks are joined
+with the whole count table by a shuffle, and so are its words where the filter lacks some, so
+that every n-gram counts at every size. The filter is built in segments, each by one task, from
+rows that are already partitioned by segment; a segment has a fixed size, so no task's memory
+grows with the corpus.
 
 A word's probability after another is smoothed with a Dirichlet prior of weight ``PRIOR`` that
 follows the smoothed unigram distribution.
@@ -21,7 +23,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import materialize
@@ -31,6 +33,8 @@ from .textops import hash_words, mix, words_of
 MAX_FILTER_BITS = 1 << 28
 BITS_PER_KEY, PROBES = 10, 6
 SEGMENT_BITS_LOG2, MOST_LEVELS = 8, 40
+#: Levels that scoring packs in pairs; the last two mark the start of a text, and words that the filter may lack.
+LEVELS, STARTS, UNKNOWN = 64, 62, 63
 HEAD = 1 << 17
 #: Tokens that a task counts, and scores, at a time.
 COUNT_TOKENS, SCORE_TOKENS = 1 << 21, 1 << 17
@@ -112,7 +116,7 @@ class Filter:
 
 
 #: The mean of the counts that share a level.
-LEVEL_VALUE = np.array([0.0] + [(2.0 ** (q - 1) + 2.0**q - 1) / 2 for q in range(1, MOST_LEVELS + 1)])
+LEVEL_VALUE = np.array([0.0] + [(2.0 ** (q - 1) + 2.0**q - 1) / 2 for q in range(1, MOST_LEVELS + 1)] + [0.0] * (LEVELS - 1 - MOST_LEVELS))
 
 
 def _build(segment_bits):
@@ -138,29 +142,41 @@ def _build(segment_bits):
 
 
 def count_ngrams(docs: DataFrame) -> DataFrame:
-    """``docs(text)`` -> ``segment, order, key, n``: all unigrams, and bigrams seen twice or more.
+    """``docs(text)`` -> ``segment, order, key, n``: all unigrams and bigrams.
 
     The rows are combined within a batch, then dealt by segment, of which there are 256 whatever
     the data, by a hash of the n-gram; one frequent n-gram gives one row a batch.
     """
     rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_count, "segment int, order int, key long, n long")
     parts = min(1 << SEGMENT_BITS_LOG2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    counted = rows.repartition(parts, "segment").groupBy("segment", "order", "key").agg(F.sum("n").alias("n"))
-    return counted.where("order = 1 or n >= 2")
+    return rows.repartition(parts, "segment").groupBy("segment", "order", "key").agg(F.sum("n").alias("n"))
 
 
 class LanguageModel:
-    """What scoring needs: the filter, the totals, and the counts of the most frequent words."""
+    """What scoring needs: the filter, the totals, and the counts of the most frequent words.
 
-    def __init__(self, bits, tokens, types, quantised, head_keys, head_counts, bigrams_from):
+    The filter holds the n-grams from level ``lowest[order]`` on; ``starts`` is the value of the
+    number of training texts.
+    """
+
+    def __init__(self, bits, tokens, types, quantised, head_keys, head_counts, lowest, starts):
         self.bits, self.tokens, self.types, self.quantised = bits, tokens, types, quantised
-        self.head_keys, self.head_counts, self.bigrams_from = head_keys, head_counts, bigrams_from
+        self.head_keys, self.head_counts, self.lowest, self.starts = head_keys, head_counts, lowest, starts
+
+
+def _level(n: Column) -> Column:
+    return (1 + F.floor(F.log2(n.cast("double")))).cast("int")
+
+
+def _value(q: Column) -> Column:
+    """``LEVEL_VALUE`` of a level from 1 on."""
+    return (F.pow(F.lit(2.0), q - 1) + F.pow(F.lit(2.0), q) - 1) / 2
 
 
 def fit(counts: DataFrame, max_bits: int = MAX_FILTER_BITS, head: int = HEAD) -> LanguageModel:
     """Builds the model from ``count_ngrams``' materialised rows."""
-    q = (1 + F.floor(F.log2(F.col("n").cast("double")))).cast("int")
-    value = (F.pow(F.lit(2.0), q - 1) + F.pow(F.lit(2.0), q) - 1) / 2
+    q = _level(F.col("n"))
+    value = _value(q)
     by_level = counts.groupBy("order", q.alias("q")).agg(F.count("*").alias("types"), F.sum("n").alias("n"), F.sum(value).alias("value")).collect()
     unigrams = [r for r in by_level if r["order"] == 1]
     tokens, types, quantised = (sum(r[c] for r in unigrams) or 0 for c in ("n", "types", "value"))
@@ -168,7 +184,7 @@ def fit(counts: DataFrame, max_bits: int = MAX_FILTER_BITS, head: int = HEAD) ->
     def keys(lowest: dict[int, int]) -> int:
         return sum(r["types"] * r["q"] for r in by_level if r["q"] >= lowest[r["order"]])
 
-    lowest = {1: 1, 2: 2}
+    lowest = {1: 1, 2: 1}
     while keys(lowest) * BITS_PER_KEY > max_bits:
         lowest[2 if lowest[2] < lowest[1] + 6 else 1] += 1
     size = min(max_bits, 1 << max(16, math.ceil(math.log2(max(1, keys(lowest) * BITS_PER_KEY)))))
@@ -179,16 +195,18 @@ def fit(counts: DataFrame, max_bits: int = MAX_FILTER_BITS, head: int = HEAD) ->
     for row in stored.mapInArrow(_build(size // segments), "segment int, bits binary").toLocalIterator():
         bits[row["segment"]] |= np.frombuffer(row["bits"], np.uint8)
     top = counts.where("order = 1").orderBy(F.desc("n"), "key").select("key", "n").limit(head).toArrow().sort_by("key")
-    return LanguageModel(bits, tokens, types, quantised, top.column("key").to_numpy(), top.column("n").to_numpy(), 2 ** (lowest[2] - 1))
+    end = int(END.view(np.int64))
+    n_texts = counts.where((F.col("order") == 1) & (F.col("key") == end)).agg(F.sum("n")).first()[0] or 0
+    starts = float(LEVEL_VALUE[n_texts.bit_length()])
+    return LanguageModel(bits, tokens, types, quantised, top.column("key").to_numpy(), top.column("n").to_numpy(), lowest, starts)
 
 
 def _score(shared):
     def run(batches):
-        bits, tokens, types, quantised, head_keys, head_counts = shared.value
+        bits, tokens, types, quantised, head_keys, head_counts, lowest, starts = shared.value
         model = Filter(bits)
         floor = tokens + 0.5 * (types + 1)
         floor_q = quantised + 0.5 * (types + 1)
-        starts = model_starts(model)
         for doc_ids, each in ((batch.column("doc_id").slice(first, len(e)), e) for batch in batches for first, e in _portions(batch, SCORE_TOKENS)):
             sizes = np.array([len(x) for x in each])
             flat, ends = np.concatenate(each), np.cumsum(sizes)
@@ -200,38 +218,81 @@ def _score(shared):
             known = head_keys[place] == words.view(np.int64) if len(head_keys) else np.zeros(len(words), bool)
             c = np.where(known, head_counts[place], 0) if len(head_keys) else np.zeros(len(words))
             found, exact = known[at], np.where(known, np.log10((c + 0.5) / floor), 0.0)[at]
-            uni = LEVEL_VALUE[model.levels(words, 1)][at]
-            before = np.concatenate([[0.0], uni[:-1]])
-            before[begins] = starts
+            q = model.levels(words, 1)
+            q = np.where(q < lowest[1], UNKNOWN if lowest[1] > 1 else 0, q)[at]
+            q_before = np.concatenate([[0], q[:-1]])
+            before_key = np.concatenate([[0], signed[:-1]])
+            uni, before = LEVEL_VALUE[q], LEVEL_VALUE[q_before]
+            before[begins], q_before[begins] = starts, STARTS
             pair = np.concatenate([_bigrams(x) for x in each])
-            pairs = np.minimum(LEVEL_VALUE[model.levels(pair, 2)], np.minimum(uni, before))
+            q_pair = model.levels(pair, 2)
+            pairs = np.minimum(LEVEL_VALUE[q_pair], np.minimum(uni, before))
             p = (pairs + PRIOR * (uni + 0.5) / floor_q) / (before + PRIOR)
+            # a level below the lowest stored one is none: the count table has the n-gram, if it exists
+            unknown = ((q_pair < lowest[2]) & (lowest[2] > 1)) | (q == UNKNOWN) | (q_before == UNKNOWN)
+            where = np.flatnonzero(unknown)
+            doc = np.repeat(np.arange(len(each)), sizes)[where]
+            order = np.lexsort((pair[where], doc))
+            where, doc = where[order], doc[order]
+            fresh = np.ones(len(where), bool)
+            fresh[1:] = (pair[where][1:] != pair[where][:-1]) | (doc[1:] != doc[:-1])
+            first = np.flatnonzero(fresh)
+            times = np.diff(np.append(first, len(where)))
+            where = where[first]
+            looked_up = pa.StructArray.from_arrays(
+                [pa.array(pair[where].view(np.int64)), pa.array(signed[where], mask=q[where] != UNKNOWN), pa.array(before_key[where], mask=q_before[where] != UNKNOWN),
+                 pa.array((q[where] * LEVELS + q_before[where]).astype(np.int32)), pa.array(times.astype(np.int32))],
+                names=["key", "word", "before", "levels", "times"],
+            )
+            per_doc = np.concatenate([[0], np.cumsum(np.bincount(doc[first], minlength=len(each)))]).astype(np.int32)
             tail = [signed[a:b][~found[a:b]] for a, b in zip(begins, ends)]
             lengths = np.concatenate([[0], np.cumsum([len(x) for x in tail])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [doc_ids, pa.array(sizes, pa.int64()), pa.array(np.add.reduceat(found.astype(np.int64), begins)), pa.array(np.add.reduceat(exact, begins)),
-                 pa.array(np.add.reduceat(np.log10(p), begins)), pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate(tail)))],
-                names=["doc_id", "n_tokens", "n_known", "base_score", "score", "tail"],
+                 pa.array(np.add.reduceat(np.where(unknown, 0.0, np.log10(p)), begins)), pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate(tail))),
+                 pa.ListArray.from_arrays(pa.array(per_doc), looked_up)],
+                names=["doc_id", "n_tokens", "n_known", "base_score", "score", "tail", "open"],
             )
 
     return run
 
 
-def model_starts(model: Filter) -> float:
-    """How many training texts there are: as many as end tokens, read from the filter."""
-    return float(LEVEL_VALUE[model.levels(np.array([END]), 1)][0])
+def _open_scores(scored: DataFrame, model: LanguageModel, counts: DataFrame) -> DataFrame:
+    """``row, open_score``: the part of the score of the n-grams that the filter does not hold."""
+    looked_up = scored.select("row", F.explode("open").alias("o")).select("row", "o.key", "o.levels", "o.times", *(["o.word", "o.before"] if model.lowest[1] > 1 else []))
+
+    def found(rows: DataFrame, order: int, key: str, name: str) -> DataFrame:
+        few = counts.where((F.col("order") == order) & (F.col("n") < 2 ** (model.lowest[order] - 1)))
+        return rows.join(few.select(F.col("key").alias(key), _value(_level(F.col("n"))).alias(name)), key, "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
+
+    def known(q: Column) -> Column:
+        return F.when(q == STARTS, F.lit(model.starts)).when(q == 0, F.lit(0.0)).otherwise(_value(q))
+
+    rows = found(looked_up, 2, "key", "pair").drop("key")
+    q = {"word": F.floor(F.col("levels") / LEVELS).cast("int"), "before": F.col("levels") % LEVELS}
+    values = {}
+    for name in ("word", "before"):
+        values[name] = known(q[name])
+        if model.lowest[1] > 1:
+            # words that the filter holds get keys of their own, as nulls would all meet in one task
+            rows = found(rows.withColumn(name, F.coalesce(name, F.xxhash64("row", F.rand(7)))), 1, name, f"n_{name}").drop(name)
+            values[name] = F.when(q[name] == UNKNOWN, F.col(f"n_{name}")).otherwise(values[name])
+    uni, before = values["word"], values["before"]
+    floor_q = float(model.quantised + 0.5 * (model.types + 1))
+    p = (F.least("pair", uni, before) + PRIOR * (uni + 0.5) / floor_q) / (before + PRIOR)
+    return rows.groupBy("row").agg(F.sum(F.col("times") * F.log10(p)).alias("open_score"))
 
 
 def score(docs: DataFrame, model: LanguageModel, counts: DataFrame) -> DataFrame:
     """``docs(doc_id, text)`` -> ``doc_id, n_tokens, n_known, train_tokens, base_score, score``.
 
     One row per input row; a null or blank text is its end token alone. ``base_score`` uses exact
-    counts, ``score`` the filter's. With an empty training set all counts are 0.
+    counts, ``score`` those rounded to levels. With an empty training set all counts are 0.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model.bits, model.tokens, model.types, model.quantised, model.head_keys, model.head_counts))
+    shared = spark.sparkContext.broadcast((model.bits, model.tokens, model.types, model.quantised, model.head_keys, model.head_counts, model.lowest, model.starts))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = materialize(texts.mapInArrow(_score(shared), "doc_id long, n_tokens long, n_known long, base_score double, score double, tail array<long>"))
+    scored = materialize(texts.mapInArrow(_score(shared), "doc_id long, n_tokens long, n_known long, base_score double, score double, tail array<long>, open array<struct<key: long, word: long, before: long, levels: int, times: int>>"))
     scored = scored.withColumn("row", F.monotonically_increasing_id())
     rare = scored.select("row", F.explode("tail").alias("key")).groupBy("row", "key").agg(F.count("*").alias("times"))
     rare = rare.join(counts.where("order = 1").select("key", "n"), "key", "left")
@@ -240,8 +301,11 @@ def score(docs: DataFrame, model: LanguageModel, counts: DataFrame) -> DataFrame
         F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("known"),
         F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 0.5) / floor)).alias("logs"),
     )
-    out = scored.drop("tail").join(rare, "row", "left")
+    out = scored.drop("tail", "open").join(rare, "row", "left")
+    part = F.lit(0.0)
+    if model.lowest[2] > 1:
+        out, part = out.join(_open_scores(scored, model, counts), "row", "left"), F.coalesce("open_score", part)
     return out.select(
         "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("logs", F.lit(0.0))).alias("base_score"), "score",
+        (F.col("base_score") + F.coalesce("logs", F.lit(0.0))).alias("base_score"), (F.col("score") + part).alias("score"),
     )

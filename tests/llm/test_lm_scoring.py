@@ -45,3 +45,32 @@ def test_bounded_filter_and_empty_tables(spark):
     rows = L.score(docs, L.fit(none), none).collect()
     assert {r["n_known"] for r in rows} == {0} and all(math.isfinite(r["score"]) for r in rows)
     assert L.score(docs.limit(0), small, counts).count() == 0
+
+
+def test_scores_do_not_depend_on_the_filters_size(spark, sf, tmp_path, monkeypatch):
+    """N-grams that do not fit the broadcast filter are looked up in the count table; those seen once count."""
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect()]
+    rows += [(1001, "unheard of words " * 50), (1002, None), (1003, "rareone raretwo")]
+    docs = brute.stored(spark, tmp_path, rows, "doc_id long, text string")
+    train = docs.where("doc_id % 5 <> 1 or doc_id = 1003")
+    counts = materialize(L.count_ngrams(train))
+    token = {k: [w for w in brute.WORD.findall(brute.lower(t or ""))] + ["\0end"] for k, t in rows}
+    texts = [ws for k, ws in token.items() if k % 5 != 1 or k == 1003]
+    c = collections.Counter(w for ws in texts for w in ws)
+    c2 = collections.Counter(pair for ws in texts for pair in zip(["\0start"] + ws[:-1], ws))
+    c["\0start"] = len(texts)
+    value = lambda n: (2.0 ** (n.bit_length() - 1) + 2.0 ** n.bit_length() - 1) / 2 if n else 0.0
+    floor = sum(value(n) for w, n in c.items() if w != "\0start") + 0.5 * len(c)
+
+    def want(ws):
+        pairs = zip(["\0start"] + ws[:-1], ws)
+        return sum(math.log10((value(c2[a, b]) + L.PRIOR * (value(c[b]) + 0.5) / floor) / (value(c[a]) + L.PRIOR)) for a, b in pairs)
+
+    for bits, unigrams_fit in ((L.MAX_FILTER_BITS, True), (1 << 17, True), (1 << 18, False)):
+        # many bits a key where few keys fit, so that false positives stay rare
+        monkeypatch.setattr(L, "BITS_PER_KEY", 10 if unigrams_fit else 160)
+        model = L.fit(counts, max_bits=bits, head=50)
+        assert (model.lowest[1] == 1) == unigrams_fit and (model.lowest[2] == 1) == (bits == L.MAX_FILTER_BITS)
+        got = {r["doc_id"]: r["score"] for r in L.score(docs, model, counts).collect()}
+        off = {k: abs(got[k] / want(ws) - 1) for k, ws in token.items()}
+        assert max(off.values()) < 0.01, (bits, model.lowest, off)
