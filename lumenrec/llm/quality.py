@@ -7,6 +7,9 @@ median absolute deviations, repeat: keep the ``SUPPORT`` share of the cell's vec
 the centre, take their mean and covariance. A text whose Mahalanobis distance exceeds
 ``CUTOFF`` is rejected.
 
+A cell with few usable texts is judged by the estimate of its language, or of all rows, which
+rests on all usable rows there, those of large cells too.
+
 Everything is DataFrame functions. A step is two aggregations by cell with partial sums and
 sketches of quantiles, so a source with a third of all rows is no hot group; what is joined back
 is one row for each cell.
@@ -109,18 +112,32 @@ def _vector() -> list[Column]:
     ]
 
 
-def _with_cells(stats: DataFrame) -> DataFrame:
-    """Adds ``cell``: language and source, or only the language, or neither, by the number of usable texts."""
+def _with_cells(stats: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``stats`` with ``cell`` and ``typical``, and the rows that estimates rest on.
+
+    A row's ``cell`` is its language and source, or only the language, or neither, by the number
+    of usable texts. The second table has every usable row once for each cell that it belongs to
+    and by which some row is judged.
+    """
     usable = stats.where("not base_failed")
-    by_source = usable.groupBy("lang", "source").agg(F.count("*").alias("n_source"), F.percentile_approx(F.col("word_chars") / F.col("n_words"), 0.5).alias("typical"))
-    by_lang = by_source.groupBy("lang").agg(F.sum("n_source").alias("n_lang"))
-    sizes = by_source.join(by_lang, "lang").select(
-        "lang", "source", "typical",
-        F.when(F.col("n_source") >= LEAST_CELL, F.struct(F.lit(2).alias("level"), "lang", "source"))
-        .when(F.col("n_lang") >= LEAST_CELL, F.struct(F.lit(1).alias("level"), "lang", F.lit("").alias("source")))
-        .otherwise(F.struct(F.lit(0).alias("level"), F.lit("").alias("lang"), F.lit("").alias("source"))).alias("cell"),
-    )
-    return stats.join(materialize(sizes), ["lang", "source"], "left")
+    typical = F.percentile_approx(F.col("word_chars") / F.col("n_words"), 0.5)
+    by_source = usable.groupBy("lang", "source").agg(F.count("*").alias("n_source"), typical.alias("typical_2"))
+    by_lang = usable.groupBy("lang").agg(F.count("*").alias("n_lang"), typical.alias("typical_1"))
+    level = F.when(F.col("n_source") >= LEAST_CELL, F.lit(2)).when(F.col("n_lang") >= LEAST_CELL, F.lit(1)).otherwise(F.lit(0))
+    sizes = materialize(by_source.join(by_lang, "lang").crossJoin(usable.agg(typical.alias("typical_0"))).withColumn("level", level))
+    lent = sizes.groupBy("lang").agg(F.max(F.col("level") == 1).alias("lent_1"))
+    lent_0 = not sizes.where("level = 0").isEmpty()
+    sizes = materialize(sizes.join(lent, "lang"))
+
+    def cell(i: int, used: Column) -> Column:
+        at = F.struct(F.lit(i).alias("level"), (F.col("lang") if i else F.lit("")).alias("lang"), (F.col("source") if i == 2 else F.lit("")).alias("source"))
+        return F.struct(at.alias("cell"), F.col(f"typical_{i}").alias("typical"), used.alias("used"))
+
+    cells = sizes.select("lang", "source", F.filter(F.array(*(cell(i, F.col("level") == i) for i in range(3))), lambda x: x["used"])[0].alias("at"))
+    judged = stats.join(cells, ["lang", "source"], "left").select(*stats.columns, "at.cell", "at.typical")
+    lenders = sizes.select("lang", "source", F.filter(F.array(cell(2, F.col("level") == 2), cell(1, F.col("lent_1")), cell(0, F.lit(lent_0))), lambda x: x["used"]).alias("at"))
+    members = usable.join(lenders, ["lang", "source"]).withColumn("at", F.explode("at")).select(*stats.columns, "at.cell", "at.typical")
+    return judged, members
 
 
 def _inverse_factor(moments: DataFrame) -> DataFrame:
@@ -173,8 +190,9 @@ def judge(docs: DataFrame) -> DataFrame:
     estimate; one whose cell has no estimate is kept by the base rules alone.
     """
     stats = materialize(statistics(docs))
-    cells = _with_cells(stats)
-    rows = materialize(cells.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "cell", *(x.alias(f"x_{i}") for i, x in enumerate(_vector()))))
-    judged = _distance(rows, estimate_cells(rows.where("not base_failed")))
+    cells, members = _with_cells(stats)
+    vector = [x.alias(f"x_{i}") for i, x in enumerate(_vector())]
+    rows = cells.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "cell", *vector)
+    judged = _distance(rows, estimate_cells(materialize(members.select("cell", *vector))))
     kept = ~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= CUTOFF)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.sqrt("d2").alias("distance"))

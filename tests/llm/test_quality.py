@@ -51,3 +51,16 @@ def test_estimate_is_robust(spark):
 
 def test_empty_table(spark):
     assert Q.judge(spark.createDataFrame([], "doc_id long, text string, lang string, source string")).count() == 0
+
+
+def test_small_sources_are_judged_by_all_rows_of_their_language(spark, tmp_path):
+    """A source of one junk text must not be its own centre; large sources shape its language's estimate."""
+    prose = lambda i: " ".join(f"word{i * j % 97}{'abcdefg'[i * j % 7]}" for j in range(1, 80 + i % 9))
+    junk = " ".join(f"###{i}***" for i in range(300))
+    rows = [(i, prose(i), "en", "large") for i in range(200)] + [(1000, prose(500), "en", "one"), (1001, junk, "en", "junk")]
+    rows += [(2000, prose(600), "xx", "few"), (2001, junk, "xx", "odd")]
+    docs = brute.stored(spark, tmp_path, rows, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in Q.judge(docs).collect()}
+    assert len(got) == len(rows)
+    assert not got[1001]["base_failed"] and not got[1001]["kept"] and got[1000]["kept"]
+    assert not got[2001]["base_failed"] and not got[2001]["kept"] and got[2000]["kept"]
