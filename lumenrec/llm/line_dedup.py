@@ -22,14 +22,12 @@ from .storage import materialize, restrict
 from .textops import mix
 
 SHINGLE_CHARS, BANDS, ROWS, PERCENT = 8, 10, 4, 80
-#: Lines with fewer characters are left alone.
-LEAST_CHARS = 12
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
 def lines_of(text: str | None) -> list[tuple[int, str]]:
-    """Number and stripped text of the lines that count."""
-    return [(i, s) for i, x in enumerate((text or "").split("\n")) if len(s := x.strip(" \t\x0b\x0c\r")) >= LEAST_CHARS]
+    """Number and stripped text of the lines that are not blank."""
+    return [(i, s) for i, x in enumerate((text or "").split("\n")) if (s := x.strip(" \t\x0b\x0c\r"))]
 
 
 def shingles(line: str) -> set[str]:
@@ -43,6 +41,18 @@ def similar(a: str, b: str, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
+def _bands(lines: list[str], lengths: np.ndarray) -> np.ndarray:
+    """Bucket keys (lines, bands) of lines with a whole run each."""
+    chars = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+    ends = np.cumsum(lengths)
+    n = len(chars) - SHINGLE_CHARS + 1
+    acc = chars[:n].astype(np.uint64)
+    for j in range(1, SHINGLE_CHARS):
+        acc *= _GOLDEN
+        acc += chars[j : j + n]
+    return band_keys(mix(acc), ends - lengths, BANDS, ROWS, ends - SHINGLE_CHARS + 1)
+
+
 def _buckets(batches):
     for batch in batches:
         docs, numbers, lines = [], [], []
@@ -53,19 +63,17 @@ def _buckets(batches):
                 lines.append(line)
         for at in range(0, len(lines), 20_000):
             part = lines[at : at + 20_000]
-            chars = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32)
-            ends = np.cumsum([len(x) for x in part])
-            starts = ends - np.array([len(x) for x in part])
-            n = len(chars) - SHINGLE_CHARS + 1
-            acc = chars[:n].astype(np.uint64)
-            for j in range(1, SHINGLE_CHARS):
-                acc *= _GOLDEN
-                acc += chars[j : j + n]
-            keys = band_keys(mix(acc), starts, BANDS, ROWS, ends - SHINGLE_CHARS + 1)
+            lengths = np.array([len(x) for x in part])
+            whole = lengths >= SHINGLE_CHARS
             ids = pack(np.array(docs[at : at + 20_000], np.int64), np.array(numbers[at : at + 20_000], np.int64))
             exact = np.fromiter((xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in part), np.uint64, len(part))
-            offsets = np.arange(len(part) + 1, dtype=np.int32) * BANDS
-            values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel().view(np.int64)))
+            # a line shorter than a run is like its exact copies alone: one bucket
+            sizes = np.where(whole, BANDS, 1)
+            keys = np.repeat(mix(exact), sizes)
+            if whole.any():
+                keys[np.repeat(whole, sizes)] = _bands([x for x in part if len(x) >= SHINGLE_CHARS], lengths[whole]).ravel()
+            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(exact.view(np.int64)), values], names=["id", "n", "keys"])
 
 
@@ -88,8 +96,8 @@ def _verify_pairs(batches):
 def line_components(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text)`` -> ``doc_id, line_no, class_doc_id, class_line_no, kept`` of lines with a near copy.
 
-    Line numbers count from 0 over the text split at newlines. Lines that are blank, short or
-    unlike all others give no row. Null texts have no lines, rows with a null doc_id are left
+    Line numbers count from 0 over the text split at newlines. Lines that are blank or unlike
+    all others give no row. Null texts have no lines, rows with a null doc_id are left
     out, other columns are ignored. Where several rows share a doc_id, their lines of one
     number are one.
     """

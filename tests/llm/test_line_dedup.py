@@ -35,3 +35,13 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, n_chars long")
     classes = L.line_components(docs)
     assert classes.count() == 0 and L.remove_lines(docs, classes).count() == 0
+
+
+def test_short_lines_take_part(spark, tmp_path):
+    rows = [(1, "Share\nfirst text of its own"), (2, "a second text\n Share\nRead more"), (3, "Read more\nshare\n\n \n"), (4, "点击这里阅读更多内容吧\nx"), (5, "点击这里阅读更多内容吧\nx\ny")]
+    docs = brute.stored(spark, tmp_path, rows, "doc_id long, text string")
+    classes = L.line_components(docs)
+    got = {((r["doc_id"], r["line_no"]), (r["class_doc_id"], r["class_line_no"])) for r in classes.collect()}
+    assert got == {((1, 0), (1, 0)), ((2, 1), (1, 0)), ((2, 2), (2, 2)), ((3, 0), (2, 2)), ((4, 0), (4, 0)), ((5, 0), (4, 0)), ((4, 1), (4, 1)), ((5, 1), (4, 1))}
+    left = {r["doc_id"]: r["text"] for r in L.remove_lines(docs, classes).collect()}
+    assert left[2] == "a second text\nRead more" and left[3] == "share\n\n \n" and left[5] == "y"
