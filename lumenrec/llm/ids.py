@@ -2,23 +2,61 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PART_BITS = 22
+from .storage import materialize
+
+
+@dataclass(frozen=True)
+class Parts:
+    """Packs (doc_id, part) into one long that is ordered like the two; ``bits`` are the part's."""
+
+    bits: int
+
+    def pack(self, doc_id: np.ndarray, part: np.ndarray) -> np.ndarray:
+        return (doc_id << self.bits) | part
+
+    def doc_of(self, packed: Column) -> Column:
+        return F.shiftright(packed, self.bits)
+
+    def part_of(self, packed: Column) -> Column:
+        return packed.bitwiseAND(F.lit((1 << self.bits) - 1)).cast("int")
 
 
-def pack(doc_id: np.ndarray, part: np.ndarray) -> np.ndarray:
-    """Ordered as (doc_id, part). Fails where a document has 2^22 parts or |doc_id| is 2^41 or more."""
-    if len(part) and (part.max() >= 1 << PART_BITS or np.abs(doc_id).max() >= 1 << 41):
-        raise ValueError("a document's id or its number of parts is out of the packed range")
-    return (doc_id << PART_BITS) | part
+def numbered(texts: DataFrame) -> tuple[DataFrame, DataFrame | None, Parts]:
+    """``texts(doc_id, text)`` with ids that leave room for the numbers of a text's parts, of which it has no more than bytes.
 
+    Where the ids are too large for that (hashes, for example), documents get numbers in the
+    order of their ids; the second result then maps ``row`` to ``doc_id``.
+    """
+    most = texts.agg(F.max(F.octet_length("text")).alias("size"), F.max(F.greatest(F.col("doc_id"), -(F.col("doc_id") + 1))).alias("id")).first()
+    bits = max(1, int(most["size"] or 0)).bit_length()
+    if int(most["id"] or 0).bit_length() + bits <= 63:
+        return texts, None, Parts(bits)
+    ids = texts.select("doc_id").distinct()
+    # numbers by range: a sorted range's first number is the count of the ranges before it
+    ranged = materialize(ids.repartitionByRange("doc_id").withColumn("range", F.spark_partition_id()))
+    sizes = {r["range"]: r["count"] for r in ranged.groupBy("range").count().collect()}
+    first, at = {}, 0
+    for k in sorted(sizes):
+        first[k] = at
+        at += sizes[k]
+    spark = texts.sparkSession
+    offsets = spark.createDataFrame(list(first.items()), "range int, first long")
+    from pyspark.sql import Window
 
-def doc_of(packed: Column) -> Column:
-    return F.shiftright(packed, PART_BITS)
+    within = F.row_number().over(Window.partitionBy("range").orderBy("doc_id")) - 1
+    numbers = materialize(ranged.join(F.broadcast(offsets), "range").select("doc_id", (F.col("first") + within).alias("row")))
+    renumbered = materialize(texts.join(numbers, "doc_id").select(F.col("row").alias("doc_id"), "text"))
+    return renumbered, numbers, Parts(bits)
 
 
-def part_of(packed: Column) -> Column:
-    return packed.bitwiseAND(F.lit((1 << PART_BITS) - 1)).cast("int")
+def named(frame: DataFrame, numbers: DataFrame | None, *columns: str) -> DataFrame:
+    """``frame`` with the documents' own ids again in ``columns``."""
+    for c in columns if numbers is not None else ():
+        frame = frame.join(numbers.select(F.col("row").alias(c), F.col("doc_id").alias(f"_{c}")), c, "left").drop(c).withColumnRenamed(f"_{c}", c)
+    return frame

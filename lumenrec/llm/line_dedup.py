@@ -1,33 +1,38 @@
 """Operator 9: fuzzy line dedup by MinHash.
 
 A line's set is its distinct runs of ``SHINGLE_CHARS`` characters (leading and trailing white
-space apart; a shorter line is one run). Signatures are banded so that lines of similarity 0.8
-share a bucket with probability 0.995; candidates are verified on their whole sets by exact
-Jaccard similarity, and of every connected component the first line, by (doc_id, number), is
-kept. Lines with equal text have equal buckets and need no verification.
+space apart). Signatures take one hash for each run: the runs are dealt into ``BANDS * ROWS``
+bins by it, and each bin keeps its minimum (one-permutation MinHash; an empty bin borrows from
+a bin drawn by a hash). Bands bring lines of similarity 0.8 together with probability 0.985,
+of 0.9 with 0.9999; candidates are verified on their whole sets by exact Jaccard similarity, and
+of every connected component the first line, by (doc_id, number), is kept. Lines with equal text
+have equal buckets and need no verification; a line shorter than a run matches only those.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ids import doc_of, pack, part_of
+from .ids import Parts, named, numbered
 from .linking import bucket_components
-from .minhash import band_keys
+from .minhash import one_permutation
 from .storage import materialize, restrict
-from .textops import mix
+from .textops import mix, portions
 
-SHINGLE_CHARS, BANDS, ROWS, PERCENT = 8, 10, 4, 80
-_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+SHINGLE_CHARS, BANDS, ROWS, PERCENT = 8, 8, 4, 80
+_G = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+#: Bytes of text handled at a time: the arrays then stay in the processor's cache.
+PORTION = 400_000
+#: What is stripped from a line, and what splits lines.
+SPACES, NEWLINE = " \t\x0b\x0c\r", 10
 
 
 def lines_of(text: str | None) -> list[tuple[int, str]]:
     """Number and stripped text of the lines that are not blank."""
-    return [(i, s) for i, x in enumerate((text or "").split("\n")) if (s := x.strip(" \t\x0b\x0c\r"))]
+    return [(i, s) for i, x in enumerate((text or "").split("\n")) if (s := x.strip(SPACES))]
 
 
 def shingles(line: str) -> set[str]:
@@ -41,50 +46,73 @@ def similar(a: str, b: str, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _bands(lines: list[str], lengths: np.ndarray) -> np.ndarray:
-    """Bucket keys (lines, bands) of lines with a whole run each."""
-    chars = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
-    ends = np.cumsum(lengths)
-    n = len(chars) - SHINGLE_CHARS + 1
-    acc = chars[:n].astype(np.uint64)
-    for j in range(1, SHINGLE_CHARS):
-        acc *= _GOLDEN
-        acc += chars[j : j + n]
-    return band_keys(mix(acc), ends - lengths, BANDS, ROWS, ends - SHINGLE_CHARS + 1)
-
-
-def _buckets(batches):
-    for batch in batches:
-        docs, numbers, lines = [], [], []
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-            for i, line in lines_of(text.as_py()):
-                docs.append(doc_id)
-                numbers.append(i)
-                lines.append(line)
-        for at in range(0, len(lines), 20_000):
-            part = lines[at : at + 20_000]
-            lengths = np.array([len(x) for x in part])
-            whole = lengths >= SHINGLE_CHARS
-            ids = pack(np.array(docs[at : at + 20_000], np.int64), np.array(numbers[at : at + 20_000], np.int64))
-            exact = np.fromiter((xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in part), np.uint64, len(part))
-            # a line shorter than a run is like its exact copies alone: one bucket
+def _located(texts: list[str]):
+    """Characters of all texts, and of each line that is not blank: first, end, text, number in the text."""
+    chars = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    breaks = np.flatnonzero(chars == NEWLINE)
+    starts, ends = np.concatenate([[0], breaks + 1]), np.append(breaks, len(chars))
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    begins = np.cumsum(sizes) - sizes
+    text = np.searchsorted(begins, starts, "right") - 1
+    number = np.arange(len(starts)) - np.searchsorted(starts, begins[text])
+    solid = np.flatnonzero(~np.isin(chars, [NEWLINE, *map(ord, SPACES)]))
+    lo, hi = np.searchsorted(solid, starts), np.searchsorted(solid, ends)
+    keep = lo < hi
+    lo, hi = solid[lo[keep]], solid[hi[keep] - 1] + 1
+    return chars, lo, hi, text[keep], number[keep]
+
+
+def _runs(chars: np.ndarray) -> np.ndarray:
+    """A hash of the SHINGLE_CHARS characters from each place on."""
+    h = np.concatenate([chars, np.zeros(SHINGLE_CHARS, np.uint32)]).astype(np.uint64)
+    for i, width in enumerate((1, 2, 4)):
+        h = h[:-width] * _G[i] + h[width:]
+    return mix(h[: len(chars)])
+
+
+def _exact(chars: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each line: a sum of its characters, each hashed with its place."""
+    sizes = hi - lo
+    ends = np.cumsum(sizes)
+    place = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)
+    terms = mix(chars[place + np.repeat(lo, sizes)].astype(np.uint64) * _G[1] + (place + 1).astype(np.uint64) * _G[0])
+    return mix(np.add.reduceat(terms, ends - sizes) + sizes.astype(np.uint64))
+
+
+def _buckets(parts: Parts):
+    def run(batches):
+        for ids, texts in portions(batches, PORTION):
+            chars, lo, hi, text, number = _located(texts)
+            if not len(lo):
+                continue
+            exact = _exact(chars, lo, hi)
+            whole = hi - lo >= SHINGLE_CHARS
             sizes = np.where(whole, BANDS, 1)
             keys = np.repeat(mix(exact), sizes)
             if whole.any():
-                keys[np.repeat(whole, sizes)] = _bands([x for x in part if len(x) >= SHINGLE_CHARS], lengths[whole]).ravel()
+                count = (hi - lo - SHINGLE_CHARS + 1)[whole]
+                at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - lo[whole], count)
+                keys[np.repeat(whole, sizes)] = one_permutation(_runs(chars)[at], count, BANDS, ROWS).ravel()
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(exact.view(np.int64)), values], names=["id", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([pa.array(parts.pack(ids[text], number)), pa.array(exact.view(np.int64)), values], names=["id", "n", "keys"])
 
+    return run
 
-def _texts(batches):
-    for batch in batches:
-        ids, lines = [], []
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-            for i, line in lines_of(text.as_py()):
-                ids.append(int(pack(np.int64(doc_id), np.array([i]))[0]))
-                lines.append(line)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.string())], names=["id", "line"])
+
+def _wanted(parts: Parts):
+    def run(batches):
+        for batch in batches:
+            ids, lines = [], []
+            for doc_id, text, wanted in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("wanted").to_pylist()):
+                own = text.as_py().split("\n")
+                for i in wanted:
+                    if i < len(own):
+                        ids.append(int(parts.pack(np.int64(doc_id), i)))
+                        lines.append(own[i].strip(SPACES))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.string())], names=["id", "line"])
+
+    return run
 
 
 def _verify_pairs(batches):
@@ -97,26 +125,29 @@ def line_components(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text)`` -> ``doc_id, line_no, class_doc_id, class_line_no, kept`` of lines with a near copy.
 
     Line numbers count from 0 over the text split at newlines. Lines that are blank or unlike
-    all others give no row. Null texts have no lines, rows with a null doc_id are left
-    out, other columns are ignored. Where several rows share a doc_id, their lines of one
-    number are one.
+    all others give no row. Null texts have no lines; rows with a null doc_id have no name and
+    take no part; other columns are ignored. Where several rows share a doc_id, their lines of
+    one number are one, with the text of either.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    members = texts.mapInArrow(_buckets, "id long, n long, keys array<long>")
+    texts, numbers, parts = numbered(texts)
+    members = texts.mapInArrow(_buckets(parts), "id long, n long, keys array<long>")
 
     def verify(pairs: DataFrame) -> DataFrame:
         equal, other = pairs.where("n_a = n_b").select("a", "b"), pairs.where("n_a <> n_b").select("a", "b")
-        ids = materialize(other.select(F.col("a").alias("id")).union(other.select("b")).distinct())
-        found = restrict(texts, ids.select(doc_of(F.col("id")).alias("doc_id")).distinct(), "doc_id").mapInArrow(_texts, "id long, line string")
-        found = materialize(found.join(ids, "id", "left_semi"))
+        ids = other.select(F.col("a").alias("id")).union(other.select("b"))
+        wanted = materialize(ids.groupBy(parts.doc_of(F.col("id")).alias("doc_id")).agg(F.collect_set(parts.part_of(F.col("id"))).alias("wanted")))
+        found = restrict(texts, wanted.select("doc_id"), "doc_id").join(wanted, "doc_id").mapInArrow(_wanted(parts), "id long, line string")
+        found = materialize(found.groupBy("id").agg(F.max("line").alias("line")))
         x = other.join(found.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(found.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
         return equal.unionByName(x.mapInArrow(_verify_pairs, "a long, b long"))
 
-    labels = bucket_components(members, verify, lambda n, m, c: F.lit(True))
-    return labels.select(
-        doc_of(F.col("id")).alias("doc_id"), part_of(F.col("id")).alias("line_no"), doc_of(F.col("component")).alias("class_doc_id"),
-        part_of(F.col("component")).alias("class_line_no"), (F.col("id") == F.col("component")).alias("kept"),
+    labels = bucket_components(members, verify)
+    out = labels.select(
+        parts.doc_of(F.col("id")).alias("doc_id"), parts.part_of(F.col("id")).alias("line_no"), parts.doc_of(F.col("component")).alias("class_doc_id"),
+        parts.part_of(F.col("component")).alias("class_line_no"), (F.col("id") == F.col("component")).alias("kept"),
     )
+    return named(out, numbers, "doc_id", "class_doc_id")
 
 
 def remove_lines(docs: DataFrame, classes: DataFrame) -> DataFrame:

@@ -1,65 +1,151 @@
 """From bucket memberships to verified links and components, without all pairs of a bucket.
 
 Three operators find candidates by bucket (inverted lists, bands of signatures). A bucket may
-hold thousands of near copies, so pairs are made in two rounds:
+hold thousands of near copies, so pairs are made in rounds:
 
-1. every member is paired with its bucket's smallest id, and the pairs that share enough
-   buckets are verified. Copies of one text share their smallest id in nearly every bucket, so a
-   group of k copies costs about k pairs, not k * k;
-2. buckets whose members still lie in several components get the remaining pairs across
-   components, and these are verified too. Pairs within a component need no test: they cannot
-   change the components.
+1. every member is paired with its bucket's smallest id, and the pairs are verified. Copies of
+   one text share their smallest id in nearly every bucket, so a group of k copies costs about
+   k pairs, not k * k. Buckets of two are settled by that one pair and are not looked at again;
+2. in buckets of three and more whose members lie in several components, and as long as the
+   pairs across components are many, one further member of each bucket, drawn by a hash, is
+   paired with the members of the other components;
+3. what is left of the pairs across components is verified too. Pairs within a component need
+   no test: they cannot change the components.
 
-Together they give the exact components of the graph of all verified bucket pairs.
+Together they give the exact components of the graph of all verified bucket pairs. Inverted
+lists know the places of their entries (``Places``): by sizes and places alone most members of
+a list cannot be linked. Round 3 deals a list out by ranges of sizes and drops the members whose
+place is too late for a range, before any pair is made.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import materialize
+from .storage import materialize, restrict
 
 Verify = Callable[[DataFrame], DataFrame]
-Enough = Callable[[Column, Column, Column], Column]
+#: Further pivots are drawn while the pairs across components outnumber the members by this factor, at most so often.
+MANY_PAIRS, PIVOT_ROUNDS = 8, 4
+#: Ratio of the largest size of a range to its smallest.
+SIZE_RANGE = 1.05
 
 
-def bucket_components(members: DataFrame, verify: Verify, enough: Enough) -> DataFrame:
-    """``members(id, n, keys array<long>)`` -> ``(id, component)`` of ids with at least one link.
+class Places:
+    """Which members of a list can be linked, by sizes and 1-based places in one order of all elements (0: no place).
 
-    ``keys`` are an id's distinct buckets. ``verify`` gets ``(a, b, n_a, n_b)`` and returns the
-    ``(a, b)`` that are links; ``enough(n_a, n_b, c)`` is a necessary condition on two sizes and
-    the number of buckets in common. Bucket counts are combined before their shuffle, and
-    adaptive execution splits the join with them where one key is hot. Only members of buckets
-    with two ids or more live on.
+    Sets of sizes n and m are linked if they share ``percent * (n + m) / (100 + percent)``
+    elements, so their first common element leaves room for the others behind it in both.
+    """
+
+    def __init__(self, percent: int):
+        self.percent = percent
+
+    def _room(self, n: Column, place: Column) -> Column:
+        return n - place + (place > 0).cast("int")
+
+    def need(self, n: Column, m: Column) -> Column:
+        return F.ceil(self.percent * (n + m) / (100 + self.percent))
+
+    def possible(self) -> Column:
+        n, m = F.col("n_a"), F.col("n_b")
+        fits = 100 * F.least(n, m) >= self.percent * F.greatest(n, m)
+        return fits & (F.least(self._room(n, F.col("place_a")), self._room(m, F.col("place_b"))) >= self.need(n, m))
+
+    def dealt(self, members: DataFrame, smaller: bool) -> DataFrame:
+        """``members`` as the smaller (or larger) of a pair: once for each pair of ranges ``lo``, ``hi`` where a link is possible."""
+        reach = math.ceil(math.log(100 / self.percent) / math.log(SIZE_RANGE)) + 1
+        n, step = F.col("n"), F.col("step") if smaller else -F.col("step")
+        own = F.floor(F.log(n.cast("double")) / math.log(SIZE_RANGE)).cast("int")
+        spread = members.withColumn("own", own).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(reach)))).withColumn("other", F.col("own") + step)
+        # the smallest partner in the range asks for the fewest common elements
+        least = F.greatest(F.floor(F.pow(F.lit(SIZE_RANGE), F.col("other")) * (1 - 1e-9)), n if smaller else F.ceil(self.percent * n / 100))
+        spread = spread.where(self._room(n, F.col("place")) >= self.need(n, least))
+        lo, hi = ("own", "other") if smaller else ("other", "own")
+        side = "a" if smaller else "b"
+        return spread.select("key", F.col(lo).alias("lo"), F.col(hi).alias("hi"), *_side(side))
+
+
+def _side(side: str) -> list[Column]:
+    return [F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "place", "component")]
+
+
+def _by_id(pairs: DataFrame) -> DataFrame:
+    """Distinct pairs ``a < b`` with their ``n``."""
+    first = F.col("id_a") < F.col("id_b")
+    pick = lambda x, y, name: F.when(first, F.col(x)).otherwise(F.col(y)).alias(name)
+    pairs = pairs.where("id_a <> id_b").select(pick("id_a", "id_b", "a"), pick("id_b", "id_a", "b"), pick("n_a", "n_b", "n_a"), pick("n_b", "n_a", "n_b"))
+    return pairs.groupBy("a", "b").agg(F.min("n_a").alias("n_a"), F.min("n_b").alias("n_b"))
+
+
+def bucket_components(members: DataFrame, verify: Verify, places: Places | None = None) -> DataFrame:
+    """``members(id, n, keys array<long>[, placed int])`` -> ``(id, component)`` of ids with at least one link.
+
+    ``keys`` are an id's distinct buckets. With ``places``, ``n`` is the size of its set and the
+    first ``placed`` keys stand at places 1, 2 .. of it. ``verify`` gets ``(a, b, n_a, n_b)``
+    and returns the ``(a, b)`` that are links. Buckets are counted with partial sums before
+    their shuffle, and adaptive execution splits the joins with them where one key is hot.
     """
     members = materialize(members)
-    buckets = members.select(F.explode("keys").alias("key"), "id")
-    shared = buckets.groupBy("key").agg(F.count("*").alias("members"), F.min("id").alias("pivot")).where("members > 1").drop("members")
-    shared = materialize(buckets.join(shared, "key"))
-    sizes = members.select("id", "n").join(shared.select("id").distinct(), "id", "left_semi")
-    sizes = materialize(sizes.groupBy("id").agg(F.max("n").alias("n")))
-
-    def sized(pairs: DataFrame) -> DataFrame:
-        """Distinct pairs that may be links, with the number of rows of each as ``c`` for ``enough``."""
-        pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("c"))
-        pairs = pairs.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("n_a")), "a").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("n_b")), "b")
-        return pairs.where(enough(F.col("n_a"), F.col("n_b"), F.col("c"))).drop("c")
-
-    tested = materialize(sized(shared.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"))))
-    labels = materialize(connected_components(materialize(verify(tested))))
-
-    named = shared.drop("pivot").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    unsettled = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    named = materialize(named.join(unsettled, "key", "left_semi"))
-    left, right = (named.select("key", F.col("id").alias(f"id_{side}"), F.col("component").alias(f"component_{side}")) for side in "ab")
-    pairs = left.join(right, "key").where("id_a < id_b and component_a <> component_b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-    both_ways = tested.select("a", "b").unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = materialize(verify(materialize(sized(pairs).join(both_ways, ["a", "b"], "left_anti"))))
-    if more.isEmpty():
+    place = F.when(F.col("at") < F.col("placed"), F.col("at") + 1).otherwise(0) if "placed" in members.columns else F.lit(0)
+    rows = members.select("id", "n", *(["placed"] if "placed" in members.columns else []), F.posexplode("keys").alias("at", "key"))
+    rows = rows.select("key", "id", "n", place.cast("int").alias("place"))
+    ends = [f("id").alias(f"id_{s}") for f, s in ((F.min, "a"), (F.max, "b"))]
+    ends += [f(c, "id").alias(f"{c}_{s}") for f, s in ((F.min_by, "a"), (F.max_by, "b")) for c in ("n", "place")]
+    buckets = materialize(rows.groupBy("key").agg(F.count("*").alias("members"), *ends).where("id_a < id_b"))
+    shared = materialize(restrict(rows, buckets.where("members > 2").select("key"), "key"))
+    possible = places.possible() if places else F.lit(True)
+
+    pivots = buckets.where("members > 2").select("key", "id_a", "n_a", "place_a")
+    star = pivots.join(shared.select("key", *_side("b")[:3]), "key").where("id_a <> id_b")
+    pairs = buckets.where("members = 2").select(*star.columns).unionByName(star)
+    tested = materialize(_by_id(pairs.where(possible)))
+    links = materialize(verify(tested))
+    labels = materialize(connected_components(links))
+
+    def unsettled() -> DataFrame:
+        """Members of the buckets with several components."""
+        named = shared.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        torn = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+        return materialize(named.join(torn, "key", "left_semi").select("key", "id", "n", "place", "component"))
+
+    def fresh(pairs: DataFrame) -> DataFrame:
+        return materialize(_by_id(pairs.where(possible)).join(tested.select("a", "b"), ["a", "b"], "left_anti"))
+
+    def stars() -> DataFrame:
+        return labels.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+
+    for attempt in range(PIVOT_ROUNDS):
+        open_rows = unsettled()
+        sums = open_rows.groupBy("key", "component").count().groupBy("key").agg(F.sum("count").alias("m"), F.sum(F.col("count") * F.col("count")).alias("q"))
+        size = sums.agg(F.sum("m").alias("members"), F.sum((F.col("m") * F.col("m") - F.col("q")) / 2).alias("pairs")).first()
+        if not size["members"]:
+            return labels
+        if size["pairs"] <= MANY_PAIRS * size["members"]:
+            break
+        drawn = open_rows.groupBy("key").agg(F.min_by(F.struct(*_side("a")), F.xxhash64("component", F.lit(attempt))).alias("pivot"))
+        across = drawn.select("key", "pivot.*").join(open_rows.select("key", *_side("b")), "key").where("component_a <> component_b")
+        more = fresh(across)
+        tested = tested.unionByName(more)
+        links = materialize(verify(more))
+        if not links.isEmpty():
+            labels = materialize(connected_components(stars().unionByName(links.select("a", "b"))))
+    else:
+        open_rows = unsettled()
+
+    if places:
+        left, right, on = places.dealt(open_rows, True), places.dealt(open_rows, False), ["key", "lo", "hi"]
+        once = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("id_a") < F.col("id_b")))
+    else:
+        left, right, on = open_rows.select("key", *_side("a")), open_rows.select("key", *_side("b")), ["key"]
+        once = F.col("id_a") < F.col("id_b")
+    across = left.join(right, on).where(once & (F.col("component_a") != F.col("component_b")) & possible)
+    links = materialize(verify(fresh(across)))
+    if links.isEmpty():
         return labels
-    stars = labels.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
-    return connected_components(stars.unionByName(more.select("a", "b")))
+    return connected_components(stars().unionByName(links.select("a", "b")))

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FALLBACK_DIR = "/tmp/lumenrec-checkpoints"
-
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``. A session on one machine, as in tests, gets one of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return (named or FALLBACK_DIR).rstrip("/")
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if not named:
+        named = f"{tempfile.gettempdir()}/lumenrec-lineage"
+    return named.rstrip("/")
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -28,11 +31,21 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def restrict(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi", bound: int = 1_000_000) -> DataFrame:
+#: Rows that may be broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def few(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, stored, with a hint to broadcast it if it has ``bound`` rows of a few numbers or fewer."""
+    df = materialize(df)
+    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
+
+
+def restrict(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi", bound: int = BROADCAST_ROWS) -> DataFrame:
     """Semi or anti join on one long column.
 
     The ids are counted first: up to ``bound`` of them (16 MB) are broadcast, which spares
     a shuffle of whole texts; more are joined by a shuffle. The rows are the same.
     """
-    few = ids.limit(bound + 1).count() <= bound
-    return df.join(F.broadcast(ids) if few else ids, key, how)
+    small = ids.limit(bound + 1).count() <= bound
+    return df.join(F.broadcast(ids) if small else ids, key, how)

@@ -57,3 +57,24 @@ def windows(hashes: np.ndarray, width: int = SHINGLE) -> np.ndarray:
 def shingle_set(text: str | None) -> np.ndarray:
     """Distinct 5-word shingles of a text as sorted 64-bit hashes; empty without words."""
     return np.unique(windows(hash_words(words_of(text))))
+
+
+def portions(batches, size: int):
+    """Ids and texts of Arrow batches ``(doc_id, text)``, about ``size`` bytes of text (one text at least) at a time; a null text is empty."""
+    for batch in batches:
+        ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+        texts, held, first = [], 0, 0
+        for i, text in enumerate(batch.column("text")):
+            texts.append(text.as_py() or "")
+            held += len(texts[-1])
+            if held >= size:
+                yield ids[first : i + 1], texts
+                texts, held, first = [], 0, i + 1
+        if texts:
+            yield ids[first:], texts
+
+
+def places(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """``starts[0], starts[0] + 1 ..`` for ``counts[0]`` places, and so on for each run."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - counts), counts)

@@ -41,13 +41,43 @@ def test_small_and_chained_sets(spark, tmp_path):
     check(spark, tmp_path, texts)
 
 
+def test_one_large_group_of_near_copies(spark, tmp_path):
+    """Copies of one text with a few words changed each: most are linked with the first, many with others only, some with none."""
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(150)]
+    texts = {}
+    for k in range(400):
+        words = list(base)
+        for _ in range(rng.randint(0, 9)):
+            words[rng.randrange(len(words))] = f"x{rng.random()}"
+        if k % 7 == 0:
+            words = words[: rng.randint(110, 150)]
+        texts[k] = " ".join(words)
+    check(spark, tmp_path, texts)
+
+
 def test_empty_and_all_null_tables(spark):
     assert J.jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     rows = J.jaccard_components(spark.createDataFrame([(1, None), (2, None), (None, "a b c d e f")], "doc_id long, text string")).collect()
-    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows) == [(1, 0, 1), (2, 0, 2)]
+    assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows} == {(1, 0, 1), (2, 0, 2), (None, 2, None)}
 
 
-def test_needs_and_boundary():
-    assert [J.subset_keys(s, 80) for s in (1, 4, 5, 8)] == [1, 2, 6 + 1, 11]
-    assert J.choose_boundary({}, 80, 0.1) == J.LARGEST_SMALL
-    assert 1 <= J.choose_boundary({s: 5 for s in range(1, 40)}, 80, 0.1) < J.LARGEST_SMALL
+def test_boundary_follows_cost():
+    assert J.choose_boundary({}, {}, 80) == 0
+    sets = {s: 100 for s in range(1, 31)}
+    short_lists = {s: 100.0 * J.prefix_length(s, 80) for s in sets}
+    hot_lists = {s: 1e6 for s in sets}
+    assert J.choose_boundary(sets, short_lists, 80) <= 4 < 10 <= J.choose_boundary(sets, hot_lists, 80)
+
+
+def test_enumeration_alone_and_lists_alone_agree(spark, tmp_path, monkeypatch):
+    rng = random.Random(6)
+    texts, k = {}, 0
+    for _ in range(40):
+        words = [f"w{rng.randrange(500)}" for _ in range(rng.randint(3, 18))]
+        for _ in range(5):
+            texts[k], k = " ".join(words), k + 1
+            words = words + [f"w{rng.randrange(500)}"] if rng.random() < 0.5 else words[1:]
+    for boundary in (0, 5, 14):
+        monkeypatch.setattr(J, "choose_boundary", lambda *_, b=boundary: b)
+        check(spark, tmp_path, texts)

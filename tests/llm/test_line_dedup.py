@@ -45,3 +45,11 @@ def test_short_lines_take_part(spark, tmp_path):
     assert got == {((1, 0), (1, 0)), ((2, 1), (1, 0)), ((2, 2), (2, 2)), ((3, 0), (2, 2)), ((4, 0), (4, 0)), ((5, 0), (4, 0)), ((4, 1), (4, 1)), ((5, 1), (4, 1))}
     left = {r["doc_id"]: r["text"] for r in L.remove_lines(docs, classes).collect()}
     assert left[2] == "a second text\nRead more" and left[3] == "share\n\n \n" and left[5] == "y"
+
+
+def test_large_ids_repeated_rows_and_nulls(spark, tmp_path):
+    line = "a line of its own that repeats, word for word"
+    big = 1 << 62
+    rows = [(big, line), (big, line), (-big, f"x\n{line}"), (7, None), (None, line), (8, "")]
+    got = L.line_components(brute.stored(spark, tmp_path, rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["line_no"], r["class_doc_id"], r["class_line_no"], r["kept"]) for r in got) == [(-big, 1, -big, 1, True), (big, 0, -big, 1, False)]
