@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .linking import Places, bucket_components
+from .linking import bucket_components
 from .storage import few, materialize, restrict
 from .textops import mix, portions, shingle_set
 
@@ -222,7 +222,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
         both = F.size(F.array_intersect("x", "y"))
         return x.where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b").distinct()
 
-    labels = bucket_components(members, verify, Places(percent))
+    labels = bucket_components(members, verify, percent)
     out = named.join(labels.withColumnRenamed("id", "set_id"), "set_id", "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "set_id").alias("component_id"), "set_id")
     none = F.lit(None).cast("long")

@@ -18,11 +18,13 @@ from pyspark.sql import functions as F
 
 from .ids import Parts, named, numbered
 from .linking import bucket_components
-from .minhash import one_permutation
+from .minhash import bitmaps, one_permutation
 from .storage import materialize, restrict
-from .textops import mix, portions
+from .textops import mix, places, portions
 
 SHINGLE_CHARS, BANDS, ROWS, PERCENT = 8, 8, 4, 80
+#: Words of 64 bits of a line's bitmap.
+BITMAP = 8
 _G = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 #: Bytes of text handled at a time: the arrays then stay in the processor's cache.
 PORTION = 400_000
@@ -79,6 +81,9 @@ def _exact(chars: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return mix(np.add.reduceat(terms, ends - sizes) + sizes.astype(np.uint64))
 
 
+_MEMBERS = ["id", "n", "same", "keys", "bits"]
+
+
 def _buckets(parts: Parts):
     def run(batches):
         for ids, texts in portions(batches, PORTION):
@@ -88,14 +93,16 @@ def _buckets(parts: Parts):
             exact = _exact(chars, lo, hi)
             whole = hi - lo >= SHINGLE_CHARS
             sizes = np.where(whole, BANDS, 1)
-            keys = np.repeat(mix(exact), sizes)
+            keys, bits = np.repeat(mix(exact), sizes), np.zeros((len(lo), BITMAP), np.int64)
+            runs = np.maximum(hi - lo - SHINGLE_CHARS + 1, 1)
             if whole.any():
-                count = (hi - lo - SHINGLE_CHARS + 1)[whole]
-                at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - lo[whole], count)
-                keys[np.repeat(whole, sizes)] = one_permutation(_runs(chars)[at], count, BANDS, ROWS).ravel()
+                items = _runs(chars)[places(lo[whole], runs[whole])]
+                keys[np.repeat(whole, sizes)] = one_permutation(items, runs[whole], BANDS, ROWS).ravel()
+                bits[whole] = bitmaps(items, runs[whole], BITMAP)
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(parts.pack(ids[text], number)), pa.array(exact.view(np.int64)), values], names=["id", "n", "keys"])
+            maps = pa.ListArray.from_arrays(pa.array(np.arange(len(lo) + 1, dtype=np.int32) * BITMAP), pa.array(bits.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(parts.pack(ids[text], number)), pa.array(runs), pa.array(exact.view(np.int64)), values, maps], names=_MEMBERS)
 
     return run
 
@@ -131,10 +138,10 @@ def line_components(docs: DataFrame) -> DataFrame:
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     texts, numbers, parts = numbered(texts)
-    members = texts.mapInArrow(_buckets(parts), "id long, n long, keys array<long>")
+    members = texts.mapInArrow(_buckets(parts), "id long, n long, same long, keys array<long>, bits array<long>")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        equal, other = pairs.where("n_a = n_b").select("a", "b"), pairs.where("n_a <> n_b").select("a", "b")
+        equal, other = pairs.where("same_a = same_b").select("a", "b"), pairs.where("same_a <> same_b").select("a", "b")
         ids = other.select(F.col("a").alias("id")).union(other.select("b"))
         wanted = materialize(ids.groupBy(parts.doc_of(F.col("id")).alias("doc_id")).agg(F.collect_set(parts.part_of(F.col("id"))).alias("wanted")))
         found = restrict(texts, wanted.select("doc_id"), "doc_id").join(wanted, "doc_id").mapInArrow(_wanted(parts), "id long, line string")
@@ -142,7 +149,7 @@ def line_components(docs: DataFrame) -> DataFrame:
         x = other.join(found.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(found.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
         return equal.unionByName(x.mapInArrow(_verify_pairs, "a long, b long"))
 
-    labels = bucket_components(members, verify)
+    labels = bucket_components(members, verify, PERCENT, BITMAP)
     out = labels.select(
         parts.doc_of(F.col("id")).alias("doc_id"), parts.part_of(F.col("id")).alias("line_no"), parts.doc_of(F.col("component")).alias("class_doc_id"),
         parts.part_of(F.col("component")).alias("class_line_no"), (F.col("id") == F.col("component")).alias("kept"),

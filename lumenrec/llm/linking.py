@@ -12,10 +12,15 @@ hold thousands of near copies, so pairs are made in rounds:
 3. what is left of the pairs across components is verified too. Pairs within a component need
    no test: they cannot change the components.
 
-Together they give the exact components of the graph of all verified bucket pairs. Inverted
-lists know the places of their entries (``Places``): by sizes and places alone most members of
-a list cannot be linked. Round 3 deals a list out by ranges of sizes and drops the members whose
-place is too late for a range, before any pair is made.
+Together they give the exact components of the graph of all verified bucket pairs. Two exact
+bounds keep members apart before any pair of rounds 2 and 3 is made, so that copies which differ
+too much from one another, of which a large group has many, cost little:
+
+* inverted lists know the places of their entries: by sizes and places alone most members of a
+  list cannot be linked. Round 3 deals a list out by ranges of sizes and drops the members whose
+  place is too late for a range;
+* a bitmap has a bit for the hash of each element; sets differ in at least as many elements as
+  their bitmaps do in bits.
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ from .storage import materialize, restrict
 
 Verify = Callable[[DataFrame], DataFrame]
 #: Further pivots are drawn while the pairs across components outnumber the members by this factor, at most so often.
-MANY_PAIRS, PIVOT_ROUNDS = 8, 4
+MANY_PAIRS, PIVOT_ROUNDS = 256, 4
 #: Ratio of the largest size of a range to its smallest.
 SIZE_RANGE = 1.05
 
@@ -67,44 +72,59 @@ class Places:
         least = F.greatest(F.floor(F.pow(F.lit(SIZE_RANGE), F.col("other")) * (1 - 1e-9)), n if smaller else F.ceil(self.percent * n / 100))
         spread = spread.where(self._room(n, F.col("place")) >= self.need(n, least))
         lo, hi = ("own", "other") if smaller else ("other", "own")
-        side = "a" if smaller else "b"
-        return spread.select("key", F.col(lo).alias("lo"), F.col(hi).alias("hi"), *_side(side))
+        return spread.select("key", F.col(lo).alias("lo"), F.col(hi).alias("hi"), *_side(members, "a" if smaller else "b"))
 
 
-def _side(side: str) -> list[Column]:
-    return [F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "place", "component")]
+def _similar_bits(percent: int, words: int) -> Column:
+    """Linked sets differ in no more than ``(100 - percent) / (100 + percent)`` of their elements taken together; ``n`` may overstate these."""
+    differ = sum((F.bit_count(F.get("bits_a", F.lit(i)).bitwiseXOR(F.get("bits_b", F.lit(i)))) for i in range(words)), F.lit(0))
+    return (100 + percent) * differ <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
 
 
-def _by_id(pairs: DataFrame) -> DataFrame:
-    """Distinct pairs ``a < b`` with their ``n``."""
+def _side(rows: DataFrame, side: str) -> list[Column]:
+    return [F.col(c).alias(f"{c}_{side}") for c in rows.columns if c in ("id", "n", "place", "same", "component", "bits")]
+
+
+def _by_id(pairs: DataFrame, kept: list[str]) -> DataFrame:
+    """Distinct pairs ``a < b`` with what is kept of them."""
     first = F.col("id_a") < F.col("id_b")
     pick = lambda x, y, name: F.when(first, F.col(x)).otherwise(F.col(y)).alias(name)
-    pairs = pairs.where("id_a <> id_b").select(pick("id_a", "id_b", "a"), pick("id_b", "id_a", "b"), pick("n_a", "n_b", "n_a"), pick("n_b", "n_a", "n_b"))
-    return pairs.groupBy("a", "b").agg(F.min("n_a").alias("n_a"), F.min("n_b").alias("n_b"))
+    sides = [pick(f"{c}_{x}", f"{c}_{y}", f"{c}_{x}") for c in kept for x, y in ("ab", "ba")]
+    pairs = pairs.where("id_a <> id_b").select(pick("id_a", "id_b", "a"), pick("id_b", "id_a", "b"), *sides)
+    return pairs.groupBy("a", "b").agg(*(F.min(c).alias(c) for c in pairs.columns[2:]))
 
 
-def bucket_components(members: DataFrame, verify: Verify, places: Places | None = None) -> DataFrame:
-    """``members(id, n, keys array<long>[, placed int])`` -> ``(id, component)`` of ids with at least one link.
+def bucket_components(members: DataFrame, verify: Verify, percent: int, words: int = 0) -> DataFrame:
+    """``members(id, n, keys array<long>, ..)`` -> ``(id, component)`` of ids with at least one link.
 
-    ``keys`` are an id's distinct buckets. With ``places``, ``n`` is the size of its set and the
-    first ``placed`` keys stand at places 1, 2 .. of it. ``verify`` gets ``(a, b, n_a, n_b)``
-    and returns the ``(a, b)`` that are links. Buckets are counted with partial sums before
-    their shuffle, and adaptive execution splits the joins with them where one key is hot.
+    ``keys`` are an id's distinct buckets. Further columns: ``placed int``, where ``n`` is the
+    size of the set and the first ``placed`` keys stand at places 1, 2 .. of it; ``bits
+    array<long>``, a bitmap of ``words`` longs, where ``n`` is the size of the set or more;
+    ``same``, equal for members that are linked without a look. ``verify`` gets ``(a, b)`` with
+    ``n_a, n_b`` or ``same_a, same_b`` and returns the ``(a, b)`` that are links. Buckets are
+    counted with partial sums before their shuffle, and adaptive execution splits the joins with
+    them where one key is hot.
     """
     members = materialize(members)
-    place = F.when(F.col("at") < F.col("placed"), F.col("at") + 1).otherwise(0) if "placed" in members.columns else F.lit(0)
-    rows = members.select("id", "n", *(["placed"] if "placed" in members.columns else []), F.posexplode("keys").alias("at", "key"))
-    rows = rows.select("key", "id", "n", place.cast("int").alias("place"))
+    placed = "placed" in members.columns
+    kept = ["same"] if "same" in members.columns else ["n"]
+    carried = [*kept, *(["place"] if placed else [])]
+    rows = members.select("id", *(c for c in ("n", "placed", "same") if c in members.columns), F.posexplode("keys").alias("at", "key"))
+    if placed:
+        rows = rows.withColumn("place", F.when(F.col("at") < F.col("placed"), F.col("at") + 1).otherwise(0).cast("int"))
+    rows = rows.select("key", "id", *carried)
+    places = Places(percent) if placed else None
+    possible = places.possible() if placed else F.lit(True)
+
     ends = [f("id").alias(f"id_{s}") for f, s in ((F.min, "a"), (F.max, "b"))]
-    ends += [f(c, "id").alias(f"{c}_{s}") for f, s in ((F.min_by, "a"), (F.max_by, "b")) for c in ("n", "place")]
+    ends += [f(c, "id").alias(f"{c}_{s}") for f, s in ((F.min_by, "a"), (F.max_by, "b")) for c in carried]
     buckets = materialize(rows.groupBy("key").agg(F.count("*").alias("members"), *ends).where("id_a < id_b"))
     shared = materialize(restrict(rows, buckets.where("members > 2").select("key"), "key"))
-    possible = places.possible() if places else F.lit(True)
 
-    pivots = buckets.where("members > 2").select("key", "id_a", "n_a", "place_a")
-    star = pivots.join(shared.select("key", *_side("b")[:3]), "key").where("id_a <> id_b")
+    pivots = buckets.where("members > 2").select("key", *(f"{c}_a" for c in ["id", *carried]))
+    star = pivots.join(shared.select("key", *_side(shared, "b")), "key").where("id_a <> id_b")
     pairs = buckets.where("members = 2").select(*star.columns).unionByName(star)
-    tested = materialize(_by_id(pairs.where(possible)))
+    tested = materialize(_by_id(pairs.where(possible), kept))
     links = materialize(verify(tested))
     labels = materialize(connected_components(links))
 
@@ -112,37 +132,41 @@ def bucket_components(members: DataFrame, verify: Verify, places: Places | None
         """Members of the buckets with several components."""
         named = shared.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
         torn = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-        return materialize(named.join(torn, "key", "left_semi").select("key", "id", "n", "place", "component"))
+        named = named.join(torn, "key", "left_semi")
+        if words:  # several rows of one id: each counts
+            ids = materialize(named.select("id").distinct())
+            named = named.drop("n").join(restrict(members, ids, "id").select("id", "n", "bits"), "id")
+        return materialize(named)
 
     def fresh(pairs: DataFrame) -> DataFrame:
-        return materialize(_by_id(pairs.where(possible)).join(tested.select("a", "b"), ["a", "b"], "left_anti"))
+        return materialize(_by_id(pairs, kept).join(tested.select("a", "b"), ["a", "b"], "left_anti"))
 
     def stars() -> DataFrame:
         return labels.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
 
-    for attempt in range(PIVOT_ROUNDS):
-        open_rows = unsettled()
-        sums = open_rows.groupBy("key", "component").count().groupBy("key").agg(F.sum("count").alias("m"), F.sum(F.col("count") * F.col("count")).alias("q"))
+    if words:
+        possible = _similar_bits(percent, words)
+    for attempt in range(PIVOT_ROUNDS + 1):
+        torn = unsettled()
+        sums = torn.groupBy("key", "component").count().groupBy("key").agg(F.sum("count").alias("m"), F.sum(F.col("count") * F.col("count")).alias("q"))
         size = sums.agg(F.sum("m").alias("members"), F.sum((F.col("m") * F.col("m") - F.col("q")) / 2).alias("pairs")).first()
         if not size["members"]:
             return labels
-        if size["pairs"] <= MANY_PAIRS * size["members"]:
+        if attempt == PIVOT_ROUNDS or size["pairs"] <= MANY_PAIRS * size["members"]:
             break
-        drawn = open_rows.groupBy("key").agg(F.min_by(F.struct(*_side("a")), F.xxhash64("component", F.lit(attempt))).alias("pivot"))
-        across = drawn.select("key", "pivot.*").join(open_rows.select("key", *_side("b")), "key").where("component_a <> component_b")
+        drawn = torn.groupBy("key").agg(F.min_by(F.struct(*_side(torn, "a")), F.xxhash64("component", F.lit(attempt))).alias("pivot"))
+        across = drawn.select("key", "pivot.*").join(torn.select("key", *_side(torn, "b")), "key").where((F.col("component_a") != F.col("component_b")) & possible)
         more = fresh(across)
         tested = tested.unionByName(more)
         links = materialize(verify(more))
         if not links.isEmpty():
             labels = materialize(connected_components(stars().unionByName(links.select("a", "b"))))
-    else:
-        open_rows = unsettled()
 
-    if places:
-        left, right, on = places.dealt(open_rows, True), places.dealt(open_rows, False), ["key", "lo", "hi"]
+    if placed:
+        left, right, on = places.dealt(torn, True), places.dealt(torn, False), ["key", "lo", "hi"]
         once = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("id_a") < F.col("id_b")))
     else:
-        left, right, on = open_rows.select("key", *_side("a")), open_rows.select("key", *_side("b")), ["key"]
+        left, right, on = torn.select("key", *_side(torn, "a")), torn.select("key", *_side(torn, "b")), ["key"]
         once = F.col("id_a") < F.col("id_b")
     across = left.join(right, on).where(once & (F.col("component_a") != F.col("component_b")) & possible)
     links = materialize(verify(fresh(across)))

@@ -22,12 +22,14 @@ from pyspark.sql import functions as F
 
 from .ids import Parts, named, numbered
 from .linking import bucket_components
-from .minhash import one_permutation
+from .minhash import bitmaps, one_permutation
 from .storage import materialize, restrict
 from .textops import SHINGLE, hash_words, mix, places, portions, windows, words_of
 
 BANDS, ROWS, PERCENT = 5, 3, 80
 REACH, EXTEND = 8, 16
+#: Words of 64 bits of a piece's bitmap.
+BITMAP = 2
 #: Pieces below this many words, which only a text's ends have, are not compared; spans below the other are not reported.
 LEAST_PIECE, LEAST_WORDS = 8, 25
 #: Characters of text handled at a time.
@@ -76,12 +78,14 @@ def _buckets(parts: Parts):
             if not len(starts):
                 continue
             sizes = ends - starts
-            keys = one_permutation(windows(h)[places(starts, sizes - SHINGLE + 1)], sizes - SHINGLE + 1, BANDS, ROWS)
+            items = windows(h)[places(starts, sizes - SHINGLE + 1)]
+            keys = one_permutation(items, sizes - SHINGLE + 1, BANDS, ROWS)
             inside = places(starts, sizes)
             terms = mix(h[inside] * _G[1] + (places(np.zeros(len(sizes), np.int64), sizes) + 1).astype(np.uint64) * _G[0])
             exact = mix(np.add.reduceat(terms, np.cumsum(sizes) - sizes) + sizes.astype(np.uint64))
             lists = _lists(keys.ravel().view(np.int64), np.full(len(sizes), BANDS))
-            yield pa.RecordBatch.from_arrays([pa.array(parts.pack(ids[of], number)), pa.array(exact.view(np.int64)), lists], names=["id", "n", "keys"])
+            maps = _lists(bitmaps(items, sizes - SHINGLE + 1, BITMAP).ravel(), np.full(len(sizes), BITMAP))
+            yield pa.RecordBatch.from_arrays([pa.array(parts.pack(ids[of], number)), pa.array(sizes - SHINGLE + 1), pa.array(exact.view(np.int64)), lists, maps], names=["id", "n", "same", "keys", "bits"])
 
     return run
 
@@ -163,10 +167,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     texts, numbers, parts = numbered(texts)
-    members = texts.mapInArrow(_buckets(parts), "id long, n long, keys array<long>")
+    members = texts.mapInArrow(_buckets(parts), "id long, n long, same long, keys array<long>, bits array<long>")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        equal, other = pairs.where("n_a = n_b").select("a", "b"), pairs.where("n_a <> n_b").select("a", "b")
+        equal, other = pairs.where("same_a = same_b").select("a", "b"), pairs.where("same_a <> same_b").select("a", "b")
         ids = other.select(F.col("a").alias("id")).union(other.select("b"))
         wanted = materialize(ids.groupBy(parts.doc_of(F.col("id")).alias("doc_id")).agg(F.collect_set(parts.part_of(F.col("id"))).alias("wanted")))
         found = restrict(texts, wanted.select("doc_id"), "doc_id").join(wanted, "doc_id").mapInArrow(_sets(parts), "id long, items array<long>")
@@ -175,7 +179,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         both = F.size(F.array_intersect("x", "y"))
         return equal.unionByName(x.where(100 * both >= PERCENT * (F.size("x") + F.size("y") - both)).select("a", "b"))
 
-    removed = materialize(bucket_components(members, verify).where("id <> component"))
+    removed = materialize(bucket_components(members, verify, PERCENT, BITMAP).where("id <> component"))
     part = lambda c: parts.part_of(F.col(c)).alias("part")
     gone = removed.groupBy(parts.doc_of(F.col("id")).alias("doc_id")).agg(F.collect_list(F.struct(part("id"), F.col("component").alias("root"))).alias("gone"))
     roots = removed.select("component").distinct()

@@ -1,14 +1,17 @@
 import random
 
 import brute
+import numpy as np
 import pytest
 from lumenrec.llm import linking
+from lumenrec.llm.minhash import bitmaps
+from lumenrec.llm.textops import mix
 from pyspark.sql import functions as F
 
 
 @pytest.mark.parametrize("many", [0, 1e9])
-@pytest.mark.parametrize("placed", [False, True])
-def test_components_of_all_bucket_pairs(spark, tmp_path, monkeypatch, many, placed):
+@pytest.mark.parametrize("kind", ["plain", "placed", "bits"])
+def test_components_of_all_bucket_pairs(spark, tmp_path, monkeypatch, many, kind):
     """With as many pivots as allowed, or none beyond the first, all links within buckets count."""
     monkeypatch.setattr(linking, "MANY_PAIRS", many)
     rng = random.Random(2)
@@ -18,8 +21,11 @@ def test_components_of_all_bucket_pairs(spark, tmp_path, monkeypatch, many, plac
         sets[k] = (core - set(rng.sample(sorted(core), rng.randint(0, 7)))) | {rng.randrange(10_000, 10_300) for _ in range(rng.randint(0, 5))}
     order = lambda s: sorted(s, key=lambda x: -x)
     prefix = lambda s: order(s)[: len(s) - -(-80 * len(s) // 100) + 1]
-    rows = [(k, len(s), prefix(s) if placed else sorted(s), *([len(prefix(s))] if placed else [])) for k, s in sets.items()]
-    members = brute.stored(spark, tmp_path, rows, "id long, n long, keys array<long>" + ", placed int" * placed)
+    plain = lambda k, s: (k, len(s), prefix(s) if kind == "placed" else sorted(s))
+    bitmap = lambda s: bitmaps(mix(np.array(sorted(s), np.uint64)), np.array([len(s)]), 2)[0].tolist()
+    more = {"plain": lambda s: (), "placed": lambda s: (len(prefix(s)),), "bits": lambda s: (bitmap(s),)}[kind]
+    columns = {"plain": "", "placed": ", placed int", "bits": ", bits array<long>"}[kind]
+    members = brute.stored(spark, tmp_path, [plain(k, s) + more(s) for k, s in sets.items()], "id long, n long, keys array<long>" + columns)
     items = brute.stored(spark, tmp_path, [(k, sorted(s)) for k, s in sets.items()], "id long, items array<int>")
 
     def verify(pairs):
@@ -27,7 +33,7 @@ def test_components_of_all_bucket_pairs(spark, tmp_path, monkeypatch, many, plac
         both = F.size(F.array_intersect("x", "y"))
         return x.where(100 * both >= 80 * (F.size("x") + F.size("y") - both)).select("a", "b")
 
-    got = {r["id"]: r["component"] for r in linking.bucket_components(members, verify, linking.Places(80) if placed else None).collect()}
+    got = {r["id"]: r["component"] for r in linking.bucket_components(members, verify, 80, 2 * (kind == "bits")).collect()}
     want = brute.components(sets, brute.jaccard_links(sets))
     assert {k: got.get(k, k) for k in sets} == want
     assert len(set(want.values())) > 20
