@@ -3,9 +3,9 @@
 Three operators find candidates by bucket (inverted lists, bands of signatures). A bucket may
 hold thousands of near copies, so pairs are made in rounds:
 
-1. every member is paired with its bucket's smallest id, and the pairs are verified. Copies of
-   one text share their smallest id in nearly every bucket, so a group of k copies costs about
-   k pairs, not k * k. Buckets of two are settled by that one pair and are not looked at again;
+1. every member is paired with its bucket's smallest id. Of these pairs each member's first is
+   verified, then those that still lie across components. A group of k copies costs about k
+   pairs, not k * k. Buckets of two are settled by their one pair and are not looked at again;
 2. in buckets of three and more whose members lie in several components, and as long as the
    pairs across components are many, one further member of each bucket, drawn by a hash, is
    paired with the members of the other components;
@@ -125,8 +125,19 @@ def bucket_components(members: DataFrame, verify: Verify, percent: int, words: i
     star = pivots.join(shared.select("key", *_side(shared, "b")), "key").where("id_a <> id_b")
     pairs = buckets.where("members = 2").select(*star.columns).unionByName(star)
     tested = materialize(_by_id(pairs.where(possible), kept))
-    links = materialize(verify(tested))
-    labels = materialize(connected_components(links))
+    # a member's first pair settles most members; of its other pairs those are left that still lie across components
+    first = materialize(tested.groupBy("b").agg(F.min("a").alias("a"), *(F.min_by(c, "a").alias(c) for c in tested.columns[2:])).select(*tested.columns))
+    labels = materialize(connected_components(materialize(verify(first))))
+
+    def stars() -> DataFrame:
+        return labels.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+
+    side = lambda c: labels.select(F.col("id").alias(c), F.col("component").alias(f"component_{c}"))
+    rest = tested.join(side("a"), "a", "left").join(side("b"), "b", "left").where(F.coalesce("component_a", "a") != F.coalesce("component_b", "b"))
+    rest = materialize(rest.select(*tested.columns).join(first.select("a", "b"), ["a", "b"], "left_anti"))
+    links = materialize(verify(rest))
+    if not links.isEmpty():
+        labels = materialize(connected_components(stars().unionByName(links.select("a", "b"))))
 
     def unsettled() -> DataFrame:
         """Members of the buckets with several components."""
@@ -141,9 +152,6 @@ def bucket_components(members: DataFrame, verify: Verify, percent: int, words: i
     def fresh(pairs: DataFrame) -> DataFrame:
         return materialize(_by_id(pairs, kept).join(tested.select("a", "b"), ["a", "b"], "left_anti"))
 
-    def stars() -> DataFrame:
-        return labels.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
-
     if words:
         possible = _similar_bits(percent, words)
     for attempt in range(PIVOT_ROUNDS + 1):

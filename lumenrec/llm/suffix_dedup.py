@@ -13,10 +13,15 @@ bytes.
    once. The rest go to the task of their minimizer and are sorted again.
 3. Removed ranges are put together by document.
 
-Sorting: multikey quicksort by eight-byte words to a depth of ``SHALLOW`` bytes, then a blind
-trie for every group that still agrees: its earliest suffix is the path, the others branch off
-at their first difference, found by one comparison with the path. Suffixes that stay on the path
-to depth ``LENGTH`` repeat it. Groups of one are dropped as they appear.
+Sorting is deep-shallow, all groups at once in numpy. Shallow: a multikey sort whose characters
+are words of eight bytes; at each depth up to ``SHALLOW`` the members of a group are ordered by
+their next word, which parts a group as three-way partitioning by a pivot does, but by all
+values in one step. Deep: a blind trie for every group that still agrees. Its earliest suffix is
+the path from the root to a leaf; the others compare with the path, which finds the depth at
+which each branches off and the word there, the two labels a blind trie keeps. Members with the
+same depth and word are one subtree and treated alike. Suffixes that stay on the path to depth
+``LENGTH`` repeat it. The order among subtrees has no influence on which strings are equal, so
+it is not kept, and groups of one are dropped as they appear.
 
 Texts that occur several times are handled as wholes: the first takes part, the others lose
 everything if they have ``LENGTH`` bytes.
@@ -29,10 +34,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize, restrict
+from .storage import few, materialize, restrict
 from .textops import mix
 
-LENGTH, GRAM, SHALLOW = 100, 24, 24
+LENGTH, GRAM, SHALLOW = 100, 48, 24
 MAX_FILTER_BITS, PROBES, SEGMENTS_LOG2 = 1 << 28, 4, 6
 #: Bytes of text, or suffixes, that a task sorts at a time.
 PORTION = 3_000_000
@@ -48,8 +53,10 @@ def _words(data: np.ndarray) -> np.ndarray:
 def grams(data: np.ndarray) -> np.ndarray:
     """A hash of the GRAM bytes from each place on."""
     w = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,)).astype(np.uint64)
+    w = w[:-8] * _A + w[8:] * _B
+    w ^= w >> np.uint64(29)
     n = len(data) - GRAM + 1
-    return mix(w[:n] * _A + w[8 : n + 8] * _B + w[16 : n + 16] * _C)
+    return mix(w[:n] * _A + w[16 : n + 16] * _B + w[32 : n + 32] * _C)
 
 
 def _sliding(pick, values: np.ndarray) -> np.ndarray:
@@ -279,7 +286,7 @@ def repeated_ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     marked = docs.where(F.octet_length("text") >= LENGTH).select("doc_id", F.md5("text").alias("digest"))
     first = marked.groupBy("digest").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    copies = materialize(marked.join(first, "digest").where("doc_id > low").select("doc_id").distinct())
+    copies = materialize(marked.join(few(first.select("digest", "low")), "digest").where("doc_id > low").select("doc_id").distinct())
     texts = restrict(docs.where(F.octet_length("text") >= LENGTH), copies, "doc_id", "left_anti")
 
     counted = texts.mapInArrow(_count, "key long, n long, size long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("size").alias("size"))

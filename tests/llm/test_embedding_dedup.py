@@ -40,3 +40,24 @@ def test_blocks_agree(spark, tmp_path, monkeypatch):
 def test_empty_table_and_calibration(spark):
     assert D.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     assert D.COUNTED / 2 < D.least_count() < D.COUNTED
+
+
+def test_recall_does_not_depend_on_depth():
+    """Pairs at exactly the threshold meet in one of the tables, however finely they are dealt."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.normal(size=x.shape)
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y = 0.95 * x + np.sqrt(1 - 0.95**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    for depth in (1, 2, 3):
+        meet = np.zeros(len(x), bool)
+        for t in range(D.tables(64, 0.95, depth)):
+            meet |= D.codes(x, t, depth) == D.codes(y, t, depth)
+        assert meet.mean() >= 0.985, (depth, meet.mean())
+
+
+def test_repeated_ids_and_ties(spark, tmp_path):
+    v, w = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    df = brute.stored(spark, tmp_path, [(1, v), (1, v), (2, v), (3, w)], "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, D.near_duplicates(df).collect())) == [(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 0, 3, True)]
