@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot
+from ..sources.store import small_side, stored
 
 
 def _share(condition):
@@ -59,7 +60,7 @@ def genre_multihot(movies: DataFrame) -> DataFrame:
     """0/1 by item and genre for all genres of the table (long form; pivot for the wide one)."""
     vocabulary = movies.select(F.explode("genres_list").alias("genre")).distinct()
     has = F.array_contains("genres_list", F.col("genre")).cast("long")
-    return movies.select("item_id", "genres_list").crossJoin(F.broadcast(vocabulary)).select("item_id", "genre", has.alias("flag"))
+    return movies.select("item_id", "genres_list").crossJoin(small_side(vocabulary, 100_000)).select("item_id", "genre", has.alias("flag"))
 
 
 def tfidf(texts: DataFrame, vocabulary: int = 1000, columns: int = 50) -> DataFrame:
@@ -68,9 +69,10 @@ def tfidf(texts: DataFrame, vocabulary: int = 1000, columns: int = 50) -> DataFr
     Tokens of two word characters and more; vocabulary by corpus frequency; smoothed idf; rows
     normalised over the whole vocabulary.
     """
-    tokens = texts.select("item_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\b\w\w+\b)"), 1)).alias("term"))
-    tf = tokens.groupBy("item_id", "term").agg(F.count("*").alias("tf"))
+    tokens = texts.select("item_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]{2,})"), 1)).alias("term"))
+    tf = stored(tokens.groupBy("item_id", "term").agg(F.count("*").alias("tf")))
     terms = tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df")).orderBy(F.desc("total"), "term").limit(vocabulary)
+    terms = stored(terms)
     n = texts.agg(F.count("*").alias("n"))
     idf = terms.crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     weights = tf.join(F.broadcast(idf), "term").withColumn("w", F.col("tf") * F.col("idf"))

@@ -6,41 +6,53 @@ is distinct. Users without truth are left out of the means.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.blocks import SMALL_ROWS, meet_all
 from ..functions.vectors import dot
 
 
-def per_user(lists: DataFrame, truth: DataFrame, k: int) -> DataFrame:
-    """NDCG, average precision, recall, precision, hit rate at ``k`` and reciprocal rank of each user with truth."""
+def _user_metrics(lists: DataFrame, truth: DataFrame, ks: tuple[int, ...]) -> DataFrame:
+    """All metrics at all ``ks`` of each user with truth, in one pass: ``user_id, mrr, m_k`` as structs."""
     sizes = truth.groupBy("user_id").agg(F.count("*").alias("g"))
     hits = lists.join(truth.withColumn("hit", F.lit(1)), ["user_id", "item_id"], "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
     so_far = F.sum("hit").over(Window.partitionBy("user_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
     hits = hits.withColumn("found", so_far)
-    inside = (F.col("rank") <= k).cast("int")
-    sums = hits.groupBy("user_id").agg(
-        F.sum(F.col("hit") * inside / F.log2(F.col("rank") + 1.0)).alias("dcg"), F.sum(F.col("hit") * inside * F.col("found") / F.col("rank")).alias("precisions"),
-        F.sum(F.col("hit") * inside).alias("n_hits"), F.sum(inside).alias("n_list"), F.min(F.when(F.col("hit") == 1, F.col("rank"))).alias("first"),
-    )
-    both = sizes.join(sums, "user_id", "left").fillna(0, ["dcg", "precisions", "n_hits", "n_list"])
-    top = F.least(F.col("g"), F.lit(k))
-    ideal = F.aggregate(F.sequence(F.lit(1), top.cast("int")), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1.0))
-    return both.select(
-        "user_id", (F.col("dcg") / ideal).alias("ndcg"), (F.col("precisions") / top).alias("map"), F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("mrr"),
-        (F.col("n_hits") / F.col("g")).alias("recall"), F.when(F.col("n_list") > 0, F.col("n_hits") / F.col("n_list")).otherwise(0.0).alias("precision"), (F.col("n_hits") > 0).cast("double").alias("hit_rate"),
-    )
+    sums = [F.min(F.when(F.col("hit") == 1, F.col("rank"))).alias("first")]
+    for k in ks:
+        inside = (F.col("rank") <= k).cast("int")
+        sums += [
+            F.sum(F.col("hit") * inside / F.log2(F.col("rank") + 1.0)).alias(f"dcg_{k}"), F.sum(F.col("hit") * inside * F.col("found") / F.col("rank")).alias(f"precisions_{k}"),
+            F.sum(F.col("hit") * inside).alias(f"n_hits_{k}"), F.sum(inside).alias(f"n_list_{k}"),
+        ]
+    both = sizes.join(hits.groupBy("user_id").agg(*sums), "user_id", "left").fillna(0, [f"{c}_{k}" for k in ks for c in ("dcg", "precisions", "n_hits", "n_list")])
+    out = []
+    for k in ks:
+        c = {name: F.col(f"{name}_{k}") for name in ("dcg", "precisions", "n_hits", "n_list")}
+        top = F.least(F.col("g"), F.lit(k))
+        ideal = F.aggregate(F.sequence(F.lit(1), top.cast("int")), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1.0))
+        precision = F.when(c["n_list"] > 0, c["n_hits"] / c["n_list"]).otherwise(0.0)
+        out.append(F.struct((c["dcg"] / ideal).alias("ndcg"), (c["precisions"] / top).alias("map"), (c["n_hits"] / F.col("g")).alias("recall"), precision.alias("precision"), (c["n_hits"] > 0).cast("double").alias("hit_rate")).alias(f"m_{k}"))
+    return both.select("user_id", F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("mrr"), *out)
+
+
+def per_user(lists: DataFrame, truth: DataFrame, k: int) -> DataFrame:
+    """NDCG, average precision, recall, precision, hit rate at ``k`` and reciprocal rank of each user with truth."""
+    return _user_metrics(lists, truth, (k,)).select("user_id", f"m_{k}.*", "mrr")
 
 
 def evaluate(lists: DataFrame, truth: DataFrame, ks: tuple[int, ...] = (10, 50, 100)) -> DataFrame:
-    """Long form ``metric, k, value``: means over users with truth."""
-    out = None
-    for k in ks:
-        names = ["ndcg", "map", "recall", "precision", "hit_rate"] + (["mrr"] if k == ks[0] else [])
-        means = per_user(lists, truth, k).agg(*(F.avg(c).alias(c) for c in names))
-        rows = means.select(F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in names))).alias("x")).select("x.metric", F.lit(k).cast("long").alias("k"), "x.value")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """Long form ``metric, k, value``: means over users with truth, all from one pass over the lists."""
+    names = ["ndcg", "map", "recall", "precision", "hit_rate"]
+    means = _user_metrics(lists, truth, ks).agg(F.avg("mrr").alias("mrr"), *(F.avg(f"m_{k}.{c}").alias(f"{c}_{k}") for k in ks for c in names))
+    row = lambda c, k, value: F.struct(F.lit(c).alias("metric"), F.lit(k).cast("long").alias("k"), F.col(value).alias("value"))
+    rows = [row("mrr", ks[0], "mrr"), *(row(c, k, f"{c}_{k}") for k in ks for c in names)]
+    return means.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
 
 
 def coverage(lists: DataFrame, n_items: int) -> DataFrame:
@@ -63,21 +75,51 @@ def novelty(lists: DataFrame, rows: DataFrame, top: int = 20, unknown: float = 1
     return shown.groupBy("user_id").agg(F.avg(-F.log2(F.coalesce("p", F.lit(unknown)) + 1e-10)).alias("novelty"))
 
 
-def micro_recall(lists: DataFrame, truth: DataFrame, k: int, users: int = 1000) -> DataFrame:
-    """Hits over truth, summed over the first ``users`` users by id."""
-    some = truth.select("user_id").distinct().orderBy("user_id").limit(users)
-    t = truth.join(some, "user_id", "left_semi")
+def micro_recall(lists: DataFrame, truth: DataFrame, k: int, users: int | None = None) -> DataFrame:
+    """Hits over truth, summed over all users, or over the first ``users`` users by id."""
+    t = truth if users is None else truth.join(truth.select("user_id").distinct().orderBy("user_id").limit(users), "user_id", "left_semi")
     hits = t.join(lists.where(F.col("rank") <= k), ["user_id", "item_id"], "left_semi").agg(F.count("*").alias("hits"))
     return hits.crossJoin(t.agg(F.count("*").alias("truth"))).select((F.col("hits") / F.greatest(F.col("truth"), F.lit(1))).alias("recall"))
 
 
-def info_nce(batch: DataFrame, temperature: float = 0.07) -> DataFrame:
-    """``id, u, v``: mean of log-sum-exp over the batch minus the own logit."""
-    v = batch.select(F.col("id").alias("other"), F.col("v").alias("w"))
-    logits = batch.select("id", "u").crossJoin(F.broadcast(v)).select("id", "other", (dot("u", "w") / temperature).alias("l"))
-    top = logits.groupBy("id").agg(F.max("l").alias("m"))
-    sums = logits.join(top, "id").groupBy("id").agg((F.max("m") + F.log(F.sum(F.exp(F.col("l") - F.col("m"))))).alias("lse"), F.max(F.when(F.col("id") == F.col("other"), F.col("l"))).alias("own"))
-    return sums.agg(F.avg(F.col("lse") - F.col("own")).alias("loss"))
+def _negatives(temperature: float, hardest: int | None):
+    """Of a batch in blocks: own logit, maximum, and sum of exponentials of the others (or the hardest others) beneath it."""
+
+    def meet(ids, x, items, y):
+        s = x @ y.T / temperature
+        own = ids[:, None] == items[None, :]
+        logit = np.where(own.any(axis=1), np.where(own, s, 0).sum(axis=1), np.nan)
+        s[own] = -np.inf
+        if hardest is not None:
+            s = -np.sort(-s, axis=1)[:, :hardest]
+            return {"id": ids, "own": logit, "others": pa.array(list(s))}
+        top = np.maximum(s.max(axis=1), np.nan_to_num(logit, nan=-np.inf))
+        return {"id": ids, "own": logit, "top": top, "total": np.exp(s - top[:, None]).sum(axis=1)}
+
+    return meet
+
+
+def info_nce(batch: DataFrame, temperature: float = 0.07, small: int = SMALL_ROWS) -> DataFrame:
+    """``id, u, v``: mean of log-sum-exp over the batch minus the own logit.
+
+    Blocks of the batch meet two by two; of each only a maximum and a sum is kept for every id.
+    """
+    q, i = batch.select("id", F.col("u").alias("v")), batch.select(F.col("id").alias("item_id"), "v")
+    parts = meet_all(q, i, "id", _negatives(temperature, None), "id long, own double, top double, total double", small)
+    parts = parts.withColumn("own", F.nanvl("own", F.lit(None)))
+    top = F.max("top").over(Window.partitionBy("id"))
+    per = parts.withColumn("m", top).groupBy("id").agg(F.max("m").alias("m"), F.max("own").alias("own"), F.sum(F.col("total") * F.exp(F.col("top") - F.col("m"))).alias("s"))
+    return per.agg(F.avg(F.col("m") + F.log(F.col("s") + F.exp(F.col("own") - F.col("m"))) - F.col("own")).alias("loss"))
+
+
+def in_batch_hard_negatives(batch: DataFrame, hardest: int = 10, margin: float = 0.2, small: int = SMALL_ROWS) -> DataFrame:
+    """``id, u, v``: mean over the ``hardest`` other items of the batch of max(0, margin + their similarity - the own)."""
+    q, i = batch.select("id", F.col("u").alias("v")), batch.select(F.col("id").alias("item_id"), "v")
+    parts = meet_all(q, i, "id", _negatives(1.0, hardest), "id long, own double, others array<double>", small)
+    own = parts.where(~F.isnan("own")).select("id", "own")
+    others = parts.select("id", F.explode("others").alias("s")).where(F.col("s") > float("-inf"))
+    others = others.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("s")))).where(F.col("r") <= hardest)
+    return others.join(own, "id").agg(F.avg(F.greatest(F.lit(0.0), margin + F.col("s") - F.col("own"))).alias("loss"))
 
 
 def bpr(triples: DataFrame) -> DataFrame:
@@ -86,10 +128,33 @@ def bpr(triples: DataFrame) -> DataFrame:
 
 
 def sampled_softmax(triples: DataFrame, temperature: float = 0.07) -> DataFrame:
-    """One positive against one sampled negative: mean of -ln softmax."""
+    """``id, u, p, n``, a row for each sampled negative: mean over ids of -ln softmax of the positive among all of its rows."""
     d = (dot("u", "n") - dot("u", "p")) / temperature
-    return triples.agg(F.avg(F.log1p(F.exp(d))).alias("loss"))
+    return triples.groupBy("id").agg(F.log1p(F.sum(F.exp(d))).alias("l")).agg(F.avg("l").alias("loss"))
 
 
 def hard_negative(triples: DataFrame, margin: float = 0.2) -> DataFrame:
     return triples.agg(F.avg(F.greatest(F.lit(0.0), margin + dot("u", "n") - dot("u", "p"))).alias("loss"))
+
+
+def with_hard_negatives(batch: DataFrame, triples: DataFrame, weight: float = 0.5, margin: float = 0.0, temperature: float = 0.07) -> DataFrame:
+    """In-batch loss plus ``weight`` times the margin loss over given hard negatives."""
+    both = info_nce(batch, temperature).withColumnRenamed("loss", "base").crossJoin(hard_negative(triples, margin))
+    return both.select((F.col("base") + weight * F.col("loss")).alias("loss"))
+
+
+#: Losses by name: those of a batch (``id, u, v``) and those of triples (``id, u, p, n``).
+LOSSES = {"infonce": info_nce, "in_batch_hard_negative": in_batch_hard_negatives, "bpr": bpr, "sampled_softmax": sampled_softmax, "hard_negative": hard_negative}
+
+
+def loss(name: str, rows: DataFrame, **settings) -> DataFrame:
+    if name not in LOSSES:
+        raise ValueError(f"no loss is called {name}; there are {', '.join(LOSSES)}")
+    return LOSSES[name](rows, **settings)
+
+
+def learning_rates(spark: SparkSession, steps: int, warmup: int, base: float, least: float = 0.0) -> DataFrame:
+    """``step, rate``: a linear rise over ``warmup`` steps, then half a cosine down to ``least``."""
+    step = F.col("id")
+    down = least + (base - least) * 0.5 * (1 + F.cos(F.lit(math.pi) * (step - warmup) / max(1, steps - warmup)))
+    return spark.range(steps).select(step.alias("step"), F.when(step < warmup, base * (step + 1) / max(1, warmup)).otherwise(down).alias("rate"))

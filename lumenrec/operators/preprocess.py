@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import small_side, stored
+
 
 def parse_movies(movies: DataFrame) -> DataFrame:
     """Genre list, first four-digit year and title without a trailing year."""
@@ -92,22 +96,65 @@ def sample_negatives(rows: DataFrame, ratio: int = 4, seed: int = 42) -> DataFra
     """
     seen = rows.select("user_id", "item_id").distinct()
     wanted = seen.groupBy("user_id").agg((F.count("*") * ratio).alias("wanted"))
-    items = seen.select("item_id").distinct()
-    candidates = wanted.crossJoin(F.broadcast(items)).join(seen, ["user_id", "item_id"], "left_anti")
+    return _ranked_negatives(seen, wanted, seed)
+
+
+def _ranked_negatives(seen: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
+    items = small_side(seen.select("item_id").distinct(), 200_000)
+    candidates = wanted.crossJoin(items).join(seen, ["user_id", "item_id"], "left_anti")
     key = F.md5(F.concat_ws(":", F.lit(seed), "user_id", "item_id"))
     rank = F.row_number().over(Window.partitionBy("user_id").orderBy(key, "item_id"))
     return candidates.withColumn("r", rank).where("r <= wanted").select("user_id", "item_id")
 
 
-def sample_negatives_drawn(rows: DataFrame, n_items: int, ratio: int = 4, seed: int = 42) -> DataFrame:
-    """Twice as many draws as wanted by integer arithmetic, distinct and unseen; may give fewer."""
+def sample_negatives_drawn(rows: DataFrame, ratio: int = 4, seed: int = 42) -> DataFrame:
+    """Per user min(ratio * positives, remaining) unseen items from uniform draws over the items' dense index.
+
+    Three draws for each item wanted, by a hash, distinct and unseen, first come first served. Users
+    who want a large part of the catalog, and those whose draws did not suffice, are ranked over
+    all items instead (``sample_negatives``), so none comes short.
+    """
     seen = rows.select("user_id", "item_id").distinct()
-    wanted = seen.groupBy("user_id").agg((F.count("*") * ratio).alias("wanted"))
-    draws = wanted.withColumn("j", F.explode(F.sequence(F.lit(1), 2 * F.col("wanted"))))
-    draws = draws.withColumn("item_id", F.pmod(F.col("user_id") * 7919 + F.col("j") * 104729 + seed, F.lit(n_items)).cast("long"))
+    index = stored(dense_index(seen, "item_id", "at"))
+    n = index.count()
+    wanted = seen.groupBy("user_id").agg(F.count("*").alias("own"), (F.count("*") * ratio).alias("wanted"))
+    draws = wanted.where(2 * (F.col("own") + F.col("wanted")) <= n).withColumn("j", F.explode(F.sequence(F.lit(1).cast("long"), 3 * F.col("wanted"))))
+    number = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "user_id", "j")), 1, 12), 16, 10).cast("long")
+    draws = draws.withColumn("at", number % n).join(small_side(index, 200_000), "at")
     fresh = draws.groupBy("user_id", "item_id").agg(F.min("j").alias("j"), F.first("wanted").alias("wanted")).join(seen, ["user_id", "item_id"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("user_id").orderBy("j"))
-    return fresh.withColumn("r", rank).where("r <= wanted").select("user_id", "item_id")
+    drawn = stored(fresh.withColumn("r", rank).where("r <= wanted").select("user_id", "item_id"))
+    enough = drawn.groupBy("user_id").agg(F.count("*").alias("got")).join(wanted, "user_id").where("got = wanted").select("user_id")
+    rest = wanted.join(enough, "user_id", "left_anti").select("user_id", "wanted")
+    return drawn.join(enough, "user_id", "left_semi").unionByName(_ranked_negatives(seen, rest, seed))
+
+
+def sample_split(rows: DataFrame, most: int, order: list[str], train: float = 0.8, seed: int = 42) -> DataFrame:
+    """At most ``most`` rows, drawn by a portable hash of ``order`` (a key of the rows), then split by position in that hash's order.
+
+    Adds ``split``: train for the first floor(n * train) rows, val for the rest.
+    """
+    key = F.md5(F.concat_ws(":", F.lit(seed), *order))
+    some = rows.withColumn("_h", key).orderBy("_h", *order).limit(most)
+    placed = stored(some.join(dense_index(some, "_h", "_at"), "_h"))
+    n = placed.count()
+    return placed.select(*rows.columns, F.when(F.col("_at") < math.floor(n * train), "train").otherwise("val").alias("split"))
+
+
+def shuffled(rows: DataFrame, order: list[str], seed: int = 42) -> DataFrame:
+    """``rows`` in the order of a seeded hash of ``order``, with that place from 0."""
+    hashed = rows.withColumn("_h", F.md5(F.concat_ws(":", F.lit(seed), *order)))
+    return hashed.join(dense_index(hashed, "_h", "place"), "_h").drop("_h")
+
+
+def year_of(date: Column) -> Column:
+    """The year of a date written ``yyyy-mm-dd``; null for anything else before the first hyphen."""
+    return F.split(date, "-")[0].try_cast("int")
+
+
+def item_text(title: Column, tags: Column) -> Column:
+    """Title and tags as one text; what is missing is empty."""
+    return F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(tags, F.lit("")))
 
 
 def interaction_dataset(rows: DataFrame, ratio: int = 4, seed: int = 42) -> DataFrame:

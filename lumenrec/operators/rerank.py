@@ -16,9 +16,10 @@ def business_rules(candidates: DataFrame, watched: DataFrame, promoted: list[int
 
     Promotion looks at the unfiltered list: a watched item that is promoted comes back.
     """
-    rest = candidates.join(watched.select("user_id", "item_id").distinct(), ["user_id", "item_id"], "left_anti").where(~F.col("item_id").isin(promoted))
-    first = candidates.where(F.col("item_id").isin(promoted)).withColumn("score", F.lit(PROMOTED_SCORE))
-    both = rest.select("user_id", "item_id", "score").unionByName(first.select("user_id", "item_id", "score"))
+    seen = watched.select("user_id", "item_id").distinct().withColumn("_seen", F.lit(True))
+    first = F.col("item_id").isin(promoted)
+    both = candidates.join(seen, ["user_id", "item_id"], "left").where(first | F.col("_seen").isNull()).drop("_seen")
+    both = both.withColumn("score", F.when(first, F.lit(PROMOTED_SCORE)).otherwise(F.col("score")))
     rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("score"), "item_id"))
     return both.withColumn("rank", rank.cast("long"))
 
@@ -68,6 +69,5 @@ def mmr(candidates: DataFrame, k: int, weight: float = 0.7) -> DataFrame:
 
 def rerank(candidates: DataFrame, watched: DataFrame, promoted: list[int], k: int) -> DataFrame:
     """Rules, then freshness by ``age_days``, then the best ``k``."""
-    ruled = business_rules(candidates, watched, promoted).drop("rank")
-    aged = ruled.join(candidates.select("user_id", "item_id", "age_days"), ["user_id", "item_id"])
-    return top_k(aged.select("user_id", "item_id", F.round(freshness(F.col("score"), F.col("age_days")), 6).alias("score")), "user_id", k)
+    ruled = business_rules(candidates, watched, promoted)
+    return top_k(ruled.select("user_id", "item_id", F.round(freshness(F.col("score"), F.col("age_days")), 6).alias("score")), "user_id", k)

@@ -7,10 +7,13 @@ import math
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.blocks import SMALL_ROWS, best, meet_all
 from ..functions.vectors import dot, mean_vector, normalise
+from ..sources.store import stored
+from .preprocess import dense_index
 
 
 def user_vectors(rows: DataFrame, items: DataFrame) -> DataFrame:
@@ -19,34 +22,20 @@ def user_vectors(rows: DataFrame, items: DataFrame) -> DataFrame:
     return mean.select("user_id", normalise("v").alias("v"))
 
 
-def small_side(df: DataFrame, bound: int) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``bound`` rows."""
-    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
-
-
 def top_k(scored: DataFrame, by: str, k: int, score: str = "score", tie: str = "item_id") -> DataFrame:
     """Best ``k`` rows of each ``by`` with ``rank`` from 1."""
     rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(score), tie))
     return scored.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
 
 
-def knn(queries: DataFrame, items: DataFrame, by: str, k: int, drop_self: bool = False, bound: int = 200_000) -> DataFrame:
-    """Exact inner-product neighbours of ``queries(by, v)`` among ``items(item_id, v)``.
+def knn(queries: DataFrame, items: DataFrame, by: str, k: int, drop_self: bool = False, small: int = SMALL_ROWS) -> DataFrame:
+    """Exact inner-product neighbours of ``queries(by, v)`` among ``items(item_id, v)``, scores to six places.
 
-    The items are broadcast while they are at most ``bound``; a larger catalog is dealt in
-    blocks, queries meet every block, and the best k of each block are merged.
+    Blocks of queries meet blocks of items in matrix products; only each block's best ``k`` leave
+    a task. For catalogs where all pairs are too many there is ``ivf_search``.
     """
-    score = F.round(dot("qv", "v"), 6)
-    q = queries.withColumnRenamed("v", "qv")
-    if items.limit(bound + 1).count() <= bound:
-        pairs = q.crossJoin(F.broadcast(items))
-    else:
-        blocks = items.count() // bound + 1
-        dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)))
-        pairs = q.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(dealt, "block")
-    if drop_self:
-        pairs = pairs.where(F.col(by) != F.col("item_id"))
-    return top_k(pairs.select(by, "item_id", score.alias("score")), by, k)
+    found = meet_all(queries, items, by, best(by, k, drop_self), f"{by} long, item_id long, score double", small)
+    return top_k(found.select(by, "item_id", F.round("score", 6).alias("score")), by, k)
 
 
 def similar_items(items: DataFrame, k: int) -> DataFrame:
@@ -61,11 +50,19 @@ def similar_in_catalog(items: DataFrame, catalog: DataFrame, k: int) -> DataFram
 
 def recommend(users: DataFrame, items: DataFrame, seen: DataFrame | None, k: int, retrieve: int = 100) -> DataFrame:
     """Retrieves ``retrieve`` items a user, drops seen ones, returns the best ``k`` and the number retrieved."""
-    found = knn(users, items, "user_id", retrieve)
-    n = found.groupBy("user_id").agg(F.count("*").alias("num_candidates"))
+    found = knn(users, items, "user_id", retrieve).withColumn("num_candidates", F.count("*").over(Window.partitionBy("user_id")))
     if seen is not None:
         found = found.join(seen.select("user_id", "item_id").distinct(), ["user_id", "item_id"], "left_anti")
-    return top_k(found.drop("rank"), "user_id", k).join(n, "user_id")
+    return top_k(found.drop("rank"), "user_id", k).select("user_id", "item_id", "score", "rank", "num_candidates")
+
+
+def recommend_for(asked: DataFrame, users: DataFrame, items: DataFrame, seen: DataFrame | None, k: int, retrieve: int = 100) -> DataFrame:
+    """Recommendations for the users of ``asked(user_id)``; one who is not known gets a row that says so."""
+    asked = asked.select("user_id").distinct()
+    found = recommend(users.join(asked, "user_id", "left_semi"), items, seen, k, retrieve).drop("num_candidates")
+    known = asked.join(users.select("user_id", F.lit(True).alias("known")), "user_id", "left")
+    out = known.join(found, "user_id", "left")
+    return out.select("user_id", "item_id", "score", "rank", F.when(F.col("known"), F.lit(None).cast("string")).otherwise(F.lit("User not found")).alias("error"))
 
 
 def sq8_codes(items: DataFrame) -> DataFrame:
@@ -88,29 +85,78 @@ def ivf_fit(items: DataFrame, cells: int, seed: int = 3, sample: int = 100_000):
     return KMeans(k=cells, seed=seed, maxIter=15, featuresCol="f", predictionCol="cell_id").fit(train.select(array_to_vector("v").alias("f")))
 
 
-def ivf_search(queries: DataFrame, items: DataFrame, by: str, k: int, cells: int, probes: int, seed: int = 3) -> DataFrame:
-    """Neighbours among the cells of the ``probes`` centroids nearest to the query; an equi-join on the cell."""
+class IvfIndex:
+    """``placed(item_id, v, cell_id)``: every item in its cell; ``centres(cell_id, c)``."""
+
+    def __init__(self, placed: DataFrame, centres: DataFrame):
+        self.placed, self.centres = placed, centres
+
+    def save(self, path: str) -> None:
+        """Items by cell, so that a search for few cells reads few folders, and the centroids beside them."""
+        self.placed.repartition("cell_id").write.mode("overwrite").partitionBy("cell_id").parquet(f"{path}/placed")
+        self.centres.write.mode("overwrite").parquet(f"{path}/centres")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> IvfIndex:
+        placed = spark.read.schema("item_id long, v array<double>, cell_id int").parquet(f"{path}/placed")
+        return IvfIndex(placed, spark.read.parquet(f"{path}/centres"))
+
+
+def ivf_build(items: DataFrame, cells: int, seed: int = 3) -> IvfIndex:
+    """Every item goes to the cell of its nearest centroid."""
     model = ivf_fit(items, cells, seed)
-    spark = items.sparkSession
-    centres = F.broadcast(spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cell_id int, c array<double>"))
+    centres = items.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cell_id int, c array<double>")
     placed = model.transform(items.withColumn("f", array_to_vector("v"))).select("item_id", "v", "cell_id")
-    near = queries.withColumnRenamed("v", "qv").crossJoin(centres).select(by, "qv", "cell_id", dot("qv", "c").alias("s"))
-    near = near.withColumn("r", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("s"), "cell_id"))).where(F.col("r") <= probes)
-    return top_k(near.join(placed, "cell_id").select(by, "item_id", F.round(dot("qv", "v"), 6).alias("score")), by, k)
+    return IvfIndex(stored(placed), stored(centres))
+
+
+def _probed(index: IvfIndex, queries: DataFrame, by: str, probes: int) -> DataFrame:
+    """The cells of each query's nearest centroids, in order: ``by, cell_id, r``."""
+    centres = index.centres.select(F.col("cell_id").alias("item_id"), F.col("c").alias("v"))
+    near = meet_all(queries, centres, by, best(by, probes), f"{by} long, item_id long, score double")
+    near = near.withColumn("r", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), "item_id")))
+    return near.where(F.col("r") <= probes).select(by, F.col("item_id").cast("int").alias("cell_id"), "r")
+
 
+def ivf_search(index: IvfIndex, queries: DataFrame, by: str, k: int, probes: int) -> DataFrame:
+    """Neighbours among the cells of the ``probes`` centroids nearest to the query; an equi-join on the cell."""
+    near = _probed(index, queries, by, probes).join(queries.withColumnRenamed("v", "qv"), by)
+    return top_k(near.join(index.placed, "cell_id").select(by, "item_id", F.round(dot("qv", "v"), 6).alias("score")), by, k)
+
+
+def ivf_tune(index: IvfIndex, queries: DataFrame, items: DataFrame, by: str, k: int, recall: float = 0.95) -> tuple[int, DataFrame]:
+    """The fewest probes with the wanted recall at ``k`` on ``queries``, and the recall by number of probes.
+
+    One exact search gives the true neighbours. The place of a neighbour's cell among the
+    query's centroids is the number of probes that finds it, so all numbers are judged at once.
+    """
+    cells = index.centres.count()
+    exact = knn(queries, items, by, k).join(index.placed.select("item_id", "cell_id"), "item_id")
+    found = exact.join(_probed(index, queries, by, cells), [by, "cell_id"]).groupBy(F.col("r").alias("probes")).agg(F.count("*").alias("n"))
+    share = F.sum("n").over(Window.orderBy("probes")) / F.sum("n").over(Window.partitionBy())
+    curve = stored(found.withColumn("recall", share).select("probes", "recall"))  # a row for each number of probes
+    row = curve.where(F.col("recall") >= recall).agg(F.min("probes")).first()
+    return (row[0] or cells), curve
+
+
+def pq_search(queries: DataFrame, items: DataFrame, by: str, k: int, parts: int = 8, codes: int = 256, seed: int = 3, fetch: int = 20, sample: int = 100_000) -> DataFrame:
+    """Product quantisation, then exact scores of ``fetch`` times ``k`` candidates.
 
-def pq_search(queries: DataFrame, items: DataFrame, by: str, k: int, parts: int = 8, codes: int = 32, seed: int = 3) -> DataFrame:
-    """Product quantisation: each part of a vector is replaced by its nearest centroid's."""
+    Each part of a vector is replaced by its nearest centroid's (fitted on at most ``sample``
+    vectors); the candidates by these are ranked again by their own vectors.
+    """
     dim = len(items.first()["v"])
     width = dim // parts
-    coded = items
+    coded, train = items, items.orderBy(F.xxhash64("item_id")).limit(sample)
     for p in range(parts):
         piece = F.slice("v", p * width + 1, width)
-        model = KMeans(k=codes, seed=seed + p, maxIter=10, featuresCol="f", predictionCol="code").fit(items.select(array_to_vector(piece).alias("f")))
+        model = KMeans(k=codes, seed=seed + p, maxIter=10, featuresCol="f", predictionCol="code").fit(train.select(array_to_vector(piece).alias("f")))
         centres = items.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], f"code int, c{p} array<double>")
         coded = model.transform(coded.withColumn("f", array_to_vector(piece))).drop("f").join(F.broadcast(centres), "code").drop("code")
     read = coded.select("item_id", F.concat(*(F.col(f"c{p}") for p in range(parts))).alias("v"))
-    return knn(queries, read, by, k)
+    candidates = knn(queries, read, by, fetch * k).select(by, "item_id")
+    exact = candidates.join(queries.withColumnRenamed("v", "qv"), by).join(items, "item_id")
+    return top_k(exact.select(by, "item_id", F.round(dot("qv", "v"), 6).alias("score")), by, k)
 
 
 def lsh_search(queries: DataFrame, items: DataFrame, by: str, k: int, width: float = 1.0, tables: int = 6, seed: int = 3) -> DataFrame:
@@ -155,3 +201,14 @@ def select_best(results: DataFrame, least_recall: float = 0.95) -> DataFrame:
 
 def auto_cells(n: int) -> int:
     return max(1, math.isqrt(n))
+
+
+def batched(ids: DataFrame, vectors: DataFrame, rows: int = 1024) -> DataFrame:
+    """Vectors as they are exported: ``batch, place, item_id, v`` in the order of the ids' dense index."""
+    index = dense_index(ids, "item_id", "idx").join(vectors, "item_id")
+    return index.select(F.floor(F.col("idx") / rows).cast("long").alias("batch"), (F.col("idx") % rows).cast("long").alias("place"), "item_id", "v")
+
+
+def training_subset(items: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` rows by a portable hash of the id."""
+    return items.orderBy(F.md5(F.col("item_id").cast("string")), "item_id").limit(most)

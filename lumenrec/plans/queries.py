@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +13,7 @@ from ..operators import rerank as K
 from ..operators import retrieval as R
 from ..operators import search as S
 from ..sources import tables as T
+from ..sources.store import shared_path, stored
 from ..streaming import events as E
 
 QUERIES: dict[str, object] = {}
@@ -57,8 +56,8 @@ def _users(spark, d):
 
 
 def _lists(spark, d, k=100):
-    """Top ``k`` of every user over all items: the lists that the metrics judge."""
-    return R.knn(_users(spark, d), T.item_vectors(spark, d), "user_id", k)
+    """Top ``k`` of every user over all items, stored: the lists that are judged and ranked again."""
+    return stored(R.knn(_users(spark, d), T.item_vectors(spark, d), "user_id", k))
 
 
 def _truth(spark, d):
@@ -75,7 +74,7 @@ def ratings_scan(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {INTER} select user_id, item_id, rating, sec from (select *, row_number() over (order by sec, user_id, item_id, rating) r from inter) where r <= 1000")
 def csv_first_rows(spark: SparkSession, d: str) -> DataFrame:
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/lumenrec-checkpoints'}/{uuid.uuid4().hex}"
+    path = shared_path(spark)
     T.interactions(spark, d).select("user_id", "item_id", "rating", "sec").write.csv(path, header=True)
     return T.read_ratings_csv(spark, path, 1000)
 
@@ -122,21 +121,14 @@ def _kcore_sql(users: int, items: int) -> str:
     return f"with {', '.join(parts)} select user_id, item_id, rating, sec from {last}"
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/lumenrec-checkpoints")
-    return df.checkpoint()
-
-
 @query(_kcore_sql(5, 5))
 def kcore_filter(spark: SparkSession, d: str) -> DataFrame:
-    return P.k_core(T.ratings_big(spark, d), cut=_cut)
+    return P.k_core(T.ratings_big(spark, d), cut=stored)
 
 
 @query(_kcore_sql(30, 20))
 def kcore_cascade(spark: SparkSession, d: str) -> DataFrame:
-    return P.k_core(T.ratings_big(spark, d), 30, 20, cut=_cut)
+    return P.k_core(T.ratings_big(spark, d), 30, 20, cut=stored)
 
 
 @query(f"with {BIG}, u as (select user_id, row_number() over (order by user_id) - 1 user_idx from (select distinct user_id from big)), i as (select item_id, row_number() over (order by item_id) - 1 item_idx from (select distinct item_id from big)) select user_id, item_id, rating, sec, user_idx, item_idx from big join u using (user_id) join i using (item_id)")
@@ -164,13 +156,50 @@ def negative_sampling(spark: SparkSession, d: str) -> DataFrame:
     return P.sample_negatives(T.interactions(spark, d))
 
 
-@query(f"""with {BIG}, seen as (select distinct user_id, item_id from big), want as (select user_id, count(*) * 4 w from seen group by user_id), ni as (select max(item_id) + 1 n from big),
- draws as (select user_id, min(j) j, any_value(w) w, item_id from (select user_id, w, j, (user_id * 7919 + j * 104729 + 42) % n item_id from (select user_id, w, unnest(range(1, 2 * w + 1)) j from want), ni) group by user_id, item_id),
- fresh as (select d.* from draws d anti join seen s on s.user_id = d.user_id and s.item_id = d.item_id)
- select user_id, item_id from (select *, row_number() over (partition by user_id order by j) r from fresh) where r <= w""")
+@query(f"""with {BIG}, seen as (select distinct user_id, item_id from big), idx as (select item_id, row_number() over (order by item_id) - 1 x from (select distinct item_id from seen)), ni as (select count(*) n from idx),
+ want as (select user_id, count(*) own, count(*) * 4 w from seen group by user_id),
+ draws as (select user_id, j, w, ('0x' || substr(md5('42:' || user_id || ':' || j), 1, 12))::bigint % n x from (select user_id, w, unnest(range(1, 3 * w + 1)) j from want, ni where 2 * (own + w) <= n), ni),
+ fresh as (select d.user_id, i.item_id, min(j) j, any_value(w) w from draws d join idx i using (x) anti join seen s on s.user_id = d.user_id and s.item_id = i.item_id group by all),
+ drawn as materialized (select user_id, item_id, w from (select *, row_number() over (partition by user_id order by j) r from fresh) where r <= w),
+ enough as (select user_id from drawn group by user_id having count(*) = any_value(w)),
+ rest as (select user_id, item_id from (select w.user_id, i.item_id, w, row_number() over (partition by w.user_id order by md5('42:' || w.user_id || ':' || i.item_id), i.item_id) r
+ from (select * from want anti join enough using (user_id)) w cross join idx i anti join seen s on s.user_id = w.user_id and s.item_id = i.item_id) where r <= w)
+ select user_id, item_id from drawn semi join enough using (user_id) union all select * from rest""")
 def negative_sampling_drawn(spark: SparkSession, d: str) -> DataFrame:
-    rows = T.ratings_big(spark, d)
-    return P.sample_negatives_drawn(rows, rows.agg(F.max("item_id") + 1).first()[0])
+    return P.sample_negatives_drawn(T.ratings_big(spark, d))
+
+
+HASHED = "h as (select event_id, md5('42:' || event_id) h from events)"
+
+
+@query(f"with {HASHED}, picked as (select event_id, row_number() over (order by h, event_id) - 1 x from h), n as (select least(count(*), 5000) n from h) select event_id, case when x < floor(n * 0.8) then 'train' else 'val' end split from picked, n where x < n")
+def sample_split(spark: SparkSession, d: str) -> DataFrame:
+    return P.sample_split(T.interactions(spark, d).select("event_id"), 5000, ["event_id"])
+
+
+@query(f"with {HASHED} select event_id, row_number() over (order by h) - 1 place from h")
+def shuffle_rows(spark: SparkSession, d: str) -> DataFrame:
+    return P.shuffled(T.interactions(spark, d).select("event_id"), ["event_id"])
+
+
+@query("select p_partkey item_id, regexp_replace(p_name || ' (' || cast(1950 + p_size as varchar) || ')', '\\s*\\(\\d{4}\\)\\s*$', '') || ' ' || case when p_partkey % 5 = 0 then '' else lower(p_name) end \"text\" from part")
+def title_tags_text(spark: SparkSession, d: str) -> DataFrame:
+    m = P.parse_movies(T.movies(spark, d)).withColumn("tags", F.when(F.col("item_id") % 5 != 0, F.lower("tag_text")))
+    return m.select("item_id", P.item_text(F.col("clean_title"), F.col("tags")).alias("text"))
+
+
+DATES = "dates as (select p_partkey item_id, case when p_partkey % 9 = 0 then null when p_partkey % 7 = 0 then 'unknown' else cast(1950 + p_size as varchar) || '-05-' || lpad(cast(p_partkey % 28 + 1 as varchar), 2, '0') end release_date from part)"
+
+
+def _dates(spark, d):
+    i = F.col("p_partkey")
+    text = F.concat((F.lit(1950) + F.col("p_size")).cast("string"), F.lit("-05-"), F.lpad((i % 28 + 1).cast("string"), 2, "0"))
+    return T.read(spark, d, "part").select(i.alias("item_id"), F.when(i % 9 == 0, None).when(i % 7 == 0, "unknown").otherwise(text).alias("release_date"))
+
+
+@query(f"with {DATES} select item_id, try_cast(split_part(release_date, '-', 1) as int) \"year\" from dates")
+def release_year(spark: SparkSession, d: str) -> DataFrame:
+    return _dates(spark, d).select("item_id", P.year_of(F.col("release_date")).alias("year"))
 
 
 @query(f"with {INTER}, {NEG} select user_id, item_id, 1 \"label\" from seen union all select user_id, item_id, 0 from neg")
@@ -231,14 +260,13 @@ def genre_multihot(spark: SparkSession, d: str) -> DataFrame:
     return X.genre_multihot(P.parse_movies(T.movies(spark, d)))
 
 
-@query("""with tok as (select doc_id item_id, unnest(regexp_extract_all(lower(text), '\\b[a-z0-9_]{2,}\\b')) term from (select doc_id, regexp_replace(text, '[^A-Za-z0-9_]+', ' ', 'g') text from documents)),
- tf as (select item_id, term, count(*) tf from tok group by all), terms as (select term, count(*) df, sum(tf) total from tf group by term order by total desc, term limit 1000),
+@query("""with tok as (select doc_id item_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) term from documents),
+ tf as materialized (select item_id, term, count(*) tf from tok group by all), terms as (select term, count(*) df, sum(tf) total from tf group by term order by total desc, term limit 1000),
  n as (select count(*) n from documents), w as (select item_id, term, tf * (ln((1 + n) / (1 + df)) + 1) w from tf join terms using (term), n),
  l as (select item_id, sqrt(sum(w * w)) l from w group by item_id), f as (select term from terms order by term limit 50)
  select item_id, term, round(w / l, 6) weight from w join f using (term) join l using (item_id)""")
 def tag_tfidf(spark: SparkSession, d: str) -> DataFrame:
-    texts = T.read(spark, d, "documents").select(F.col("doc_id").alias("item_id"), F.regexp_replace("text", "[^A-Za-z0-9_]+", " ").alias("text"))
-    return X.tfidf(texts).select("item_id", "term", *_r("weight"))
+    return X.tfidf(T.read(spark, d, "documents").select(F.col("doc_id").alias("item_id"), "text")).select("item_id", "term", *_r("weight"))
 
 
 @query(f"""with {SCORED}, us as (select user_id, avg(rating) um, count(*) uc from inter group by user_id), its as (select item_id, avg(rating) im, count(*) ic from inter group by item_id), pairs as (select distinct user_id, item_id from inter)
@@ -267,11 +295,11 @@ def top_tags(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""with {MOVIES}, links as (select p_partkey item_id, case when p_partkey % 7 = 0 then null when p_partkey % 11 = 0 then 0 else p_partkey + 1000 end tmdb_id from part),
- details as (select doc_id + 1000 tmdb_id, left(text, 40) overview, lang from documents) select item_id, title, tmdb_id, coalesce(overview, '') overview, coalesce(lang, 'en') "language" from movies join links using (item_id) left join details using (tmdb_id) where tmdb_id is not null and tmdb_id <> 0""")
+ details as (select doc_id + 1000 tmdb_id, text overview, lang from documents) select item_id, title, tmdb_id, coalesce(overview, '') overview, coalesce(lang, 'en') "language" from movies join links using (item_id) left join details using (tmdb_id) where tmdb_id is not null and tmdb_id <> 0""")
 def catalog_build(spark: SparkSession, d: str) -> DataFrame:
     p = T.read(spark, d, "part").select(F.col("p_partkey").alias("item_id"))
     links = p.select("item_id", F.when(F.col("item_id") % 7 == 0, None).when(F.col("item_id") % 11 == 0, 0).otherwise(F.col("item_id") + 1000).cast("long").alias("tmdb_id"))
-    details = T.read(spark, d, "documents").select((F.col("doc_id") + 1000).alias("tmdb_id"), F.substring("text", 1, 40).alias("overview"), F.col("lang").alias("language"))
+    details = T.read(spark, d, "documents").select((F.col("doc_id") + 1000).alias("tmdb_id"), F.col("text").alias("overview"), F.col("lang").alias("language"))
     return C.enrich(T.movies(spark, d), links, details)
 
 
@@ -315,6 +343,31 @@ def rule_matches(spark: SparkSession, d: str) -> DataFrame:
     return C.match_rules(T.catalog(spark, d), rules)
 
 
+LINKS = "links as (select p_partkey item_id, case when p_partkey % 7 = 0 then null when p_partkey % 11 = 0 then 0 else p_partkey // 2 + 1000 end tmdb_id from part)"
+
+
+@query(f"with {LINKS}, asked as (select distinct doc_id + 1000 tmdb_id from documents), low as (select tmdb_id, min(item_id) item_id from links where tmdb_id is not null group by tmdb_id) select tmdb_id, item_id from asked left join low using (tmdb_id)")
+def external_id_lookup(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("p_partkey")
+    links = T.read(spark, d, "part").select(i.alias("item_id"), F.when(i % 7 == 0, None).when(i % 11 == 0, 0).otherwise(F.floor(i / 2) + 1000).cast("long").alias("tmdb_id"))
+    return C.by_external_id(links, T.read(spark, d, "documents").select((F.col("doc_id") + 1000).alias("tmdb_id")))
+
+
+@query(f"with {DATES}, parts as (select item_id % 50 collection_id, item_id part_id, case when release_date = 'unknown' then null else release_date end release_date from dates) select c.part_id item_id, p.part_id, p.release_date, row_number() over (partition by c.part_id order by p.release_date nulls last, p.part_id) place from parts c join parts p using (collection_id) where c.part_id <> p.part_id")
+def franchise_order(spark: SparkSession, d: str) -> DataFrame:
+    parts = _dates(spark, d).select((F.col("item_id") % 50).alias("collection_id"), F.col("item_id").alias("part_id"), F.nullif(F.col("release_date"), F.lit("unknown")).alias("release_date"))
+    return C.franchise(parts, parts.select(F.col("part_id").alias("item_id"), "collection_id"))
+
+
+@query("""select p_partkey item_id, case when p_partkey % 4 = 0 then 'https://pics.example/' || p_partkey || '.jpg' when p_partkey % 4 = 1 then 'https://img.example/w500/' || p_partkey || '.jpg' when p_partkey % 4 = 2 then 'https://img.example/w500/alt' || p_partkey end url from part""")
+def poster_urls(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("p_partkey")
+    text, kind = i.cast("string"), i % 4
+    poster = F.when(kind == 0, F.concat(F.lit("https://pics.example/"), text, F.lit(".jpg"))).when(kind == 1, F.concat(F.lit("/"), text, F.lit(".jpg"))).when(kind == 2, "")
+    path = F.when(kind == 2, F.concat(F.lit("/alt"), text)).when(kind == 0, "/unused")
+    return T.read(spark, d, "part").select(i.alias("item_id"), C.poster_url(poster, path, "https://img.example").alias("url"))
+
+
 # --- search and chat -------------------------------------------------------------------------
 
 
@@ -327,7 +380,7 @@ def _search_sql(q: str, expanded: list[str], language: str | None = None, genres
     return f"""with {CATALOG}, s as (select item_id, title, {lang}case when lower(title) = '{q}' then 100 when contains(lower(title), '{q}') then 50 else 0 end
  + coalesce(list_sum(list_transform(tags, lambda t: case when t = '{q}' then 30 when contains(t, '{q}') then 20 when contains('{q}', t) and length(t) > 2 then 25 else 0 end)), 0)
  + coalesce(list_sum(list_transform(tags, lambda t: case when list_contains([{inside}], t) then 15 else 0 end)), 0)
- + coalesce(list_sum(list_transform(genres, lambda g: case when contains(lower(g), '{q}') then 20 else 0 end)), 0){extra} score from catalog)
+ + coalesce(list_sum(list_transform(genres, lambda g: case when contains('{q}', lower(g)) then 20 else 0 end)), 0){extra} score from catalog)
  select item_id, title, cast(score as bigint) score from s where score > 0 order by score desc, item_id limit {limit}"""
 
 
@@ -336,24 +389,34 @@ def search_keyword(spark: SparkSession, d: str) -> DataFrame:
     return S.search(T.catalog(spark, d), "ring")
 
 
-@query(_search_sql("hindi ring", ["hindi", "ring"], "hi"))
+@query(_search_sql("economy brand#21 ring", ["economy", "brand#21", "ring"]))
+def search_genre(spark: SparkSession, d: str) -> DataFrame:
+    return S.search(T.catalog(spark, d), "Economy Brand#21 ring")
+
+
+@query(_search_sql("hindi english ring", ["hindi", "english", "ring", "bollywood", "india", "indian"], "en"))
+def search_two_languages(spark: SparkSession, d: str) -> DataFrame:
+    return S.search(T.catalog(spark, d), "Hindi english ring")
+
+
+@query(_search_sql("hindi ring", ["hindi", "ring", "bollywood", "india", "indian"], "hi"))
 def search_language(spark: SparkSession, d: str) -> DataFrame:
     return S.search(T.catalog(spark, d), "Hindi ring")
 
 
-@query(_search_sql("tiny widget", ["gadget", "small", "tiny", "widget"], None, ("ECONOMY", "Brand#2"), (1960, 1979)))
+@query(_search_sql("tiny widget", ["tiny", "widget"], None, ("ECONOMY", "Brand#2"), (1960, 1979)))
 def search_intent(spark: SparkSession, d: str) -> DataFrame:
     return S.search(T.catalog(spark, d), "tiny widget", intent={"genres": ["ECONOMY", "Brand#2"], "year_min": 1960, "year_max": 1979})
 
 
-@query(f"""with {CATALOG}, c as (select c.*, left(coalesce(d.text, ''), 200) overview, [s_name] "cast" from catalog c left join documents d on d.doc_id = c.item_id join supplier on s_suppkey = c.item_id % 10 + 1)
+@query(f"""with {CATALOG}, c as (select c.*, coalesce(d.text, '') overview, [s_name] "cast" from catalog c left join documents d on d.doc_id = c.item_id join supplier on s_suppkey = c.item_id % 10 + 1)
  , s as (select item_id, title, case when title <> '' and contains('bollywood the', lower(title)) then 150 else 0 end + case when contains(lower(title), 'bollywood the') then 50 else 0 end + case when lower(title) = 'bollywood the' then 100 else 0 end
  + list_sum(list_transform("cast", lambda x: case when contains('bollywood the', lower(x)) then 40 else 0 end)) + list_sum(list_transform(genres, lambda g: case when contains('bollywood the', lower(g)) then 20 else 0 end))
  + case when contains(lower(overview), 'bollywood the') then 10 else 0 end + case when original_language = 'hi' then 30 else 0 end score from c)
  select item_id, title, cast(score as bigint) score from s where score > 0 order by score desc, item_id limit 5""")
 def chat_search(spark: SparkSession, d: str) -> DataFrame:
     c = T.catalog(spark, d)
-    docs = T.read(spark, d, "documents").select(F.col("doc_id").alias("item_id"), F.substring("text", 1, 200).alias("overview"))
+    docs = T.read(spark, d, "documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("overview"))
     names = T.read(spark, d, "supplier").select((F.col("s_suppkey") - 1).alias("_k"), F.array("s_name").alias("cast"))
     c = c.join(docs, "item_id", "left").withColumn("overview", F.coalesce("overview", F.lit(""))).withColumn("_k", F.col("item_id") % 10).join(names, "_k")
     return S.chat_search(c, "bollywood the")
@@ -370,6 +433,34 @@ def chat_history_trim(spark: SparkSession, d: str) -> DataFrame:
     return S.trim_history(T.read(spark, d, "conversations").select("conv_id", "turn", "role", "text"), 2)
 
 
+@query(f"""with {CATALOG} select c.item_id, '- ' || title || ' (' || coalesce(cast("year" as varchar), 'N/A') || ') [Cast: ' || s_name || ']: ' || left(coalesce(d.text, 'No description found'), 150) || '...' line from catalog c left join documents d on d.doc_id = c.item_id join supplier on s_suppkey = c.item_id % 10 + 1""")
+def prompt_context(spark: SparkSession, d: str) -> DataFrame:
+    docs = T.read(spark, d, "documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("overview"))
+    names = T.read(spark, d, "supplier").select((F.col("s_suppkey") - 1).alias("_k"), F.array("s_name").alias("cast"))
+    c = T.catalog(spark, d).join(docs, "item_id", "left").withColumn("_k", F.col("item_id") % 10).join(names, "_k")
+    return S.prompt_context(c)
+
+
+_TURN = "case when t.turn % 3 = 0 then t.text || ' ' || lower(p_type) || ' please.' when t.turn % 3 = 1 then p_name || ' (' || cast(1950 + p_size as varchar) || ')' else t.text end"
+
+
+@query(f"""with {CATALOG}, t as (select conv_id, t.turn, role, {_TURN} q from conversations t join part on p_partkey = t.conv_id % 100 + 1),
+ hist as (select conv_id, least(count(*), 10) n_history from t group by conv_id), asked as (select conv_id, lower(arg_max(q, turn)) q from t where role = 'user' group by conv_id),
+ terms as (select distinct item_id, lower(unnest(genres)) term, 20 points from catalog union select item_id, lower(title), 150 from catalog),
+ w as (select conv_id, list_filter(regexp_split_to_array(q, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: true) w from asked), longest as (select max(len(string_split(term, ' '))) m from terms),
+ runs as (select distinct conv_id, regexp_replace(array_to_string(w[a:a + n - 1], ' '), '[.,!?]+$', '') term from (select conv_id, w, unnest(range(1, len(w) + 1)) a from w), (select unnest(range(1, m + 1)) n from longest) where a + n - 1 <= len(w)),
+ named as (select conv_id, item_id, sum(points) score from runs join terms using (term) group by all),
+ ranked as (select conv_id, item_id, score, row_number() over (partition by conv_id order by score desc, vote_average desc, item_id) r from named join catalog using (item_id)),
+ best as (select item_id, row_number() over (order by vote_average desc, item_id) r from catalog)
+ select conv_id, n_history, r "rank", item_id, cast(score as bigint) score from (select conv_id, r, item_id, score from ranked where r <= 5 union all select conv_id, r, item_id, 0 from asked anti join named using (conv_id), best where r <= 5) join hist using (conv_id)""")
+def chat_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    p = T.read(spark, d, "part")
+    t = T.read(spark, d, "conversations").join(p, F.col("p_partkey") == F.col("conv_id") % 100 + 1)
+    title = F.concat("p_name", F.lit(" ("), (F.lit(1950) + F.col("p_size")).cast("string"), F.lit(")"))
+    text = F.when(F.col("turn") % 3 == 0, F.concat("text", F.lit(" "), F.lower("p_type"), F.lit(" please."))).when(F.col("turn") % 3 == 1, title).otherwise(F.col("text"))
+    return S.chat(t.select("conv_id", "turn", "role", text.alias("text")), T.catalog(spark, d))
+
+
 @query("""with q as (select p_name || ' from the ' || cast(1950 + (p_size // 10) * 10 as varchar) || 's' query from part), v as (select distinct p_type t from part)
  select query, cast(nullif(regexp_extract(query, '\\b(\\d{3})0s\\b', 1), '') as bigint) * 10 year_min, cast(nullif(regexp_extract(query, '\\b(\\d{3})0s\\b', 1), '') as bigint) * 10 + 9 year_max,
  coalesce((select string_agg(t, '|' order by t) from v where contains(lower(query), lower(t))), '') genres from q""")
@@ -414,11 +505,23 @@ def recommend_topk(spark: SparkSession, d: str) -> DataFrame:
     return R.recommend(_users(spark, d), T.item_vectors(spark, d), T.interactions(spark, d), 10)
 
 
-@query(f"with {RECOMMEND}, ask as (select unnest([0, 1, 2, 999999])::bigint user_id) select ask.user_id, item_id, score, k \"rank\" from ask join f on f.user_id = ask.user_id where k <= 20")
+@query(f"with {RECOMMEND}, known as (select distinct user_id from uvec), ask as (select distinct user_id from inter where user_id % 20 = 0 union select 999999) select ask.user_id, item_id, score, k \"rank\", case when known.user_id is null then 'User not found' end error from ask left join known on known.user_id = ask.user_id left join (select * from f where k <= 20) f on f.user_id = ask.user_id")
 def batch_recommend(spark: SparkSession, d: str) -> DataFrame:
-    ask = spark.createDataFrame([(0,), (1,), (2,), (999999,)], "user_id long")
-    users = _users(spark, d).join(F.broadcast(ask), "user_id", "left_semi")
-    return R.recommend(users, T.item_vectors(spark, d), T.interactions(spark, d), 20).drop("num_candidates")
+    rows = T.interactions(spark, d)
+    ask = rows.where("user_id % 20 = 0").select("user_id").unionByName(spark.range(999999, 1000000).withColumnRenamed("id", "user_id"))
+    return R.recommend_for(ask, _users(spark, d), T.item_vectors(spark, d), rows, 20)
+
+
+@query(f"with {VECTORS}, i as (select item_id, row_number() over (order by item_id) - 1 x from vec) select item_id, x // 128 batch, x % 128 place, round(list_sum(v), 6) total from i join vec using (item_id)")
+def embedding_export(spark: SparkSession, d: str) -> DataFrame:
+    v = T.item_vectors(spark, d)
+    out = R.batched(v.select("item_id"), v, 128)
+    return out.select("item_id", "batch", "place", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+@query("with h as (select vec_id item_id, md5(vec_id::varchar) h from embeddings) select item_id from h order by h, item_id limit 200")
+def training_subset(spark: SparkSession, d: str) -> DataFrame:
+    return R.training_subset(T.item_vectors(spark, d), 200).select("item_id")
 
 
 @query(f"""with {VECTORS}, idx as (select unnest(range(1, 65)) i), l as (select item_id, i - 1 i, v[i] x from vec, idx), e as (select i, min(x) lo, (max(x) - min(x)) / 255 st from l group by i)
@@ -427,35 +530,61 @@ def sq8_codes(spark: SparkSession, d: str) -> DataFrame:
     return R.sq8_codes(T.item_vectors(spark, d)).select("item_id", F.col("i").cast("long").alias("i"), "code")
 
 
-@query()
+@query(f"""with {USERS}, l as (select item_id, i, v[i] x from vec, idx), e as (select i, min(x) lo, (max(x) - min(x)) / 255 st from l group by i),
+ dec as (select item_id, list(lo + cast(floor((x - lo) / st + 0.5) as bigint) * st order by i) v from l join e using (i) group by item_id),
+ s as (select user_id, item_id, round({DOT.format(a='uvec.v', b='dec.v')}, 6) score from uvec, dec), k as (select *, row_number() over (partition by user_id order by score desc, item_id) r from s)
+ select user_id, item_id, score, r "rank" from k where r <= 10""")
 def sq8_search(spark: SparkSession, d: str) -> DataFrame:
     return R.sq8_search(_users(spark, d), T.item_vectors(spark, d), "user_id", 10)
 
 
+def _queries(spark, d):
+    """The users whose id is divisible by 20, the stated queries of searches."""
+    return _users(spark, d).where("user_id % 20 = 0")
+
+
+def _ivf(spark, d):
+    items = T.item_vectors(spark, d)
+    return items, R.ivf_build(items, R.auto_cells(items.count()))
+
+
 @query()
 def ivf_search(spark: SparkSession, d: str) -> DataFrame:
-    items = T.item_vectors(spark, d)
-    return R.ivf_search(_users(spark, d), items, "user_id", 10, R.auto_cells(items.count()), 8)
+    """With as many probes as reach a recall of 0.95 on the queries."""
+    items, index = _ivf(spark, d)
+    probes, _ = R.ivf_tune(index, _queries(spark, d), items, "user_id", 10)
+    return R.ivf_search(index, _queries(spark, d), "user_id", 10, probes)
+
+
+@query(f"with {SCORED} select user_id, item_id, score, r \"rank\" from ranked where r <= 10 and user_id % 20 = 0")
+def index_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """A saved and loaded index, searched in all of its cells: the exact neighbours."""
+    _, index = _ivf(spark, d)
+    path = shared_path(spark)
+    index.save(path)
+    loaded = R.IvfIndex.load(spark, path)
+    return R.ivf_search(loaded, _queries(spark, d), "user_id", 10, loaded.centres.count())
 
 
 @query()
 def pq_search(spark: SparkSession, d: str) -> DataFrame:
-    return R.pq_search(_users(spark, d), T.item_vectors(spark, d), "user_id", 10)
+    return R.pq_search(_queries(spark, d), T.item_vectors(spark, d), "user_id", 10)
 
 
 @query()
 def lsh_search(spark: SparkSession, d: str) -> DataFrame:
-    return R.lsh_search(_users(spark, d), T.item_vectors(spark, d), "user_id", 10)
+    return R.lsh_search(_queries(spark, d), T.item_vectors(spark, d), "user_id", 10)
 
 
 @query()
 def ann_recall(spark: SparkSession, d: str) -> DataFrame:
-    items, users = T.item_vectors(spark, d), _users(spark, d)
-    exact = R.knn(users, items, "user_id", 10)
-    out = None
-    for probes in (1, 4, 16):
-        r = R.recall_at_k(R.ivf_search(users, items, "user_id", 10, R.auto_cells(items.count()), probes), exact, "user_id", 10).withColumn("probes", F.lit(probes))
-        out = r if out is None else out.unionByName(r)
+    """Recall at 10 by number of probes, and of product codes and projections (probes null)."""
+    items, index = _ivf(spark, d)
+    q = stored(_queries(spark, d))
+    out = R.ivf_tune(index, q, items, "user_id", 10)[1].select(F.lit("ivf").alias("index"), F.col("probes").cast("long").alias("probes"), "recall")
+    exact = stored(R.knn(q, items, "user_id", 10))
+    for name, found in (("pq", R.pq_search(q, items, "user_id", 10)), ("lsh", R.lsh_search(q, items, "user_id", 10))):
+        out = out.unionByName(R.recall_at_k(found, exact, "user_id", 10).select(F.lit(name).alias("index"), F.lit(None).cast("long").alias("probes"), "recall"))
     return out
 
 
@@ -505,6 +634,11 @@ def freshness_boost(spark: SparkSession, d: str) -> DataFrame:
     return _lists(spark, d).select("user_id", "item_id", F.round(K.freshness(F.col("score"), (F.col("item_id") % 400).cast("double")), 6).alias("score"))
 
 
+@query(f"with {SCORED}, c as (select user_id, item_id, score, min(score) over (partition by user_id) lo, max(score) over (partition by user_id) hi from ranked where r <= 100) select user_id, item_id, round((score - lo) / (hi - lo + 1e-8), 6) scaled from c")
+def minmax_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _lists(spark, d).select("user_id", "item_id", F.round(K.min_max("score", "user_id"), 6).alias("scaled"))
+
+
 @query()
 def mmr_rerank(spark: SparkSession, d: str) -> DataFrame:
     return K.mmr(_lists(spark, d, 50).join(T.item_vectors(spark, d), "item_id"), 10)
@@ -539,11 +673,12 @@ for _name in ("ndcg", "map", "mrr", "recall", "precision", "hit_rate"):
     _metric(_name)
 
 
-@query(f"""with {_metric_sql(10)}, p10 as (select * from per), {_metric_sql(50).split('g as (', 1)[1].join(['g50 as (', '']).replace(' l as (', ' l50 as (').replace('from l)', 'from l50)').replace(' h as (', ' h50 as (').replace('from h ', 'from h50 ').replace(' s as (', ' s50 as (').replace('join s using', 'join s50 using').replace(' per as (', ' p50 as (').replace('from g join', 'from g50 g join')}
- select metric, k::bigint k, round(v, 6) "value" from (select 'ndcg' metric, 10 k, avg(ndcg) v from p10 union all select 'map', 10, avg("map") from p10 union all select 'recall', 10, avg(recall) from p10 union all select 'precision', 10, avg("precision") from p10 union all select 'hit_rate', 10, avg(hit_rate) from p10 union all select 'mrr', 10, avg(mrr) from p10
- union all select 'ndcg', 50, avg(ndcg) from p50 union all select 'map', 50, avg("map") from p50 union all select 'recall', 50, avg(recall) from p50 union all select 'precision', 50, avg("precision") from p50 union all select 'hit_rate', 50, avg(hit_rate) from p50)""")
+_EVALUATED = " union all ".join(f"select '{m}' metric, {k}::bigint k, avg(\"{m}\") v from p{k}" for k in (10, 50, 100) for m in ("ndcg", "map", "recall", "precision", "hit_rate", "mrr") if m != "mrr" or k == 10)
+
+
+@query(f"with {', '.join(f'p{k} as (with {_metric_sql(k)} select * from per)' for k in (10, 50, 100))} select metric, k, round(v, 6) \"value\" from ({_EVALUATED})")
 def evaluate_all(spark: SparkSession, d: str) -> DataFrame:
-    return M.evaluate(_lists(spark, d), _truth(spark, d), (10, 50)).select("metric", "k", *_r("value"))
+    return M.evaluate(_lists(spark, d), _truth(spark, d), (10, 50, 100)).select("metric", "k", *_r("value"))
 
 
 @query(f"with {SCORED}, n as (select count(*) n from vec) select round(count(distinct item_id) / any_value(n), 6) coverage from ranked, n where r <= 100")
@@ -561,7 +696,7 @@ def novelty(spark: SparkSession, d: str) -> DataFrame:
     return M.novelty(_lists(spark, d, 20), T.interactions(spark, d)).select("user_id", *_r("novelty"))
 
 
-@query(f"with {SCORED}, truth as (select distinct user_id, item_id from inter where rating >= 4), u as (select distinct user_id from truth order by user_id limit 1000), t as (select truth.* from truth semi join u using (user_id)) select round((select count(*) from t semi join (select * from ranked where r <= 100) x on x.user_id = t.user_id and x.item_id = t.item_id) / greatest((select count(*) from t), 1), 6) recall")
+@query(f"with {SCORED}, truth as (select distinct user_id, item_id from inter where rating >= 4), t as (select * from truth) select round((select count(*) from t semi join (select * from ranked where r <= 100) x on x.user_id = t.user_id and x.item_id = t.item_id) / greatest((select count(*) from t), 1), 6) recall")
 def micro_recall100(spark: SparkSession, d: str) -> DataFrame:
     return M.micro_recall(_lists(spark, d), _truth(spark, d), 100).select(*_r("recall"))
 
@@ -589,9 +724,27 @@ def loss_bpr(spark: SparkSession, d: str) -> DataFrame:
     return M.bpr(_batch(spark, d)).select(*_r("loss"))
 
 
-@query(f"with {TRIPLES} select round(avg(ln(1 + exp((dn - dp) / 0.07))), 6) loss from t")
+@query(f"with {VECTORS}, n as (select count(*) n from vec), t as (select a.item_id id, {DOT.format(a='a.v', b='p.v')} dp, {DOT.format(a='a.v', b='q.v')} dn from vec a cross join n join vec p on p.item_id = (a.item_id + 1) % n.n join (select unnest([7, 11, 13]) o) o on true join vec q on q.item_id = (a.item_id + o.o) % n.n) select round(avg(l), 6) loss from (select ln(1 + sum(exp((dn - dp) / 0.07))) l from t group by id)")
 def loss_sampled_softmax(spark: SparkSession, d: str) -> DataFrame:
-    return M.sampled_softmax(_batch(spark, d)).select(*_r("loss"))
+    """Three sampled negatives for each positive."""
+    b = _batch(spark, d)
+    v = T.item_vectors(spark, d)
+    n = v.count()
+    more = [b.select("id", "u", "p").join(v.select(F.pmod(F.col("item_id") - k, F.lit(n)).alias("id"), F.col("v").alias("n")), "id") for k in (11, 13)]
+    return M.loss("sampled_softmax", b.select("id", "u", "p", "n").unionByName(more[0]).unionByName(more[1])).select(*_r("loss"))
+
+
+LOGITS = f"{VECTORS}, n as (select count(*) n from vec), b as (select a.item_id id, a.v u, p.v v from vec a cross join n join vec p on p.item_id = (a.item_id + 1) % n.n), l as (select x.id, y.id o, {DOT.format(a='x.u', b='y.v')} s from b x, b y), own as (select id, s from l where id = o), hard as (select id, s, row_number() over (partition by id order by s desc) r from l where id <> o)"
+
+
+@query(f"with {LOGITS} select round(avg(greatest(0.0, 0.2 + hard.s - own.s)), 6) loss from hard join own using (id) where r <= 10")
+def loss_in_batch_hard(spark: SparkSession, d: str) -> DataFrame:
+    return M.loss("in_batch_hard_negative", _batch(spark, d).select("id", "u", F.col("p").alias("v"))).select(*_r("loss"))
+
+
+@query("with s as (select unnest(range(100)) step) select step, round(case when step < 10 then 0.001 * (step + 1) / 10 else 1e-6 + (0.001 - 1e-6) * 0.5 * (1 + cos(pi() * (step - 10) / 90.0)) end, 9) rate from s")
+def lr_schedule(spark: SparkSession, d: str) -> DataFrame:
+    return M.learning_rates(spark, 100, 10, 0.001, 1e-6).select("step", F.round("rate", 9).alias("rate"))
 
 
 @query(f"with {TRIPLES} select round(avg(greatest(0.0, 0.2 + dn - dp)), 6) loss from t")
@@ -632,16 +785,12 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
     return source.withColumn("item_id", F.get_json_object("props", "$.k").cast("long"))
 
 
-def _name() -> str:
-    return f"s{uuid.uuid4().hex[:12]}"
-
-
 _ST = "strftime({c}, '%Y-%m-%d %H:%M:%S')"
 
 
 @query(f"select {_ST.format(c='time_bucket(interval 1 hour, ts)')} \"start\", event_type, count(*) n from events group by all")
 def stream_event_counts(spark: SparkSession, d: str) -> DataFrame:
-    return _text(E.drain(E.tumbling_counts(_stream(spark, d)), _name()), "start")
+    return _text(E.drain(E.tumbling_counts(_stream(spark, d))), "start")
 
 
 def _text(df: DataFrame, *columns: str) -> DataFrame:
@@ -650,18 +799,18 @@ def _text(df: DataFrame, *columns: str) -> DataFrame:
 
 @query(f"with {INTER}, w as (select time_bucket(interval 1 hour, ts) - h * interval 1 hour st, item_id from inter, (select unnest(range(6)) h)) select {_ST.format(c='st')} \"start\", item_id, count(*) n from w group by all")
 def stream_trending_sliding(spark: SparkSession, d: str) -> DataFrame:
-    return _text(E.drain(E.sliding_trend(_stream(spark, d)), _name()), "start")
+    return _text(E.drain(E.sliding_trend(_stream(spark, d))), "start")
 
 
 @query(f"with o as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minutes then 0 else 1 end f from events), g as (select *, sum(f) over (partition by user_id order by ts rows unbounded preceding) s from o) select user_id, {_ST.format(c='min(ts)')} \"start\", {_ST.format(c='max(ts) + interval 30 minutes')} \"end\", count(*) n from g group by user_id, s")
 def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
-    return _text(E.sessions(T.read(spark, d, "events")), "start", "end")
+    return _text(E.drain(E.sessions(_stream(spark, d))), "start", "end")
 
 
 @query("select event_id, user_id, event_type from events")
 def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
     twice = _stream(spark, d)
-    return E.drain(E.deduplicated(twice.union(twice)).select("event_id", "user_id", "event_type"), _name(), "append")
+    return E.drain(E.deduplicated(twice.union(twice)).select("event_id", "user_id", "event_type"), "append")
 
 
 @query("select event_id, event_type, props query from events")

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.store import shared_path
+
 ENVELOPE = T.StructType([T.StructField("timestamp", T.StringType()), T.StructField("event_type", T.StringType()), T.StructField("data", T.StructType([T.StructField("query", T.StringType())]))])
 
 
@@ -43,11 +45,20 @@ def deduplicated(events: DataFrame) -> DataFrame:
     return df.dropDuplicatesWithinWatermark(["event_id"]) if df.isStreaming else df.dropDuplicates(["event_id"])
 
 
-def drain(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over what is there and returns the memory sink's table."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
+    """Runs a stream over what is there into a Parquet table and returns that; no row passes the driver.
+
+    With ``complete`` each batch replaces the table, as its result is the whole one.
+    """
+    spark = stream.sparkSession
+    path = shared_path(spark)
+    writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{path}-state")
+    if mode == "append":
+        q = writer.format("parquet").option("path", path).start()
+    else:
+        q = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path)).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(path)
 
 
 def to_kafka(events: DataFrame, servers: str, topic: str, checkpoint: str):

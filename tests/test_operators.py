@@ -95,19 +95,62 @@ def test_mmr_equals_a_loop(spark):
 
 def test_search_points(spark):
     c = spark.createDataFrame([(1, "Big Ring", ["ring", "ri"], ["Drama"], 1990, "en"), (2, "ring", [], ["Ring of fire"], None, "hi")], "item_id long, title string, tags array<string>, genres array<string>, year int, original_language string")
-    assert rows(S.search(c, "ring"), "item_id", "score") == [(1, 50 + 30 + 15), (2, 100 + 20)]
+    assert rows(S.search(c, "ring"), "item_id", "score") == [(1, 50 + 30 + 15), (2, 100)]
     assert rows(S.search(c, "hindi ring"), "item_id", "score") == [(1, 25 + 15), (2, 100)]
+    # the language that comes first in the table counts, not the one that comes first in the query
+    assert rows(S.search(c, "hindi english ring"), "item_id", "score") == [(1, 100 + 25 + 15)]
+    assert rows(S.search(c, "drama"), "item_id", "score") == [(1, 20)]
     assert C.suggest(c, "r").count() == 0
 
 
 def test_blocks_give_the_same_neighbours(spark):
     items = spark.range(40).select(F.col("id").alias("item_id"), F.array(F.sin("id"), F.cos("id")).alias("v"))
     q = items.where("item_id < 5").select(F.col("item_id").alias("q"), "v")
-    assert rows(R.knn(q, items, "q", 4), "q", "rank", "item_id") == rows(R.knn(q, items, "q", 4, bound=7), "q", "rank", "item_id")
+    assert rows(R.knn(q, items, "q", 4), "q", "rank", "item_id") == rows(R.knn(q, items, "q", 4, small=7), "q", "rank", "item_id")
 
 
 def test_probing_all_cells_is_exact(spark):
     items = spark.range(60).select(F.col("id").alias("item_id"), F.array(F.sin("id"), F.cos("id")).alias("v"))
     q = items.where("item_id < 5").select(F.col("item_id").alias("q"), "v")
-    found = R.ivf_search(q, items, "q", 5, 6, 6)
+    index = R.ivf_build(items, 6)
+    found = R.ivf_search(index, q, "q", 5, 6)
+    probes, curve = R.ivf_tune(index, q, items, "q", 5, 0.9)
+    recall = {r["probes"]: r["recall"] for r in curve.collect()}
+    assert recall[probes] >= 0.9 and all(v < 0.9 for k, v in recall.items() if k < probes)
+    assert R.recall_at_k(R.ivf_search(index, q, "q", 5, probes), R.knn(q, items, "q", 5), "q", 5).first()["recall"] == pytest.approx(recall[probes])
     assert R.recall_at_k(found, R.knn(q, items, "q", 5), "q", 5).first()["recall"] == 1.0
+
+
+def test_negatives_are_complete_and_unseen(spark):
+    pairs = [(u, i) for u in range(8) for i in range(u + 1)] + [(99, i) for i in range(200)]
+    df = spark.createDataFrame(pairs, "user_id long, item_id long")
+    for sample in (P.sample_negatives, P.sample_negatives_drawn):
+        out = rows(sample(df), "user_id", "item_id")
+        assert len(out) == len(set(out)) and not set(out) & set(pairs)
+        n = {u: sum(x == u for x, _ in out) for u in range(8)}
+        assert n == {u: min(4 * (u + 1), 200 - u - 1) for u in range(8)}
+
+
+def test_losses_by_name_and_blocks(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    u, v = rng.normal(size=(30, 4)), rng.normal(size=(30, 4))
+    df = spark.createDataFrame([(i, u[i].tolist(), v[i].tolist()) for i in range(30)], "id long, u array<double>, v array<double>")
+    s = u @ v.T / 0.07
+    want = float(np.mean(np.log(np.exp(s - s.max(axis=1)[:, None]).sum(axis=1)) + s.max(axis=1) - np.diag(s)))
+    assert M.loss("infonce", df).first()["loss"] == pytest.approx(want)
+    assert M.loss("infonce", df, small=5).first()["loss"] == pytest.approx(want)
+    others = -np.sort(-np.where(np.eye(30, dtype=bool), -np.inf, u @ v.T), axis=1)[:, :3]
+    hard = float(np.maximum(0, 0.2 + others - np.diag(u @ v.T)[:, None]).mean())
+    for small in (5, 100):
+        assert M.loss("in_batch_hard_negative", df, hardest=3, small=small).first()["loss"] == pytest.approx(hard)
+    with pytest.raises(ValueError):
+        M.loss("none", df)
+
+
+def test_unknown_users_get_a_row(spark):
+    items = spark.range(20).select(F.col("id").alias("item_id"), F.array(F.sin("id"), F.cos("id")).alias("v"))
+    users = items.where("item_id < 2").select(F.col("item_id").alias("user_id"), "v")
+    out = R.recommend_for(spark.range(1, 4).withColumnRenamed("id", "user_id"), users, items, None, 3).collect()
+    assert sorted((r["user_id"], r["rank"] or 0, r["error"] or "") for r in out) == [(1, 1, ""), (1, 2, ""), (1, 3, ""), (2, 0, "User not found"), (3, 0, "User not found")]
