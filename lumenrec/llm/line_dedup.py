@@ -3,8 +3,8 @@
 A line's set is its distinct runs of ``SHINGLE_CHARS`` characters (leading and trailing white
 space apart). Signatures take one hash for each run: the runs are dealt into ``BANDS * ROWS``
 bins by it, and each bin keeps its minimum (one-permutation MinHash; an empty bin borrows from
-a bin drawn by a hash). Bands bring lines of similarity 0.8 together with probability 0.985,
-of 0.9 with 0.9999; candidates are verified on their whole sets by exact Jaccard similarity, and
+a bin drawn by a hash). Bands bring lines of similarity 0.8 together with probability 0.958,
+of 0.9 with 0.998; candidates are verified on their whole sets by exact Jaccard similarity, and
 of every connected component the first line, by (doc_id, number), is kept. Lines with equal text
 have equal buckets and need no verification; a line shorter than a run matches only those.
 """
@@ -22,9 +22,9 @@ from .minhash import bitmaps, one_permutation
 from .storage import materialize, restrict
 from .textops import mix, places, portions
 
-SHINGLE_CHARS, BANDS, ROWS, PERCENT = 8, 8, 4, 80
+SHINGLE_CHARS, BANDS, ROWS, PERCENT = 8, 6, 4, 80
 #: Words of 64 bits of a line's bitmap.
-BITMAP = 8
+BITMAP = 32
 _G = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 #: Bytes of text handled at a time: the arrays then stay in the processor's cache.
 PORTION = 400_000
@@ -81,9 +81,6 @@ def _exact(chars: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return mix(np.add.reduceat(terms, ends - sizes) + sizes.astype(np.uint64))
 
 
-_MEMBERS = ["id", "n", "same", "keys", "bits"]
-
-
 def _buckets(parts: Parts):
     def run(batches):
         for ids, texts in portions(batches, PORTION):
@@ -93,35 +90,53 @@ def _buckets(parts: Parts):
             exact = _exact(chars, lo, hi)
             whole = hi - lo >= SHINGLE_CHARS
             sizes = np.where(whole, BANDS, 1)
-            keys, bits = np.repeat(mix(exact), sizes), np.zeros((len(lo), BITMAP), np.int64)
-            runs = np.maximum(hi - lo - SHINGLE_CHARS + 1, 1)
+            keys = np.repeat(mix(exact), sizes)
             if whole.any():
-                items = _runs(chars)[places(lo[whole], runs[whole])]
-                keys[np.repeat(whole, sizes)] = one_permutation(items, runs[whole], BANDS, ROWS).ravel()
-                bits[whole] = bitmaps(items, runs[whole], BITMAP)
+                runs = (hi - lo - SHINGLE_CHARS + 1)[whole]
+                keys[np.repeat(whole, sizes)] = one_permutation(_runs(chars)[places(lo[whole], runs)], runs, BANDS, ROWS).ravel()
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64)))
-            maps = pa.ListArray.from_arrays(pa.array(np.arange(len(lo) + 1, dtype=np.int32) * BITMAP), pa.array(bits.ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(parts.pack(ids[text], number)), pa.array(runs), pa.array(exact.view(np.int64)), values, maps], names=_MEMBERS)
+            yield pa.RecordBatch.from_arrays([pa.array(parts.pack(ids[text], number)), pa.array(exact.view(np.int64)), values], names=["id", "same", "keys"])
 
     return run
 
 
+def _picked(batch, parts: Parts):
+    """Ids and stripped text of the lines that are wanted."""
+    ids, lines = [], []
+    for doc_id, text, wanted in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("wanted").to_pylist()):
+        own = text.as_py().split("\n")
+        for i in wanted:
+            if i < len(own):
+                ids.append(int(parts.pack(np.int64(doc_id), i)))
+                lines.append(own[i].strip(SPACES))
+    return ids, lines
+
+
 def _wanted(parts: Parts):
     def run(batches):
         for batch in batches:
-            ids, lines = [], []
-            for doc_id, text, wanted in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("wanted").to_pylist()):
-                own = text.as_py().split("\n")
-                for i in wanted:
-                    if i < len(own):
-                        ids.append(int(parts.pack(np.int64(doc_id), i)))
-                        lines.append(own[i].strip(SPACES))
+            ids, lines = _picked(batch, parts)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.string())], names=["id", "line"])
 
     return run
 
 
+def _bitmaps(parts: Parts):
+    def run(batches):
+        for batch in batches:
+            ids, lines = _picked(batch, parts)
+            for at in range(0, len(ids), 500):
+                part = lines[at : at + 500]
+                sizes = np.fromiter(map(len, part), np.int64, len(part))
+                runs, starts = np.maximum(sizes - SHINGLE_CHARS + 1, 1), np.cumsum(sizes) - sizes
+                items = _runs(np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32))[places(starts, runs)]
+                maps = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * BITMAP), pa.array(bitmaps(items, runs, BITMAP).ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + 500], pa.int64()), pa.array(runs), maps], names=["id", "n", "bits"])
+
+    return run
+
+
 def _verify_pairs(batches):
     for batch in batches:
         keep = [similar(x, y) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
@@ -138,18 +153,20 @@ def line_components(docs: DataFrame) -> DataFrame:
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     texts, numbers, parts = numbered(texts)
-    members = texts.mapInArrow(_buckets(parts), "id long, n long, same long, keys array<long>, bits array<long>")
+    members = texts.mapInArrow(_buckets(parts), "id long, same long, keys array<long>")
+
+    def found(ids: DataFrame, pick, schema: str) -> DataFrame:
+        wanted = materialize(ids.groupBy(parts.doc_of(F.col("id")).alias("doc_id")).agg(F.collect_set(parts.part_of(F.col("id"))).alias("wanted")))
+        return restrict(texts, wanted.select("doc_id"), "doc_id").join(wanted, "doc_id").mapInArrow(pick(parts), schema)
 
     def verify(pairs: DataFrame) -> DataFrame:
         equal, other = pairs.where("same_a = same_b").select("a", "b"), pairs.where("same_a <> same_b").select("a", "b")
-        ids = other.select(F.col("a").alias("id")).union(other.select("b"))
-        wanted = materialize(ids.groupBy(parts.doc_of(F.col("id")).alias("doc_id")).agg(F.collect_set(parts.part_of(F.col("id"))).alias("wanted")))
-        found = restrict(texts, wanted.select("doc_id"), "doc_id").join(wanted, "doc_id").mapInArrow(_wanted(parts), "id long, line string")
-        found = materialize(found.groupBy("id").agg(F.max("line").alias("line")))
-        x = other.join(found.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(found.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
+        lines = found(other.select(F.col("a").alias("id")).union(other.select("b")), _wanted, "id long, line string")
+        lines = materialize(lines.groupBy("id").agg(F.max("line").alias("line")))
+        x = other.join(lines.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(lines.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
         return equal.unionByName(x.mapInArrow(_verify_pairs, "a long, b long"))
 
-    labels = bucket_components(members, verify, PERCENT, BITMAP)
+    labels = bucket_components(members, verify, PERCENT, lambda ids: found(ids, _bitmaps, "id long, n long, bits array<long>"), BITMAP)
     out = labels.select(
         parts.doc_of(F.col("id")).alias("doc_id"), parts.part_of(F.col("id")).alias("line_no"), parts.doc_of(F.col("component")).alias("class_doc_id"),
         parts.part_of(F.col("component")).alias("class_line_no"), (F.col("id") == F.col("component")).alias("kept"),

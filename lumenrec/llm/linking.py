@@ -94,16 +94,16 @@ def _by_id(pairs: DataFrame, kept: list[str]) -> DataFrame:
     return pairs.groupBy("a", "b").agg(*(F.min(c).alias(c) for c in pairs.columns[2:]))
 
 
-def bucket_components(members: DataFrame, verify: Verify, percent: int, words: int = 0) -> DataFrame:
+def bucket_components(members: DataFrame, verify: Verify, percent: int, bitmaps: Verify | None = None, words: int = 0) -> DataFrame:
     """``members(id, n, keys array<long>, ..)`` -> ``(id, component)`` of ids with at least one link.
 
     ``keys`` are an id's distinct buckets. Further columns: ``placed int``, where ``n`` is the
-    size of the set and the first ``placed`` keys stand at places 1, 2 .. of it; ``bits
-    array<long>``, a bitmap of ``words`` longs, where ``n`` is the size of the set or more;
-    ``same``, equal for members that are linked without a look. ``verify`` gets ``(a, b)`` with
-    ``n_a, n_b`` or ``same_a, same_b`` and returns the ``(a, b)`` that are links. Buckets are
-    counted with partial sums before their shuffle, and adaptive execution splits the joins with
-    them where one key is hot.
+    size of the set and the first ``placed`` keys stand at places 1, 2 .. of it; ``same``, equal
+    for members that are linked without a look. ``verify`` gets ``(a, b)`` with ``n_a, n_b`` or
+    ``same_a, same_b`` and returns the ``(a, b)`` that are links. ``bitmaps`` gets the ``id``
+    that stay unsettled after the first round and returns ``(id, n, bits array<long>)``: bitmaps
+    of ``words`` longs, and a size of the set or more. Buckets are counted with partial sums
+    before their shuffle, and adaptive execution splits the joins with them where one key is hot.
     """
     members = materialize(members)
     placed = "placed" in members.columns
@@ -139,20 +139,28 @@ def bucket_components(members: DataFrame, verify: Verify, percent: int, words: i
     if not links.isEmpty():
         labels = materialize(connected_components(stars().unionByName(links.select("a", "b"))))
 
+    made: list[DataFrame] = []
+
+    def maps(ids: DataFrame) -> DataFrame:
+        """Bitmaps of the first unsettled ids; later ones are among them."""
+        if not made:
+            made.append(materialize(bitmaps(materialize(ids))))
+        return made[0]
+
     def unsettled() -> DataFrame:
         """Members of the buckets with several components."""
         named = shared.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
         torn = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
         named = named.join(torn, "key", "left_semi")
-        if words:  # several rows of one id: each counts
-            ids = materialize(named.select("id").distinct())
-            named = named.drop("n").join(restrict(members, ids, "id").select("id", "n", "bits"), "id")
+        if bitmaps:  # several rows of one id: each counts
+            named = materialize(named)
+            named = named.drop("n").join(maps(named.select("id").distinct()), "id")
         return materialize(named)
 
     def fresh(pairs: DataFrame) -> DataFrame:
         return materialize(_by_id(pairs, kept).join(tested.select("a", "b"), ["a", "b"], "left_anti"))
 
-    if words:
+    if bitmaps:
         possible = _similar_bits(percent, words)
     for attempt in range(PIVOT_ROUNDS + 1):
         torn = unsettled()

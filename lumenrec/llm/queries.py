@@ -78,5 +78,42 @@ def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+#: Words as the contracts have them, of a text with A-Z in lower case.
+_LOWERED = "translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = "regexp_extract_all({text}, '[^\\x20\\x09-\\x0D]+')"
+
+#: Links and components by brute force over all pairs.
+_COMPONENTS = """reach as (select a, b from links union select r.a, l.b from reach r join links l on r.b = l.a)"""
+
+SQL = {
+    "op3_embedding_dedup": f"""with recursive v as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) v from embeddings),
+ u as (select vec_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) v from v where list_sum(list_transform(v, lambda y: abs(y))) > 0 and isfinite(list_sum(v))),
+ links as materialized (select x.vec_id a, y.vec_id b from u x, u y where x.vec_id <> y.vec_id and list_dot_product(x.v, y.v) >= 0.95), {_COMPONENTS},
+ n as (select a, count(*) n from links group by a), low as (select a, min(b) b from reach group by a)
+ select vec_id, coalesce(n, 0)::bigint n_links, least(vec_id, coalesce(b, vec_id)) component_id, vec_id <= coalesce(b, vec_id) kept from v left join n on n.a = vec_id left join low on low.a = vec_id""",
+    "op5_jaccard_join": f"""with recursive w as (select doc_id, {_WORDS.format(text=_LOWERED.format(text="coalesce(text, '')"))} w from documents),
+ s as materialized (select distinct doc_id, unnest(case when len(w) = 0 then []::varchar[] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) g from w),
+ n as (select doc_id, count(*) n from s group by doc_id),
+ met as (select x.doc_id a, y.doc_id b, count(*) c from s x join s y on x.g = y.g and x.doc_id <> y.doc_id group by all),
+ links as materialized (select a, b from met join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 80 * (x.n + y.n - c)), {_COMPONENTS},
+ low as (select a, min(b) b from reach group by a)
+ select w.doc_id, coalesce(n, 0)::bigint n_shingles, least(w.doc_id, coalesce(b, w.doc_id)) component_id, least(w.doc_id, coalesce(d.first, w.doc_id)) set_id
+ from w left join n using (doc_id) left join low on low.a = w.doc_id
+ left join (select doc_id, min(doc_id) over (partition by f) first from (select doc_id, list(g order by g) f from s group by doc_id)) d on d.doc_id = w.doc_id""",
+    "op10_suffix_dedup": """with t as (select doc_id, hex(encode(coalesce(text, ''))) h from documents),
+ blocks as (select doc_id, k, substr(h, 200 * k + 1, 400) b from (select doc_id, h, unnest(range(length(h) // 200 + 1)) k from t where length(h) >= 200)),
+ p as (select doc_id, 100 * k + o i, substr(b, 2 * o + 1, 200) g from blocks, (select unnest(range(100)) o) where 2 * o + 200 <= length(b)),
+ f as materialized (select doc_id, i, row_number() over (partition by g order by doc_id, i) > 1 again from p),
+ c as (select doc_id, i, case when i <= lag(i) over (partition by doc_id order by i) + 100 then 0 else 1 end fresh from f where again),
+ g as (select doc_id, i, sum(fresh) over (partition by doc_id order by i) r from c),
+ spans as (select doc_id, min(i) a, max(i) + 100 b, r from g group by doc_id, r),
+ per as (select doc_id, sum(b - a)::bigint n_removed, count(*) n_spans, list(a order by a) a, list(b order by a) b from spans group by doc_id)
+ select doc_id, (length(h) // 2)::bigint n_bytes, coalesce(n_removed, 0)::bigint n_removed, coalesce(n_spans, 0)::bigint n_spans,
+ sha256(unhex(case when n_spans is null then h else array_to_string(list_transform(range(1, len(a) + 2), lambda k: substr(h, 2 * (case when k = 1 then 0 else b[k - 1] end) + 1, 2 * ((case when k > len(a) then length(h) // 2 else a[k] end) - (case when k = 1 then 0 else b[k - 1] end)))), '') end)) kept_sha256
+ from t left join per using (doc_id)""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """DuckDB SQL where it can say the whole result: all pairs of vectors, of shingle sets, and of byte strings."""
+    return SQL

@@ -84,8 +84,7 @@ def _buckets(parts: Parts):
             terms = mix(h[inside] * _G[1] + (places(np.zeros(len(sizes), np.int64), sizes) + 1).astype(np.uint64) * _G[0])
             exact = mix(np.add.reduceat(terms, np.cumsum(sizes) - sizes) + sizes.astype(np.uint64))
             lists = _lists(keys.ravel().view(np.int64), np.full(len(sizes), BANDS))
-            maps = _lists(bitmaps(items, sizes - SHINGLE + 1, BITMAP).ravel(), np.full(len(sizes), BITMAP))
-            yield pa.RecordBatch.from_arrays([pa.array(parts.pack(ids[of], number)), pa.array(sizes - SHINGLE + 1), pa.array(exact.view(np.int64)), lists, maps], names=["id", "n", "same", "keys", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array(parts.pack(ids[of], number)), pa.array(exact.view(np.int64)), lists], names=["id", "same", "keys"])
 
     return run
 
@@ -110,6 +109,14 @@ def _sets(parts: Parts):
     return run
 
 
+def _bitmaps(batches):
+    for batch in batches:
+        items, counts = batch.column("items"), batch.column("items").value_lengths().to_numpy().astype(np.int64)
+        if len(counts):
+            flat = bitmaps(items.flatten().to_numpy().view(np.uint64), counts, BITMAP).ravel()
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(counts), _lists(flat, np.full(len(counts), BITMAP))], names=["id", "n", "bits"])
+
+
 _SPAN = "doc_id long, start_word long, n_words long, firsts array<long>, root_left long, root_right long, left array<int>, right array<int>, id long"
 _ARROW = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64()]
 
@@ -167,19 +174,23 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     texts, numbers, parts = numbered(texts)
-    members = texts.mapInArrow(_buckets(parts), "id long, n long, same long, keys array<long>, bits array<long>")
+    members = texts.mapInArrow(_buckets(parts), "id long, same long, keys array<long>")
+
+    def found(ids: DataFrame) -> DataFrame:
+        wanted = materialize(ids.groupBy(parts.doc_of(F.col("id")).alias("doc_id")).agg(F.collect_set(parts.part_of(F.col("id"))).alias("wanted")))
+        return restrict(texts, wanted.select("doc_id"), "doc_id").join(wanted, "doc_id").mapInArrow(_sets(parts), "id long, items array<long>")
 
     def verify(pairs: DataFrame) -> DataFrame:
         equal, other = pairs.where("same_a = same_b").select("a", "b"), pairs.where("same_a <> same_b").select("a", "b")
-        ids = other.select(F.col("a").alias("id")).union(other.select("b"))
-        wanted = materialize(ids.groupBy(parts.doc_of(F.col("id")).alias("doc_id")).agg(F.collect_set(parts.part_of(F.col("id"))).alias("wanted")))
-        found = restrict(texts, wanted.select("doc_id"), "doc_id").join(wanted, "doc_id").mapInArrow(_sets(parts), "id long, items array<long>")
-        found = materialize(found.dropDuplicates(["id"]))
-        x = other.join(found.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(found.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
+        sets = materialize(found(other.select(F.col("a").alias("id")).union(other.select("b"))).dropDuplicates(["id"]))
+        x = other.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
         both = F.size(F.array_intersect("x", "y"))
         return equal.unionByName(x.where(100 * both >= PERCENT * (F.size("x") + F.size("y") - both)).select("a", "b"))
 
-    removed = materialize(bucket_components(members, verify, PERCENT, BITMAP).where("id <> component"))
+    def maps(ids: DataFrame) -> DataFrame:
+        return found(ids).mapInArrow(_bitmaps, "id long, n long, bits array<long>")
+
+    removed = materialize(bucket_components(members, verify, PERCENT, maps, BITMAP).where("id <> component"))
     part = lambda c: parts.part_of(F.col(c)).alias("part")
     gone = removed.groupBy(parts.doc_of(F.col("id")).alias("doc_id")).agg(F.collect_list(F.struct(part("id"), F.col("component").alias("root"))).alias("gone"))
     roots = removed.select("component").distinct()
