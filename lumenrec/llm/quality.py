@@ -2,10 +2,10 @@
 
 Five statistics of a text, transformed so that they are roughly symmetric and those of short
 texts are not noisier than those of long ones, form a vector. For every language and source a
-minimum-covariance-determinant estimate is made of these vectors: starting from medians and
-median absolute deviations, repeat: keep the ``SUPPORT`` share of the cell's vectors nearest to
-the centre, take their mean and covariance. A text whose Mahalanobis distance exceeds
-``CUTOFF`` is rejected.
+minimum-covariance-determinant estimate is made of these vectors: from several starts (medians
+and median absolute deviations, all rows, subsets drawn by a hash), repeat: keep the ``SUPPORT``
+share of the cell's vectors nearest to the centre, take their mean and covariance. The result of
+the least determinant counts. A text whose Mahalanobis distance exceeds ``CUTOFF`` is rejected.
 
 A cell with few usable texts is judged by the estimate of its language, or of all rows, which
 rests on all usable rows there, those of large cells too.
@@ -38,7 +38,8 @@ LEAST_CELL = 50
 PRIOR_WORDS = 50
 #: Least standard deviation of each statistic; many are 0 for nearly all texts.
 FLOORS = (0.3, 0.15, 0.1, 0.25, 0.15)
-STEPS = 4
+#: Concentration steps from each start, and the share (one in so many) of a cell's rows that a drawn start rests on.
+STEPS, DRAWN = 4, 4
 _P = len(FLOORS)
 _POSITION_BITS = 24
 
@@ -84,18 +85,20 @@ def _covered(words: Column) -> Column:
 def statistics(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text, lang, source)`` -> ids, ``lang``, ``source`` and the counts of each text.
 
-    A null text counts as empty. Texts of 2^24 words and more are beyond the packed positions.
+    A null text counts as empty. A text of 2^24 words and more is an error: its
+    positions cannot be packed.
     """
     t = F.coalesce(F.col("text").cast("string"), F.lit(""))
     lines = F.filter(F.split("t", "\n", -1), lambda x: x.rlike(WORD))
     base = docs.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), t.alias("t"))
+    too_long = F.raise_error(F.lit("a text has 2^24 words or more")).cast("int")
     words = F.split(F.btrim("t", F.lit(SPACES)), r"[\x20\x09-\x0D]+", -1)
     counted = base.select(
         "doc_id", "lang", "source", F.regexp_count("t", F.lit(WORD)).cast("long").alias("n_words"),
         F.char_length(F.translate("t", SPACES, "")).cast("long").alias("word_chars"),
         (F.char_length("t") - F.char_length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        let(words, lambda x: F.when(F.size(x) < WINDOW, F.lit(0)).otherwise(_covered(x))).cast("long").alias("n_repeat_words"),
+        let(words, lambda x: F.when(F.size(x) < WINDOW, F.lit(0)).when(F.size(x) >= 1 << _POSITION_BITS, too_long).otherwise(_covered(x))).cast("long").alias("n_repeat_words"),
     )
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return counted.withColumn("base_failed", failed)
@@ -153,7 +156,8 @@ def _inverse_factor(moments: DataFrame) -> DataFrame:
             else:
                 rest = sum((F.col(f"l_{i}_{q}") * F.col(f"k_{q}_{j}") for q in range(j, i)), F.lit(0.0))
                 moments = moments.withColumn(f"k_{i}_{j}", -rest / F.col(f"l_{i}_{i}"))
-    return moments.select("cell", *(f"m_{i}" for i in range(_P)), *(f"k_{i}_{j}" for i in range(_P) for j in range(i + 1)))
+    logs = sum((F.log(f"l_{i}_{i}") for i in range(_P)), F.lit(0.0)).alias("log_det")
+    return moments.select("cell", *(f"m_{i}" for i in range(_P)), *(f"k_{i}_{j}" for i in range(_P) for j in range(i + 1)), logs)
 
 
 def _distance(rows: DataFrame, estimate: DataFrame) -> DataFrame:
@@ -163,23 +167,45 @@ def _distance(rows: DataFrame, estimate: DataFrame) -> DataFrame:
     return joined.withColumn("d2", sum((p * p for p in parts), F.lit(0.0))).select(*rows.columns, "d2")
 
 
-def estimate_cells(rows: DataFrame) -> DataFrame:
-    """MCD estimate of each ``cell`` over ``x_0`` .. ``x_4``: location ``m_i`` and factor ``k_i_j``."""
-    middle = rows.groupBy("cell").agg(*(F.percentile_approx(f"x_{i}", 0.5).alias(f"m_{i}") for i in range(_P)))
-    middle = materialize(middle)
+def _moments(rows: DataFrame) -> DataFrame:
+    """Mean and covariance of each cell, the latter scaled as for the central rows of a normal sample."""
+    return rows.groupBy("cell").agg(
+        *(F.avg(f"x_{i}").alias(f"m_{i}") for i in range(_P)),
+        *((F.coalesce(F.covar_pop(f"x_{i}", f"x_{j}"), F.lit(0.0)) * CONSISTENCY + (FLOORS[i] ** 2 if i == j else 0.0)).alias(f"c_{i}_{j}") for i in range(_P) for j in range(i + 1)),
+    )
+
+
+def _starts(rows: DataFrame) -> list[DataFrame]:
+    """First estimates: medians and absolute deviations from them; all rows; and two subsets drawn by a hash of the row."""
+    middle = materialize(rows.groupBy("cell").agg(*(F.percentile_approx(f"x_{i}", 0.5).alias(f"m_{i}") for i in range(_P))))
     spread = rows.join(middle, "cell").groupBy("cell").agg(*(F.percentile_approx(F.abs(F.col(f"x_{i}") - F.col(f"m_{i}")), 0.5).alias(f"s_{i}") for i in range(_P)), *(F.first(f"m_{i}").alias(f"m_{i}") for i in range(_P)))
     scale = lambda i: F.greatest(1.4826 * F.col(f"s_{i}"), F.lit(FLOORS[i]))
-    estimate = materialize(spread.select("cell", *(f"m_{i}" for i in range(_P)), *((1 / scale(i) if i == j else F.lit(0.0)).alias(f"k_{i}_{j}") for i in range(_P) for j in range(i + 1))))
+    robust = spread.select("cell", *(f"m_{i}" for i in range(_P)), *((1 / scale(i) if i == j else F.lit(0.0)).alias(f"k_{i}_{j}") for i in range(_P) for j in range(i + 1)))
+    drawn = F.pmod(F.xxhash64(*(f"x_{i}" for i in range(_P))), F.lit(DRAWN))
+    return [robust, *(_inverse_factor(materialize(_moments(x))) for x in (rows, rows.where(drawn == 0), rows.where(drawn == 1)))]
+
+
+def estimate_cells(rows: DataFrame) -> DataFrame:
+    """MCD estimate of each ``cell`` over ``x_0`` .. ``x_4``: location ``m_i`` and factor ``k_i_j``.
+
+    From every start ``STEPS`` concentration steps are made, each an estimate of the central
+    ``SUPPORT`` of the rows by the last one; the result of the least determinant is taken.
+    """
+    starts = _starts(rows)
+    numbered = lambda df, i: df.withColumn("cell", F.struct("cell", i.alias("start")))
+    estimate = None
+    for i, start in enumerate(starts):
+        start = numbered(start.select("cell", *(f"m_{i}" for i in range(_P)), *(f"k_{i}_{j}" for i in range(_P) for j in range(i + 1))), F.lit(i))
+        estimate = start if estimate is None else estimate.unionByName(start)
+    estimate = materialize(estimate)
+    tried = numbered(rows.withColumn("_start", F.explode(F.sequence(F.lit(0), F.lit(len(starts) - 1)))), F.col("_start")).drop("_start")
     for _ in range(STEPS):
-        near = _distance(rows, estimate)
+        near = _distance(tried, estimate)
         reach = near.groupBy("cell").agg(F.percentile_approx("d2", SUPPORT, F.lit(1000)).alias("reach"))
-        kept = near.join(reach, "cell").where("d2 <= reach")
-        moments = kept.groupBy("cell").agg(
-            *(F.avg(f"x_{i}").alias(f"m_{i}") for i in range(_P)),
-            *((F.coalesce(F.covar_pop(f"x_{i}", f"x_{j}"), F.lit(0.0)) * CONSISTENCY + (FLOORS[i] ** 2 if i == j else 0.0)).alias(f"c_{i}_{j}") for i in range(_P) for j in range(i + 1)),
-        )
-        estimate = materialize(_inverse_factor(materialize(moments)))
-    return estimate
+        estimate = materialize(_inverse_factor(materialize(_moments(near.join(reach, "cell").where("d2 <= reach")))))
+    columns = [c for c in estimate.columns if c not in ("cell", "log_det")]
+    best = estimate.groupBy("cell.cell").agg(F.min_by(F.struct(*columns), "log_det").alias("best"))
+    return materialize(best.select("cell", "best.*"))
 
 
 def judge(docs: DataFrame) -> DataFrame:
