@@ -144,12 +144,11 @@ def _build(segment_bits):
 def count_ngrams(docs: DataFrame) -> DataFrame:
     """``docs(text)`` -> ``segment, order, key, n``: all unigrams and bigrams.
 
-    The rows are combined within a batch, then dealt by segment, of which there are 256 whatever
-    the data, by a hash of the n-gram; one frequent n-gram gives one row a batch.
+    The rows are combined within a portion, then dealt by n-gram; one frequent n-gram gives one
+    row a portion. ``segment``, a hash of the n-gram, is its part of the filter.
     """
     rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_count, "segment int, order int, key long, n long")
-    parts = min(1 << SEGMENT_BITS_LOG2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return rows.repartition(parts, "segment").groupBy("segment", "order", "key").agg(F.sum("n").alias("n"))
+    return rows.repartition("segment", "order", "key").groupBy("segment", "order", "key").agg(F.sum("n").alias("n"))
 
 
 class LanguageModel:
@@ -292,8 +291,9 @@ def score(docs: DataFrame, model: LanguageModel, counts: DataFrame) -> DataFrame
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((model.bits, model.tokens, model.types, model.quantised, model.head_keys, model.head_counts, model.lowest, model.starts))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = materialize(texts.mapInArrow(_score(shared), "doc_id long, n_tokens long, n_known long, base_score double, score double, tail array<long>, open array<struct<key: long, word: long, before: long, levels: int, times: int>>"))
-    scored = scored.withColumn("row", F.monotonically_increasing_id())
+    scored = texts.mapInArrow(_score(shared), "doc_id long, n_tokens long, n_known long, base_score double, score double, tail array<long>, open array<struct<key: long, word: long, before: long, levels: int, times: int>>")
+    # numbered before it is stored: every reader sees the same numbers
+    scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()))
     rare = scored.select("row", F.explode("tail").alias("key")).groupBy("row", "key").agg(F.count("*").alias("times"))
     rare = rare.join(counts.where("order = 1").select("key", "n"), "key", "left")
     floor = float(model.tokens + 0.5 * (model.types + 1))

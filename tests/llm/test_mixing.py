@@ -21,6 +21,11 @@ def test_rates_reach_the_targets(spark, tmp_path):
     total = sum(tokens.values())
     assert all(abs(t / total - 1 / 3) < 0.1 for t in tokens.values()), tokens
     assert got[1001]["rate"] == 1.0 and got[1000]["copies"] == 1
+    # every document stays, copies are rates rounded, and the gaps are those of the documents' own numbers
+    assert all(r["rate"] >= 1 and abs(r["copies"] - r["rate"]) < 1 for r in got.values())
+    assert got[0]["gap"] < 0.02 and got[0]["copies_gap"] < 0.05
+    copied = {s: sum(r["copies"] * r["n_tokens"] for i, r in got.items() if i is not None and i < 600 and rows[i][2] == s) for s in "abc"}
+    assert all(abs(t / sum(copied.values()) - 1 / 3) < 0.1 for t in copied.values()), copied
     mixed = M.apply_rates(docs, out)
     assert mixed.columns == docs.columns
     assert mixed.count() == sum(r["copies"] for r in got.values() if r["doc_id"] is not None) + 1
@@ -38,3 +43,21 @@ def test_plan_has_no_python(spark, sf):
     out = M.fit_rates(docs, spark.read.parquet(f"{sf}/labels.parquet"), settings=M.Settings(steps=1))
     plan = out._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_many_domains_long_texts_and_repeated_ids(spark, tmp_path):
+    rows = [(i, f"w{i % 300} v{i % 7} x", f"s{i % 300}") for i in range(900)] + [(0, "long " * 40_000, "s0"), (900, None, "unlabelled")]
+    docs = brute.stored(spark, tmp_path, rows, "doc_id long, text string, source string")
+    labels = spark.range(0, 900, 3).selectExpr("id as doc_id")
+    out = M.fit_rates(docs, labels, settings=M.Settings(steps=2, calibrations=1))
+    assert out.count() == len(rows) and out.where("rate < 1 or copies < 1").isEmpty()
+    mixed = M.apply_rates(docs, out)
+    assert mixed.select("doc_id").distinct().count() == 901
+
+
+def test_targets_may_leave_a_domain_out_where_documents_may_go(spark, tmp_path):
+    rows = [(i, f"{'ab'[i % 2]}{i % 5} {'ab'[i % 2]}9", "ab"[i % 2]) for i in range(100)]
+    docs = brute.stored(spark, tmp_path, rows, "doc_id long, text string, source string")
+    out = M.fit_rates(docs, spark.range(100).withColumnRenamed("id", "doc_id"), targets={"a": 1.0}, settings=M.Settings(floor=0.0, sharpness=1e6)).collect()
+    assert out[0]["gap"] < 0.01
+    assert all((r["rate"] > 1.5) == (rows[r["doc_id"]][2] == "a") for r in out)
