@@ -98,11 +98,15 @@ def _profile(batches):
             counts += np.bincount(np.concatenate(cells), minlength=1 << SKETCH_BITS).astype(np.uint32)
         k = len(n)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(small, pa.list_(pa.int64())), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=schema)
-    parts = [zlib.compress(x.tobytes(), 1) for x in counts.reshape(SEGMENTS, -1)]
+    parts = _segments(counts)
     null = pa.nulls(SEGMENTS, pa.int64())
     yield pa.RecordBatch.from_arrays([null, null, null, null, pa.nulls(SEGMENTS, pa.list_(pa.int64())), pa.array(range(SEGMENTS), pa.int32()), pa.array(parts, pa.binary())], schema=schema)
 
 
+def _segments(counts: np.ndarray) -> list[bytes]:
+    return [zlib.compress(x.tobytes(), 1) for x in counts.reshape(SEGMENTS, -1)]
+
+
 def _sum_segment(part: pa.Table) -> pa.Table:
     total = sum(np.frombuffer(zlib.decompress(blob), np.uint32).astype(np.uint64) for blob in part.column("counts").to_pylist())
     return pa.table({"segment": part.column("segment").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
@@ -183,6 +187,36 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))], names=["id", "items"])
 
 
+def listed(rows: DataFrame, to_sets, percent: int) -> DataFrame:
+    """Sets as members of inverted lists, for ``bucket_components``: every link among them shares an entry.
+
+    ``to_sets`` turns the rows' Arrow batches into batches ``(id, items)`` of sorted distinct
+    64-bit hashes, in a task, so that whole sets never leave it. Elements are ordered by how
+    frequent they are among these sets.
+    """
+
+    def count(batches):
+        counts = np.zeros(1 << SKETCH_BITS, np.uint32)
+        for batch in to_sets(batches):
+            cells = batch.column("items").flatten().to_numpy().view(np.uint64) >> np.uint64(64 - SKETCH_BITS)
+            counts += np.bincount(cells.astype(np.int32), minlength=1 << SKETCH_BITS).astype(np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array(range(SEGMENTS), pa.int32()), pa.array(_segments(counts), pa.binary())], names=["segment", "counts"])
+
+    shared = rows.sparkSession.sparkContext.broadcast(_levels(_counts(materialize(rows.mapInArrow(count, "segment int, counts binary")))))
+
+    def post(batches):
+        for batch in to_sets(batches):
+            items = batch.column("items")
+            flat, sizes = items.flatten().to_numpy().view(np.uint64), items.value_lengths().to_numpy().astype(np.int64)
+            keys = [_posted(flat[a : a + n], shared.value, percent) for a, n in zip((np.cumsum(sizes) - sizes).tolist(), sizes.tolist())]
+            placed = np.array([len(k) for k in keys], np.int32)
+            if len(keys):
+                values = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(placed)]).astype(np.int32)), pa.array(np.concatenate(keys).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes), values, pa.array(placed)], names=["id", "n", "keys", "placed"])
+
+    return rows.mapInArrow(post, "id long, n long, keys array<long>, placed int")
+
+
 _PROFILE = "doc_id long, n long, f1 long, f2 long, small array<long>, segment int, counts binary"
 
 

@@ -17,14 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ids import Parts, named, numbered
+from .jaccard_join import listed
 from .linking import bucket_components
-from .minhash import bitmaps, one_permutation
+from .minhash import one_permutation
 from .storage import materialize, restrict
 from .textops import mix, places, portions
 
 SHINGLE_CHARS, BANDS, ROWS, PERCENT = 8, 6, 4, 80
-#: Words of 64 bits of a line's bitmap.
-BITMAP = 32
 _G = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 #: Bytes of text handled at a time: the arrays then stay in the processor's cache.
 PORTION = 400_000
@@ -122,7 +121,9 @@ def _wanted(parts: Parts):
     return run
 
 
-def _bitmaps(parts: Parts):
+def _sets(parts: Parts):
+    """Hashes of the runs of the lines that are wanted."""
+
     def run(batches):
         for batch in batches:
             ids, lines = _picked(batch, parts)
@@ -131,8 +132,11 @@ def _bitmaps(parts: Parts):
                 sizes = np.fromiter(map(len, part), np.int64, len(part))
                 runs, starts = np.maximum(sizes - SHINGLE_CHARS + 1, 1), np.cumsum(sizes) - sizes
                 items = _runs(np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32))[places(starts, runs)]
-                maps = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * BITMAP), pa.array(bitmaps(items, runs, BITMAP).ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + 500], pa.int64()), pa.array(runs), maps], names=["id", "n", "bits"])
+                ends = np.cumsum(runs)
+                sets = [np.unique(items[a:b]) for a, b in zip((ends - runs).tolist(), ends.tolist())]
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+                values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + 500], pa.int64()), values], names=["id", "items"])
 
     return run
 
@@ -155,18 +159,18 @@ def line_components(docs: DataFrame) -> DataFrame:
     texts, numbers, parts = numbered(texts)
     members = texts.mapInArrow(_buckets(parts), "id long, same long, keys array<long>")
 
-    def found(ids: DataFrame, pick, schema: str) -> DataFrame:
+    def touched(ids: DataFrame) -> DataFrame:
         wanted = materialize(ids.groupBy(parts.doc_of(F.col("id")).alias("doc_id")).agg(F.collect_set(parts.part_of(F.col("id"))).alias("wanted")))
-        return restrict(texts, wanted.select("doc_id"), "doc_id").join(wanted, "doc_id").mapInArrow(pick(parts), schema)
+        return restrict(texts, wanted.select("doc_id"), "doc_id").join(wanted, "doc_id")
 
     def verify(pairs: DataFrame) -> DataFrame:
         equal, other = pairs.where("same_a = same_b").select("a", "b"), pairs.where("same_a <> same_b").select("a", "b")
-        lines = found(other.select(F.col("a").alias("id")).union(other.select("b")), _wanted, "id long, line string")
+        lines = touched(other.select(F.col("a").alias("id")).union(other.select("b"))).mapInArrow(_wanted(parts), "id long, line string")
         lines = materialize(lines.groupBy("id").agg(F.max("line").alias("line")))
         x = other.join(lines.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(lines.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
         return equal.unionByName(x.mapInArrow(_verify_pairs, "a long, b long"))
 
-    labels = bucket_components(members, verify, PERCENT, lambda ids: found(ids, _bitmaps, "id long, n long, bits array<long>"), BITMAP)
+    labels = bucket_components(members, verify, PERCENT, lambda ids: listed(touched(ids), _sets(parts), PERCENT))
     out = labels.select(
         parts.doc_of(F.col("id")).alias("doc_id"), parts.part_of(F.col("id")).alias("line_no"), parts.doc_of(F.col("component")).alias("class_doc_id"),
         parts.part_of(F.col("component")).alias("class_line_no"), (F.col("id") == F.col("component")).alias("kept"),

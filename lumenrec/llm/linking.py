@@ -6,21 +6,21 @@ hold thousands of near copies, so pairs are made in rounds:
 1. every member is paired with its bucket's smallest id. Of these pairs each member's first is
    verified, then those that still lie across components. A group of k copies costs about k
    pairs, not k * k. Buckets of two are settled by their one pair and are not looked at again;
-2. in buckets of three and more whose members lie in several components, and as long as the
+2. in buckets of three and more whose members lie in several components, and as long as their
    pairs across components are many, one further member of each bucket, drawn by a hash, is
    paired with the members of the other components;
 3. what is left of the pairs across components is verified too. Pairs within a component need
    no test: they cannot change the components.
 
-Together they give the exact components of the graph of all verified bucket pairs. Two exact
-bounds keep members apart before any pair of rounds 2 and 3 is made, so that copies which differ
-too much from one another, of which a large group has many, cost little:
+Together they give the exact components of the graph of all verified bucket pairs.
 
-* inverted lists know the places of their entries: by sizes and places alone most members of a
-  list cannot be linked. Round 3 deals a list out by ranges of sizes and drops the members whose
-  place is too late for a range;
-* a bitmap has a bit for the hash of each element; sets differ in at least as many elements as
-  their bitmaps do in bits.
+Near copies that differ too much from one another are many in a large group, and share most of
+their bands. Operators whose buckets are bands therefore hand the members that stay unsettled
+after round 1 over to inverted lists (``jaccard_join.listed``), which find every link among
+them, so bucket pairs are not made at all. Inverted lists know the places of their entries
+(``Places``): by sizes and places alone most members of a list cannot be linked. Round 3 deals
+a list out by ranges of sizes and drops the members whose place is too late for a range, before
+any pair is made.
 """
 
 from __future__ import annotations
@@ -75,14 +75,8 @@ class Places:
         return spread.select("key", F.col(lo).alias("lo"), F.col(hi).alias("hi"), *_side(members, "a" if smaller else "b"))
 
 
-def _similar_bits(percent: int, words: int) -> Column:
-    """Linked sets differ in no more than ``(100 - percent) / (100 + percent)`` of their elements taken together; ``n`` may overstate these."""
-    differ = sum((F.bit_count(F.get("bits_a", F.lit(i)).bitwiseXOR(F.get("bits_b", F.lit(i)))) for i in range(words)), F.lit(0))
-    return (100 + percent) * differ <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
-
-
 def _side(rows: DataFrame, side: str) -> list[Column]:
-    return [F.col(c).alias(f"{c}_{side}") for c in rows.columns if c in ("id", "n", "place", "same", "component", "bits")]
+    return [F.col(c).alias(f"{c}_{side}") for c in rows.columns if c in ("id", "n", "place", "same", "component")]
 
 
 def _by_id(pairs: DataFrame, kept: list[str]) -> DataFrame:
@@ -94,16 +88,16 @@ def _by_id(pairs: DataFrame, kept: list[str]) -> DataFrame:
     return pairs.groupBy("a", "b").agg(*(F.min(c).alias(c) for c in pairs.columns[2:]))
 
 
-def bucket_components(members: DataFrame, verify: Verify, percent: int, bitmaps: Verify | None = None, words: int = 0) -> DataFrame:
+def bucket_components(members: DataFrame, verify: Verify, percent: int, lists: Verify | None = None) -> DataFrame:
     """``members(id, n, keys array<long>, ..)`` -> ``(id, component)`` of ids with at least one link.
 
     ``keys`` are an id's distinct buckets. Further columns: ``placed int``, where ``n`` is the
     size of the set and the first ``placed`` keys stand at places 1, 2 .. of it; ``same``, equal
     for members that are linked without a look. ``verify`` gets ``(a, b)`` with ``n_a, n_b`` or
-    ``same_a, same_b`` and returns the ``(a, b)`` that are links. ``bitmaps`` gets the ``id``
-    that stay unsettled after the first round and returns ``(id, n, bits array<long>)``: bitmaps
-    of ``words`` longs, and a size of the set or more. Buckets are counted with partial sums
-    before their shuffle, and adaptive execution splits the joins with them where one key is hot.
+    ``same_a, same_b`` and returns the ``(a, b)`` that are links. ``lists`` gets the ``id`` that
+    stay unsettled after the first round and returns them as members of inverted lists, to be
+    linked by the same ``verify``. Buckets are counted with partial sums before their shuffle,
+    and adaptive execution splits the joins with them where one key is hot.
     """
     members = materialize(members)
     placed = "placed" in members.columns
@@ -139,29 +133,25 @@ def bucket_components(members: DataFrame, verify: Verify, percent: int, bitmaps:
     if not links.isEmpty():
         labels = materialize(connected_components(stars().unionByName(links.select("a", "b"))))
 
-    made: list[DataFrame] = []
-
-    def maps(ids: DataFrame) -> DataFrame:
-        """Bitmaps of the first unsettled ids; later ones are among them."""
-        if not made:
-            made.append(materialize(bitmaps(materialize(ids))))
-        return made[0]
-
     def unsettled() -> DataFrame:
         """Members of the buckets with several components."""
         named = shared.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
         torn = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-        named = named.join(torn, "key", "left_semi")
-        if bitmaps:  # several rows of one id: each counts
-            named = materialize(named)
-            named = named.drop("n").join(maps(named.select("id").distinct()), "id")
-        return materialize(named)
+        return materialize(named.join(torn, "key", "left_semi"))
+
+    if lists:
+        # of those that are the same, and so in one component already, one will do
+        ids = unsettled()
+        ids = materialize((ids.groupBy("same").agg(F.min("id").alias("id")) if "same" in kept else ids).select("id").distinct())
+        if ids.isEmpty():
+            return labels
+        apart = [F.lit(i).cast("long").alias(f"same_{s}") for i, s in enumerate("ab")]
+        found = bucket_components(lists(ids), lambda pairs: verify(pairs.select("a", "b", *apart)), percent)
+        return connected_components(stars().unionByName(found.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))))
 
     def fresh(pairs: DataFrame) -> DataFrame:
         return materialize(_by_id(pairs, kept).join(tested.select("a", "b"), ["a", "b"], "left_anti"))
 
-    if bitmaps:
-        possible = _similar_bits(percent, words)
     for attempt in range(PIVOT_ROUNDS + 1):
         torn = unsettled()
         sums = torn.groupBy("key", "component").count().groupBy("key").agg(F.sum("count").alias("m"), F.sum(F.col("count") * F.col("count")).alias("q"))

@@ -47,11 +47,3 @@ def one_permutation(items: np.ndarray, counts: np.ndarray, bands: int, rows: int
         keys[:, band] = key
     return keys
 
-
-def bitmaps(items: np.ndarray, counts: np.ndarray, words: int) -> np.ndarray:
-    """Bitmaps (sets, words) of 64-bit words: a bit for the hash of each item. Sets lie as in ``one_permutation``."""
-    size = 64 * words
-    marks = np.zeros(len(counts) * size, np.uint8)
-    cell = (items >> np.uint64(7)) % np.uint64(size) + np.repeat(np.arange(len(counts), dtype=np.uint64) * np.uint64(size), counts)
-    marks[cell.astype(np.int64)] = 1
-    return np.packbits(marks).view(np.int64).reshape(len(counts), words)

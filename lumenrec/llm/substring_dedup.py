@@ -21,15 +21,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ids import Parts, named, numbered
+from .jaccard_join import listed
 from .linking import bucket_components
-from .minhash import bitmaps, one_permutation
+from .minhash import one_permutation
 from .storage import materialize, restrict
 from .textops import SHINGLE, hash_words, mix, places, portions, windows, words_of
 
 BANDS, ROWS, PERCENT = 5, 3, 80
 REACH, EXTEND = 8, 16
-#: Words of 64 bits of a piece's bitmap.
-BITMAP = 2
 #: Pieces below this many words, which only a text's ends have, are not compared; spans below the other are not reported.
 LEAST_PIECE, LEAST_WORDS = 8, 25
 #: Characters of text handled at a time.
@@ -109,14 +108,6 @@ def _sets(parts: Parts):
     return run
 
 
-def _bitmaps(batches):
-    for batch in batches:
-        items, counts = batch.column("items"), batch.column("items").value_lengths().to_numpy().astype(np.int64)
-        if len(counts):
-            flat = bitmaps(items.flatten().to_numpy().view(np.uint64), counts, BITMAP).ravel()
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(counts), _lists(flat, np.full(len(counts), BITMAP))], names=["id", "n", "bits"])
-
-
 _SPAN = "doc_id long, start_word long, n_words long, firsts array<long>, root_left long, root_right long, left array<int>, right array<int>, id long"
 _ARROW = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64()]
 
@@ -176,21 +167,18 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     texts, numbers, parts = numbered(texts)
     members = texts.mapInArrow(_buckets(parts), "id long, same long, keys array<long>")
 
-    def found(ids: DataFrame) -> DataFrame:
+    def touched(ids: DataFrame) -> DataFrame:
         wanted = materialize(ids.groupBy(parts.doc_of(F.col("id")).alias("doc_id")).agg(F.collect_set(parts.part_of(F.col("id"))).alias("wanted")))
-        return restrict(texts, wanted.select("doc_id"), "doc_id").join(wanted, "doc_id").mapInArrow(_sets(parts), "id long, items array<long>")
+        return restrict(texts, wanted.select("doc_id"), "doc_id").join(wanted, "doc_id")
 
     def verify(pairs: DataFrame) -> DataFrame:
         equal, other = pairs.where("same_a = same_b").select("a", "b"), pairs.where("same_a <> same_b").select("a", "b")
-        sets = materialize(found(other.select(F.col("a").alias("id")).union(other.select("b"))).dropDuplicates(["id"]))
+        sets = materialize(touched(other.select(F.col("a").alias("id")).union(other.select("b"))).mapInArrow(_sets(parts), "id long, items array<long>").dropDuplicates(["id"]))
         x = other.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
         both = F.size(F.array_intersect("x", "y"))
         return equal.unionByName(x.where(100 * both >= PERCENT * (F.size("x") + F.size("y") - both)).select("a", "b"))
 
-    def maps(ids: DataFrame) -> DataFrame:
-        return found(ids).mapInArrow(_bitmaps, "id long, n long, bits array<long>")
-
-    removed = materialize(bucket_components(members, verify, PERCENT, maps, BITMAP).where("id <> component"))
+    removed = materialize(bucket_components(members, verify, PERCENT, lambda ids: listed(touched(ids), _sets(parts), PERCENT)).where("id <> component"))
     part = lambda c: parts.part_of(F.col(c)).alias("part")
     gone = removed.groupBy(parts.doc_of(F.col("id")).alias("doc_id")).agg(F.collect_list(F.struct(part("id"), F.col("component").alias("root"))).alias("gone"))
     roots = removed.select("component").distinct()

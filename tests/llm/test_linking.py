@@ -4,13 +4,13 @@ import brute
 import numpy as np
 import pytest
 from lumenrec.llm import linking
-from lumenrec.llm.minhash import bitmaps
+from lumenrec.llm.jaccard_join import listed
 from lumenrec.llm.textops import mix
 from pyspark.sql import functions as F
 
 
 @pytest.mark.parametrize("many", [0, 1e9])
-@pytest.mark.parametrize("kind", ["plain", "placed", "bits"])
+@pytest.mark.parametrize("kind", ["plain", "placed", "listed"])
 def test_components_of_all_bucket_pairs(spark, tmp_path, monkeypatch, many, kind):
     """With as many pivots as allowed, or none beyond the first, all links within buckets count."""
     monkeypatch.setattr(linking, "MANY_PAIRS", many)
@@ -22,10 +22,10 @@ def test_components_of_all_bucket_pairs(spark, tmp_path, monkeypatch, many, kind
     order = lambda s: sorted(s, key=lambda x: -x)
     prefix = lambda s: order(s)[: len(s) - -(-80 * len(s) // 100) + 1]
     plain = lambda k, s: (k, len(s), prefix(s) if kind == "placed" else sorted(s))
-    bitmap = lambda s: bitmaps(mix(np.array(sorted(s), np.uint64)), np.array([len(s)]), 2)[0].tolist()
-    more = {"plain": lambda s: (), "placed": lambda s: (len(prefix(s)),), "bits": lambda s: ()}[kind]
+    more = {"plain": lambda s: (), "placed": lambda s: (len(prefix(s)),), "listed": lambda s: ()}[kind]
     columns = ", placed int" * (kind == "placed")
-    maps = brute.stored(spark, tmp_path, [(k, len(s), bitmap(s)) for k, s in sets.items()], "id long, n long, bits array<long>")
+    hashed = lambda s: np.sort(mix(np.array(sorted(s), np.uint64))).view(np.int64).tolist()
+    whole = brute.stored(spark, tmp_path, [(k, hashed(s)) for k, s in sets.items()], "id long, items array<long>")
     members = brute.stored(spark, tmp_path, [plain(k, s) + more(s) for k, s in sets.items()], "id long, n long, keys array<long>" + columns)
     items = brute.stored(spark, tmp_path, [(k, sorted(s)) for k, s in sets.items()], "id long, items array<int>")
 
@@ -34,7 +34,7 @@ def test_components_of_all_bucket_pairs(spark, tmp_path, monkeypatch, many, kind
         both = F.size(F.array_intersect("x", "y"))
         return x.where(100 * both >= 80 * (F.size("x") + F.size("y") - both)).select("a", "b")
 
-    got = {r["id"]: r["component"] for r in linking.bucket_components(members, verify, 80, (lambda ids: maps.join(ids, "id", "left_semi")) if kind == "bits" else None, 2).collect()}
+    got = {r["id"]: r["component"] for r in linking.bucket_components(members, verify, 80, (lambda ids: listed(whole.join(ids, "id", "left_semi"), lambda x: x, 80)) if kind == "listed" else None).collect()}
     want = brute.components(sets, brute.jaccard_links(sets))
     assert {k: got.get(k, k) for k in sets} == want
     assert len(set(want.values())) > 20
