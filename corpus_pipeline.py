@@ -38,7 +38,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the fitted rates say, so that small sources weigh more; each at least once unless its rate is 0."""
+    """Documents as often as the fitted rates say, rounded at random, so that small sources weigh more; each at least once."""
     rates = mixing.fit_rates(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return mixing.apply_rates(docs, rates)
 
