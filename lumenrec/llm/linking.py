@@ -115,10 +115,21 @@ def bucket_components(members: DataFrame, verify: Verify, percent: int, lists: V
     buckets = materialize(rows.groupBy("key").agg(F.count("*").alias("members"), *ends).where("id_a < id_b"))
     shared = materialize(restrict(rows, buckets.where("members > 2").select("key"), "key"))
 
+    def likely(pairs: DataFrame) -> DataFrame:
+        """Pairs that share enough of their placed keys: what is shared up to the first of the two last ones is shared by both."""
+        if not placed:
+            return pairs
+        ids = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+        own = materialize(restrict(members, ids, "id").select("id", F.slice("keys", 1, F.col("placed")).alias("keys")))
+        both = pairs.join(own.select(F.col("id").alias("a"), F.col("keys").alias("x")), "a").join(own.select(F.col("id").alias("b"), F.col("keys").alias("y")), "b")
+        behind = F.greatest(*(F.ceil(percent * F.col(n) / 100) - 1 for n in ("n_a", "n_b")))
+        enough = F.size(F.array_intersect("x", "y")) >= places.need(F.col("n_a"), F.col("n_b")) - behind
+        return both.where((F.size("x") == 0) | (F.size("y") == 0) | enough).select(*pairs.columns).dropDuplicates(["a", "b"])
+
     pivots = buckets.where("members > 2").select("key", *(f"{c}_a" for c in ["id", *carried]))
     star = pivots.join(shared.select("key", *_side(shared, "b")), "key").where("id_a <> id_b")
     pairs = buckets.where("members = 2").select(*star.columns).unionByName(star)
-    tested = materialize(_by_id(pairs.where(possible), kept))
+    tested = materialize(likely(materialize(_by_id(pairs.where(possible), kept))))
     # a member's first pair settles most members; of its other pairs those are left that still lie across components
     first = materialize(tested.groupBy("b").agg(F.min("a").alias("a"), *(F.min_by(c, "a").alias(c) for c in tested.columns[2:])).select(*tested.columns))
     labels = materialize(connected_components(materialize(verify(first))))
@@ -150,7 +161,7 @@ def bucket_components(members: DataFrame, verify: Verify, percent: int, lists: V
         return connected_components(stars().unionByName(found.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))))
 
     def fresh(pairs: DataFrame) -> DataFrame:
-        return materialize(_by_id(pairs, kept).join(tested.select("a", "b"), ["a", "b"], "left_anti"))
+        return materialize(likely(materialize(_by_id(pairs, kept).join(tested.select("a", "b"), ["a", "b"], "left_anti"))))
 
     for attempt in range(PIVOT_ROUNDS + 1):
         torn = unsettled()
