@@ -40,7 +40,7 @@ from .textops import mix
 LENGTH, GRAM, SHALLOW = 100, 48, 24
 MAX_FILTER_BITS, PROBES, SEGMENTS_LOG2 = 1 << 28, 4, 6
 #: Bytes of text, or suffixes, that a task sorts at a time.
-PORTION = 3_000_000
+PORTION = 1_500_000
 _WORD_AT = [*range(0, LENGTH - 8, 8), LENGTH - 8]
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
