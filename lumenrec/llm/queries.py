@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, jaccard_join, line_dedup, lm_scoring, mixing, quality, substring_dedup, suffix_dedup, toxicity
+from . import bpe, divergence, embedding_dedup, hard_negatives, jaccard_join, line_dedup, lm_scoring, mixing, quality, secret_scan, substring_dedup, suffix_dedup, toxicity
 from .storage import materialize
 
 #: Held-out folds of the contracts: crc32 of the id as text, modulo this.
@@ -74,6 +74,25 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("found", lambda x: x["kind"] < len(secret_scan.BASE_RULES))
+    of_kind = F.transform("found", lambda x: x["kind"])
+    counts = [F.size(F.array_remove(of_kind, i)).alias(f"_{i}") for i in range(len(secret_scan.BASE_RULES))]
+    counts = [(F.size("found") - c).cast("long").alias(f"n_{rule.kind}") for c, rule in zip(counts, secret_scan.BASE_RULES)]
+    return found.select("doc_id", *counts, F.sha2(secret_scan.written(base), 256).alias("base_sha256"), secret_scan.written(F.col("found")).alias("spans"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -114,6 +133,45 @@ SQL = {
 }
 
 
+
+
+def _secrets_sql() -> str:
+    """Lengths of the pieces between matches and of the matches add up to offsets."""
+    parts, spans = [], []
+    for i, rule in enumerate(secret_scan.RULES):
+        pattern = rule.java.replace("'", "''")
+        parts.append(f"regexp_extract_all(t, '{pattern}') m{i}, regexp_extract_all(t, '{pattern}', {rule.group}) g{i}, string_split_regex(t, '{pattern}') p{i}")
+        before = lambda c, n, i=i: f"coalesce(list_sum(list_transform({c}{i}[1:{n}], lambda s: length(s))), 0)::bigint"
+        start = f"{before('p', 'k')} + {before('m', 'k - 1')}"
+        spans.append(f"list_transform(list_filter(range(1, len(m{i}) + 1), lambda k: length(g{i}[k]) >= {rule.least}), lambda k: {{'a': {start}, 'kind': {i}, 'b': {start} + length(m{i}[k])}})")
+    kinds = "[" + ", ".join(f"'{rule.kind}'" for rule in secret_scan.RULES) + "]"
+    text = lambda which: f"array_to_string(list_transform({which}, lambda s: ({kinds})[s.kind + 1] || ':' || s.a || ':' || s.b), ',')"
+    counts = ", ".join(f"len(list_filter(f, lambda s: s.kind = {i}))::bigint n_{rule.kind}" for i, rule in enumerate(secret_scan.BASE_RULES))
+    return f"""with d as (select doc_id, coalesce(text, '') t from documents), parts as materialized (select doc_id, {", ".join(parts)} from d),
+ found as materialized (select doc_id, list_sort(flatten([{", ".join(spans)}])) f from parts)
+ select doc_id, {counts}, sha256({text(f"list_filter(f, lambda s: s.kind < {len(secret_scan.BASE_RULES)})")}) base_sha256, {text("f")} spans from found"""
+
+
+SQL["op11_secret_scan"] = _secrets_sql()
+_SHARE = "1 + (1000000000::hugeint * ({n} + 5)) // ({total} + 5 * {terms})"
+SQL["op12_source_divergence"] = f"""with d as (select row_number() over () r, coalesce(lang, '') lang, coalesce(source, '') source, coalesce(text, '') t from documents),
+ w as materialized (select r, lang, source, unnest(regexp_extract_all({_LOWERED.format(text="t")}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) term from d),
+ kept as materialized (select lang, term, count(*) n from w group by lang, term having count(distinct r) >= 30), v as (select lang, count(*) v, sum(n) total from kept group by lang),
+ c as (select lang, source, term, count(*) n from w semi join kept using (lang, term) group by all),
+ g as materialized (select lang, source, coalesce(v, 0) v, coalesce(v.total, 0) all_total, coalesce(t.total, 0) total from (select distinct lang, source from d) left join (select lang, source, sum(n) total from c group by all) t using (lang, source) left join v using (lang)),
+ p as materialized (select lang, g.source, term, coalesce(c.n, 0) n, {_SHARE.format(n="coalesce(c.n, 0)", total="total", terms="v")} p, {_SHARE.format(n="k.n", total="all_total", terms="v")} q from g join kept k using (lang) left join c using (lang, source, term)),
+ pairs as (select a.lang, a.source, b.source item, sum(abs(a.p - b.p)) f from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+ everything as (select a.lang, a.source, 'pair' part, b.source item, coalesce(f, 0)::bigint "value" from g a join g b on a.lang = b.lang and a.source <> b.source left join pairs x on x.lang = a.lang and x.source = a.source and x.item = b.source
+ union all select lang, source, 'term', term, (p - q)::bigint from p where n > 0 and p > q)
+ select * from (select *, row_number() over (partition by lang, source, part order by "value" desc, item)::int "rank" from everything) where part = 'pair' or "rank" <= 50"""
+SQL["op13_hard_negatives"] = """with v as materialized (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end l, list_transform(embedding, lambda x: floor(256 * x::double)) q from embeddings
+ where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+ s as materialized (select a.vec_id anchor_id, b.vec_id other_id, a.l = b.l same, list_dot_product(a.q, b.q)::bigint score from v a, v b where a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
+ pos as (select anchor_id, other_id positive_id, score positive_score from (select *, row_number() over (partition by anchor_id order by score desc, other_id) r from s where same) where r <= 5)
+ select * from (select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_id order by score desc, other_id)::int "rank", other_id negative_id, positive_score, score negative_score
+ from pos join s using (anchor_id) where not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score) where "rank" <= 3"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL where it can say the whole result: all pairs of vectors, of shingle sets, and of byte strings."""
     return SQL
