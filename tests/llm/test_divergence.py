@@ -41,23 +41,17 @@ def corpus(seed, n=400, sources=9):
 
 
 @pytest.mark.parametrize("block,cost", [(256, 16), (4, 16), (4, 10**9), (256, 0)])
-def test_equals_plain_sums(spark, tmp_path, monkeypatch, block, cost):
+def test_equals_plain_sums(spark, tmp_path, block, cost):
     """All terms dense, all sparse, and both; one block of groups and several."""
-    monkeypatch.setattr(D, "BLOCK", block)
-    monkeypatch.setattr(D, "PAIR_COST", cost)
-    monkeypatch.setattr(D, "TILE", 40)
-    monkeypatch.setattr(D, "PAIRS", 100)
-    monkeypatch.setattr(D, "DENSE", 3)
+    sizes = D.Sizes(pair_cost=cost, tile=40, block=block, dense=3, pairs=100)
     rows = corpus(3)
-    got = D.audit(stored(spark, tmp_path, rows, "text string, lang string, source string, term string"), 5, 4)
+    got = D.audit(stored(spark, tmp_path, rows, "text string, lang string, source string, term string"), 5, 4, sizes)
     assert sorted(map(tuple, got.collect())) == plain(rows, 5, 4)
 
 
-def test_many_kept_terms_and_no_rows(spark, tmp_path, monkeypatch):
+def test_many_kept_terms_and_no_rows(spark, tmp_path):
     rows = corpus(4, 150)
-    monkeypatch.setattr(D, "KNOWN_TERMS", 3)
-    monkeypatch.setattr(D, "ENTRIES", 20)
-    got = D.audit(stored(spark, tmp_path, rows, "text string, lang string, source string, term string"), 5, 4)
+    got = D.audit(stored(spark, tmp_path, rows, "text string, lang string, source string, term string"), 5, 4, D.Sizes(known_terms=3, entries=20))
     assert sorted(map(tuple, got.collect())) == plain(rows, 5, 4)
     assert D.audit(spark.createDataFrame([], "text string, lang string, source string")).count() == 0
 
