@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import stored
+
 SMALL_ROWS, ITEM_BLOCK, QUERY_BLOCK, AT_ONCE = 50_000, 16_384, 8_192, 256
 #: (query ids, query matrix, item ids, item matrix) -> columns of the result.
 Meet = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], dict[str, np.ndarray]]
@@ -65,6 +67,37 @@ def meet_all(queries: DataFrame, items: DataFrame, by: str, meet: Meet, schema:
     return left.groupBy("qb", "ib").cogroup(right.groupBy("to_qb", "to_ib")).applyInPandas(both, schema)
 
 
+#: Requests that meet one block in a task.
+REQUESTS = 1_024
+
+
+def dealt_meet(asked: DataFrame, blocks: DataFrame, on: list[str], by: str, meet: Callable[[pa.Table, pa.Table], dict[str, np.ndarray]], schema: str, at_once: int = REQUESTS) -> DataFrame:
+    """Requests meet the blocks with the same ``on`` columns: ``meet(requests, blocks)`` for a few blocks and ``at_once`` requests each time.
+
+    The requests of a key are counted first and dealt out by salts (a hash of ``by``), and its
+    blocks are repeated for each salt, so a key that all requests name is many tasks. A block has
+    a number in ``block``; blocks of one key meet requests in tasks of their own.
+    """
+    asked = stored(asked)
+    salts = stored(asked.groupBy(*on).agg(F.ceil(F.count("*") / at_once).cast("int").alias("salts")))
+    left = asked.join(salts, on).withColumn("salt", F.pmod(F.xxhash64(by), F.col("salts")).cast("int")).drop("salts")
+    named = blocks.join(salts, on)
+    right = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    # names of its own for the requests' side: both may come from one table
+    left = left.join(blocks.select(*on, F.col("block").alias("to_block")), on).select(*(F.col(c).alias(f"to_{c}") if c in (*on, "salt") else F.col(c) for c in [*left.columns, "to_block"]))
+    columns = [c.split()[0] for c in schema.split(", ")]
+    types = {"long": pa.int64(), "double": pa.float64(), "int": pa.int32()}
+    kinds = [types[c.split()[1]] for c in schema.split(", ")]
+
+    def run(requests: pa.Table, held: pa.Table) -> pa.Table:
+        requests = requests.rename_columns([c.removeprefix("to_") for c in requests.column_names])
+        out = meet(requests, held) if requests.num_rows and held.num_rows else {c: [] for c in columns}
+        return pa.table({c: pa.array(out[c], k) for c, k in zip(columns, kinds)})
+
+    keys = [*on, "block", "salt"]
+    return left.groupBy(*(f"to_{k}" for k in keys)).cogroup(right.groupBy(*keys)).applyInArrow(run, schema)
+
+
 def best(by: str, k: int, drop_self: bool = False, slack: float = 1e-6) -> Meet:
     """The ``k`` items of the largest inner product, and all others within ``slack`` of the k-th, so that rounding decides later."""
 

@@ -153,6 +153,53 @@ def loss(name: str, rows: DataFrame, **settings) -> DataFrame:
     return LOSSES[name](rows, **settings)
 
 
+def stop_early(values: list[float], patience: int = 5, least_gain: float = 0.001) -> int | None:
+    """The place (from 0) of a series at which training stops: ``patience`` values in all without a rise of more than ``least_gain``, counted anew after each rise."""
+    best, waited = None, 0
+    for i, x in enumerate(values):
+        if best is None or x > best + least_gain:
+            best, waited = x, 0
+        else:
+            waited += 1
+            if waited >= patience:
+                return i
+    return None
+
+
+def early_stopping(series: DataFrame, patience: int = 5, least_gain: float = 0.001, mode: str = "max") -> DataFrame:
+    """The rule of ``stop_early`` for a table of series: ``series, step, value`` -> ``series, steps, stopped_at, best``.
+
+    Each series is folded in the order of its steps, with the best value and the steps waited as
+    state; after the stop the state stays. ``stopped_at`` is null where no step stops. Null values
+    are left out. With ``mode`` "min" a fall is a gain.
+    """
+    sign = {"max": 1.0, "min": -1.0}[mode]
+    ordered = F.array_sort(F.collect_list(F.struct("step", (sign * F.col("value")).alias("value"))))
+    start = F.struct(F.lit(None).cast("double").alias("best"), F.lit(0).alias("waited"), F.lit(None).cast("long").alias("stopped"))
+
+    def step(acc, x):
+        gain = acc["best"].isNull() | (x["value"] > acc["best"] + least_gain)
+        waited = F.when(gain, 0).otherwise(acc["waited"] + 1)
+        stopped = F.when(waited >= patience, x["step"].cast("long"))
+        after = F.struct(F.when(gain, x["value"]).otherwise(acc["best"]).alias("best"), waited.cast("int").alias("waited"), stopped.alias("stopped"))
+        return F.when(acc["stopped"].isNotNull(), acc).otherwise(after)
+
+    folded = series.where("value is not null").groupBy("series").agg(F.count("*").alias("steps"), ordered.alias("all"))
+    end = folded.select("series", "steps", F.aggregate("all", start, step).alias("end"))
+    return end.select("series", "steps", F.col("end.stopped").alias("stopped_at"), (sign * F.col("end.best")).alias("best"))
+
+
+def mined_triples(batch: DataFrame, found: DataFrame, items: DataFrame, positives: DataFrame, each: int = 5) -> DataFrame:
+    """``id, u, p, n``: the first ``each`` of ``found(id, item_id, rank)`` that are no positives of the id, with their vectors.
+
+    ``batch(id, u, v)`` has the ids' own vectors and positives; ``positives(id, item_id)`` all that count as right.
+    """
+    left = found.join(positives.select("id", "item_id").distinct(), ["id", "item_id"], "left_anti")
+    hard = left.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("rank"))).where(F.col("r") <= each).select("id", "item_id")
+    vectors = items.select("item_id", F.col("v").alias("n"))
+    return hard.join(vectors, "item_id").join(batch.select("id", "u", F.col("v").alias("p")), "id").select("id", "u", "p", "n")
+
+
 def learning_rates(spark: SparkSession, steps: int, warmup: int, base: float, least: float = 0.0) -> DataFrame:
     """``step, rate``: a linear rise over ``warmup`` steps, then half a cosine down to ``least``."""
     step = F.col("id")

@@ -12,16 +12,18 @@ PROMOTED_SCORE = 999.0
 
 
 def business_rules(candidates: DataFrame, watched: DataFrame, promoted: list[int]) -> DataFrame:
-    """Drops watched items, then puts promoted ones first with a fixed score.
+    """Drops watched items, then puts promoted ones first, in the order given, with a fixed score.
 
     Promotion looks at the unfiltered list: a watched item that is promoted comes back.
     """
     seen = watched.select("user_id", "item_id").distinct().withColumn("_seen", F.lit(True))
-    first = F.col("item_id").isin(promoted)
-    both = candidates.join(seen, ["user_id", "item_id"], "left").where(first | F.col("_seen").isNull()).drop("_seen")
-    both = both.withColumn("score", F.when(first, F.lit(PROMOTED_SCORE)).otherwise(F.col("score")))
-    rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("score"), "item_id"))
-    return both.withColumn("rank", rank.cast("long"))
+    place = F.array_position(F.array(*(F.lit(i).cast("long") for i in promoted)), F.col("item_id").cast("long")) if promoted else F.lit(0).cast("long")
+    both = candidates.join(seen, ["user_id", "item_id"], "left").withColumn("_place", place)
+    both = both.where((F.col("_place") > 0) | F.col("_seen").isNull()).drop("_seen")
+    both = both.withColumn("score", F.when(F.col("_place") > 0, F.lit(PROMOTED_SCORE)).otherwise(F.col("score")))
+    first = F.when(F.col("_place") > 0, F.col("_place"))
+    rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.asc_nulls_last(first), F.desc("score"), "item_id"))
+    return both.withColumn("rank", rank.cast("long")).drop("_place")
 
 
 def category_quota(candidates: DataFrame, quotas: dict[str, int], default: int) -> DataFrame:

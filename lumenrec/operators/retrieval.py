@@ -110,9 +110,9 @@ def ivf_build(items: DataFrame, cells: int, seed: int = 3) -> IvfIndex:
     return IvfIndex(stored(placed), stored(centres))
 
 
-def _probed(index: IvfIndex, queries: DataFrame, by: str, probes: int) -> DataFrame:
+def probed(centres: DataFrame, queries: DataFrame, by: str, probes: int) -> DataFrame:
     """The cells of each query's nearest centroids, in order: ``by, cell_id, r``."""
-    centres = index.centres.select(F.col("cell_id").alias("item_id"), F.col("c").alias("v"))
+    centres = centres.select(F.col("cell_id").alias("item_id"), F.col("c").alias("v"))
     near = meet_all(queries, centres, by, best(by, probes), f"{by} long, item_id long, score double")
     near = near.withColumn("r", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), "item_id")))
     return near.where(F.col("r") <= probes).select(by, F.col("item_id").cast("int").alias("cell_id"), "r")
@@ -120,7 +120,7 @@ def _probed(index: IvfIndex, queries: DataFrame, by: str, probes: int) -> DataFr
 
 def ivf_search(index: IvfIndex, queries: DataFrame, by: str, k: int, probes: int) -> DataFrame:
     """Neighbours among the cells of the ``probes`` centroids nearest to the query; an equi-join on the cell."""
-    near = _probed(index, queries, by, probes).join(queries.withColumnRenamed("v", "qv"), by)
+    near = probed(index.centres, queries, by, probes).join(queries.withColumnRenamed("v", "qv"), by)
     return top_k(near.join(index.placed, "cell_id").select(by, "item_id", F.round(dot("qv", "v"), 6).alias("score")), by, k)
 
 
@@ -132,33 +132,13 @@ def ivf_tune(index: IvfIndex, queries: DataFrame, items: DataFrame, by: str, k:
     """
     cells = index.centres.count()
     exact = knn(queries, items, by, k).join(index.placed.select("item_id", "cell_id"), "item_id")
-    found = exact.join(_probed(index, queries, by, cells), [by, "cell_id"]).groupBy(F.col("r").alias("probes")).agg(F.count("*").alias("n"))
+    found = exact.join(probed(index.centres, queries, by, cells), [by, "cell_id"]).groupBy(F.col("r").alias("probes")).agg(F.count("*").alias("n"))
     share = F.sum("n").over(Window.orderBy("probes")) / F.sum("n").over(Window.partitionBy())
     curve = stored(found.withColumn("recall", share).select("probes", "recall"))  # a row for each number of probes
     row = curve.where(F.col("recall") >= recall).agg(F.min("probes")).first()
     return (row[0] or cells), curve
 
 
-def pq_search(queries: DataFrame, items: DataFrame, by: str, k: int, parts: int = 8, codes: int = 256, seed: int = 3, fetch: int = 20, sample: int = 100_000) -> DataFrame:
-    """Product quantisation, then exact scores of ``fetch`` times ``k`` candidates.
-
-    Each part of a vector is replaced by its nearest centroid's (fitted on at most ``sample``
-    vectors); the candidates by these are ranked again by their own vectors.
-    """
-    dim = len(items.first()["v"])
-    width = dim // parts
-    coded, train = items, items.orderBy(F.xxhash64("item_id")).limit(sample)
-    for p in range(parts):
-        piece = F.slice("v", p * width + 1, width)
-        model = KMeans(k=codes, seed=seed + p, maxIter=10, featuresCol="f", predictionCol="code").fit(train.select(array_to_vector(piece).alias("f")))
-        centres = items.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], f"code int, c{p} array<double>")
-        coded = model.transform(coded.withColumn("f", array_to_vector(piece))).drop("f").join(F.broadcast(centres), "code").drop("code")
-    read = coded.select("item_id", F.concat(*(F.col(f"c{p}") for p in range(parts))).alias("v"))
-    candidates = knn(queries, read, by, fetch * k).select(by, "item_id")
-    exact = candidates.join(queries.withColumnRenamed("v", "qv"), by).join(items, "item_id")
-    return top_k(exact.select(by, "item_id", F.round(dot("qv", "v"), 6).alias("score")), by, k)
-
-
 def lsh_search(queries: DataFrame, items: DataFrame, by: str, k: int, width: float = 1.0, tables: int = 6, seed: int = 3) -> DataFrame:
     """Candidates that share a bucket of random projections; stands in for graph indexes."""
     lsh = BucketedRandomProjectionLSH(inputCol="f", outputCol="h", bucketLength=width, numHashTables=tables, seed=seed)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import catalog as C
+from ..operators import compressed as Z
 from ..operators import features as X
+from ..operators import graph as G
 from ..operators import metrics as M
 from ..operators import preprocess as P
+from ..operators import ranker as L
 from ..operators import rerank as K
 from ..operators import retrieval as R
 from ..operators import search as S
@@ -336,11 +339,17 @@ def media_counts(spark: SparkSession, d: str) -> DataFrame:
     return C.media_counts(T.catalog(spark, d))
 
 
-@query(f"with {CATALOG} select item_id, lower(p) \"name\", 'rule' kind from catalog, (select distinct split_part(p_name, ' ', 1) || ' ' || split_part(p_name, ' ', 2) p from part) where (lower(title) = lower(p) or starts_with(lower(title), lower(p) || ' (')) and not contains(title, 'Escape')")
+@query(f"""with {MOVIES}, t as (select item_id, case when item_id % 9 = 0 then 'Escape ' || title when item_id % 7 = 0 then tag_text || ' Escape' when item_id % 5 = 0 then tag_text else title end title from movies),
+ r as (select distinct lower(p_name) "name" from part union select lower(title) from t where item_id % 63 = 0 or item_id % 70 = 0)
+ select item_id, "name", 'rule' kind from t, r where (lower(title) = "name" or starts_with(lower(title), "name" || ' (')) and not contains(title, 'Escape')""")
 def rule_matches(spark: SparkSession, d: str) -> DataFrame:
-    words = F.split("p_name", " ")
-    rules = T.read(spark, d, "part").select(F.lower(F.concat_ws(" ", F.get(words, F.lit(0)), F.coalesce(F.get(words, F.lit(1)), F.lit("")))).alias("name")).distinct().withColumn("kind", F.lit("rule"))
-    return C.match_rules(T.catalog(spark, d), rules)
+    """Some titles hold the guard word, and some of these are rules themselves: none of them may match."""
+    i, word = F.col("item_id"), F.lit("Escape")
+    title = F.when(i % 9 == 0, F.concat_ws(" ", word, "title")).when(i % 7 == 0, F.concat_ws(" ", "tag_text", word)).when(i % 5 == 0, F.col("tag_text")).otherwise(F.col("title"))
+    titles = T.movies(spark, d).select("item_id", title.alias("title"))
+    named = titles.where("item_id % 63 = 0 or item_id % 70 = 0").select(F.lower("title").alias("name"))
+    rules = T.read(spark, d, "part").select(F.lower("p_name").alias("name")).union(named).distinct().withColumn("kind", F.lit("rule"))
+    return C.match_rules(titles, rules)
 
 
 LINKS = "links as (select p_partkey item_id, case when p_partkey % 7 = 0 then null when p_partkey % 11 = 0 then 0 else p_partkey // 2 + 1000 end tmdb_id from part)"
@@ -409,6 +418,31 @@ def search_intent(spark: SparkSession, d: str) -> DataFrame:
     return S.search(T.catalog(spark, d), "tiny widget", intent={"genres": ["ECONOMY", "Brand#2"], "year_min": 1960, "year_max": 1979})
 
 
+_ASKED = """asked as (select p_partkey query_id, lower(trim(case p_partkey % 5 when 0 then p_name when 1 then split_part(p_name, ' ', 1) || ' ' || p_type when 2 then 'Hindi ' || split_part(p_name, ' ', 2) when 3 then 'sci-fi ' || p_brand || ' french' else split_part(p_name, ' ', 2) end)) q,
+ case when p_partkey % 4 = 0 then [lower(p_type), lower(p_brand)] else [] end wanted, case when p_partkey % 3 = 0 then 1950 + p_size end lo, case when p_partkey % 6 = 0 then 1960 + p_size end hi from part)"""
+_SYNONYM_MAP = "map {" + ", ".join(f"'{w}': [{', '.join(map(repr, more))}]" for w, more in S.SYNONYMS.items()) + "}"
+_LANGUAGE_OF = "case " + " ".join(f"when contains(q, '{w}') then '{code}'" for w, code in S.LANGUAGES.items()) + " end"
+
+
+@query(f"""with {CATALOG}, {_ASKED}, w as (select *, string_split(q, ' ') w from asked),
+ e as (select query_id, q, {_LANGUAGE_OF} lang, list_distinct(flatten(list_transform(w, lambda x: list_concat([x], coalesce(({_SYNONYM_MAP})[x], []))))) expanded, case when len(w) > 1 then wanted else [] end wanted, case when len(w) > 1 then lo end lo, hi from w),
+ s as (select query_id, item_id, title, case when original_language = lang then 100 else 0 end + case when lower(title) = q then 100 when contains(lower(title), q) then 50 else 0 end
+ + coalesce(list_sum(list_transform(tags, lambda t: case when t = q then 30 when contains(t, q) then 20 when contains(q, t) and length(t) > 2 then 25 else 0 end)), 0)
+ + coalesce(list_sum(list_transform(tags, lambda t: case when list_contains(expanded, t) then 15 else 0 end)), 0)
+ + coalesce(list_sum(list_transform(genres, lambda g: case when contains(q, lower(g)) then 20 else 0 end)), 0)
+ + 40 * len(list_intersect(list_distinct(list_transform(genres, lambda g: lower(g))), wanted))
+ + case when lo is null then 0 when hi is null then case when coalesce("year", 0) >= lo then 15 else 0 end when coalesce("year", 0) between lo and hi then 30 else 0 end score from e, catalog)
+ select query_id, item_id, title, score::bigint score, "rank" from (select *, row_number() over (partition by query_id order by score desc, item_id) "rank" from s where score > 0) where "rank" <= 20""")
+def search_table(spark: SparkSession, d: str) -> DataFrame:
+    """A query for each part, with languages, synonyms, genres and years among them, all in one plan."""
+    i, word = F.col("p_partkey"), lambda n: F.split_part("p_name", F.lit(" "), F.lit(n))
+    text = F.when(i % 5 == 0, F.col("p_name")).when(i % 5 == 1, F.concat_ws(" ", word(1), "p_type")).when(i % 5 == 2, F.concat_ws(" ", F.lit("Hindi"), word(2)))
+    text = text.when(i % 5 == 3, F.concat_ws(" ", F.lit("sci-fi"), "p_brand", F.lit("french"))).otherwise(word(2))
+    year = F.col("p_size").cast("long")
+    q = T.read(spark, d, "part").select(i.alias("query_id"), text.alias("query"), F.when(i % 4 == 0, F.array("p_type", "p_brand")).alias("genres"), F.when(i % 3 == 0, 1950 + year).alias("year_min"), F.when(i % 6 == 0, 1960 + year).alias("year_max"))
+    return S.search_all(T.catalog(spark, d), q)
+
+
 @query(f"""with {CATALOG}, c as (select c.*, coalesce(d.text, '') overview, [s_name] "cast" from catalog c left join documents d on d.doc_id = c.item_id join supplier on s_suppkey = c.item_id % 10 + 1)
  , s as (select item_id, title, case when title <> '' and contains('bollywood the', lower(title)) then 150 else 0 end + case when contains(lower(title), 'bollywood the') then 50 else 0 end + case when lower(title) = 'bollywood the' then 100 else 0 end
  + list_sum(list_transform("cast", lambda x: case when contains('bollywood the', lower(x)) then 40 else 0 end)) + list_sum(list_transform(genres, lambda g: case when contains('bollywood the', lower(g)) then 20 else 0 end))
@@ -441,33 +475,31 @@ def prompt_context(spark: SparkSession, d: str) -> DataFrame:
     return S.prompt_context(c)
 
 
-_TURN = "case when t.turn % 3 = 0 then t.text || ' ' || lower(p_type) || ' please.' when t.turn % 3 = 1 then p_name || ' (' || cast(1950 + p_size as varchar) || ')' else t.text end"
+_TURN = "case when t.turn % 3 = 0 then t.text || ' ' || lower(p_type) || ' please.' when t.turn % 3 = 1 then p_name || ' from the ' || cast(1950 + (p_size // 10) * 10 as varchar) || 's or ' || lower(p_brand) else t.text end"
 
 
 @query(f"""with {CATALOG}, t as (select conv_id, t.turn, role, {_TURN} q from conversations t join part on p_partkey = t.conv_id % 100 + 1),
- hist as (select conv_id, least(count(*), 10) n_history from t group by conv_id), asked as (select conv_id, lower(arg_max(q, turn)) q from t where role = 'user' group by conv_id),
- terms as (select distinct item_id, lower(unnest(genres)) term, 20 points from catalog union select item_id, lower(title), 150 from catalog),
- w as (select conv_id, list_filter(regexp_split_to_array(q, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: true) w from asked), longest as (select max(len(string_split(term, ' '))) m from terms),
- runs as (select distinct conv_id, regexp_replace(array_to_string(w[a:a + n - 1], ' '), '[.,!?]+$', '') term from (select conv_id, w, unnest(range(1, len(w) + 1)) a from w), (select unnest(range(1, m + 1)) n from longest) where a + n - 1 <= len(w)),
- named as (select conv_id, item_id, sum(points) score from runs join terms using (term) group by all),
- ranked as (select conv_id, item_id, score, row_number() over (partition by conv_id order by score desc, vote_average desc, item_id) r from named join catalog using (item_id)),
- best as (select item_id, row_number() over (order by vote_average desc, item_id) r from catalog)
- select conv_id, n_history, r "rank", item_id, cast(score as bigint) score from (select conv_id, r, item_id, score from ranked where r <= 5 union all select conv_id, r, item_id, 0 from asked anti join named using (conv_id), best where r <= 5) join hist using (conv_id)""")
+ hist as (select conv_id, least(count(*), 10) n_history from t group by conv_id), asked as (select conv_id, arg_max(q, turn) q from t where role = 'user' group by conv_id),
+ g as (select distinct unnest(genres) genre from catalog), named as (select conv_id, list(lower(genre)) named from asked, g where contains(lower(q), lower(genre)) group by conv_id),
+ intent as (select conv_id, cast(nullif(regexp_extract(q, '\\b(\\d{{3}})0s\\b', 1), '') as bigint) * 10 lo, coalesce(named, []) named from asked left join named using (conv_id)),
+ fits as (select conv_id, item_id, round(vote_average + vote_count / 10000, 6) score from intent, catalog
+ where (lo is null or coalesce("year", 0) between lo and lo + 9) and (len(named) = 0 or list_has_any(list_transform(genres, lambda x: lower(x)), named)))
+ select conv_id, n_history, r "rank", item_id, score from (select *, row_number() over (partition by conv_id order by score desc, item_id) r from fits) join hist using (conv_id) where r <= 5""")
 def chat_pipeline(spark: SparkSession, d: str) -> DataFrame:
     p = T.read(spark, d, "part")
     t = T.read(spark, d, "conversations").join(p, F.col("p_partkey") == F.col("conv_id") % 100 + 1)
-    title = F.concat("p_name", F.lit(" ("), (F.lit(1950) + F.col("p_size")).cast("string"), F.lit(")"))
-    text = F.when(F.col("turn") % 3 == 0, F.concat("text", F.lit(" "), F.lower("p_type"), F.lit(" please."))).when(F.col("turn") % 3 == 1, title).otherwise(F.col("text"))
+    decade = F.concat(F.lit(" from the "), (1950 + F.floor(F.col("p_size") / 10) * 10).cast("string"), F.lit("s"))
+    text = F.when(F.col("turn") % 3 == 0, F.concat("text", F.lit(" "), F.lower("p_type"), F.lit(" please."))).when(F.col("turn") % 3 == 1, F.concat("p_name", decade, F.lit(" or "), F.lower("p_brand"))).otherwise(F.col("text"))
     return S.chat(t.select("conv_id", "turn", "role", text.alias("text")), T.catalog(spark, d))
 
 
-@query("""with q as (select p_name || ' from the ' || cast(1950 + (p_size // 10) * 10 as varchar) || 's' query from part), v as (select distinct p_type t from part)
+@query("""with q as (select distinct p_name || ' from the ' || cast(1950 + (p_size // 10) * 10 as varchar) || 's' query from part), v as (select distinct p_type t from part)
  select query, cast(nullif(regexp_extract(query, '\\b(\\d{3})0s\\b', 1), '') as bigint) * 10 year_min, cast(nullif(regexp_extract(query, '\\b(\\d{3})0s\\b', 1), '') as bigint) * 10 + 9 year_max,
  coalesce((select string_agg(t, '|' order by t) from v where contains(lower(query), lower(t))), '') genres from q""")
 def intent_parse(spark: SparkSession, d: str) -> DataFrame:
     part = T.read(spark, d, "part")
     q = part.select(F.concat("p_name", F.lit(" from the "), (1950 + F.floor(F.col("p_size") / 10) * 10).cast("string"), F.lit("s")).alias("query"))
-    return S.parse_intent(q, [r[0] for r in part.select("p_type").distinct().collect()])
+    return S.parse_intent(q.distinct(), part.select(F.col("p_type").alias("term")).distinct())
 
 
 @query("select event_id, regexp_extract('say: ' || props || ' end', '\\{.*\\}') json, cast(json_extract_string(regexp_extract('say: ' || props || ' end', '\\{.*\\}'), '$.k') as bigint) k from events")
@@ -566,9 +598,52 @@ def index_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return R.ivf_search(loaded, _queries(spark, d), "user_id", 10, loaded.centres.count())
 
 
+def _compressed(spark, d, kind="pq"):
+    items = T.item_vectors(spark, d)
+    return items, Z.build(items, R.auto_cells(items.count()), kind)
+
+
 @query()
 def pq_search(spark: SparkSession, d: str) -> DataFrame:
-    return R.pq_search(_queries(spark, d), T.item_vectors(spark, d), "user_id", 10)
+    """Residual product codes in the 16 nearest cells, the 200 best scored by their own vectors."""
+    items, index = _compressed(spark, d)
+    return Z.search(index, _queries(spark, d), items, "user_id", 10, 16, 200)
+
+
+@query(f"with {SCORED} select user_id, item_id, score, r \"rank\" from ranked where r <= 10 and user_id % 20 = 0")
+def pq_search_all(spark: SparkSession, d: str) -> DataFrame:
+    """A saved and loaded index of product codes with all cells probed and all candidates scored by their own vectors: the exact neighbours."""
+    items, index = _compressed(spark, d)
+    path = shared_path(spark)
+    index.save(path)
+    loaded = Z.CompressedIndex.load(spark, path)
+    return Z.search(loaded, _queries(spark, d), items, "user_id", 10, loaded.centres.count(), items.count())
+
+
+@query()
+def compressed_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Recall at 10 and bytes of codes by codec and number of probes, 100 candidates scored by their own vectors."""
+    items, q, out = T.item_vectors(spark, d), stored(_queries(spark, d)), None
+    exact = stored(R.knn(q, items, "user_id", 10))
+    for kind in Z.CODECS:
+        index = _compressed(spark, d, kind)[1]
+        for probes in (4, 16):
+            recall = R.recall_at_k(Z.search(index, q, items, "user_id", 10, probes), exact, "user_id", 10)
+            row = recall.crossJoin(index.bytes_stored()).select(F.lit(kind).alias("codec"), F.lit(probes).cast("long").alias("probes"), F.round("recall", 6).alias("recall"), "code_bytes")
+            out = row if out is None else out.unionByName(row)
+    return out
+
+
+def _graph_found(spark, d, queries):
+    return G.search(G.build(T.item_vectors(spark, d)), queries, "user_id", 10)
+
+
+@query()
+def graph_search(spark: SparkSession, d: str) -> DataFrame:
+    """By a saved and loaded neighbour graph."""
+    path = shared_path(spark)
+    G.build(T.item_vectors(spark, d)).save(path)
+    return G.search(G.GraphIndex.load(spark, path), _queries(spark, d), "user_id", 10)
 
 
 @query()
@@ -583,7 +658,8 @@ def ann_recall(spark: SparkSession, d: str) -> DataFrame:
     q = stored(_queries(spark, d))
     out = R.ivf_tune(index, q, items, "user_id", 10)[1].select(F.lit("ivf").alias("index"), F.col("probes").cast("long").alias("probes"), "recall")
     exact = stored(R.knn(q, items, "user_id", 10))
-    for name, found in (("pq", R.pq_search(q, items, "user_id", 10)), ("lsh", R.lsh_search(q, items, "user_id", 10))):
+    compressed = _compressed(spark, d)[1]
+    for name, found in (("pq", Z.search(compressed, q, items, "user_id", 10, 16, 200)), ("graph", _graph_found(spark, d, q)), ("lsh", R.lsh_search(q, items, "user_id", 10))):
         out = out.unionByName(R.recall_at_k(found, exact, "user_id", 10).select(F.lit(name).alias("index"), F.lit(None).cast("long").alias("probes"), "recall"))
     return out
 
@@ -618,9 +694,9 @@ def select_best_index(spark: SparkSession, d: str) -> DataFrame:
 RULES = f"{SCORED}, c as (select user_id, item_id, score from ranked where r <= 100), s as (select distinct user_id, item_id from inter), ruled as (select c.* from c anti join s on s.user_id = c.user_id and s.item_id = c.item_id where c.item_id not in (3, 7, 250) union all select user_id, item_id, 999.0 from c where item_id in (3, 7, 250))"
 
 
-@query(f"with {RULES} select user_id, item_id, score, row_number() over (partition by user_id order by score desc, item_id) \"rank\" from ruled")
+@query(f"with {RULES} select user_id, item_id, score, row_number() over (partition by user_id order by case when score = 999.0 then list_position([250, 3, 7], item_id) end nulls last, score desc, item_id) \"rank\" from ruled")
 def business_rules(spark: SparkSession, d: str) -> DataFrame:
-    return K.business_rules(_lists(spark, d).drop("rank"), T.interactions(spark, d), [3, 7, 250])
+    return K.business_rules(_lists(spark, d).drop("rank"), T.interactions(spark, d), [250, 3, 7])
 
 
 @query(f"with {SCORED}, c as (select user_id, item_id, score, case when item_id % 10 = 0 then 'tv' else 'movie' end category from ranked where r <= 100), q as (select *, row_number() over (partition by user_id, category order by score desc, item_id) p from c) select user_id, item_id, score, category from q where p <= case category when 'tv' then 2 else 5 end")
@@ -752,6 +828,42 @@ def loss_hard_negative(spark: SparkSession, d: str) -> DataFrame:
     return M.hard_negative(_batch(spark, d)).select(*_r("loss"))
 
 
+MINED = f"""{VECTORS}, n as (select count(*) n from vec), b as (select a.item_id id, a.v u, p.v v, p.item_id pid from vec a cross join n join vec p on p.item_id = (a.item_id + 1) % n.n),
+ l as (select x.id, y.id o, {DOT.format(a='x.u', b='y.v')} / 0.07 l from b x, b y), m as (select id, max(l) m, max(case when id = o then l end) own from l group by id), s as (select l.id, any_value(m.m) + ln(sum(exp(l.l - m.m))) - any_value(own) nll from l join m on m.id = l.id group by l.id),
+ f as (select b.id, c.item_id, round({DOT.format(a='b.u', b='c.v')}, 6) s, pid, u, b.v, c.v w from b, vec c where c.item_id <> b.id), r as (select *, row_number() over (partition by id order by s desc, item_id) r from f),
+ h as (select *, row_number() over (partition by id order by r) k from r where r <= 20 and item_id <> pid)"""
+
+
+@query(f"with {MINED} select round((select avg(nll) from s) + 0.5 * (select avg(greatest(0.0, {DOT.format(a='u', b='w')} - {DOT.format(a='u', b='v')})) from h where k <= 5), 6) loss")
+def loss_with_mined_negatives(spark: SparkSession, d: str) -> DataFrame:
+    """In-batch loss plus half the margin over five negatives of each item, mined from a saved index with all cells probed."""
+    items, index = _ivf(spark, d)
+    path = shared_path(spark)
+    index.save(path)
+    loaded = R.IvfIndex.load(spark, path)
+    n = items.count()
+    batch = stored(_batch(spark, d).select("id", "u", F.col("p").alias("v")))
+    right = batch.select("id", F.pmod(F.col("id") + 1, F.lit(n)).alias("item_id")).unionByName(batch.select("id", F.col("id").alias("item_id")))
+    # one more than wanted, as an item finds itself
+    found = R.ivf_search(loaded, batch.select("id", F.col("u").alias("v")), "id", 21, loaded.centres.count()).where("id <> item_id")
+    found = found.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "item_id"))).where(F.col("rank") <= 20)
+    return M.with_hard_negatives(batch, M.mined_triples(batch, found, items, right)).select(*_r("loss"))
+
+
+SERIES = "ordered as (select user_id series, row_number() over (partition by user_id order by ts, event_id) step, value from events)"
+
+
+@query(f"""with recursive {SERIES}, f as (select series, step, value best, 0 waited, null::bigint stopped from ordered where step = 1
+ union all select o.series, o.step, case when f.stopped is not null or o.value <= f.best + 0.5 then f.best else o.value end, case when f.stopped is not null then f.waited when o.value > f.best + 0.5 then 0 else f.waited + 1 end,
+ case when f.stopped is not null then f.stopped when o.value <= f.best + 0.5 and f.waited + 1 >= 8 then o.step end from f join ordered o on o.series = f.series and o.step = f.step + 1)
+ select series, max(step) steps, arg_max(stopped, step) stopped_at, max(best) best from f group by series""")
+def early_stopping(spark: SparkSession, d: str) -> DataFrame:
+    """The values of each user's events as a series, with a patience of eight steps."""
+    step = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    rows = T.read(spark, d, "events").select(F.col("user_id").alias("series"), step.cast("long").alias("step"), "value")
+    return M.early_stopping(rows, 8, 0.5)
+
+
 # --- learned substitutes ---------------------------------------------------------------------
 
 
@@ -764,16 +876,40 @@ def als_factors(spark: SparkSession, d: str) -> DataFrame:
     return model.userFactors.select(F.col("id").cast("long").alias("user_id"), "features")
 
 
+_RANK_FEATURES = ["similarity", "user_count", "user_mean", "item_count", "item_mean"]
+
+
+def _ranking(spark, d):
+    """Every user's items with a grade from 0 to 4 and features, of users to learn from and users held out.
+
+    What is known of items comes from the users to learn from alone; a user's own means are no
+    secret of the list's order.
+    """
+    rows = T.interactions(spark, d)
+    known, _ = L.split_users(rows)
+    grade = rows.groupBy("user_id", "item_id").agg(F.floor(F.avg("rating") - 0.5).cast("double").alias("label"))
+    stats = X.pairwise(rows.select("user_id", "item_id").distinct(), _users(spark, d), T.item_vectors(spark, d), X.user_stats(rows), X.item_stats(known))
+    return L.split_users(stored(stats.join(grade, ["user_id", "item_id"]).select("user_id", "item_id", "label", *_RANK_FEATURES)))
+
+
 @query()
-def gbt_ranker(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
+def lambdarank(spark: SparkSession, d: str) -> DataFrame:
+    """The first ten of each held-out user by a saved and loaded ranker that never saw these users."""
+    train, held = _ranking(spark, d)
+    path = shared_path(spark)
+    L.train(train, _RANK_FEATURES, held).save(spark, path)
+    scored = L.Ranker.load(spark, path).predict(held)
+    return R.top_k(scored.select("user_id", "item_id", F.round("prediction", 9).alias("score")), "user_id", 10)
+
 
-    label = T.interactions(spark, d).groupBy("user_id", "item_id").agg(F.avg("rating").alias("label"))
-    data = pairwise_features(spark, d).join(label, ["user_id", "item_id"])
-    data = VectorAssembler(inputCols=["similarity", "user_mean", "user_count", "item_mean", "item_count"], outputCol="features").transform(data)
-    scored = GBTRegressor(maxIter=5, maxDepth=3, seed=1).fit(data).transform(data)
-    return R.top_k(scored.select("user_id", "item_id", F.col("prediction").alias("score")), "user_id", 10)
+@query()
+def lambdarank_ndcg(spark: SparkSession, d: str) -> DataFrame:
+    """NDCG at 10 on held-out users, of the ranker's order and of the order by similarity, and the share of the gain of each feature."""
+    train, held = _ranking(spark, d)
+    model = L.train(train, _RANK_FEATURES, held)
+    scored = model.predict(held)
+    mean = lambda c: L.ndcg(scored, c).agg(F.avg("ndcg").alias("value")).select(F.lit(f"ndcg_{c}").alias("name"), "value")
+    return mean("prediction").unionByName(mean("similarity")).unionByName(model.importances(spark).select(F.concat(F.lit("gain_"), "feature").alias("name"), F.col("gain").alias("value")))
 
 
 # --- streaming -------------------------------------------------------------------------------
@@ -788,7 +924,11 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
 _ST = "strftime({c}, '%Y-%m-%d %H:%M:%S')"
 
 
-@query(f"select {_ST.format(c='time_bucket(interval 1 hour, ts)')} \"start\", event_type, count(*) n from events group by all")
+#: What the watermark has passed when the stream has been read: the latest event, less the hour that rows may be late.
+_MARK = "(select date_trunc('millisecond', max(ts)) - interval 1 hour from events)"
+
+
+@query(f"with w as (select time_bucket(interval 1 hour, ts) st, event_type from events) select {_ST.format(c='st')} \"start\", event_type, count(*) n from w where st + interval 1 hour <= {_MARK} group by all")
 def stream_event_counts(spark: SparkSession, d: str) -> DataFrame:
     return _text(E.drain(E.tumbling_counts(_stream(spark, d))), "start")
 
@@ -797,16 +937,47 @@ def _text(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in columns})
 
 
-@query(f"with {INTER}, w as (select time_bucket(interval 1 hour, ts) - h * interval 1 hour st, item_id from inter, (select unnest(range(6)) h)) select {_ST.format(c='st')} \"start\", item_id, count(*) n from w group by all")
+@query(f"with {INTER}, w as (select time_bucket(interval 1 hour, ts) - h * interval 1 hour st, item_id from inter, (select unnest(range(6)) h)) select {_ST.format(c='st')} \"start\", item_id, count(*) n from w where st + interval 6 hours <= {_MARK} group by all")
 def stream_trending_sliding(spark: SparkSession, d: str) -> DataFrame:
     return _text(E.drain(E.sliding_trend(_stream(spark, d))), "start")
 
 
-@query(f"with o as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minutes then 0 else 1 end f from events), g as (select *, sum(f) over (partition by user_id order by ts rows unbounded preceding) s from o) select user_id, {_ST.format(c='min(ts)')} \"start\", {_ST.format(c='max(ts) + interval 30 minutes')} \"end\", count(*) n from g group by user_id, s")
+_SESSIONS = "o as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minutes then 0 else 1 end f from events), g as (select *, sum(f) over (partition by user_id order by ts rows unbounded preceding) s from o), ss as (select user_id, min(ts) a, max(ts) b, count(*) n from g group by user_id, s)"
+
+
+@query(f"with {_SESSIONS} select user_id, {_ST.format(c='a')} \"start\", {_ST.format(c='b + interval 30 minutes')} \"end\", n from ss where b + interval 30 minutes <= {_MARK}")
 def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
     return _text(E.drain(E.sessions(_stream(spark, d))), "start", "end")
 
 
+_MS = "(select user_id, time_bucket(interval 1 millisecond, ts) ts from events)"
+
+
+@query(f"with {_SESSIONS.replace('from events)', f'from {_MS})')} select user_id, epoch_ms(a)::bigint start_ms, epoch_ms(b)::bigint last_ms, n from ss where b + interval 30 minutes <= {_MARK}")
+def stream_sessions_timed(spark: SparkSession, d: str) -> DataFrame:
+    """The same sessions by keyed state with timers, to the millisecond."""
+    with E.with_state_store(spark):
+        return E.drain(E.timed_sessions(_stream(spark, d))).withColumnRenamed("key", "user_id")
+
+
+@query("""with m as (select min(ts) a, max(ts) b from events), e as (select event_id, ts, case when event_id % 50 = 0 then 3 else least(3, floor(4 * (epoch(ts) - epoch(a)) / (epoch(b) - epoch(a)))::int) end part from events, m),
+ marks as (select part, (select max(ts) from e x where x.part < y.part) - interval 1 hour mark from (select distinct part from e) y)
+ select event_id, part::bigint batch, coalesce(ts < mark, false) late from e join marks using (part)""")
+def stream_late_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Four batches in order of time, to the last of which one event in fifty comes late: every event is in one of the two tables."""
+    e, path = T.read(spark, d, "events"), shared_path(spark)
+    ends = e.agg(F.min("ts"), F.max("ts")).first()
+    at = lambda x: F.expr(f"unix_micros(cast({x} as timestamp))")
+    low, high = F.lit(ends[0]).cast("timestamp"), F.lit(ends[1]).cast("timestamp")
+    rows = e.withColumn("lo", low).withColumn("hi", high)
+    part = F.when(F.col("event_id") % 50 == 0, 3).otherwise(F.least(F.lit(3), F.floor(4 * (at("ts") - at("lo")) / (at("hi") - at("lo"))).cast("int")))
+    for k in range(4):
+        rows.where(part == k).select(*e.columns).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    in_time, late = E.split_late(stream)
+    return in_time.select("event_id", "batch", F.lit(False).alias("late")).unionByName(late.select("event_id", "batch", F.lit(True).alias("late")))
+
+
 @query("select event_id, user_id, event_type from events")
 def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
     twice = _stream(spark, d)

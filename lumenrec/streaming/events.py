@@ -5,9 +5,13 @@ Each function takes a frame with ``ts`` as timestamp; on a stream the watermark
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..sources.store import shared_path
 
@@ -45,10 +49,12 @@ def deduplicated(events: DataFrame) -> DataFrame:
     return df.dropDuplicatesWithinWatermark(["event_id"]) if df.isStreaming else df.dropDuplicates(["event_id"])
 
 
-def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
+def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a stream over what is there into a Parquet table and returns that; no row passes the driver.
 
-    With ``complete`` each batch replaces the table, as its result is the whole one.
+    In append mode a window or session is written once, when the watermark has passed its end, and
+    its state goes; those that the watermark has not passed stay in the state for the next run.
+    With ``complete`` each batch replaces the table and all state is kept: for small results only.
     """
     spark = stream.sparkSession
     path = shared_path(spark)
@@ -61,6 +67,104 @@ def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
+def split_late(stream: DataFrame, delay: str = "1 hour") -> tuple[DataFrame, DataFrame]:
+    """Runs a stream into two tables: rows in time, and rows older than what earlier batches had reached, less ``delay``.
+
+    A watermark drops late rows without a trace; here they stay, with the number of their batch
+    and the mark that they missed. Each batch writes its own folders, so a batch that is run again
+    after a failure replaces what it had written.
+    """
+    spark = stream.sparkSession
+    path = shared_path(spark)
+    marks = "latest timestamp, batch long"
+    spark.createDataFrame([], "latest timestamp").write.parquet(f"{path}/marks/batch=-1")
+
+    def put(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        batch = batch.withColumn("ts", F.col("ts").cast("timestamp")).persist()
+        before = session.read.schema(marks).parquet(f"{path}/marks").where(F.col("batch") < number).agg(F.max("latest")).first()[0]
+        mark = F.lit(before).cast("timestamp") - F.expr(f"interval {delay}")
+        late = F.coalesce(F.col("ts") < mark, F.lit(False))
+        batch.where(~late).write.mode("overwrite").parquet(f"{path}/in_time/batch={number}")
+        batch.where(late).withColumn("mark", mark).write.mode("overwrite").parquet(f"{path}/late/batch={number}")
+        batch.agg(F.max("ts").alias("latest")).write.mode("overwrite").parquet(f"{path}/marks/batch={number}")
+        batch.unpersist()
+
+    stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{path}-state").foreachBatch(put).start().awaitTermination()
+    fields = [f"{x.name} {'timestamp' if x.name == 'ts' else x.dataType.simpleString()}" for x in stream.schema]
+    in_time = spark.read.schema(", ".join([*fields, "batch long"])).parquet(f"{path}/in_time")
+    return in_time, spark.read.schema(", ".join([*fields, "mark timestamp", "batch long"])).parquet(f"{path}/late")
+
+
+class _Sessions(StatefulProcessor):
+    """Open sessions of a key as state; each has an event-time timer at its end, which writes and forgets it."""
+
+    def __init__(self, gap_ms: int):
+        self.gap = gap_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getListState("open", "start_ms long, last_ms long, n long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        spans = sorted(self._held() + [(r.ms, r.ms, 1) for r in rows])
+        merged: list[tuple[int, int, int]] = []
+        for start, last, n in spans:
+            if merged and start < merged[-1][1] + self.gap:
+                merged[-1] = (merged[-1][0], max(last, merged[-1][1]), merged[-1][2] + n)
+            else:
+                merged.append((start, last, n))
+        self._keep(merged)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        now, open_ = expiredTimerInfo.getExpiryTimeInMs(), self._held()
+        done = [x for x in open_ if x[1] + self.gap <= now]
+        self._keep([x for x in open_ if x[1] + self.gap > now], expired=now)
+        for start, last, n in done:
+            yield Row(key=key[0], start_ms=start, last_ms=last, n=n)
+
+    def close(self) -> None:
+        pass
+
+    def _held(self):
+        return [tuple(x) for x in self.open.get()] if self.open.exists() else []
+
+    def _keep(self, spans: list[tuple[int, int, int]], expired: int | None = None) -> None:
+        wanted, there = {last + self.gap for _, last, _ in spans}, set(self.handle.listTimers())
+        for t in there - wanted:
+            if t != expired:
+                self.handle.deleteTimer(t)
+        for t in wanted - there:
+            self.handle.registerTimer(t)
+        if spans:
+            self.open.put(spans)
+        else:
+            self.open.clear()
+
+
+def timed_sessions(events: DataFrame, gap_minutes: int = 30) -> DataFrame:
+    """Sessions by keyed state and event-time timers: ``key, start_ms, last_ms, n``, each written once when the watermark has passed its end.
+
+    ``events(user_id, ts)`` must be a stream; a user's state is what is open and nothing else.
+    Needs the RocksDB state store (``with_state_store``).
+    """
+    rows = timed(events).select(F.col("user_id").alias("key"), "ts", F.expr("unix_millis(ts)").alias("ms"))
+    return rows.groupBy("key").transformWithState(statefulProcessor=_Sessions(gap_minutes * 60_000), outputStructType="key long, start_ms long, last_ms long, n long", outputMode="Append", timeMode="EventTime")
+
+
+@contextmanager
+def with_state_store(spark: SparkSession):
+    """The RocksDB state store while the block runs."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def to_kafka(events: DataFrame, servers: str, topic: str, checkpoint: str):
     """Sends the JSON envelope to a topic; needs Spark's Kafka connector on the class path."""
     value = F.to_json(F.struct("timestamp", "event_type", F.struct("query").alias("data")))
