@@ -1,6 +1,6 @@
 """Every query vector against every item vector, a block of each at a time, as numpy products in tasks.
 
-Items up to ``SMALL_ROWS`` go to every worker. More are dealt in blocks that meet portions of
+Items up to ``SMALL_ROWS`` of ``SMALL_BYTES`` go to every worker. More are dealt in blocks that meet portions of
 the queries two by two in tasks of bounded size; what a task returns for a query and a block is
 merged by the caller.
 """
@@ -17,13 +17,18 @@ from pyspark.sql import functions as F
 
 from ..sources.store import stored
 
-SMALL_ROWS, ITEM_BLOCK, QUERY_BLOCK, AT_ONCE = 50_000, 16_384, 8_192, 256
+SMALL_ROWS, SMALL_BYTES, ITEM_BLOCK, QUERY_BLOCK, AT_ONCE = 50_000, 32_000_000, 16_384, 8_192, 256
 #: (query ids, query matrix, item ids, item matrix) -> columns of the result.
 Meet = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], dict[str, np.ndarray]]
 
 
-def _matrix(rows) -> np.ndarray:
-    return np.array(rows, np.float64).reshape(len(rows), -1)
+def _matrix(column) -> np.ndarray:
+    """Vectors of one length as rows; from Arrow lists without Python objects."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if not isinstance(column, pa.Array):
+        return np.array(column, np.float64).reshape(len(column), -1)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
 def _portions(ids: np.ndarray, x: np.ndarray, items: np.ndarray, y: np.ndarray, meet: Meet) -> Iterator[dict[str, np.ndarray]]:
@@ -35,15 +40,16 @@ def meet_all(queries: DataFrame, items: DataFrame, by: str, meet: Meet, schema:
     """``queries(by, v)`` and ``items(item_id, v)``, all vectors of one length, ids long; rows that ``meet`` gives."""
     queries = queries.select(F.col(by).cast("long").alias(by), "v").where(F.col("v").isNotNull())
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "v").where(F.col("v").isNotNull())
-    n = items.count()
-    if n <= small:
+    about = items.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width")).first()
+    n = about["n"]
+    if n <= small and n * (about["width"] or 0) * 8 <= SMALL_BYTES:
         table = items.toArrow()
-        shared = queries.sparkSession.sparkContext.broadcast((table.column("item_id").to_numpy(), _matrix(table.column("v").to_pylist())))
+        shared = queries.sparkSession.sparkContext.broadcast((table.column("item_id").to_numpy(), _matrix(table.column("v"))))
 
         def run(batches):
             ids, y = shared.value
             for batch in batches:
-                x = _matrix(batch.column("v").to_pylist())
+                x = _matrix(batch.column("v"))
                 if batch.num_rows and len(ids):
                     for out in _portions(batch.column(by).to_numpy(), x, ids, y, meet):
                         yield pa.RecordBatch.from_pydict(out)
@@ -99,7 +105,19 @@ def dealt_meet(asked: DataFrame, blocks: DataFrame, on: list[str], by: str, meet
 
 
 def best(by: str, k: int, drop_self: bool = False, slack: float = 1e-6) -> Meet:
-    """The ``k`` items of the largest inner product, and all others within ``slack`` of the k-th, so that rounding decides later."""
+    """The ``k`` items of the largest inner product, and those within ``slack`` of the k-th, so that rounding decides later.
+
+    Of many that round to one score only the ``k`` of the smallest ids can count, so a row gives
+    no more than a few times ``k``, however many equal vectors there are.
+    """
+
+    def least_ids(scores, own):
+        place = np.flatnonzero(scores > -np.inf)
+        order = place[np.lexsort((own[place], -np.floor(scores[place] * 1e6 + 0.5)))]
+        bins = np.floor(scores[order] * 1e6 + 0.5)
+        starts = np.flatnonzero(np.r_[True, bins[1:] != bins[:-1]])
+        within = np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)]))
+        scores[order[within >= k]] = -np.inf
 
     def meet(ids, x, items, y):
         s = x @ y.T
@@ -107,6 +125,8 @@ def best(by: str, k: int, drop_self: bool = False, slack: float = 1e-6) -> Meet:
             s[ids[:, None] == items[None, :]] = -np.inf
         if s.shape[1] > k:
             s[s < np.partition(s, -k, axis=1)[:, -k][:, None] - slack] = -np.inf
+            for crowded in np.flatnonzero((s > -np.inf).sum(axis=1) > 4 * k):
+                least_ids(s[crowded], items)
         row, column = np.nonzero(s > -np.inf)
         return {by: ids[row], "item_id": items[column], "score": s[row, column]}
 

@@ -69,10 +69,12 @@ def tfidf(texts: DataFrame, vocabulary: int = 1000, columns: int = 50) -> DataFr
     Tokens of two word characters and more; vocabulary by corpus frequency; smoothed idf; rows
     normalised over the whole vocabulary.
     """
-    tokens = texts.select("item_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]{2,})"), 1)).alias("term"))
+    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]{2,})"), 1)).alias("term")
+    # the vocabulary needs no item, so that only its own tokens are shuffled with one
+    common = stored(texts.select(words).groupBy("term").agg(F.count("*").alias("total")).orderBy(F.desc("total"), "term").limit(vocabulary).select("term"))
+    tokens = texts.select("item_id", words).join(F.broadcast(common), "term")  # as few as asked for
     tf = stored(tokens.groupBy("item_id", "term").agg(F.count("*").alias("tf")))
-    terms = tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df")).orderBy(F.desc("total"), "term").limit(vocabulary)
-    terms = stored(terms)
+    terms = stored(tf.groupBy("term").agg(F.count("*").alias("df")))
     n = texts.agg(F.count("*").alias("n"))
     idf = terms.crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     weights = tf.join(F.broadcast(idf), "term").withColumn("w", F.col("tf") * F.col("idf"))

@@ -26,19 +26,23 @@ def tags_text(tags: DataFrame) -> DataFrame:
 def k_core(rows: DataFrame, users: int = 5, items: int = 5, rounds: int = 5, cut=lambda df: df.checkpoint()) -> DataFrame:
     """Rows of users, then of items, with enough rows; repeated until stable, ``rounds`` times at most.
 
-    Counts are by row. Every round is cut off with ``cut``, so the plan does not grow.
+    Counts are by row. The rounds work on pairs of user and item with their number of rows; the
+    rows themselves are read once at the end, or as they are if none had to go. Every round is cut
+    off with ``cut``, so the plan does not grow.
     """
-    size = rows.count()
+    pairs = cut(rows.groupBy("user_id", "item_id").agg(F.count("*").alias("n")))
+    total = lambda df: df.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    whole = size = total(pairs)
     for _ in range(rounds):
         for key, least in (("user_id", users), ("item_id", items)):
-            enough = rows.groupBy(key).count().where(F.col("count") >= least).select(key)
-            rows = rows.join(enough, key, "left_semi")
-        rows = cut(rows)
-        now = rows.count()
+            enough = pairs.groupBy(key).agg(F.sum("n").alias("rows")).where(F.col("rows") >= least).select(key)
+            pairs = pairs.join(enough, key, "left_semi")
+        pairs = cut(pairs)
+        now = total(pairs)
         if now == size:
             break
         size = now
-    return rows
+    return rows if size == whole else rows.join(pairs, ["user_id", "item_id"], "left_semi")
 
 
 def dense_index(ids: DataFrame, key: str, index: str) -> DataFrame:
@@ -88,17 +92,6 @@ def time_split(rows: DataFrame, order: list[str], train: float = 0.8, until: flo
     return placed.select(*rows.columns, split.alias("split"))
 
 
-def sample_negatives(rows: DataFrame, ratio: int = 4, seed: int = 42) -> DataFrame:
-    """Per user min(ratio * positives, remaining) unseen items, uniform by a seeded hash.
-
-    Candidates are users times the catalog minus what was seen, so this is for catalogs of a
-    bounded size; ``sample_negatives_drawn`` needs no product.
-    """
-    seen = rows.select("user_id", "item_id").distinct()
-    wanted = seen.groupBy("user_id").agg((F.count("*") * ratio).alias("wanted"))
-    return _ranked_negatives(seen, wanted, seed)
-
-
 def _ranked_negatives(seen: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
     items = small_side(seen.select("item_id").distinct(), 200_000)
     candidates = wanted.crossJoin(items).join(seen, ["user_id", "item_id"], "left_anti")
@@ -107,12 +100,13 @@ def _ranked_negatives(seen: DataFrame, wanted: DataFrame, seed: int) -> DataFram
     return candidates.withColumn("r", rank).where("r <= wanted").select("user_id", "item_id")
 
 
-def sample_negatives_drawn(rows: DataFrame, ratio: int = 4, seed: int = 42) -> DataFrame:
+def sample_negatives(rows: DataFrame, ratio: int = 4, seed: int = 42) -> DataFrame:
     """Per user min(ratio * positives, remaining) unseen items from uniform draws over the items' dense index.
 
     Three draws for each item wanted, by a hash, distinct and unseen, first come first served. Users
-    who want a large part of the catalog, and those whose draws did not suffice, are ranked over
-    all items instead (``sample_negatives``), so none comes short.
+    who want a large part of the catalog, and those whose draws did not suffice, have all unseen
+    items ranked by a hash instead, so none comes short; of the former the result holds a large
+    part of these items anyway.
     """
     seen = rows.select("user_id", "item_id").distinct()
     index = stored(dense_index(seen, "item_id", "at"))

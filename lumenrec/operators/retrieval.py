@@ -110,6 +110,18 @@ def ivf_build(items: DataFrame, cells: int, seed: int = 3) -> IvfIndex:
     return IvfIndex(stored(placed), stored(centres))
 
 
+def ivf_around(items: DataFrame, centres: DataFrame) -> IvfIndex:
+    """Cells around given centroids ``centres(cell_id, c)``: an item goes to the nearest, of equal ones to the smallest number."""
+    # the nearest centroid has the largest product less half its squared length, which one more component adds
+    longer = lambda v, x: F.concat(F.col(v), F.array(x))
+    asked = items.select("item_id", longer("v", F.lit(1.0)).alias("v")).withColumnRenamed("item_id", "query_id")
+    among = centres.select(F.col("cell_id").cast("long").alias("item_id"), longer("c", -dot("c", "c") / 2).alias("v"))
+    near = meet_all(asked, among, "query_id", best("query_id", 1, slack=0.0), "query_id long, item_id long, score double")
+    own = near.groupBy("query_id").agg(F.max(F.struct("score", (-F.col("item_id")).alias("cell"))).alias("x"))
+    placed = items.join(own.select(F.col("query_id").alias("item_id"), (-F.col("x.cell")).cast("int").alias("cell_id")), "item_id")
+    return IvfIndex(stored(placed.select("item_id", "v", "cell_id")), stored(centres.select("cell_id", "c")))
+
+
 def probed(centres: DataFrame, queries: DataFrame, by: str, probes: int) -> DataFrame:
     """The cells of each query's nearest centroids, in order: ``by, cell_id, r``."""
     centres = centres.select(F.col("cell_id").alias("item_id"), F.col("c").alias("v"))

@@ -169,7 +169,7 @@ def negative_sampling(spark: SparkSession, d: str) -> DataFrame:
  from (select * from want anti join enough using (user_id)) w cross join idx i anti join seen s on s.user_id = w.user_id and s.item_id = i.item_id) where r <= w)
  select user_id, item_id from drawn semi join enough using (user_id) union all select * from rest""")
 def negative_sampling_drawn(spark: SparkSession, d: str) -> DataFrame:
-    return P.sample_negatives_drawn(T.ratings_big(spark, d))
+    return P.sample_negatives(T.ratings_big(spark, d))
 
 
 HASHED = "h as (select event_id, md5('42:' || event_id) h from events)"
@@ -651,6 +651,18 @@ def lsh_search(spark: SparkSession, d: str) -> DataFrame:
     return R.lsh_search(_queries(spark, d), T.item_vectors(spark, d), "user_id", 10)
 
 
+@query(f"""with {USERS}, n as (select floor(sqrt(count(*)))::bigint n from vec), c as (select item_id cell, v from vec, n where item_id < n), placed as (select v.item_id, arg_max(cell, ({DOT.format(a='v.v', b='c.v')} - {DOT.format(a='c.v', b='c.v')} / 2, -cell)) cell from vec v, c group by v.item_id),
+ q as (select user_id, v from uvec where user_id % 20 = 0), near as (select user_id, cell, row_number() over (partition by user_id order by {DOT.format(a='q.v', b='c.v')} desc, cell) probes from q, c),
+ t as (select user_id, item_id from (select user_id, item_id, row_number() over (partition by user_id order by round({DOT.format(a='q.v', b='vec.v')}, 6) desc, item_id) r from q, vec) where r <= 10),
+ f as (select probes, count(*) m from t join placed using (item_id) join near using (user_id, cell) group by probes) select probes, round(sum(m) over (order by probes) / sum(m) over (), 6) recall from f""")
+def ivf_recall_given(spark: SparkSession, d: str) -> DataFrame:
+    """Recall at 10 by number of probes, over cells around given centroids: the first vectors."""
+    items = T.item_vectors(spark, d)
+    centres = items.where(F.col("item_id") < R.auto_cells(items.count())).select(F.col("item_id").cast("int").alias("cell_id"), F.col("v").alias("c"))
+    curve = R.ivf_tune(R.ivf_around(items, centres), _queries(spark, d), items, "user_id", 10)[1]
+    return curve.select(F.col("probes").cast("long").alias("probes"), *_r("recall"))
+
+
 @query()
 def ann_recall(spark: SparkSession, d: str) -> DataFrame:
     """Recall at 10 by number of probes, and of product codes and projections (probes null)."""
@@ -715,7 +727,12 @@ def minmax_scores(spark: SparkSession, d: str) -> DataFrame:
     return _lists(spark, d).select("user_id", "item_id", F.round(K.min_max("score", "user_id"), 6).alias("scaled"))
 
 
-@query()
+@query(f"""with recursive {SCORED}, c as (select user_id, item_id, (score - min(score) over (partition by user_id)) / (max(score) over (partition by user_id) - min(score) over (partition by user_id) + 1e-8) s, v from ranked join vec using (item_id) where r <= 50),
+ sims as materialized (select a.user_id, a.item_id a, b.item_id b, {DOT.format(a='a.v', b='b.v')} x from c a join c b on a.user_id = b.user_id and a.item_id <> b.item_id),
+ f as (select distinct user_id, 0 k, []::bigint[] done from c union all select user_id, k + 1, list_append(done, arg_min(item_id, (-value, -s, item_id))) from
+ (select f.user_id, f.k, f.done, c.item_id, any_value(c.s) s, 0.7 * any_value(c.s) - 0.3 * coalesce(max(x), 0) value from f join c on c.user_id = f.user_id and not list_contains(f.done, c.item_id) left join sims on sims.user_id = c.user_id and sims.a = c.item_id and list_contains(f.done, sims.b) where f.k < 10 group by f.user_id, f.k, f.done, c.item_id)
+ group by user_id, k, done)
+ select user_id, i "rank", done[i] item_id from f, (select unnest(range(1, 11)) i) where k = 10""")
 def mmr_rerank(spark: SparkSession, d: str) -> DataFrame:
     return K.mmr(_lists(spark, d, 50).join(T.item_vectors(spark, d), "item_id"), 10)
 
@@ -749,6 +766,16 @@ for _name in ("ndcg", "map", "mrr", "recall", "precision", "hit_rate"):
     _metric(_name)
 
 
+@query(f"""with {SCORED}, g as (select user_id, item_id, floor(avg(rating) - 0.5) g from inter group by all), l as (select r.user_id, r.item_id, r.r, coalesce(g, 0) g from ranked r left join g on g.user_id = r.user_id and g.item_id = r.item_id where r.r <= 100),
+ p as (select *, pow(2, g) - 1 gain, row_number() over (partition by user_id order by g desc, item_id) i from l), s as (select user_id, sum(case when r <= 10 then gain / log2(r + 1) else 0 end) dcg, sum(case when i <= 10 then gain / log2(i + 1) else 0 end) ideal from p group by user_id)
+ select user_id, round(dcg / ideal, 6) ndcg from s where ideal > 0""")
+def ndcg_graded(spark: SparkSession, d: str) -> DataFrame:
+    """Grades from 0 to 4 by the mean rating; items of the list without one have grade 0."""
+    grade = T.interactions(spark, d).groupBy("user_id", "item_id").agg(F.floor(F.avg("rating") - 0.5).cast("double").alias("label"))
+    lists = _lists(spark, d).join(grade, ["user_id", "item_id"], "left").fillna(0.0, ["label"])
+    return L.ndcg(lists, "score").select("user_id", *_r("ndcg"))
+
+
 _EVALUATED = " union all ".join(f"select '{m}' metric, {k}::bigint k, avg(\"{m}\") v from p{k}" for k in (10, 50, 100) for m in ("ndcg", "map", "recall", "precision", "hit_rate", "mrr") if m != "mrr" or k == 10)
 
 
@@ -869,11 +896,13 @@ def early_stopping(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def als_factors(spark: SparkSession, d: str) -> DataFrame:
+    """Ids are any longs: the factorisation sees their dense indexes."""
     from pyspark.ml.recommendation import ALS
 
-    rows = T.interactions(spark, d).groupBy(F.col("user_id").cast("int").alias("user"), F.col("item_id").cast("int").alias("item")).agg(F.avg("rating").cast("float").alias("rating"))
-    model = ALS(rank=16, maxIter=5, seed=1).fit(rows)
-    return model.userFactors.select(F.col("id").cast("long").alias("user_id"), "features")
+    rows = P.encode(T.interactions(spark, d).select("user_id", "item_id", "rating"))
+    rows = rows.groupBy("user_id", F.col("user_idx").cast("int").alias("user"), F.col("item_idx").cast("int").alias("item")).agg(F.avg("rating").cast("float").alias("rating"))
+    model = ALS(rank=16, maxIter=5, seed=1).fit(rows.select("user", "item", "rating"))
+    return model.userFactors.join(rows.select("user_id", F.col("user").alias("id")).distinct(), "id").select("user_id", "features")
 
 
 _RANK_FEATURES = ["similarity", "user_count", "user_mean", "item_count", "item_mean"]
