@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot
@@ -91,3 +91,14 @@ def pairwise(pairs: DataFrame, user_vectors: DataFrame, item_vectors: DataFrame,
     ff = items.select("item_id", clean("rating_mean").alias("item_mean"), clean("rating_count").alias("item_count"))
     joined = pairs.join(u, "user_id").join(i, "item_id").join(uf, "user_id").join(ff, "item_id")
     return joined.select("user_id", "item_id", dot("uv", "iv").alias("similarity"), "user_mean", "user_count", "item_mean", "item_count")
+
+
+def daily_sketches(rows: DataFrame, what: dict[str, Column], bits: int = 14) -> DataFrame:
+    """``rows(ts, ..)`` -> ``day`` and a HyperLogLog sketch of each of the named columns, of fixed size (2 ** bits cells)."""
+    day = F.to_date(F.col("ts").cast("timestamp")).alias("day")
+    return rows.groupBy(day).agg(*(F.hll_sketch_agg(c, F.lit(bits)).alias(name) for name, c in what.items()))
+
+
+def merged_sketches(days: DataFrame, by: Column, names: list[str]) -> DataFrame:
+    """Estimates ``<name>_about`` over ranges of stored days: sketches are merged, no row is read again."""
+    return days.groupBy(by).agg(*(F.hll_sketch_estimate(F.hll_union_agg(n)).alias(f"{n}_about") for n in names))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import dot
 from .retrieval import top_k
 
 PROMOTED_SCORE = 999.0
@@ -43,30 +44,35 @@ def min_max(score: str, by: str) -> Column:
     return (F.col(score) - lo) / (hi - lo + 1e-8)
 
 
-def mmr(candidates: DataFrame, k: int, weight: float = 0.7) -> DataFrame:
+def _greedy(k: int, weight: float):
+    def run(table: pa.Table) -> pa.Table:
+        user, item, score = (table.column(c).to_numpy() for c in ("user_id", "item_id", "s"))
+        v = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(user), -1)
+        out = []
+        order = np.lexsort((item, -score, user))
+        for at in np.split(order, np.flatnonzero(np.diff(user[order])) + 1):
+            near, left = np.full(len(at), -np.inf), np.ones(len(at), bool)
+            for place in range(1, min(k, len(at)) + 1):
+                value = weight * score[at] - (1 - weight) * np.where(np.isinf(near), 0.0, near)
+                pick = int(np.argmax(np.where(left, value, -np.inf)))  # the first of equals: better score, then smaller id
+                out.append((user[at[pick]], place, item[at[pick]]))
+                left[pick] = False
+                near = np.maximum(near, v[at] @ v[at[pick]])
+        columns = list(zip(*out)) or [[], [], []]
+        return pa.table({n: pa.array(np.array(c, np.int64)) for n, c in zip(("user_id", "rank", "item_id"), columns)})
+
+    return run
+
+
+def mmr(candidates: DataFrame, k: int, weight: float = 0.7, groups: int = 1_024) -> DataFrame:
     """Maximal marginal relevance: ``user_id, item_id, score, v`` -> ``user_id, rank, item_id``.
 
-    Greedy: ``weight`` times the scaled score minus the rest times the largest similarity to
-    what is chosen. A user's list is one row (keep it to a few hundred candidates), folded by
-    higher-order functions; ties go to the better score, then the smaller id.
+    Greedy: ``weight`` times the scaled score minus the rest times the largest similarity to what
+    is chosen; ties go to the better score, then the smaller id. Users are dealt into ``groups``;
+    what stands together in a task are the candidate lists of one group's users.
     """
-    scaled = candidates.withColumn("s", min_max("score", "user_id"))
-    lists = scaled.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("o"), "item_id", "s", "v"))).alias("c"))
-    start = F.struct(F.transform("c", lambda x: F.struct(x["item_id"].alias("id"), x["s"].alias("s"), x["v"].alias("v"), F.lit(None).cast("double").alias("m"))).alias("rest"), F.array().cast("array<bigint>").alias("done"))
-
-    def value(x):
-        return weight * x["s"] - (1 - weight) * F.coalesce(x["m"], F.lit(0.0))
-
-    def step(acc, _):
-        best = F.array_max(F.transform(acc["rest"], value))
-        pick = F.filter(acc["rest"], lambda x: value(x) == best)[0]
-        left = F.filter(acc["rest"], lambda x: x["id"] != pick["id"])
-        near = F.transform(left, lambda x: F.struct(x["id"].alias("id"), x["s"].alias("s"), x["v"].alias("v"), F.greatest(x["m"], dot(x["v"], pick["v"])).alias("m")))
-        return F.when(F.size(acc["rest"]) == 0, acc).otherwise(F.struct(near.alias("rest"), F.concat(acc["done"], F.array(pick["id"])).alias("done")))
-
-    chosen = F.aggregate(F.sequence(F.lit(1), F.lit(k)), start, step, lambda acc: acc["done"])
-    out = lists.select("user_id", F.posexplode(chosen).alias("p", "item_id"))
-    return out.select("user_id", (F.col("p") + 1).cast("long").alias("rank"), "item_id")
+    scaled = candidates.select("user_id", "item_id", min_max("score", "user_id").alias("s"), "v")
+    return scaled.groupBy(F.pmod(F.xxhash64("user_id"), F.lit(groups)).alias("g")).applyInArrow(_greedy(k, weight), "user_id long, rank long, item_id long")
 
 
 def rerank(candidates: DataFrame, watched: DataFrame, promoted: list[int], k: int) -> DataFrame:

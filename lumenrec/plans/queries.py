@@ -15,6 +15,8 @@ from ..operators import ranker as L
 from ..operators import rerank as K
 from ..operators import retrieval as R
 from ..operators import search as S
+from ..operators import towers as W
+from ..sources import npy as NP
 from ..sources import tables as T
 from ..sources.store import shared_path, stored
 from ..streaming import events as E
@@ -551,6 +553,56 @@ def embedding_export(spark: SparkSession, d: str) -> DataFrame:
     return out.select("item_id", "batch", "place", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
+def _made(layer: int, rows: int, width: int) -> tuple[list[list[float]], list[float]]:
+    """Weights that SQL can state too."""
+    return [[((7 * i + 3 * j + 5 * layer) % 11 - 5) / 10 for j in range(width)] for i in range(rows)], [((i + layer) % 5 - 2) / 10 for i in range(rows)]
+
+
+_LAYERS = {"stats": _made(0, 4, 2), "block_0.fc1": _made(1, 10, 12), "block_0.fc2": _made(2, 6, 10), "block_0.residual": _made(3, 6, 12), "block_0.norm": ([[1.1, 0.9, 1.0, 1.2, 0.8, 1.0]], [0.1, -0.1, 0.0, 0.2, 0.0, 0.1]), "output": _made(4, 4, 6)}
+
+
+def _dense_sql(name: str, x: str) -> str:
+    matrix, bias = _LAYERS[name]
+    return f"list_transform(range(1, {len(bias) + 1}), lambda i: list_dot_product(({matrix})[i]::double[], {x}) + ({bias})[i])"
+
+
+_ERF = "(2 / sqrt(pi()) * list_sum(list_transform(range(0, 60), lambda n: (case when n % 2 = 0 then 1 else -1 end) * exp((2 * n + 1) * ln(greatest(abs({x}), 1e-300)) - lgamma(n + 1)) / (2 * n + 1))) * sign({x}))"
+
+
+@query(f"""with {VECTORS}, {INTER}, st as (select item_id, [avg(rating) / 5, ln(count(*))]::double[] st from inter group by item_id), a as (select item_id, list_concat(v[1:8], {_dense_sql("stats", "st")})::double[] x from vec join st using (item_id)),
+ b as (select item_id, x, {_dense_sql("block_0.fc1", "x")} h from a), c as (select item_id, x, list_transform(h, lambda z: z * 0.5 * (1 + {_ERF.format(x="(z / sqrt(2))")})) h from b),
+ d as (select item_id, list_transform(range(1, 7), lambda i: ({_dense_sql("block_0.fc2", "h").replace("lambda i", "lambda q").replace("[i]", "[q]")})[i] + ({_dense_sql("block_0.residual", "x").replace("lambda i", "lambda q").replace("[i]", "[q]")})[i]) y from c),
+ e as (select item_id, list_transform(y, lambda z: z - list_avg(y)) y from d), f as (select item_id, list_transform(range(1, 7), lambda i: y[i] / sqrt(list_dot_product(y, y) / 6 + 1e-5) * ({_LAYERS["block_0.norm"][0][0]})[i] + ({_LAYERS["block_0.norm"][1]})[i])::double[] y from e),
+ g as (select item_id, {_dense_sql("output", "y")} o from f) select item_id, i "component", round(o[i] / sqrt(list_dot_product(o, o)), 6) "value" from g, (select unnest(range(1, 5)) i)""")
+def item_tower(spark: SparkSession, d: str) -> DataFrame:
+    """A small item tower over given weights: an embedding, projected statistics, one block, the output."""
+    stats = T.interactions(spark, d).groupBy("item_id").agg(F.array(F.avg("rating") / 5, F.log(F.count("*").cast("double"))).alias("stats"))
+    weights = spark.createDataFrame(W.weight_rows(_LAYERS), "layer string, row int, values array<double>")
+    embeddings = T.item_vectors(spark, d).select("item_id", F.slice("v", 1, 8).alias("embedding"))
+    out = W.forward(stats, "item_id", W.Tower(("embedding", "stats"), ("stats",)), weights, embeddings)
+    return out.select("item_id", F.posexplode("v").alias("p", "x")).select("item_id", (F.col("p") + 1).cast("long").alias("component"), F.round("x", 6).alias("value"))
+
+
+@query("select vec_id item_id, i \"place\", embedding[i + 1]::double \"value\" from embeddings, (select unnest(range(64)) i)")
+def vectors_npy(spark: SparkSession, d: str) -> DataFrame:
+    """All vectors written to numpy files and read again, in ranges of 100 rows."""
+    path = shared_path(spark)
+    NP.write_vectors(T.item_vectors(spark, d), path)
+    return NP.read_vectors(spark, path, 100).select("item_id", F.posexplode("v").alias("place", "value")).withColumn("place", F.col("place").cast("long"))
+
+
+@query(f"with {INTER}, w as (select date_trunc('week', ts) w, user_id, item_id from inter) select strftime(w, '%Y-%m-%d') \"week\", count(distinct user_id) users, count(distinct user_id * 1000 + item_id) pairs, true close from w group by w")
+def distinct_sketches(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct users and pairs by week, exactly, and whether merged sketches of the days come within 5 percent."""
+    rows = T.interactions(spark, d).withColumn("pair", F.struct("user_id", "item_id"))
+    days = stored(X.daily_sketches(rows, {"users": F.col("user_id"), "pairs": F.xxhash64("user_id", "item_id")}))
+    week = F.date_trunc("week", F.col("ts").cast("timestamp"))
+    merged = X.merged_sketches(days, F.date_trunc("week", F.col("day").cast("timestamp")).alias("w"), ["users", "pairs"])
+    exact = rows.groupBy(week.alias("w")).agg(F.countDistinct("user_id").alias("users"), F.countDistinct("pair").alias("pairs"))
+    near = lambda c: F.abs(F.col(f"{c}_about") - F.col(c)) <= F.greatest(0.05 * F.col(c), F.lit(1.0))
+    return exact.join(merged, "w").select(F.date_format("w", "yyyy-MM-dd").alias("week"), "users", "pairs", (near("users") & near("pairs")).alias("close"))
+
+
 @query("with h as (select vec_id item_id, md5(vec_id::varchar) h from embeddings) select item_id from h order by h, item_id limit 200")
 def training_subset(spark: SparkSession, d: str) -> DataFrame:
     return R.training_subset(T.item_vectors(spark, d), 200).select("item_id")
