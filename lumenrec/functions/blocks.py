@@ -22,7 +22,7 @@ SMALL_ROWS, SMALL_BYTES, ITEM_BLOCK, QUERY_BLOCK, AT_ONCE = 50_000, 32_000_000,
 Meet = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], dict[str, np.ndarray]]
 
 
-def _matrix(column) -> np.ndarray:
+def matrix(column) -> np.ndarray:
     """Vectors of one length as rows; from Arrow lists without Python objects."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -44,12 +44,12 @@ def meet_all(queries: DataFrame, items: DataFrame, by: str, meet: Meet, schema:
     n = about["n"]
     if n <= small and n * (about["width"] or 0) * 8 <= SMALL_BYTES:
         table = items.toArrow()
-        shared = queries.sparkSession.sparkContext.broadcast((table.column("item_id").to_numpy(), _matrix(table.column("v"))))
+        shared = queries.sparkSession.sparkContext.broadcast((table.column("item_id").to_numpy(), matrix(table.column("v"))))
 
         def run(batches):
             ids, y = shared.value
             for batch in batches:
-                x = _matrix(batch.column("v"))
+                x = matrix(batch.column("v"))
                 if batch.num_rows and len(ids):
                     for out in _portions(batch.column(by).to_numpy(), x, ids, y, meet):
                         yield pa.RecordBatch.from_pydict(out)
@@ -67,7 +67,7 @@ def meet_all(queries: DataFrame, items: DataFrame, by: str, meet: Meet, schema:
     def both(q: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(i):
             return pd.DataFrame({c: [] for c in columns})
-        parts = _portions(q[by].to_numpy(), _matrix(q["v"].tolist()), i["other"].to_numpy(), _matrix(i["other_v"].tolist()), meet)
+        parts = _portions(q[by].to_numpy(), matrix(q["v"].tolist()), i["other"].to_numpy(), matrix(i["other_v"].tolist()), meet)
         return pd.concat([pd.DataFrame(x) for x in parts])
 
     return left.groupBy("qb", "ib").cogroup(right.groupBy("to_qb", "to_ib")).applyInPandas(both, schema)
@@ -90,7 +90,7 @@ def dealt_meet(asked: DataFrame, blocks: DataFrame, on: list[str], by: str, meet
     named = blocks.join(salts, on)
     right = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
     # names of its own for the requests' side: both may come from one table
-    left = left.join(blocks.select(*on, F.col("block").alias("to_block")), on).select(*(F.col(c).alias(f"to_{c}") if c in (*on, "salt") else F.col(c) for c in [*left.columns, "to_block"]))
+    left = left.join(blocks.select(*on, F.col("block").alias("to_block")).distinct(), on).select(*(F.col(c).alias(f"to_{c}") if c in (*on, "salt") else F.col(c) for c in [*left.columns, "to_block"]))
     columns = [c.split()[0] for c in schema.split(", ")]
     types = {"long": pa.int64(), "double": pa.float64(), "int": pa.int32()}
     kinds = [types[c.split()[1]] for c in schema.split(", ")]

@@ -10,7 +10,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.blocks import SMALL_ROWS, meet_all
@@ -200,8 +200,7 @@ def mined_triples(batch: DataFrame, found: DataFrame, items: DataFrame, positive
     return hard.join(vectors, "item_id").join(batch.select("id", "u", F.col("v").alias("p")), "id").select("id", "u", "p", "n")
 
 
-def learning_rates(spark: SparkSession, steps: int, warmup: int, base: float, least: float = 0.0) -> DataFrame:
-    """``step, rate``: a linear rise over ``warmup`` steps, then half a cosine down to ``least``."""
-    step = F.col("id")
-    down = least + (base - least) * 0.5 * (1 + F.cos(F.lit(math.pi) * (step - warmup) / max(1, steps - warmup)))
-    return spark.range(steps).select(step.alias("step"), F.when(step < warmup, base * (step + 1) / max(1, warmup)).otherwise(down).alias("rate"))
+def learning_rate(step: Column, steps: Column, warmup: int, base: float, least: float = 0.0) -> Column:
+    """A linear rise over ``warmup`` steps, then half a cosine down to ``least`` at ``steps``."""
+    down = least + (base - least) * 0.5 * (1 + F.cos(F.lit(math.pi) * (step - warmup) / F.greatest(F.lit(1), steps - warmup)))
+    return F.when(step < warmup, base * (step + 1) / max(1, warmup)).otherwise(down)

@@ -4,18 +4,37 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.blocks import SMALL_ROWS, best, meet_all
+from ..functions.blocks import SMALL_ROWS, best, dealt_meet, matrix, meet_all
 from ..functions.vectors import dot, mean_vector, normalise
 from ..sources.store import stored
 from .preprocess import dense_index
 
 
+#: Vectors of a cell that meet queries in one task.
+CELL_ROWS = 16_384
+
+
+def exact_scores(pairs: DataFrame, queries: DataFrame, items: DataFrame, by: str) -> DataFrame:
+    """``pairs(by, item_id)`` with their inner products to six places; vectors meet in numpy, row by row of a batch."""
+    both = pairs.select(by, "item_id").join(queries.select(by, F.col("v").alias("qv")), by).join(items.select("item_id", "v"), "item_id")
+
+    def product(batches):
+        for batch in batches:
+            if batch.num_rows:
+                s = np.einsum("ij,ij->i", matrix(batch.column("qv")), matrix(batch.column("v")))
+                yield pa.RecordBatch.from_arrays([batch.column(by), batch.column("item_id"), pa.array(s)], names=[by, "item_id", "score"])
+
+    return both.select(by, "item_id", "qv", "v").mapInArrow(product, f"{by} long, item_id long, score double").withColumn("score", F.round("score", 6))
+
+
 def user_vectors(rows: DataFrame, items: DataFrame) -> DataFrame:
     """``user_id, v``: normalised mean of the vectors of a user's items."""
     mean = mean_vector(rows.select("user_id", "item_id").join(items, "item_id"), "user_id", "v")
@@ -75,8 +94,27 @@ def sq8_codes(items: DataFrame) -> DataFrame:
 
 
 def sq8_search(queries: DataFrame, items: DataFrame, by: str, k: int) -> DataFrame:
-    read = sq8_codes(items).groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v"))
-    return knn(queries, read, by, k)
+    """All items by their codes: a byte a dimension is packed, shuffled and broadcast, and read back in the tasks."""
+    ends = items.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("i").collect()  # a row for each dimension
+    low, step = np.array([r["lo"] for r in ends]), np.array([(r["hi"] - r["lo"]) / 255 for r in ends])
+
+    def encode(batches):
+        for batch in batches:
+            if batch.num_rows:
+                scaled = (matrix(batch.column("v")) - low) / np.where(step == 0, 1, step)
+                codes = np.where(step == 0, 0, np.floor(scaled + 0.5)).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array([c.tobytes() for c in codes], pa.binary())], names=["item_id", "code"])
+
+    n = max(1, -(-items.count() // CELL_ROWS))
+    coded = items.select("item_id", "v").mapInArrow(encode, "item_id long, code binary").select(F.lit(0).alias("whole"), F.pmod(F.xxhash64("item_id"), F.lit(n)).alias("block"), "item_id", "code")
+    first = best(by, k)
+
+    def meet(left, right):
+        codes = np.frombuffer(b"".join(right.column("code").to_pylist()), np.uint8).reshape(right.num_rows, -1)
+        return first(left.column(by).to_numpy(), matrix(left.column("v")), right.column("item_id").to_numpy(), low + codes * step)
+
+    found = dealt_meet(queries.select(by, "v", F.lit(0).alias("whole")), coded, ["whole"], by, meet, f"{by} long, item_id long, score double")
+    return top_k(found.select(by, "item_id", F.round("score", 6).alias("score")), by, k)
 
 
 def ivf_fit(items: DataFrame, cells: int, seed: int = 3, sample: int = 100_000):
@@ -131,9 +169,17 @@ def probed(centres: DataFrame, queries: DataFrame, by: str, probes: int) -> Data
 
 
 def ivf_search(index: IvfIndex, queries: DataFrame, by: str, k: int, probes: int) -> DataFrame:
-    """Neighbours among the cells of the ``probes`` centroids nearest to the query; an equi-join on the cell."""
-    near = probed(index.centres, queries, by, probes).join(queries.withColumnRenamed("v", "qv"), by)
-    return top_k(near.join(index.placed, "cell_id").select(by, "item_id", F.round(dot("qv", "v"), 6).alias("score")), by, k)
+    """Neighbours among the cells of the ``probes`` centroids nearest to the query: an equi-join on the cell, in matrix products."""
+    asked = probed(index.centres, queries, by, probes).select(by, "cell_id").join(queries.select(by, "v"), by)
+    sizes = index.placed.groupBy("cell_id").agg(F.ceil(F.count("*") / CELL_ROWS).cast("long").alias("of"))
+    held = index.placed.join(sizes, "cell_id").withColumn("block", F.pmod(F.xxhash64("item_id"), "of")).select("cell_id", "block", "item_id", "v")
+    first = best(by, k)
+
+    def meet(left, right):
+        return first(left.column(by).to_numpy(), matrix(left.column("v")), right.column("item_id").to_numpy(), matrix(right.column("v")))
+
+    found = dealt_meet(asked, held, ["cell_id"], by, meet, f"{by} long, item_id long, score double")
+    return top_k(found.select(by, "item_id", F.round("score", 6).alias("score")), by, k)
 
 
 def ivf_tune(index: IvfIndex, queries: DataFrame, items: DataFrame, by: str, k: int, recall: float = 0.95) -> tuple[int, DataFrame]:
@@ -155,11 +201,9 @@ def lsh_search(queries: DataFrame, items: DataFrame, by: str, k: int, width: flo
     """Candidates that share a bucket of random projections; stands in for graph indexes."""
     lsh = BucketedRandomProjectionLSH(inputCol="f", outputCol="h", bucketLength=width, numHashTables=tables, seed=seed)
     model = lsh.fit(items.select(array_to_vector("v").alias("f")))
-    hashed = lambda df, key: model.transform(df.withColumn("f", array_to_vector("v"))).select(key, "v", F.posexplode(F.expr("h")).alias("t", "hv"))
-    q = hashed(queries, by).select(by, F.col("v").alias("qv"), "t", vector_to_array("hv")[0].alias("b"))
-    i = hashed(items, "item_id").select("item_id", "v", "t", vector_to_array("hv")[0].alias("b"))
-    pairs = q.join(i, ["t", "b"]).dropDuplicates([by, "item_id"])
-    return top_k(pairs.select(by, "item_id", F.round(dot("qv", "v"), 6).alias("score")), by, k)
+    hashed = lambda df, key: model.transform(df.withColumn("f", array_to_vector("v"))).select(key, F.posexplode(F.expr("h")).alias("t", "hv")).select(key, "t", vector_to_array("hv")[0].alias("b"))
+    pairs = hashed(queries, by).join(hashed(items, "item_id"), ["t", "b"]).select(by, "item_id").distinct()
+    return top_k(exact_scores(pairs, queries, items, by), by, k)
 
 
 def recall_at_k(approximate: DataFrame, exact: DataFrame, by: str, k: int) -> DataFrame:

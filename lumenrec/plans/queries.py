@@ -897,9 +897,13 @@ def loss_in_batch_hard(spark: SparkSession, d: str) -> DataFrame:
     return M.loss("in_batch_hard_negative", _batch(spark, d).select("id", "u", F.col("p").alias("v"))).select(*_r("loss"))
 
 
-@query("with s as (select unnest(range(100)) step) select step, round(case when step < 10 then 0.001 * (step + 1) / 10 else 1e-6 + (0.001 - 1e-6) * 0.5 * (1 + cos(pi() * (step - 10) / 90.0)) end, 9) rate from s")
+@query("with n as (select count(*) // 32 n from events), s as (select event_id // 32 step, count(*) rows from events group by 1) select step, rows, round(case when step < 10 then 0.001 * (step + 1) / 10 else 1e-6 + (0.001 - 1e-6) * 0.5 * (1 + cos(pi() * (step - 10) / greatest(1, n - 10))) end, 9) rate from s, n")
 def lr_schedule(spark: SparkSession, d: str) -> DataFrame:
-    return M.learning_rates(spark, 100, 10, 0.001, 1e-6).select("step", F.round("rate", 9).alias("rate"))
+    """The rate of each batch of 32 events of one pass over them."""
+    e = T.read(spark, d, "events")
+    steps = F.lit(e.count() // 32)
+    batches = e.groupBy(F.floor(F.col("event_id") / 32).alias("step")).agg(F.count("*").alias("rows"))
+    return batches.select("step", "rows", F.round(M.learning_rate(F.col("step"), steps, 10, 0.001, 1e-6), 9).alias("rate"))
 
 
 @query(f"with {TRIPLES} select round(avg(greatest(0.0, 0.2 + dn - dp)), 6) loss from t")
@@ -983,6 +987,20 @@ def lambdarank(spark: SparkSession, d: str) -> DataFrame:
     return R.top_k(scored.select("user_id", "item_id", F.round("prediction", 9).alias("score")), "user_id", 10)
 
 
+@query()
+def recommend_ranked(spark: SparkSession, d: str) -> DataFrame:
+    """Retrieval, then the ranker, then rules and freshness: the best 20 of each held-out user's 100 nearest items."""
+    rows = T.interactions(spark, d)
+    known, asked = L.split_users(rows)
+    train, held = _ranking(spark, d)
+    model = L.train(train, _RANK_FEATURES, held)
+    users = _users(spark, d).join(asked.select("user_id").distinct(), "user_id", "left_semi")
+    found = stored(R.knn(users, T.item_vectors(spark, d), "user_id", 100).select("user_id", "item_id"))
+    features = X.pairwise(found, users, T.item_vectors(spark, d), X.user_stats(asked), X.item_stats(known))
+    scored = model.predict(features).select("user_id", "item_id", F.round("prediction", 9).alias("score"), (F.col("item_id") % 400).cast("double").alias("age_days"))
+    return K.rerank(scored, rows, [250, 3, 7], 20)
+
+
 @query()
 def lambdarank_ndcg(spark: SparkSession, d: str) -> DataFrame:
     """NDCG at 10 on held-out users, of the ranker's order and of the order by similarity, and the share of the gain of each feature."""
