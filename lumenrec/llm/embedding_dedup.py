@@ -55,7 +55,9 @@ def _directions(dim: int, n: int, part: int) -> np.ndarray:
 
 
 def _unit(rows: list) -> np.ndarray:
+    """Unit vectors; the largest component is divided out first, so that no square over- or underflows."""
     x = np.array(rows, np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import materialize
@@ -27,6 +27,22 @@ class Parts:
         return packed.bitwiseAND(F.lit((1 << self.bits) - 1)).cast("int")
 
 
+def in_order(ids: DataFrame, *keys: str) -> DataFrame:
+    """Distinct rows ``keys`` with their place from 0 in the order of ``keys`` as ``row``, without sending all to one task.
+
+    Rows are dealt by ranges; a range's first number is the count of the ranges before it.
+    """
+    ranged = materialize(ids.select(*keys).repartitionByRange(*keys).withColumn("range", F.spark_partition_id()))
+    sizes = {r["range"]: r["count"] for r in ranged.groupBy("range").count().collect()}  # a row for each range
+    first, at = {}, 0
+    for k in sorted(sizes):
+        first[k] = at
+        at += sizes[k]
+    offsets = ids.sparkSession.createDataFrame(list(first.items()), "range int, first long")
+    within = F.row_number().over(Window.partitionBy("range").orderBy(*keys)) - 1
+    return materialize(ranged.join(F.broadcast(offsets), "range").select(*keys, (F.col("first") + within).alias("row")))
+
+
 def numbered(texts: DataFrame) -> tuple[DataFrame, DataFrame | None, Parts]:
     """``texts(doc_id, text)`` with ids that leave room for the numbers of a text's parts, of which it has no more than bytes.
 
@@ -37,20 +53,7 @@ def numbered(texts: DataFrame) -> tuple[DataFrame, DataFrame | None, Parts]:
     bits = max(1, int(most["size"] or 0)).bit_length()
     if int(most["id"] or 0).bit_length() + bits <= 63:
         return texts, None, Parts(bits)
-    ids = texts.select("doc_id").distinct()
-    # numbers by range: a sorted range's first number is the count of the ranges before it
-    ranged = materialize(ids.repartitionByRange("doc_id").withColumn("range", F.spark_partition_id()))
-    sizes = {r["range"]: r["count"] for r in ranged.groupBy("range").count().collect()}
-    first, at = {}, 0
-    for k in sorted(sizes):
-        first[k] = at
-        at += sizes[k]
-    spark = texts.sparkSession
-    offsets = spark.createDataFrame(list(first.items()), "range int, first long")
-    from pyspark.sql import Window
-
-    within = F.row_number().over(Window.partitionBy("range").orderBy("doc_id")) - 1
-    numbers = materialize(ranged.join(F.broadcast(offsets), "range").select("doc_id", (F.col("first") + within).alias("row")))
+    numbers = in_order(texts.select("doc_id").distinct(), "doc_id")
     renumbered = materialize(texts.join(numbers, "doc_id").select(F.col("row").alias("doc_id"), "text"))
     return renumbered, numbers, Parts(bits)
 

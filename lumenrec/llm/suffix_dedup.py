@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ids import in_order
 from .storage import few, materialize, restrict
 from .textops import mix
 
@@ -284,7 +285,7 @@ def repeated_ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     Later copies of a whole text are listed on their own, not as ranges.
     """
     spark = docs.sparkSession
-    marked = docs.where(F.octet_length("text") >= LENGTH).select("doc_id", F.md5("text").alias("digest"))
+    marked = docs.where(F.octet_length("text") >= LENGTH).select("doc_id", F.sha2("text", 256).alias("digest"))
     first = marked.groupBy("digest").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
     copies = materialize(marked.join(few(first.select("digest", "low")), "digest").where("doc_id > low").select("doc_id").distinct())
     texts = restrict(docs.where(F.octet_length("text") >= LENGTH), copies, "doc_id", "left_anti")
@@ -332,9 +333,22 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     One row per input row; a null text counts as empty, further columns are ignored. Rows with
     a null doc_id stay as they are and shape nothing. Equal rows with one doc_id are one place:
-    neither makes the other a repetition. Texts with fewer than LENGTH bytes lose nothing.
+    neither makes the other a repetition. Rows of one doc_id with different texts are documents
+    of their own, in the order of their texts' digests, after those of smaller ids. Texts with
+    fewer than LENGTH bytes lose nothing.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    ids = materialize(texts.where("doc_id is not null").select("doc_id", F.sha2("text", 256).alias("digest")).distinct())
+    if ids.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return _removed(texts)
+    numbers = in_order(ids, "doc_id", "digest")
+    named = texts.withColumn("digest", F.sha2("text", 256)).join(numbers, ["doc_id", "digest"], "left").select(F.col("row").alias("doc_id"), "text")
+    out = _removed(materialize(named)).join(numbers.select("row", F.col("doc_id").alias("_own")), F.col("doc_id") == F.col("row"), "left")
+    return out.select(F.col("_own").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
+
+
+def _removed(texts: DataFrame) -> DataFrame:
+    """``remove_repeats`` where a doc_id has one text."""
     spans, copies = repeated_ranges(texts.where("doc_id is not null"))
     whole = F.octet_length("text") >= LENGTH
     later = copies.withColumn("later", F.lit(True))

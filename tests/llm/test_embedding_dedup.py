@@ -61,3 +61,10 @@ def test_repeated_ids_and_ties(spark, tmp_path):
     v, w = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
     df = brute.stored(spark, tmp_path, [(1, v), (1, v), (2, v), (3, w)], "vec_id long, embedding array<double>")
     assert sorted(map(tuple, D.near_duplicates(df).collect())) == [(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 0, 3, True)]
+
+
+def test_very_large_and_very_small_components(spark):
+    """Collinear vectors link whatever their lengths."""
+    rows = [(i, [x * s for x in (3.0, 4.0, 1.0)]) for i, s in enumerate((1e-200, 1e200, 1.0, 1e-160, 1e154))] + [(9, [-3.0, 4.0, 1.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in D.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {i: (4, 0) for i in range(5)} | {9: (0, 9)}

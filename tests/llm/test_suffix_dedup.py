@@ -57,3 +57,18 @@ def test_empty_tables_and_repeated_rows(spark, tmp_path):
     text = "".join(map(str, range(80)))
     docs = brute.stored(spark, tmp_path, [(1, text), (1, text), (None, text), (2, text)], "doc_id long, text string")
     assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in S.remove_repeats(docs).collect()) == [(0, 0), (1, 0), (1, 0), (2, 150)]
+
+
+def test_one_id_with_several_texts(spark, tmp_path):
+    """Each text of an id is judged on its own; only what stands earlier goes."""
+    rng = random.Random(8)
+    make = lambda n: "".join(rng.choices("klmnop", k=n))
+    a, b, c = make(300), make(269), make(150)
+    rows = [(1, a), (2, a), (2, b), (2, b), (3, c + a[50:200]), (3, b[:180] + c), (3, "short")]
+    docs = brute.stored(spark, tmp_path, rows, "doc_id long, text string")
+    places = sorted({(i, hashlib.sha256(t.encode()).hexdigest(), t) for i, t in rows})
+    want = expected({k: t for k, (_, _, t) in enumerate(places)})
+    per = {(i, t): want[k] for k, (i, _, t) in enumerate(places)}
+    got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in S.remove_repeats(docs).collect())
+    assert got == sorted((i, *per[i, t]) for i, t in rows)
+    assert (2, 269, 0, 0, hashlib.sha256(b.encode()).hexdigest()) in got
