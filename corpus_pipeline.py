@@ -6,7 +6,8 @@ runner writes a stage's result as Parquet and reads it again for the next.
 
 from __future__ import annotations
 
-import public_tokenizers
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,11 +19,13 @@ TOXIC_FROM = 0.3
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score stays under the threshold; empty texts stay."""
+    """Documents whose toxicity score stays under the threshold; empty texts stay. A column ``score`` of the documents is kept."""
     settings = toxicity.Settings()
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(toxicity.labelled_sample(docs, labels, "toxic", settings), settings)
-    return toxicity.score(docs, model).where(F.col("score") < TOXIC_FROM).select(*docs.columns)
+    aside = f"_{uuid.uuid4().hex}"
+    scored = toxicity.score(docs.withColumnRenamed("score", aside), model).where(F.col("score") < TOXIC_FROM).drop("score")
+    return scored.withColumnRenamed(aside, "score").select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,6 +48,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with the digests of the ids and of what they decode to."""
+    import public_tokenizers
+
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     out = bpe.decode(bpe.encode(docs, path), path)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "ids")

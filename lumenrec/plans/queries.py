@@ -458,6 +458,26 @@ def chat_search(spark: SparkSession, d: str) -> DataFrame:
     return S.chat_search(c, "bollywood the")
 
 
+@query(f"""with {CATALOG}, c as (select c.*, coalesce(d.text, '') overview, [s_name] "cast" from catalog c left join documents d on d.doc_id = c.item_id join supplier on s_suppkey = c.item_id % 10 + 1),
+ asked as (select s_suppkey query_id, lower(case s_suppkey % 4 when 0 then s_name || ' in a bollywood film' when 1 then p_name || ' (' || cast(1950 + p_size as varchar) || ') or ' || p_type when 2 then split_part(p_name, ' ', 1) else left(coalesce(text, 'x'), 4) end) q from supplier join part on p_partkey = s_suppkey left join documents on doc_id = s_suppkey),
+ s as (select query_id, item_id, title, case when title <> '' and contains(q, lower(title)) then 150 else 0 end + case when contains(lower(title), q) then 50 else 0 end + case when lower(title) = q then 100 else 0 end
+ + list_sum(list_transform("cast", lambda x: case when contains(q, lower(x)) then 40 else 0 end)) + list_sum(list_transform(genres, lambda g: case when contains(q, lower(g)) then 20 else 0 end))
+ + case when contains(lower(overview), q) then 10 else 0 end + case when original_language = 'hi' and (contains(q, 'hindi') or contains(q, 'bollywood')) then 30 else 0 end score from asked, c)
+ select query_id, item_id, title, score::bigint score, "rank" from (select *, row_number() over (partition by query_id order by score desc, item_id) "rank" from s where score > 0) where "rank" <= 5""")
+def chat_search_table(spark: SparkSession, d: str) -> DataFrame:
+    """A question for each supplier: names, titles, genres, words of titles, beginnings of overviews."""
+    c = T.catalog(spark, d)
+    docs = T.read(spark, d, "documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("overview"))
+    suppliers = T.read(spark, d, "supplier")
+    names = suppliers.select((F.col("s_suppkey") - 1).alias("_k"), F.array("s_name").alias("cast"))
+    c = c.join(docs, "item_id", "left").withColumn("overview", F.coalesce("overview", F.lit(""))).withColumn("_k", F.col("item_id") % 10).join(names, "_k")
+    i = F.col("s_suppkey")
+    text = F.when(i % 4 == 0, F.concat("s_name", F.lit(" in a Bollywood film"))).when(i % 4 == 1, F.concat("p_name", F.lit(" ("), (1950 + F.col("p_size")).cast("string"), F.lit(") or "), "p_type"))
+    text = text.when(i % 4 == 2, F.split_part("p_name", F.lit(" "), F.lit(1))).otherwise(F.substring(F.coalesce("overview", F.lit("x")), 1, 4))
+    q = suppliers.join(T.read(spark, d, "part"), F.col("p_partkey") == i).join(docs, F.col("item_id") == i, "left").select(i.alias("query_id"), text.alias("query"))
+    return S.chat_search_all(c, q)
+
+
 @query(f"with {CATALOG}, g as (select array_agg(distinct p_type) t from part), s as (select item_id, title, round(vote_average + vote_count / 10000, 6) score from catalog, (select min(p_type) a from part) where list_has_any(list_transform(genres, lambda x: lower(x)), [lower(a)]) and coalesce(\"year\", 0) between 1955 and 1995) select * from s order by score desc, item_id limit 5")
 def chat_filter_top5(spark: SparkSession, d: str) -> DataFrame:
     first = T.read(spark, d, "part").agg(F.min("p_type")).first()[0]
