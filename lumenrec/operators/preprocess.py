@@ -123,6 +123,10 @@ def sample_negatives(rows: DataFrame, ratio: int = 4, seed: int = 42) -> DataFra
     return drawn.join(enough, "user_id", "left_semi").unionByName(_ranked_negatives(seen, rest, seed))
 
 
+#: The name from when drawing was not yet the default.
+sample_negatives_drawn = sample_negatives
+
+
 def sample_split(rows: DataFrame, most: int, order: list[str], train: float = 0.8, seed: int = 42) -> DataFrame:
     """At most ``most`` rows, drawn by a portable hash of ``order`` (a key of the rows), then split by position in that hash's order.
 
