@@ -68,13 +68,26 @@ def _numbers(values) -> Column:
     return F.array(*(F.lit(float(x)) for x in values))
 
 
-def _dot(x, y) -> Column:
-    return F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+#: Steps of the rate fit between stored rates.
+STORED_STEPS = 5
+#: Domains up to which sums over them are spelled out, which keeps them in generated code.
+SPELLED = 64
 
 
-def _totals(rows: DataFrame, weight: Column, p: Column, k: int) -> np.ndarray:
+def _dot(p: str, values) -> Column:
+    """Sum of ``p`` (an array column) times given numbers."""
+    if len(values) <= SPELLED:
+        return sum((F.get(p, F.lit(i)) * float(x) for i, x in enumerate(values)), F.lit(0.0))
+    return F.aggregate(F.zip_with(p, _numbers(values), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+
+
+def _totals(rows: DataFrame, weight: Column, p: str, k: int) -> np.ndarray:
     """Sum of weight * p over all rows."""
-    row = rows.select(array_to_vector(p).alias("v"), weight.cast("double").alias("w")).where("w > 0").agg(Summarizer.metrics("sum", "count").summary(F.col("v"), F.col("w")).alias("s")).select("s.sum", "s.count").first()
+    rows = rows.select(p, weight.cast("double").alias("_w")).where("_w > 0")
+    if k <= SPELLED:
+        row = rows.agg(*(F.sum(F.get(p, F.lit(i)) * F.col("_w")).alias(f"s{i}") for i in range(k))).first()
+        return np.array([x or 0.0 for x in row], np.float64)
+    row = rows.select(array_to_vector(p).alias("v"), "_w").agg(Summarizer.metrics("sum", "count").summary(F.col("v"), F.col("_w")).alias("s")).select("s.sum", "s.count").first()
     return row["sum"].toArray() if row["count"] else np.zeros(k)
 
 
@@ -117,12 +130,16 @@ def _calibrated(p: DataFrame, own: np.ndarray, rounds: int) -> DataFrame:
     weights = np.ones(k)
 
     def reweighted() -> DataFrame:
-        scaled = p.select("doc_id", "n", "own", "p", F.zip_with("p", _numbers(weights), lambda a, b: a * b).alias("q"))
-        scaled = scaled.withColumn("z", F.aggregate("q", F.lit(0.0), lambda a, x: a + x))
-        return scaled.select("doc_id", "n", "own", F.when(F.col("z") > 0, F.transform("q", lambda x: x / F.col("z"))).otherwise(F.col("p")).alias("p"))
+        if k <= SPELLED:
+            scaled = p.withColumn("z", _dot("p", weights))
+            each = F.array(*(F.get("p", F.lit(i)) * float(x) / F.col("z") for i, x in enumerate(weights)))
+        else:
+            scaled = p.withColumn("q", F.zip_with("p", _numbers(weights), lambda a, b: a * b)).withColumn("z", F.aggregate("q", F.lit(0.0), lambda a, x: a + x))
+            each = F.transform("q", lambda x: x / F.col("z"))
+        return scaled.select("doc_id", "n", "own", F.when(F.col("z") > 0, each).otherwise(F.col("p")).alias("p"))
 
     for _ in range(rounds if k > 1 else 0):
-        sums = _totals(reweighted(), F.col("n"), F.col("p"), k)
+        sums = _totals(reweighted(), F.col("n"), "p", k)
         weights *= np.where((sums > 0) & (own > 0), own / np.where(sums > 0, sums, 1), 1.0)
     return materialize(reweighted())
 
@@ -150,37 +167,44 @@ def fit_rates(docs: DataFrame, labels: DataFrame, domain: str = "source", target
     weights = np.array([max(0.0, targets.get(x, 0.0)) for x in names]) if targets else (own / tokens) ** settings.flatten
     goal = weights / (weights.sum() or 1.0)
 
-    reached = _totals(p, F.col("n"), F.col("p"), k) / tokens
+    reached = _totals(p, F.col("n"), "p", k) / tokens
     # with a floor no domain shrinks below it: the others grow until the shares are right
     total = max([1.0, *(settings.floor * reached[i] / goal[i] for i in range(k) if goal[i] > 0 and settings.floor > 0)])
     # the Gram matrix of the domains bounds the curvature, whichever rates are held at the floor: a full step is safe
-    spread = p.where("n > 0").select(F.posexplode("p").alias("i", "x"), array_to_vector("p").alias("v"), "n").where("x > 0")
     gram = np.zeros((k, k))
-    for row in spread.groupBy("i").agg(Summarizer.metrics("sum").summary(F.col("v"), F.col("n") * F.col("x")).alias("s")).select("i", "s.sum").collect():
-        gram[row["i"]] = row["sum"].toArray() / tokens
+    spread = p.where("n > 0").select(F.posexplode("p").alias("i", "x"), "p", "n").where("x > 0")
+    if k <= SPELLED:
+        sums = spread.groupBy("i").agg(*(F.sum(F.get("p", F.lit(j)) * F.col("n") * F.col("x")).alias(f"s{j}") for j in range(k))).collect()
+        for row in sums:
+            gram[row["i"]] = np.array(row[1:], np.float64) / tokens
+    else:
+        for row in spread.groupBy("i").agg(Summarizer.metrics("sum").summary(array_to_vector("p"), F.col("n") * F.col("x")).alias("s")).select("i", "s.sum").collect():
+            gram[row["i"]] = row["sum"].toArray() / tokens
     inverse = np.linalg.pinv((gram + gram.T) / 2, rcond=1e-6, hermitian=True)
-    taken: list[np.ndarray] = []
+    # rates are stored after every few steps, so no step is taken again and again
+    rated, taken = p.withColumn("rate", F.lit(1.0)), []
 
-    def rate() -> Column:
-        if not taken:
-            return F.lit(1.0)
-        steps = F.array(*(_numbers(x) for x in taken))
-        fitted = F.aggregate(steps, F.lit(1.0), lambda r, step: F.greatest(F.lit(settings.floor), r - _dot(F.col("p"), step)))
-        return F.when(F.col("n") > 0, fitted).otherwise(F.lit(1.0))
+    def after(rows: DataFrame, steps: list[np.ndarray]) -> DataFrame:
+        for step in steps:
+            down = F.greatest(F.lit(settings.floor), F.col("rate") - _dot("p", step))
+            rows = rows.withColumn("rate", F.when(F.col("n") > 0, down).otherwise(F.lit(1.0)))
+        return rows
 
-    best, gap = 0, np.inf
-    for _ in range(settings.steps + 1):
+    steps, best, gap = 0, rated, np.inf
+    while True:
         now = float(np.abs(reached / (reached.sum() or 1.0) - goal).max())
         if now < gap:
-            best, gap = len(taken), now
-        if gap < settings.tolerance or len(taken) == settings.steps:
+            best, gap = after(rated, taken), now
+        if gap < settings.tolerance or steps == settings.steps:
             break
-        taken.append(inverse @ (reached - total * goal))
-        reached = _totals(p.select("n", "p", rate().alias("r")), F.col("n") * F.col("r"), F.col("p"), k) / tokens
-    del taken[best:]
+        if len(taken) == STORED_STEPS:
+            rated, taken = materialize(after(rated, taken)), []
+        taken = [*taken, inverse @ (reached - total * goal)]
+        steps += 1
+        reached = _totals(after(rated, taken), F.col("n") * F.col("rate"), "p", k) / tokens
     chance = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 20)) / float(1 << 20)
-    rated = materialize(p.select("doc_id", "n", "p", rate().alias("rate")).withColumn("copies", F.floor(F.col("rate") + chance)))
-    copied = _totals(rated, F.col("n") * F.col("copies"), F.col("p"), k)
+    rated = materialize(best.select("doc_id", "n", "p", "rate").withColumn("copies", F.floor(F.col("rate") + chance)))
+    copied = _totals(rated, F.col("n") * F.col("copies"), "p", k)
     copies_gap = float(np.abs(copied / (copied.sum() or 1.0) - goal).max())
     return rated.select("doc_id", F.col("n").alias("n_tokens"), "rate", "copies", F.lit(gap).alias("gap"), F.lit(copies_gap).alias("copies_gap"))
 
