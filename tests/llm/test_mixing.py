@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 import brute
 from lumenrec.llm import mixing as M
 
@@ -61,3 +63,39 @@ def test_targets_may_leave_a_domain_out_where_documents_may_go(spark, tmp_path):
     out = M.fit_rates(docs, spark.range(100).withColumnRenamed("id", "doc_id"), targets={"a": 1.0}, settings=M.Settings(floor=0.0, sharpness=1e6)).collect()
     assert out[0]["gap"] < 0.01
     assert all((r["rate"] > 1.5) == (rows[r["doc_id"]][2] == "a") for r in out)
+
+
+def test_query_equals_projected_gradient_in_numpy(spark, sf):
+    """The same steps on all rows at once, from the same posteriors, and shares recomputed from the result."""
+    from lumenrec.llm import queries as Q
+
+    s = M.Settings()
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    raw, names = M._posteriors(docs.select("doc_id", "text", "source"), labels, "source", s)
+    k, rows = len(names), raw.orderBy("doc_id").collect()
+    n, p, own = np.array([r["n"] for r in rows], float), np.array([r["p"] for r in rows]), np.array([r["own"] for r in rows])
+    assert np.allclose(p.sum(axis=1), 1) and p.min() >= 0
+    tokens = np.bincount(own, n, k)
+    for _ in range(s.calibrations):  # posteriors scaled by domain until their totals are the domains' own
+        w = tokens / (n @ p) if _ == 0 else w * tokens / (n @ q)
+        q = p * w
+        q /= q.sum(axis=1, keepdims=True)
+    goal = (tokens / tokens.sum()) ** s.flatten
+    goal /= goal.sum()
+    share = lambda r: (n * r) @ q / n.sum()
+    total = max(1.0, (s.floor * share(np.ones(len(n)))[goal > 0] / goal[goal > 0]).max())
+    inverse = np.linalg.pinv((q * n[:, None]).T @ q / n.sum(), rcond=1e-6, hermitian=True)
+    r, best, gap = np.ones(len(n)), np.ones(len(n)), np.inf
+    for step in range(s.steps + 1):
+        now = np.abs(share(r) / share(r).sum() - goal).max()
+        if now < gap:
+            best, gap = r, now
+        if gap < s.tolerance:
+            break
+        r = np.where(n > 0, np.maximum(s.floor, r - q @ (inverse @ (share(r) - total * goal))), 1.0)
+    got = {x["doc_id"]: x for x in Q.op8_source_mixing(spark, sf).collect()}
+    ids = [x["doc_id"] for x in rows]
+    assert np.allclose([got[i]["rate"] for i in ids], best, atol=1e-6)
+    assert abs(got[ids[0]]["gap"] - gap) < 1e-9
+    copies = np.array([got[i]["copies"] for i in ids], float)
+    assert abs(np.abs(share(copies) / share(copies).sum() - goal).max() - got[ids[0]]["copies_gap"]) < 1e-9

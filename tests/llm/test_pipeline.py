@@ -23,3 +23,10 @@ def test_empty_documents(spark, sf, tmp_path):
     spark.read.parquet(f"{sf}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{sf}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_a_score_column_of_the_documents_stays(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id", "doc_id * 2.5 as score", "text")
+    kept = corpus_pipeline.drop_toxic(spark, docs, sf)
+    assert kept.columns == docs.columns
+    assert kept.where("score <> doc_id * 2.5").isEmpty() and 0 < kept.count() < docs.count()

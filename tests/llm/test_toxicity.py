@@ -38,3 +38,20 @@ def test_sample_is_bounded(spark):
     labels = spark.range(80).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic").unionByName(spark.sql("select null doc_id, 1 toxic union all select 3L, null"))
     assert len(T.labelled_sample(docs, labels, "toxic", T.Settings(max_rows=30))) <= 30
     assert len(T.labelled_sample(docs, labels, "toxic", T.Settings())) == 50
+
+
+def test_query_on_held_out_labels(spark):
+    """Labels of the held-out fold are never seen: most toxic documents are found, clean ones are left alone.
+
+    At a scale with thousands of labels; the few hundred of the smaller tables find about half.
+    """
+    import zlib
+
+    from lumenrec.llm import queries as Q
+
+    sf = "/root/testdata/sf0.1"
+    got = {r["doc_id"]: r for r in Q.op6_toxicity(spark, sf).collect()}
+    assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) and r["predicted"] == (r["score"] >= 0.3) for i, r in got.items())
+    marks = [(got[r["doc_id"]], r["toxic"]) for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if got[r["doc_id"]]["held_out"]]
+    bad, good = [r["predicted"] for r, y in marks if y], [r["predicted"] for r, y in marks if not y]
+    assert len(bad) >= 50 and sum(bad) >= 0.8 * len(bad) and sum(good) <= 0.03 * len(good), (sum(bad), len(bad), sum(good), len(good))
