@@ -1103,11 +1103,13 @@ def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
     return E.drain(E.deduplicated(twice.union(twice)).select("event_id", "user_id", "event_type"), "append")
 
 
-@query("select event_id, event_type, props query from events")
+@query("select strftime(ts, '%Y-%m-%d %H:%M:%S') ts, event_type, props query from events")
 def event_envelope(spark: SparkSession, d: str) -> DataFrame:
-    e = T.read(spark, d, "events")
-    raw = e.select("event_id", F.to_json(F.struct(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), "event_type", F.struct(F.col("props").alias("query")).alias("data"))).alias("value"))
-    return raw.select("event_id", F.from_json("value", E.ENVELOPE).alias("x")).select("event_id", "x.event_type", F.col("x.data.query").alias("query"))
+    """Events sent as messages by a stream and decoded again."""
+    path = shared_path(spark)
+    sent = _stream(spark, d).select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), "event_type", F.col("props").alias("query"))
+    E.to_files(sent, path, f"{path}-state").awaitTermination()
+    return E.decode(spark.read.text(path)).withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query("select count(*) events, count(distinct user_id) users, (select count(*) from embeddings) vectors, (select count(*) from part) items from events")

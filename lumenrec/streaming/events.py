@@ -165,7 +165,18 @@ def with_state_store(spark: SparkSession):
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
+def envelopes(events: DataFrame, *keep: str) -> DataFrame:
+    """``timestamp, event_type, query`` as one JSON object in ``value``, the message that a topic or a file gets."""
+    return events.select(*keep, F.to_json(F.struct("timestamp", "event_type", F.struct("query").alias("data"))).alias("value"))
+
+
 def to_kafka(events: DataFrame, servers: str, topic: str, checkpoint: str):
-    """Sends the JSON envelope to a topic; needs Spark's Kafka connector on the class path."""
-    value = F.to_json(F.struct("timestamp", "event_type", F.struct("query").alias("data")))
-    return events.select(value.alias("value")).writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).option("checkpointLocation", checkpoint).start()
+    """Sends envelopes to a topic; needs Spark's Kafka connector on the class path."""
+    sink = envelopes(events).writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic)
+    return sink.option("checkpointLocation", checkpoint).start()
+
+
+def to_files(events: DataFrame, path: str, checkpoint: str):
+    """Sends envelopes to text files, one object a line, where no topic is at hand; what was there is sent and the stream ends."""
+    sink = envelopes(events).writeStream.format("text").option("path", path).option("checkpointLocation", checkpoint)
+    return sink.trigger(availableNow=True).start()
