@@ -74,20 +74,33 @@ STORED_STEPS = 5
 SPELLED = 64
 
 
-def _dot(p: str, values) -> Column:
-    """Sum of ``p`` (an array column) times given numbers."""
-    if len(values) <= SPELLED:
-        return sum((F.get(p, F.lit(i)) * float(x) for i, x in enumerate(values)), F.lit(0.0))
-    return F.aggregate(F.zip_with(p, _numbers(values), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-
-
-def _totals(rows: DataFrame, weight: Column, p: str, k: int) -> np.ndarray:
-    """Sum of weight * p over all rows."""
-    rows = rows.select(p, weight.cast("double").alias("_w")).where("_w > 0")
-    if k <= SPELLED:
-        row = rows.agg(*(F.sum(F.get(p, F.lit(i)) * F.col("_w")).alias(f"s{i}") for i in range(k))).first()
+def _flat(k: int) -> bool:
+    return k <= SPELLED
+
+
+def _held(p: DataFrame, k: int) -> DataFrame:
+    """``p`` as a column for each domain, which are read far faster than arrays; as it is where domains are many."""
+    return p.select("doc_id", "n", "own", *(F.get("p", F.lit(i)).alias(f"p{i}") for i in range(k))) if _flat(k) else p
+
+
+def _columns(k: int) -> list[str]:
+    return [f"p{i}" for i in range(k)] if _flat(k) else ["p"]
+
+
+def _dot(values) -> Column:
+    """Sum of a row's posteriors times given numbers."""
+    if _flat(len(values)):
+        return F.expr(" + ".join(["0.0D", *(f"p{i} * {float(x)!r}D" for i, x in enumerate(values))]))
+    return F.aggregate(F.zip_with("p", _numbers(values), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+
+
+def _totals(rows: DataFrame, weight: Column, k: int) -> np.ndarray:
+    """Sum of weight * posterior of each domain over all rows."""
+    rows = rows.select(*_columns(k), weight.cast("double").alias("_w")).where("_w > 0")
+    if _flat(k):
+        row = rows.agg(*(F.expr(f"sum(p{i} * _w)") for i in range(k))).first()
         return np.array([x or 0.0 for x in row], np.float64)
-    row = rows.select(array_to_vector(p).alias("v"), "_w").agg(Summarizer.metrics("sum", "count").summary(F.col("v"), F.col("_w")).alias("s")).select("s.sum", "s.count").first()
+    row = rows.select(array_to_vector("p").alias("v"), "_w").agg(Summarizer.metrics("sum", "count").summary(F.col("v"), F.col("_w")).alias("s")).select("s.sum", "s.count").first()
     return row["sum"].toArray() if row["count"] else np.zeros(k)
 
 
@@ -130,16 +143,15 @@ def _calibrated(p: DataFrame, own: np.ndarray, rounds: int) -> DataFrame:
     weights = np.ones(k)
 
     def reweighted() -> DataFrame:
-        if k <= SPELLED:
-            scaled = p.withColumn("z", _dot("p", weights))
-            each = F.array(*(F.get("p", F.lit(i)) * float(x) / F.col("z") for i, x in enumerate(weights)))
-        else:
-            scaled = p.withColumn("q", F.zip_with("p", _numbers(weights), lambda a, b: a * b)).withColumn("z", F.aggregate("q", F.lit(0.0), lambda a, x: a + x))
-            each = F.transform("q", lambda x: x / F.col("z"))
-        return scaled.select("doc_id", "n", "own", F.when(F.col("z") > 0, each).otherwise(F.col("p")).alias("p"))
+        if _flat(k):
+            scaled = p.withColumn("z", _dot(weights))
+            return scaled.select("doc_id", "n", "own", *(F.expr(f"if(z > 0, p{i} * {float(x)!r}D / z, p{i})").alias(f"p{i}") for i, x in enumerate(weights)))
+        scaled = p.select("doc_id", "n", "own", "p", F.zip_with("p", _numbers(weights), lambda a, b: a * b).alias("q"))
+        scaled = scaled.withColumn("z", F.aggregate("q", F.lit(0.0), lambda a, x: a + x))
+        return scaled.select("doc_id", "n", "own", F.when(F.col("z") > 0, F.transform("q", lambda x: x / F.col("z"))).otherwise(F.col("p")).alias("p"))
 
     for _ in range(rounds if k > 1 else 0):
-        sums = _totals(reweighted(), F.col("n"), "p", k)
+        sums = _totals(reweighted(), F.col("n"), k)
         weights *= np.where((sums > 0) & (own > 0), own / np.where(sums > 0, sums, 1), 1.0)
     return materialize(reweighted())
 
@@ -163,21 +175,21 @@ def fit_rates(docs: DataFrame, labels: DataFrame, domain: str = "source", target
     none = [F.lit(0.0).alias("gap"), F.lit(0.0).alias("copies_gap")]
     if not tokens:
         return p.select("doc_id", F.col("n").alias("n_tokens"), F.lit(1.0).alias("rate"), F.lit(1).cast("long").alias("copies"), *none)
-    p = _calibrated(p, own, settings.calibrations)
+    p = _calibrated(materialize(_held(p, k)), own, settings.calibrations)
     weights = np.array([max(0.0, targets.get(x, 0.0)) for x in names]) if targets else (own / tokens) ** settings.flatten
     goal = weights / (weights.sum() or 1.0)
 
-    reached = _totals(p, F.col("n"), "p", k) / tokens
+    reached = _totals(p, F.col("n"), k) / tokens
     # with a floor no domain shrinks below it: the others grow until the shares are right
     total = max([1.0, *(settings.floor * reached[i] / goal[i] for i in range(k) if goal[i] > 0 and settings.floor > 0)])
     # the Gram matrix of the domains bounds the curvature, whichever rates are held at the floor: a full step is safe
     gram = np.zeros((k, k))
-    spread = p.where("n > 0").select(F.posexplode("p").alias("i", "x"), "p", "n").where("x > 0")
-    if k <= SPELLED:
-        sums = spread.groupBy("i").agg(*(F.sum(F.get("p", F.lit(j)) * F.col("n") * F.col("x")).alias(f"s{j}") for j in range(k))).collect()
-        for row in sums:
+    if _flat(k):
+        spread = p.where("n > 0").select(*_columns(k), "n", F.posexplode(F.array(*_columns(k))).alias("i", "x")).where("x > 0")
+        for row in spread.groupBy("i").agg(*(F.expr(f"sum(p{j} * n * x)") for j in range(k))).collect():
             gram[row["i"]] = np.array(row[1:], np.float64) / tokens
     else:
+        spread = p.where("n > 0").select(F.posexplode("p").alias("i", "x"), "p", "n").where("x > 0")
         for row in spread.groupBy("i").agg(Summarizer.metrics("sum").summary(array_to_vector("p"), F.col("n") * F.col("x")).alias("s")).select("i", "s.sum").collect():
             gram[row["i"]] = row["sum"].toArray() / tokens
     inverse = np.linalg.pinv((gram + gram.T) / 2, rcond=1e-6, hermitian=True)
@@ -186,7 +198,7 @@ def fit_rates(docs: DataFrame, labels: DataFrame, domain: str = "source", target
 
     def after(rows: DataFrame, steps: list[np.ndarray]) -> DataFrame:
         for step in steps:
-            down = F.greatest(F.lit(settings.floor), F.col("rate") - _dot("p", step))
+            down = F.greatest(F.lit(settings.floor), F.col("rate") - _dot(step))
             rows = rows.withColumn("rate", F.when(F.col("n") > 0, down).otherwise(F.lit(1.0)))
         return rows
 
@@ -201,10 +213,10 @@ def fit_rates(docs: DataFrame, labels: DataFrame, domain: str = "source", target
             rated, taken = materialize(after(rated, taken)), []
         taken = [*taken, inverse @ (reached - total * goal)]
         steps += 1
-        reached = _totals(after(rated, taken), F.col("n") * F.col("rate"), "p", k) / tokens
+        reached = _totals(after(rated, taken), F.col("n") * F.col("rate"), k) / tokens
     chance = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 20)) / float(1 << 20)
-    rated = materialize(best.select("doc_id", "n", "p", "rate").withColumn("copies", F.floor(F.col("rate") + chance)))
-    copied = _totals(rated, F.col("n") * F.col("copies"), "p", k)
+    rated = materialize(best.select("doc_id", "n", *_columns(k), "rate").withColumn("copies", F.floor(F.col("rate") + chance)))
+    copied = _totals(rated, F.col("n") * F.col("copies"), k)
     copies_gap = float(np.abs(copied / (copied.sum() or 1.0) - goal).max())
     return rated.select("doc_id", F.col("n").alias("n_tokens"), "rate", "copies", F.lit(gap).alias("gap"), F.lit(copies_gap).alias("copies_gap"))
 
