@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .linking import bucket_components
+from .linking import bucket_components, parity
 from .storage import few, materialize, restrict
 from .textops import mix, portions, shingle_set
 
@@ -157,7 +157,7 @@ def _postings(shared, boundary: int, percent: int):
     def run(batches):
         levels = shared.value[0]
         for ids, texts in portions(batches, PORTION):
-            keys, own, sizes, placed = [], [], [], []
+            keys, own, sizes, placed, whole = [], [], [], [], []
             for doc_id, text in zip(ids.tolist(), texts):
                 s = shingle_set(text)
                 if not len(s):
@@ -172,14 +172,28 @@ def _postings(shared, boundary: int, percent: int):
                 keys.append(np.concatenate(out))
                 own.append(doc_id)
                 sizes.append(len(s))
+                whole.append(s)
             if keys:
                 offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
                 values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(sizes, pa.int64()), values, pa.array(placed, pa.int32())], names=["id", "n", "keys", "placed"])
+                bits = _bits(np.concatenate(whole), np.array(sizes))
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(sizes, pa.int64()), values, pa.array(placed, pa.int32()), bits], names=_MEMBERS)
 
     return run
 
 
+_MEMBERS = ["id", "n", "keys", "placed", "bits"]
+_MEMBER_TYPES = "id long, n long, keys array<long>, placed int, bits array<long>"
+
+
+def _bits(items: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    """``parity`` of many sets, some at a time."""
+    ends = np.cumsum(sizes)
+    parts = [parity(items[ends[i] - sizes[i] : ends[min(i + 2000, len(sizes)) - 1]], sizes[i : i + 2000]) for i in range(0, len(sizes), 2000)]
+    rows = np.concatenate(parts)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.ravel()))
+
+
 def _sets(batches):
     for ids, texts in portions(batches, PORTION):
         sets = [shingle_set(t).view(np.int64) for t in texts]
@@ -212,9 +226,9 @@ def listed(rows: DataFrame, to_sets, percent: int) -> DataFrame:
             placed = np.array([len(k) for k in keys], np.int32)
             if len(keys):
                 values = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(placed)]).astype(np.int32)), pa.array(np.concatenate(keys).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes), values, pa.array(placed)], names=["id", "n", "keys", "placed"])
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes), values, pa.array(placed), _bits(flat, sizes)], names=_MEMBERS)
 
-    return rows.mapInArrow(post, "id long, n long, keys array<long>, placed int")
+    return rows.mapInArrow(post, _MEMBER_TYPES)
 
 
 _PROFILE = "doc_id long, n long, f1 long, f2 long, small array<long>, segment int, counts binary"
@@ -247,7 +261,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
     boundary = choose_boundary({r["n"]: r["sets"] for r in by_size}, {r["n"]: r["cost"] for r in by_size}, percent)
     copies = named.where("doc_id <> set_id").select("doc_id").distinct()
     originals = restrict(texts.where("text is not null"), copies, "doc_id", "left_anti")
-    members = originals.mapInArrow(_postings(shared, boundary, percent), "id long, n long, keys array<long>, placed int")
+    members = originals.mapInArrow(_postings(shared, boundary, percent), _MEMBER_TYPES)
 
     def verify(pairs: DataFrame) -> DataFrame:
         ids = materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())

@@ -20,7 +20,9 @@ after round 1 over to inverted lists (``jaccard_join.listed``), which find every
 them, so bucket pairs are not made at all. Inverted lists know the places of their entries
 (``Places``): by sizes and places alone most members of a list cannot be linked. Round 3 deals
 a list out by ranges of sizes and drops the members whose place is too late for a range, before
-any pair is made.
+any pair is made. Texts that share a passage share a run of entries one after another; such a
+pair is made at the first entry of the run only. Pairs are then held against parity bitmaps of
+their sets (``parity``), 64 bytes a set, before any longer list or whole set is fetched.
 """
 
 from __future__ import annotations
@@ -28,17 +30,33 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
 from .storage import materialize, restrict
+from .textops import mix
 
 Verify = Callable[[DataFrame], DataFrame]
 #: Further pivots are drawn while the pairs across components outnumber the members by this factor, at most so often.
 MANY_PAIRS, PIVOT_ROUNDS = 256, 4
 #: Ratio of the largest size of a range to its smallest.
 SIZE_RANGE = 1.05
+PARITY_BITS = 512
+
+
+def parity(items: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A row of ``PARITY_BITS`` bits, as longs, for each set of hashes: whether an odd number of its elements falls on a bit.
+
+    ``items`` holds the distinct elements of all sets one after another. An element that two
+    sets do not share flips one bit, so their rows differ in no more bits than the sets in
+    elements.
+    """
+    bit = (mix(items ^ np.uint64(0xB17)) % np.uint64(PARITY_BITS)).astype(np.int64)
+    cells = np.repeat(np.arange(len(sizes)), sizes) * PARITY_BITS + bit
+    odd = np.bincount(cells, minlength=len(sizes) * PARITY_BITS).astype(np.uint8) & 1
+    return np.packbits(odd.reshape(len(sizes), PARITY_BITS), axis=1).view(np.int64)
 
 
 class Places:
@@ -57,6 +75,10 @@ class Places:
     def need(self, n: Column, m: Column) -> Column:
         return F.ceil(self.percent * (n + m) / (100 + self.percent))
 
+    def differing(self, n: Column, m: Column) -> Column:
+        """The most elements that linked sets do not share."""
+        return n + m - 2 * self.need(n, m)
+
     def possible(self) -> Column:
         n, m = F.col("n_a"), F.col("n_b")
         fits = 100 * F.least(n, m) >= self.percent * F.greatest(n, m)
@@ -76,7 +98,7 @@ class Places:
 
 
 def _side(rows: DataFrame, side: str) -> list[Column]:
-    return [F.col(c).alias(f"{c}_{side}") for c in rows.columns if c in ("id", "n", "place", "same", "component")]
+    return [F.col(c).alias(f"{c}_{side}") for c in rows.columns if c in ("id", "n", "place", "before", "same", "component")]
 
 
 def _by_id(pairs: DataFrame, kept: list[str]) -> DataFrame:
@@ -92,8 +114,8 @@ def bucket_components(members: DataFrame, verify: Verify, percent: int, lists: V
     """``members(id, n, keys array<long>, ..)`` -> ``(id, component)`` of ids with at least one link.
 
     ``keys`` are an id's distinct buckets. Further columns: ``placed int``, where ``n`` is the
-    size of the set and the first ``placed`` keys stand at places 1, 2 .. of it; ``same``, equal
-    for members that are linked without a look. ``verify`` gets ``(a, b)`` with ``n_a, n_b`` or
+    size of the set and the first ``placed`` keys stand at places 1, 2 .. of it, with ``bits
+    array<long>``, its ``parity``; ``same``, equal for members that are linked without a look. ``verify`` gets ``(a, b)`` with ``n_a, n_b`` or
     ``same_a, same_b`` and returns the ``(a, b)`` that are links. ``lists`` gets the ``id`` that
     stay unsettled after the first round and returns them as members of inverted lists, to be
     linked by the same ``verify``. Buckets are counted with partial sums before their shuffle,
@@ -119,6 +141,10 @@ def bucket_components(members: DataFrame, verify: Verify, percent: int, lists: V
         """Pairs that share enough of their placed keys: what is shared up to the first of the two last ones is shared by both."""
         if not placed:
             return pairs
+        bits = members.select("id", "bits").dropDuplicates(["id", "bits"])
+        near = pairs.join(bits.select(F.col("id").alias("a"), F.col("bits").alias("x")), "a").join(bits.select(F.col("id").alias("b"), F.col("bits").alias("y")), "b")
+        differ = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, n: total + n)
+        pairs = materialize(near.where(differ <= places.differing(F.col("n_a"), F.col("n_b"))).select(*pairs.columns).dropDuplicates(["a", "b"]))
         ids = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
         own = materialize(restrict(members, ids, "id").select("id", F.slice("keys", 1, F.col("placed")).alias("keys")))
         both = pairs.join(own.select(F.col("id").alias("a"), F.col("keys").alias("x")), "a").join(own.select(F.col("id").alias("b"), F.col("keys").alias("y")), "b")
@@ -180,8 +206,13 @@ def bucket_components(members: DataFrame, verify: Verify, percent: int, lists: V
             labels = materialize(connected_components(stars().unionByName(links.select("a", "b"))))
 
     if placed:
+        # the entry of the same set one place before; a run of common entries makes its pair at the first
+        earlier = Window.partitionBy("id", "n").orderBy("place")
+        next_to = (F.col("place") > 1) & (F.lag("place").over(earlier) == F.col("place") - 1)
+        torn = materialize(torn.withColumn("before", F.when(next_to, F.lag("key").over(earlier))))
         left, right, on = places.dealt(torn, True), places.dealt(torn, False), ["key", "lo", "hi"]
         once = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("id_a") < F.col("id_b")))
+        once &= F.coalesce(F.col("before_a") != F.col("before_b"), F.lit(True))
     else:
         left, right, on = torn.select("key", *_side(torn, "a")), torn.select("key", *_side(torn, "b")), ["key"]
         once = F.col("id_a") < F.col("id_b")

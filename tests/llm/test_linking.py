@@ -22,8 +22,9 @@ def test_components_of_all_bucket_pairs(spark, tmp_path, monkeypatch, many, kind
     order = lambda s: sorted(s, key=lambda x: -x)
     prefix = lambda s: order(s)[: len(s) - -(-80 * len(s) // 100) + 1]
     plain = lambda k, s: (k, len(s), prefix(s) if kind == "placed" else sorted(s))
-    more = {"plain": lambda s: (), "placed": lambda s: (len(prefix(s)),), "listed": lambda s: ()}[kind]
-    columns = ", placed int" * (kind == "placed")
+    more = {"plain": lambda s: (), "placed": lambda s: (len(prefix(s)), bits(s)), "listed": lambda s: ()}[kind]
+    columns = ", placed int, bits array<long>" * (kind == "placed")
+    bits = lambda s: linking.parity(np.array(sorted(s), np.uint64), np.array([len(s)]))[0].tolist()
     hashed = lambda s: np.sort(mix(np.array(sorted(s), np.uint64))).view(np.int64).tolist()
     whole = brute.stored(spark, tmp_path, [(k, hashed(s)) for k, s in sets.items()], "id long, items array<long>")
     members = brute.stored(spark, tmp_path, [plain(k, s) + more(s) for k, s in sets.items()], "id long, n long, keys array<long>" + columns)
@@ -38,3 +39,15 @@ def test_components_of_all_bucket_pairs(spark, tmp_path, monkeypatch, many, kind
     want = brute.components(sets, brute.jaccard_links(sets))
     assert {k: got.get(k, k) for k in sets} == want
     assert len(set(want.values())) > 20
+
+
+def test_parity_bounds_the_difference():
+    rng = np.random.default_rng(3)
+    for size in (0, 1, 30, 400, 5000):
+        base = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
+        for extra in (0, 1, 20, 300):
+            other = np.union1d(base[extra // 2 :], rng.integers(0, 1 << 63, extra).astype(np.uint64))
+            rows = linking.parity(np.concatenate([base, other]), np.array([len(base), len(other)]))
+            differ = sum(int(x).bit_count() for x in (rows[0] ^ rows[1]).view(np.uint64))
+            assert rows.shape == (2, linking.PARITY_BITS // 64) and differ <= len(np.setxor1d(base, other))
+            assert differ > 0 or not len(np.setxor1d(base, other))
