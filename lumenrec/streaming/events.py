@@ -5,7 +5,7 @@ Each function takes a frame with ``ts`` as timestamp; on a stream the watermark
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -49,7 +49,7 @@ def deduplicated(events: DataFrame) -> DataFrame:
     return df.dropDuplicatesWithinWatermark(["event_id"]) if df.isStreaming else df.dropDuplicates(["event_id"])
 
 
-def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
+def drain(stream: DataFrame, mode: str = "append", path: str | None = None) -> DataFrame:
     """Runs a stream over what is there into a Parquet table and returns that; no row passes the driver.
 
     In append mode a window or session is written once, when the watermark has passed its end, and
@@ -57,7 +57,7 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     With ``complete`` each batch replaces the table and all state is kept: for small results only.
     """
     spark = stream.sparkSession
-    path = shared_path(spark)
+    path = path or shared_path(spark)
     writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{path}-state")
     if mode == "append":
         q = writer.format("parquet").option("path", path).start()
@@ -67,6 +67,27 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
+#: Later than any event.
+END = "9000-01-01 00:00:00"
+
+
+def drain_to_end(source: DataFrame, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``build(source)`` drained in append mode over an input that ends: windows and sessions still open at its end are written too.
+
+    A second run of the stream reads one more row, a mark with ``ts`` at ``END`` and nulls beside
+    it, so the watermark passes all that is in the state. The mark's own window stays open and is
+    never written.
+    """
+    spark = source.sparkSession
+    path = shared_path(spark)
+    spark.createDataFrame([], source.schema).write.parquet(f"{path}-end")
+    out = build(source.unionByName(spark.readStream.schema(source.schema).parquet(f"{path}-end")))
+    drain(out, path=path)
+    ends = [F.lit(END if x.name == "ts" else None).cast(x.dataType).alias(x.name) for x in source.schema]
+    spark.range(1).select(*ends).write.mode("append").parquet(f"{path}-end")
+    return drain(out, path=path)
+
+
 def split_late(stream: DataFrame, delay: str = "1 hour") -> tuple[DataFrame, DataFrame]:
     """Runs a stream into two tables: rows in time, and rows older than what earlier batches had reached, less ``delay``.
 

@@ -96,3 +96,9 @@ def test_append_mode_leaves_open_windows(spark, tmp_path):
     stream = batches(spark, str(tmp_path / "in"), [[(1, 1, t(0)), (2, 1, t(10)), (3, 1, t(70)), (4, 1, t(190))]])
     got = E.drain(E.tumbling_counts(stream.withColumn("event_type", F.lit("x"))))
     assert sorted(r["n"] for r in got.collect()) == [1, 2]
+
+
+def test_intents_have_a_row_for_each_part(spark, sf):
+    from lumenrec.plans.queries import QUERIES
+
+    assert QUERIES["intent_parse"](spark, sf).count() == spark.read.parquet(f"{sf}/part.parquet").count()
