@@ -102,3 +102,10 @@ def test_intents_have_a_row_for_each_part(spark, sf):
     from lumenrec.plans.queries import QUERIES
 
     assert QUERIES["intent_parse"](spark, sf).count() == spark.read.parquet(f"{sf}/part.parquet").count()
+
+
+def test_windows_hold_every_event(spark, sf):
+    from lumenrec.plans.queries import QUERIES
+
+    events = spark.read.parquet(f"{sf}/events.parquet").count()
+    assert QUERIES["stream_event_counts"](spark, sf).agg(F.sum("n")).first()[0] == events
