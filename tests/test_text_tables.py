@@ -109,3 +109,10 @@ def test_windows_hold_every_event(spark, sf):
 
     events = spark.read.parquet(f"{sf}/events.parquet").count()
     assert QUERIES["stream_event_counts"](spark, sf).agg(F.sum("n")).first()[0] == events
+
+
+def test_sliding_windows_hold_every_event_six_times(spark, sf):
+    from lumenrec.plans.queries import QUERIES
+
+    events = spark.read.parquet(f"{sf}/events.parquet").count()
+    assert QUERIES["stream_trending_sliding"](spark, sf).agg(F.sum("n")).first()[0] == 6 * events
