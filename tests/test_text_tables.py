@@ -116,3 +116,10 @@ def test_sliding_windows_hold_every_event_six_times(spark, sf):
 
     events = spark.read.parquet(f"{sf}/events.parquet").count()
     assert QUERIES["stream_trending_sliding"](spark, sf).agg(F.sum("n")).first()[0] == 6 * events
+
+
+def test_sessions_hold_every_event(spark, sf):
+    from lumenrec.plans.queries import QUERIES
+
+    events = spark.read.parquet(f"{sf}/events.parquet").count()
+    assert QUERIES["stream_sessions"](spark, sf).agg(F.sum("n")).first()[0] == events
