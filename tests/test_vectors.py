@@ -154,3 +154,29 @@ def test_early_stopping_fold(spark):
     assert M.stop_early([1, 1, 1, 1], 3) == 3 and M.stop_early([1, 2, 3], 1) is None
     low = {r["series"]: r for r in M.early_stopping(rows, 3, 0.1, "min").collect()}
     assert low[0]["stopped_at"] == M.stop_early([-x for x in series[0]], 3, 0.1)
+
+def test_best_of_items_that_pass_by(spark):
+    """More items than a task holds at once, many of them equal, against all products; what leaves is a few rows a query."""
+    rng = np.random.default_rng(5)
+    vectors = np.round(rng.normal(size=(3_000, 8)), 2)
+    vectors[1_000:1_400] = vectors[7]
+    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "item_id long, v array<double>").repartition(7)
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors[:300])], "user_id long, v array<double>")
+    raw = blocks.meet_best(q, items, "user_id", 5, small=0)
+    assert raw.groupBy("user_id").count().agg(F.max("count")).first()[0] <= 8 * 20
+    for drop_self in (False, True):
+        got = {}
+        for r in R.knn(q, items, "user_id", 5, drop_self, small=0).collect():
+            got.setdefault(r["user_id"], []).append((r["rank"], r["item_id"]))
+        scores = np.round(vectors[:300] @ vectors.T, 6)
+        for u in range(300):
+            order = [i for i in np.lexsort((np.arange(3_000), -scores[u])) if not (drop_self and i == u)][:5]
+            assert [i for _, i in sorted(got[u])] == order
+
+
+def test_exact_search_makes_no_rows_for_each_block_of_items(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "ITEM_BLOCK", 100)
+    items = spark.range(2_000).select(F.col("id").alias("item_id"), F.array(F.sin("id"), F.cos("id")).alias("v"))
+    q = spark.range(1_500).select(F.col("id").alias("user_id"), F.array(F.cos("id"), F.sin("id")).alias("v"))
+    monkeypatch.setattr(blocks, "STREAM_ROWS", 100)
+    assert blocks.meet_best(q, items, "user_id", 3, small=0).count() < 1_500 * 6
