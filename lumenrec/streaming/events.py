@@ -118,7 +118,11 @@ def split_late(stream: DataFrame, delay: str = "1 hour") -> tuple[DataFrame, Dat
 
 
 class _Sessions(StatefulProcessor):
-    """Open sessions of a key as state; each has an event-time timer at its end, which writes and forgets it."""
+    """Open sessions of a key as state, with one event-time timer at the first end.
+
+    When it fires, all sessions that the watermark has passed are written and forgotten: a
+    timer for each session would read and write the key's whole state as often as it has sessions.
+    """
 
     def __init__(self, gap_ms: int):
         self.gap = gap_ms
@@ -128,20 +132,22 @@ class _Sessions(StatefulProcessor):
         self.open = handle.getListState("open", "start_ms long, last_ms long, n long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        spans = sorted(self._held() + [(r.ms, r.ms, 1) for r in rows])
+        held = self._held()
+        spans = sorted(held + [(r.ms, r.ms, 1) for r in rows])
         merged: list[tuple[int, int, int]] = []
         for start, last, n in spans:
             if merged and start < merged[-1][1] + self.gap:
                 merged[-1] = (merged[-1][0], max(last, merged[-1][1]), merged[-1][2] + n)
             else:
                 merged.append((start, last, n))
-        self._keep(merged)
+        self._keep(merged, self._first(held))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        now, open_ = expiredTimerInfo.getExpiryTimeInMs(), self._held()
+        fired, open_ = expiredTimerInfo.getExpiryTimeInMs(), self._held()
+        now = max(fired, timerValues.getCurrentWatermarkInMs())
         done = [x for x in open_ if x[1] + self.gap <= now]
-        self._keep([x for x in open_ if x[1] + self.gap > now], expired=now)
+        self._keep([x for x in open_ if x[1] + self.gap > now], None)
         for start, last, n in done:
             yield Row(key=key[0], start_ms=start, last_ms=last, n=n)
 
@@ -151,13 +157,17 @@ class _Sessions(StatefulProcessor):
     def _held(self):
         return [tuple(x) for x in self.open.get()] if self.open.exists() else []
 
-    def _keep(self, spans: list[tuple[int, int, int]], expired: int | None = None) -> None:
-        wanted, there = {last + self.gap for _, last, _ in spans}, set(self.handle.listTimers())
-        for t in there - wanted:
-            if t != expired:
-                self.handle.deleteTimer(t)
-        for t in wanted - there:
-            self.handle.registerTimer(t)
+    def _first(self, spans: list[tuple[int, int, int]]) -> int | None:
+        return min((last + self.gap for _, last, _ in spans), default=None)
+
+    def _keep(self, spans: list[tuple[int, int, int]], there: int | None) -> None:
+        """The open sessions, and the timer moved from ``there`` to the end of the first of them."""
+        wanted = self._first(spans)
+        if wanted != there:
+            if there is not None:
+                self.handle.deleteTimer(there)
+            if wanted is not None:
+                self.handle.registerTimer(wanted)
         if spans:
             self.open.put(spans)
         else:
