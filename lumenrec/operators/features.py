@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.blocks import SMALL_ROWS
 from ..functions.vectors import dot
 from ..sources.store import small_side, stored
 
@@ -83,13 +84,24 @@ def tfidf(texts: DataFrame, vocabulary: int = 1000, columns: int = 50) -> DataFr
     return weights.join(F.broadcast(first), "term").join(lengths, "item_id").select("item_id", "term", (F.col("w") / F.col("l")).alias("weight"))
 
 
+#: Items whose vectors and features go to all pairs by a broadcast.
+USED_ROWS = 10_000
+
+
 def pairwise(pairs: DataFrame, user_vectors: DataFrame, item_vectors: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
-    """Similarity, user and item features of given pairs; NaN and nulls become 0."""
+    """Similarity, user and item features of given pairs; NaN and nulls become 0.
+
+    Vectors and features of a side are put together first. Few items that pairs name are broadcast,
+    so that only the pairs' ids are shuffled, to their users; of many, each vector is shuffled to a
+    pair once.
+    """
     u, i = user_vectors.withColumnRenamed("v", "uv"), item_vectors.withColumnRenamed("v", "iv")
     clean = lambda c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0))
     uf = users.select("user_id", clean("rating_mean").alias("user_mean"), clean("rating_count").alias("user_count"))
     ff = items.select("item_id", clean("rating_mean").alias("item_mean"), clean("rating_count").alias("item_count"))
-    joined = pairs.join(u, "user_id").join(i, "item_id").join(uf, "user_id").join(ff, "item_id")
+    named = small_side(pairs.select("item_id").distinct(), SMALL_ROWS)
+    of_item = small_side(i.join(named, "item_id", "left_semi").join(ff, "item_id"), USED_ROWS)
+    joined = pairs.join(u.join(uf, "user_id"), "user_id").join(of_item, "item_id")
     return joined.select("user_id", "item_id", dot("uv", "iv").alias("similarity"), "user_mean", "user_count", "item_mean", "item_count")
 
 

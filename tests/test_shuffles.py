@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from lumenrec.operators import features as X
 from lumenrec.operators import retrieval as R
 
 
@@ -31,3 +32,16 @@ def test_user_vectors_shuffles_ids(spark, shuffled):
     mean = np.stack(want["v"]).mean(axis=0)
     got = R.user_vectors(rows, items).where("user_id = 7").first()["v"]
     assert np.allclose(got, mean / np.linalg.norm(mean))
+
+
+def test_pairwise_shuffles_no_vector_with_a_pair(spark, shuffled):
+    users, items = _vectors(spark, "user_id", 400), _vectors(spark, "item_id", 100)
+    pairs = spark.range(40_000).selectExpr("id % 400 user_id", "cast(id / 400 as long) item_id").repartition(4)
+    known = lambda key, n: spark.range(n).selectExpr(f"id {key}", "2.0D rating_mean", "3L rating_count")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        made = X.pairwise(pairs, users, items, known("user_id", 400), known("item_id", 100))
+        assert shuffled(lambda: made) < 40_000 * 50
+        assert made.count() == 40_000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
