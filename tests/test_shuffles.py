@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from lumenrec.operators import features as X
+from lumenrec.operators import preprocess as P
 from lumenrec.operators import retrieval as R
 
 
@@ -45,3 +46,12 @@ def test_pairwise_shuffles_no_vector_with_a_pair(spark, shuffled):
         assert made.count() == 40_000
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_draws_are_not_shuffled(spark, shuffled):
+    rows = spark.range(4_000).selectExpr("id % 200 user_id", "pmod(id * 7919, 3001) item_id").repartition(4)
+    # 48,000 draws
+    assert shuffled(lambda: P.sample_negatives(rows)) < 48_000 * 10
+    out = P.sample_negatives(rows)
+    assert out.count() == out.distinct().count() == 4 * rows.distinct().count()
+    assert out.join(rows, ["user_id", "item_id"], "left_semi").isEmpty()
