@@ -4,6 +4,7 @@ import pytest
 from lumenrec.operators import features as X
 from lumenrec.operators import preprocess as P
 from lumenrec.operators import retrieval as R
+from lumenrec.operators import search as S
 
 
 @pytest.fixture
@@ -55,3 +56,13 @@ def test_draws_are_not_shuffled(spark, shuffled):
     out = P.sample_negatives(rows)
     assert out.count() == out.distinct().count() == 4 * rows.distinct().count()
     assert out.join(rows, ["user_id", "item_id"], "left_semi").isEmpty()
+
+
+def test_queries_of_a_table_make_no_hit_for_each_item(spark, shuffled):
+    catalog = spark.range(1_000).selectExpr("id item_id", "concat('Red ring ', id) title", "array('red', 'ring') tags", "array('SMALL', concat('Brand', id % 5)) genres", "cast(1950 + id % 7 as int) year", "'en' original_language")
+    queries = spark.range(1_000).selectExpr("id query_id", "'red small' query", "array('SMALL', concat('Brand', id % 5)) genres", "1950 + id % 7 year_min", "cast(null as long) year_max")
+    # a million pairs of a query and an item
+    assert shuffled(lambda: S.search_all(catalog, queries, 5)) < 1_000_000
+    found = S.search_all(catalog, queries, 5).where("query_id = 9").orderBy("rank").collect()
+    want = S.search(catalog, "red small", 5, {"genres": ["SMALL", "Brand4"], "year_min": 1952}).collect()
+    assert [(r["item_id"], r["score"]) for r in found] == [(r["item_id"], r["score"]) for r in want]
