@@ -66,3 +66,13 @@ def test_queries_of_a_table_make_no_hit_for_each_item(spark, shuffled):
     found = S.search_all(catalog, queries, 5).where("query_id = 9").orderBy("rank").collect()
     want = S.search(catalog, "red small", 5, {"genres": ["SMALL", "Brand4"], "year_min": 1952}).collect()
     assert [(r["item_id"], r["score"]) for r in found] == [(r["item_id"], r["score"]) for r in want]
+
+
+def test_exact_scores_shuffle_no_vector_with_a_pair(spark, shuffled):
+    users, items = _vectors(spark, "user_id", 400), _vectors(spark, "item_id", 100)
+    pairs = spark.range(40_000).selectExpr("id % 400 user_id", "cast(id / 400 as long) item_id").repartition(4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert shuffled(lambda: R.exact_scores(pairs, users, items, "user_id")) < 40_000 * 50
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
