@@ -68,6 +68,18 @@ def test_queries_of_a_table_make_no_hit_for_each_item(spark, shuffled):
     assert [(r["item_id"], r["score"]) for r in found] == [(r["item_id"], r["score"]) for r in want]
 
 
+def test_chat_queries_make_no_hit_for_each_item(spark, shuffled):
+    catalog = spark.range(2_000).selectExpr("id item_id", "concat('Red ring ', id % 7) title", "array(concat('Ann', id % 3)) cast", "array('SMALL', concat('Brand', id % 5)) genres", "case when id % 400 = 9 then concat('a small film of ', id) else '' end overview", "if(id % 6 = 1, 'hi', 'en') original_language")
+    texts = ["red", "small red ring 3 with ann2", "bollywood small", "film", "brand4 or ann1", "a small film of 1209", "red ring 5"]
+    queries = spark.range(2_000).selectExpr("id query_id", f"array({', '.join(map(repr, texts))})[id % {len(texts)}] query")
+    # more than a million pairs of a query and an item
+    assert shuffled(lambda: S.chat_search_all(catalog, queries, 5)) < 1_000_000
+    found = S.chat_search_all(catalog, queries, 5).where(f"query_id >= 700 and query_id < {700 + len(texts)}").orderBy("query_id", "rank").collect()
+    for i, text in enumerate(texts):
+        want = S.chat_search(catalog, text, 5).collect()
+        assert [(r["item_id"], r["score"]) for r in found if r["query_id"] == 700 + i] == [(r["item_id"], r["score"]) for r in want], text
+
+
 def test_exact_scores_shuffle_no_vector_with_a_pair(spark, shuffled):
     users, items = _vectors(spark, "user_id", 400), _vectors(spark, "item_id", 100)
     pairs = spark.range(40_000).selectExpr("id % 400 user_id", "cast(id / 400 as long) item_id").repartition(4)
