@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from lumenrec.operators import features as X
+from lumenrec.operators import metrics as M
 from lumenrec.operators import preprocess as P
 from lumenrec.operators import retrieval as R
 from lumenrec.operators import search as S
@@ -88,3 +89,18 @@ def test_exact_scores_shuffle_no_vector_with_a_pair(spark, shuffled):
         assert shuffled(lambda: R.exact_scores(pairs, users, items, "user_id")) < 40_000 * 50
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_metrics_shuffle_the_lists_once(spark, shuffled):
+    spread = "pmod(xxhash64(id), 1000000000000)"
+    lists = spark.range(100_000).selectExpr("id % 1000 user_id", f"{spread} item_id", "cast(id / 1000 as long) + 1 rank")
+    truth = spark.range(40_000).selectExpr("id % 1000 user_id", f"{spread} item_id")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        once = shuffled(lambda: lists.repartition(8, "user_id")) + shuffled(lambda: truth.repartition(8, "user_id"))
+        assert shuffled(lambda: M.per_user(lists, truth, 10)) < 1.2 * once
+        row = M.per_user(lists, truth, 10).where("user_id = 7").first()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # the first 40 of a list are the truth
+    assert (row["precision"], row["recall"], row["map"], row["mrr"]) == (1.0, 0.25, 1.0, 1.0)
