@@ -1,11 +1,13 @@
 """A ranker trained for the order of lists: boosted trees on pairwise gradients (LambdaRank).
 
-Features are cut into bins once. In each round every user's list gives each of its rows a gradient:
-for each pair of rows of different labels, how far the model puts them in the wrong order, times
-what swapping them would change in the list's NDCG. A tree is grown level by level from histograms
-(sums of gradients by node, feature and bin), which are aggregated with partial sums; only the
-histograms, whose size is that of a tree level, come to the driver. The model is a table of nodes
-and is applied as an expression, so scoring stays inside the JVM.
+Features are cut into bins once, and every user's list is stored once, as one row of labels and
+bins. In each round a list gives each of its rows a gradient: for each pair of rows of different
+labels, how far the model puts them in the wrong order, times what swapping them would change in
+the list's NDCG. A tree is grown level by level from histograms (sums of gradients by node, feature
+and bin). A task scores its lists by the trees so far, takes their gradients and gives its sums:
+no row is shuffled or written again, and only the histograms, whose size is that of a tree level,
+come to the driver. The model is a table of nodes and is applied as an expression, so scoring
+stays inside the JVM.
 """
 
 from __future__ import annotations
@@ -36,8 +38,6 @@ class Settings:
     at: int = 10
     #: Rounds without a better NDCG on the users held out, after which training stops.
     patience: int = 5
-    #: Groups of users that gradients are computed in.
-    groups: int = 64
 
 
 @dataclass
@@ -75,44 +75,131 @@ class Ranker:
         return out
 
 
-def _apply(tree: dict[int, tuple], features: list[str], node: int = 0, leaf=None) -> Column:
-    """A tree as nested conditions; ``leaf(node)`` in place of a leaf's value if given. Nulls go to the first child."""
+def _apply(tree: dict[int, tuple], features: list[str], node: int = 0) -> Column:
+    """A tree as nested conditions. Nulls go to the first child."""
     x = tree[node]
     if len(x) == 1:
-        return F.lit(leaf(node) if leaf else x[0])
-    below = [_apply(tree, features, 2 * node + i, leaf) for i in (1, 2)]
+        return F.lit(x[0])
+    below = [_apply(tree, features, 2 * node + i) for i in (1, 2)]
     return F.when(F.col(features[x[0]]) > x[1], below[1]).otherwise(below[0])
 
 
+def _pushes(lists, label: np.ndarray, score: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and curvature of each row; ``lists`` are the places of each user's rows, best score first."""
+    grad, hess = np.zeros(len(label)), np.zeros(len(label))
+    for at in lists:
+        gain, s = 2.0 ** label[at] - 1, score[at]
+        discount = 1 / np.log2(np.arange(len(at)) + 2)
+        ideal = (np.sort(gain)[::-1] * discount)[: settings.at].sum()
+        if ideal <= 0:
+            continue
+        t = min(settings.truncate, len(at))
+        # rows: the first t places, columns: all places below
+        higher = gain[:t, None] - gain[None, :]
+        delta = np.abs(higher * (discount[:t, None] - discount[None, :])) / ideal
+        delta[np.tril_indices(t, 0, len(at))] = 0
+        sign = np.sign(higher)
+        rho = 1 / (1 + np.exp(np.clip(sign * (s[:t, None] - s[None, :]), -50, 50)))
+        push = sign * rho * delta
+        curve = rho * (1 - rho) * delta * (sign != 0)
+        grad[at[:t]] += push.sum(axis=1)
+        grad[at] -= push.sum(axis=0)
+        hess[at[:t]] += curve.sum(axis=1)
+        hess[at] += curve.sum(axis=0)
+    return grad, hess
+
+
 def _gradients(settings: Settings):
     def run(table: pa.Table) -> pa.Table:
         user, label, score = (table.column(c).to_numpy() for c in ("user_id", "label", "score"))
-        grad, hess = np.zeros(len(user)), np.zeros(len(user))
         order = np.lexsort((table.column("item_id").to_numpy(), -score, user))
-        for at in np.split(order, np.flatnonzero(np.diff(user[order])) + 1):
-            gain, s = 2.0 ** label[at] - 1, score[at]
-            discount = 1 / np.log2(np.arange(len(at)) + 2)
-            ideal = (np.sort(gain)[::-1] * discount)[: settings.at].sum()
-            if ideal <= 0:
-                continue
-            t = min(settings.truncate, len(at))
-            # rows: the first t places, columns: all places below
-            higher = gain[:t, None] - gain[None, :]
-            delta = np.abs(higher * (discount[:t, None] - discount[None, :])) / ideal
-            delta[np.tril_indices(t, 0, len(at))] = 0
-            sign = np.sign(higher)
-            rho = 1 / (1 + np.exp(np.clip(sign * (s[:t, None] - s[None, :]), -50, 50)))
-            push = sign * rho * delta
-            curve = rho * (1 - rho) * delta * (sign != 0)
-            grad[at[:t]] += push.sum(axis=1)
-            grad[at] -= push.sum(axis=0)
-            hess[at[:t]] += curve.sum(axis=1)
-            hess[at] += curve.sum(axis=0)
+        grad, hess = _pushes(np.split(order, np.flatnonzero(np.diff(user[order])) + 1), label, score, settings)
         return table.append_column("grad", pa.array(grad)).append_column("hess", pa.array(hess))
 
     return run
 
 
+def _lists(rows: DataFrame, features: list[str], edges: list[list[float]]) -> DataFrame:
+    """Stored, one row for each user: its labels by item_id, and the bins of each feature in the same order."""
+    # the bin of a value is the number of edges below it
+    bins = [F.coalesce(sum(((F.col(f) > e).cast("int") for e in edges[i]), F.lit(0)), F.lit(0)).cast("short").alias(f"b{i}") for i, f in enumerate(features)]
+    each = F.struct(F.col("item_id"), F.col("label").cast("double").alias("label"), *bins)
+    # a number of its own: short lists would else be few tasks, and each round is a pass over them
+    dealt = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "user_id")
+    lists = dealt.groupBy("user_id").agg(F.sort_array(F.collect_list(each)).alias("l"))
+    return stored(lists.select(F.col("l.label").alias("label"), *(F.col(f"l.b{i}").alias(f"b{i}") for i in range(len(features)))))
+
+
+def _nodes(tree: dict[int, tuple], bins: list[np.ndarray], edges: list[list[float]]) -> np.ndarray:
+    """The leaf of each row; a value is above an edge where its bin is beyond the edge's number."""
+    at = np.zeros(len(bins[0]), np.int64)
+    for node, x in sorted(tree.items()):  # parents come before their children
+        if len(x) == 2:
+            own = np.flatnonzero(at == node)
+            at[own] = 2 * node + 1 + (bins[x[0]][own] > edges[x[0]].index(x[1]))
+    return at
+
+
+def _ranked(batch: pa.RecordBatch, trees: list[dict[int, tuple]], edges: list[list[float]]):
+    """A batch of lists by the trees so far: labels, bins, scores, and each list's rows, best score first."""
+    sizes = np.diff(batch.column("label").offsets.to_numpy())
+    label = batch.column("label").flatten().to_numpy(zero_copy_only=False)
+    bins = [batch.column(f"b{i}").flatten().to_numpy() for i in range(len(edges))]
+    score = np.zeros(len(label))
+    for tree in trees:
+        value = np.zeros(max(tree) + 1)
+        for node, x in tree.items():
+            value[node] = x[0]
+        score += value[_nodes(tree, bins, edges)]
+    order = np.lexsort((-score, np.repeat(np.arange(len(sizes)), sizes)))  # rows come by item_id, which breaks ties
+    return label, bins, score, np.split(order, np.cumsum(sizes)[:-1])
+
+
+def _histograms(trees: list[dict[int, tuple]], tree: dict[int, tuple], nodes: list[int], edges: list[list[float]], settings: Settings):
+    """A task's sums of gradients for the nodes of a level of ``tree``."""
+
+    def run(batches):
+        width = settings.bins
+        sums = np.zeros((3, len(nodes), len(edges), width))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            label, bins, score, lists = _ranked(batch, trees, edges)
+            grad, hess = _pushes(lists, label, score, settings)
+            at = _nodes(tree, bins, edges)
+            for k, node in enumerate(nodes):
+                own = np.flatnonzero(at == node)
+                for f in range(len(edges)):
+                    b = bins[f][own]
+                    for i, weights in enumerate((grad[own], hess[own], None)):
+                        sums[i, k, f] += np.bincount(b, weights, width)
+        k, f, b = np.nonzero(sums[2])
+        g, h, n = sums[:, k, f, b]
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(nodes)[k], pa.int32()), pa.array(f, pa.int32()), pa.array(b, pa.int32()), pa.array(g), pa.array(h), pa.array(n.astype(np.int64))], names=["node", "feature", "bin", "g", "h", "n"])
+
+    return run
+
+
+def _list_ndcg(trees: list[dict[int, tuple]], edges: list[list[float]], at: int):
+    """A task's sum of the NDCG of its lists, and the number of lists with a positive label."""
+
+    def run(batches):
+        total, count = 0.0, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            label, _, _, lists = _ranked(batch, trees, edges)
+            for rows in lists:
+                gain = 2.0 ** label[rows] - 1
+                discount = 1 / np.log2(np.arange(min(at, len(rows))) + 2)
+                ideal = (np.sort(gain)[::-1][:at] * discount).sum()
+                if ideal > 0:
+                    total, count = total + (gain[:at] * discount).sum() / ideal, count + 1
+        yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([count])], names=["total", "n"])
+
+    return run
+
+
 def _split(cells: dict, n_features: int, edges: list[list[float]], settings: Settings):
     """Best split of a node from its histogram ``{feature: [(bin, grad, hess, n)]}``, or None."""
     best = None
@@ -151,39 +238,36 @@ def train(rows: DataFrame, features: list[str], held_out: DataFrame | None = Non
     quantiles = [i / settings.bins for i in range(1, settings.bins)]
     found = rows.agg(*(F.percentile_approx(F.col(f).cast("double"), quantiles).alias(f"q{i}") for i, f in enumerate(features))).first()
     edges = [sorted(set(q or [])) for q in found]
-    # the bin of a value is the number of edges below it
-    bins = [sum(((F.col(f) > e).cast("int") for e in edges[i]), F.lit(0)) for i, f in enumerate(features)]
-    data = stored(rows.select("user_id", "item_id", F.col("label").cast("double").alias("label"), *features, F.array(*(F.coalesce(b, F.lit(0)) for b in bins)).alias("bins"), F.lit(0.0).alias("score")))
+    data = _lists(rows, features, edges)
+    held = None if held_out is None else _lists(held_out, features, edges)
     model = Ranker(list(features))
-    schema = ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in data.schema) + ", grad double, hess double"
     curve: list[float] = []
     for _ in range(settings.trees):
-        graded = stored(data.groupBy(F.pmod(F.xxhash64("user_id"), F.lit(settings.groups)).alias("g")).applyInArrow(lambda t: _gradients(settings)(t), schema))
         tree: dict[int, tuple] = {0: (0.0,)}
         for level in range(settings.depth + 1):
             nodes = [n for n, x in tree.items() if len(x) == 1 and n >= 2**level - 1]
             if not nodes:
                 break
-            at = graded.withColumn("node", _apply(tree, features, leaf=lambda n: n)).where(F.col("node").isin(nodes))
-            cells = at.select("node", F.posexplode("bins").alias("feature", "bin"), "grad", "hess").groupBy("node", "feature", "bin").agg(F.sum("grad").alias("g"), F.sum("hess").alias("h"), F.count("*").alias("n"))
+            parts = data.mapInArrow(_histograms(list(model.trees), dict(tree), nodes, edges, settings), "node int, feature int, bin int, g double, h double, n long")
+            cells = parts.groupBy("node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n"))
             by_node: dict[int, dict[int, list]] = {}
             for r in cells.collect():  # nodes of a level times features times bins
                 by_node.setdefault(r["node"], {}).setdefault(r["feature"], []).append((r["bin"], r["g"], r["h"], r["n"]))
             for n in nodes:
-                held = by_node.get(n, {})
-                g, h = (sum(x[i] for x in held.get(0, ())) for i in (1, 2))
-                found = _split(held, len(features), edges, settings) if level < settings.depth else None
+                own = by_node.get(n, {})
+                g, h = (sum(x[i] for x in own.get(0, ())) for i in (1, 2))
+                found = _split(own, len(features), edges, settings) if level < settings.depth else None
                 if found:
                     model.gains[features[found[1]]] = model.gains.get(features[found[1]], 0.0) + float(found[0])
                     tree |= {n: (found[1], found[2]), 2 * n + 1: (0.0,), 2 * n + 2: (0.0,)}
                 else:
                     tree[n] = (settings.rate * g / (h + settings.shrink),)
         model.trees.append(tree)
-        if held_out is not None:
-            curve.append(ndcg(model.predict(held_out), "prediction", settings.at).agg(F.avg("ndcg")).first()[0] or 0.0)
+        if held is not None:
+            sums = held.mapInArrow(_list_ndcg(list(model.trees), edges, settings.at), "total double, n long").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).first()
+            curve.append(sums["total"] / sums["n"] if sums["n"] else 0.0)
             if stop_early(curve, settings.patience, 0.0) is not None:
                 break
-        data = stored(graded.withColumn("score", F.col("score") + _apply(tree, features)).drop("grad", "hess"))
     model.history = curve
     if curve:
         model.trees = model.trees[: int(np.argmax(curve)) + 1]

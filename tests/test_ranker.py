@@ -73,3 +73,27 @@ def test_equal_features_make_no_split(spark):
     model = L.train(data, ["a", "b"], None, L.Settings(trees=1))
     assert all(len(n) == 1 for t in model.trees for n in t.values())
     assert model.predict(data).count() == 60
+
+
+def test_rounds_write_no_rows(spark, lists, monkeypatch):
+    """More trees store no more tables and shuffle sums alone, whatever the number of rows."""
+    stores, keep = [], L.stored
+    monkeypatch.setattr(L, "stored", lambda df: stores.append(1) or keep(df))
+    written = lambda: spark._jsparkSession.sparkContext().statusStore().executorSummary("driver").totalShuffleWrite()
+    train, held = L.split_users(lists)
+    made = []
+    for trees in (1, 4):
+        before = written()
+        L.train(train, ["a"], held, L.Settings(trees=trees, depth=1))
+        made.append((len(stores), written() - before))
+        stores.clear()
+    assert made[0][0] == made[1][0] == 2
+    assert made[1][1] - made[0][1] < 3 * 8 * 3_000
+
+
+def test_training_scores_lists_as_predict_does(spark, lists):
+    """The NDCG that training follows, from bins, is that of the expression, from values."""
+    train, held = L.split_users(lists)
+    model = L.train(train, ["a", "b", "noise"], held, L.Settings(trees=3, rate=0.3))
+    got = L.ndcg(model.predict(held), "prediction").agg(F.avg("ndcg")).first()[0]
+    assert math.isclose(max(model.history), got, rel_tol=1e-9)
