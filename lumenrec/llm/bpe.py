@@ -20,6 +20,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +32,8 @@ CHUNK_CHARS, OVERLAP_CHARS = 16_384, 512
 _MARGIN = 4
 _LETTER, _NUMBER, _SPACE, _OTHER = 1, 2, 3, 4
 _MEMO_ENTRIES = 1 << 17
+#: Bytes of text, or of ids, that a task takes from its batch at a time.
+PORTION = 1 << 20
 
 
 @cache
@@ -110,10 +113,20 @@ def _encoder(path: str) -> _Encoder:
     return _Encoder(path)
 
 
+def _portions(batches, column: str):
+    """The batches in slices in which ``column`` has about PORTION bytes, one row at least; a batch of none stays."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        portion = (np.cumsum(sizes) - sizes) // PORTION
+        cuts = [0, *(np.flatnonzero(np.diff(portion)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            yield batch.slice(a, b - a)
+
+
 def _encode_whole(path):
     def run(batches):
         encoder = _encoder(path)
-        for batch in batches:
+        for batch in _portions(batches, "text"):
             out = [encoder.encode(t, pretoken_starts(t)) for t in (x.as_py() or "" for x in batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // 4 for x in out], pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
@@ -124,7 +137,7 @@ def _pretokenise(overlap):
     """The starts in a chunk's first and last overlap that may serve as seams, in characters of the document."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _portions(batches, "piece"):
             head, tail = [], []
             for offset, last, piece in zip(batch.column("offset").to_pylist(), batch.column("last").to_pylist(), batch.column("piece")):
                 text = piece.as_py()
@@ -140,7 +153,7 @@ def _pretokenise(overlap):
 def _encode_pieces(path):
     def run(batches):
         encoder = _encoder(path)
-        for batch in batches:
+        for batch in _portions(batches, "piece"):
             ids = []
             for row in batch.select(["offset", "piece", "since", "until"]).to_pylist():
                 text = row["piece"]
@@ -208,7 +221,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
         table = np.empty(max(ranks.values()) + 1, object)
         for token, rank in ranks.items():
             table[rank] = token
-        for batch in batches:
+        for batch in _portions(batches, "ids"):
             out = [None if x is None else b"".join(table[np.frombuffer(x, "<u4")]) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "decoded"])
 

@@ -54,3 +54,17 @@ def test_encode_equals_the_library_and_round_trips(spark, sf, tmp_path, chunk, o
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.decode(bpe.encode(docs, PATH), PATH).count() == 0
+
+
+def test_tasks_take_a_batch_in_portions(monkeypatch):
+    """What a task gives at a time is bounded by bytes, not by the rows of a batch; nothing is lost or reordered."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(bpe, "PORTION", 1 << 10)
+    texts = ["one two three " * (i % 30) for i in range(400)] + ["long " * 3_000, None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    out = list(bpe._encode_whole(PATH)([batch, batch.slice(0, 0)]))
+    assert len(out) > 50 and max(o.num_rows for o in out) < len(texts) // 2
+    assert sum((o.column("doc_id").to_pylist() for o in out), []) == list(range(len(texts)))
+    ids = sum((o.column("ids").to_pylist() for o in out), [])
+    assert ids == [struct.pack(f"<{len(x)}I", *x) for x in (ENCODING.encode_ordinary(t or "") for t in texts)]
