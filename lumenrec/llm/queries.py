@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, divergence, embedding_dedup, hard_negatives, jaccard_join, line_dedup, lm_scoring, mixing, quality, secret_scan, substring_dedup, suffix_dedup, toxicity
-from .storage import materialize
+from .storage import materialize, release
 
 #: Held-out folds of the contracts: crc32 of the id as text, modulo this.
 TOXICITY_FOLDS, LM_FOLDS = (4, 2), (5, 1)
@@ -57,6 +57,7 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = in_fold(F.col("doc_id"), LM_FOLDS)
     counts = materialize(lm_scoring.count_ngrams(docs.where(~held_out)))
+    release(spark)
     scored = lm_scoring.score(docs, lm_scoring.fit(counts), counts)
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -31,6 +32,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Frees the shuffles of plans that nobody holds any more, as behind a stored table: they stay until the driver's next collection."""
+    gc.collect()  # Python's own handles first
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Rows that may be broadcast.
 BROADCAST_ROWS = 1_000_000
 

@@ -74,3 +74,25 @@ def test_scores_do_not_depend_on_the_filters_size(spark, sf, tmp_path, monkeypat
         got = {r["doc_id"]: r["score"] for r in L.score(docs, model, counts).collect()}
         off = {k: abs(got[k] / want(ws) - 1) for k, ws in token.items()}
         assert max(off.values()) < 0.01, (bits, model.lowest, off)
+
+
+def test_few_bytes_are_shuffled_for_an_ngram(spark, tmp_path):
+    """An n-gram is counted, and asked for where the filter lacks it, in a few bytes."""
+    r = np.random.default_rng(5)
+    docs = brute.stored(spark, tmp_path, [(i, " ".join(f"w{w}" for w in r.integers(0, 4_000, 2_000))) for i in range(200)], "doc_id long, text string").coalesce(2)
+
+    def written():
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before = written()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as where the tables are large
+    try:
+        counts = materialize(L.count_ngrams(docs))
+        model = L.fit(counts, max_bits=1 << 20)
+        assert model.lowest[2] > 1
+        assert L.score(docs, model, counts).agg({"score": "sum"}).first()[0] < 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # 400,000 bigrams, nearly all different: counted, asked for, and held
+    assert written() - before < 20 * 400_000
